@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_pairs, decontaminate, language_ppm, quality_repeats, secret_scan, toxicity_cnn
+from . import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,24 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_repeats.repetition_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_cnn.train_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity_cnn.score_toxicity(docs, model)
 
 
+def op5_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_dedup.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pairs.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,5 +63,5 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
 ORACLE_SQL: dict[str, str] = {}
