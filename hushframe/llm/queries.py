@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn
+from . import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.score_toxicity(docs, model)
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op4_warc_index, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
 ORACLE_SQL: dict[str, str] = {}
