@@ -43,14 +43,15 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return sized.select("item_id", "size", at.alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
 
 
-def _found(size: int, rows: list) -> Column:
-    """Positions of ``w`` whose window of ``size`` words has a hash of the set."""
+def _found(size: int, rows: list, w: Column | None = None) -> Column:
+    """Places of ``w`` with a window of the set: by its outer words, its hash, then its words."""
     hashes = sorted({r["h"] for r in rows})
-    begin, end = sorted({r["b"] for r in rows}), sorted({r["e"] for r in rows})
-    w = F.col("w")
+    begin, end = sorted({r["gram"][0] for r in rows}), sorted({r["gram"][-1] for r in rows})
+    whole = sorted({" ".join(r["gram"]) for r in rows})
+    w = F.col("w") if w is None else w
 
     def may(i: Column) -> Column:
-        return F.get(w, i - 1).isin(begin) & F.get(w, i + (size - 2)).isin(end) & F.xxhash64(F.slice(w, i, F.lit(size))).isin(hashes)
+        return F.get(w, i - 1).isin(begin) & F.get(w, i + (size - 2)).isin(end) & F.xxhash64(F.slice(w, i, F.lit(size))).isin(hashes) & F.array_join(F.slice(w, i, F.lit(size)), " ").isin(whole)
 
     places = F.when(F.size(w) >= size, F.filter(F.sequence(F.lit(1), F.size(w) - (size - 1)), may))
     return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
@@ -63,25 +64,29 @@ def _every(size: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
 
 
+def literal_windows(windows: DataFrame, most: int) -> tuple[dict[int, list] | None, list[int]]:
+    """The distinct windows by size, or none if there are more than ``most``; and the sizes."""
+    rows = windows.select("size", "h", "gram").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        return None, sorted(r[0] for r in windows.select("size").distinct().collect())
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(r["size"], []).append(r)
+    return by_size, sorted(by_size)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = MAX_LITERALS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted strings), hits (pos, size), and the
     columns of ``keep`` from the documents."""
     windows = benchmark_windows(benchmark, n)
     grams = windows.groupBy("size", "h", "gram").agg(F.collect_set("item_id").alias("item_ids"))
-    probe = windows.select("size", "h", F.element_at("gram", 1).alias("b"), F.element_at("gram", -1).alias("e")).distinct()
-    rows = probe.limit(max_literals + 1).collect()
-    small = len(rows) <= max_literals
+    by_size, sizes = literal_windows(windows, max_literals)
+    small = by_size is not None
     extra = [c for c in keep if c not in ("doc_id", "text")]
     base = pick(docs, *dict.fromkeys(("doc_id", "text", *keep)))
     base = base.select("doc_id", *[F.col(c).alias(f"k_{c}") for c in keep], F.monotonically_increasing_id().alias("rid"), normal_words(F.col("text")).alias("w"))
     carried = [f"k_{c}" for c in keep]
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(r["size"], []).append(r)
-    if small:
-        found = [_found(size, of) for size, of in sorted(by_size.items())]
-    else:
-        found = [_every(size) for size in sorted(r[0] for r in windows.select("size").distinct().collect())]
+    found = [_found(size, by_size[size]) if small else _every(size) for size in sizes]
     none = F.array().cast("array<struct<pos:int,size:int,gram:array<string>>>")
     scanned = base.select("rid", "doc_id", *carried, F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("places"))
     hit = scanned.select("rid", "doc_id", *carried, "n_words", F.explode_outer("places").alias("p")).select(
@@ -113,15 +118,22 @@ def clean_text(text: Column, hits: Column) -> Column:
     return F.when(F.size(hits) > 0, joined).otherwise(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int = 10, max_literals: int = MAX_LITERALS) -> DataFrame:
     """Documents without contamination: ``how`` removes hit ``documents`` or only the
     hit ``spans`` of their texts.  Columns of ``docs`` stay."""
     if how not in ("documents", "spans"):
         raise ValueError("how must be 'documents' or 'spans'")
     columns = docs.columns
-    found = find_contamination(docs, benchmark, n, keep=tuple(columns))
+    by_size, sizes = literal_windows(benchmark_windows(benchmark, n), max_literals)
+    if by_size is not None:  # a filter or projection of the scan, without an exchange
+        none = F.array().cast("array<struct<pos:int,size:int,gram:array<string>>>")
+        # the words are bound as a lambda's variable, so they are cut once a document
+        bound = F.transform(F.array(normal_words(F.col("text"))), lambda w: F.concat(*[_found(size, by_size[size], w) for size in sizes]) if sizes else none)
+        found = docs.withColumn("hits", F.element_at(bound, 1))
+    else:
+        found = find_contamination(docs, benchmark, n, max_literals, keep=tuple(columns))
     if how == "documents":
-        return found.where("n_hit = 0").select(*columns)
+        return found.where(F.size("hits") == 0).select(*columns)
     return found.withColumn("text", clean_text(F.col("text"), F.col("hits"))).select(*columns)
 
 

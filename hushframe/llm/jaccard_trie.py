@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .components import connected_components
-from .shared_windows import BLOCK_BYTES, Shared, bits_for, by_block, hash_rows, remove, settle, shared_hashes, work_dir, write_answers, write_blocks
+from .shared_windows import BLOCK_BYTES, Shared, bits_for, by_block, hash_rows, read_answers, remove, settle, shared_hashes, work_dir, write_answers, write_blocks
 from .shingle_sets import SIZE, ShingleSets, prefix_length
 
 NUM, DEN = 3, 4
@@ -203,11 +204,11 @@ def _join_group(table: pa.Table) -> pa.Table:
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _candidates(docs: DataFrame, root: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """All documents (key, doc_id, n), and those that may have a link with their shared
     shingles (key, n, s1, s2, shingles, kinds, prefix)."""
     spark = docs.sparkSession
-    blocks = write_blocks(docs, f"{root}/blocks", block_bytes)
+    blocks = write_blocks(docs, f"{root}/blocks", block_bytes, whole)
     bits = bits_for(2 * (blocks.agg(F.sum("n_bytes")).first()[0] or 0))
     source = blocks.select("block", "row", "doc_id", "text")
 
@@ -258,17 +259,17 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int) -> tuple[DataFrame
     schema = "key long, doc_id long, n long, s1 long, s2 long, shingles binary, kinds binary, prefix array<long>"
     source.mapInArrow(keep, schema).write.parquet(f"{root}/sets")
     remove(spark, answers)
-    remove(spark, f"{root}/blocks")
+    if not whole:
+        remove(spark, f"{root}/blocks")
     settle(spark)
     sets = spark.read.parquet(f"{root}/sets")
     return sets.select("key", "doc_id", "n"), sets.where("shingles is not null").drop("doc_id")
 
 
-def jaccard_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bool) -> DataFrame:
+    """(key, doc_id, n, class) of every document; class is null where it has no equal or link."""
     spark = docs.sparkSession
-    root = work_dir(spark)
-    everyone, held = _candidates(docs, root, block_bytes)
+    everyone, held = _candidates(docs, root, block_bytes, whole)
     same = held.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
     held.select("key", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).select("key", "rep").write.parquet(f"{root}/copies")
     copies = spark.read.parquet(f"{root}/copies")
@@ -289,13 +290,48 @@ def jaccard_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int
         _across(dealt.where("parts > 1"), links, root).write.parquet(f"{root}/links1")
         links = links.union(spark.read.parquet(f"{root}/links1"))
     classes, _ = connected_components(links, f"{root}/classes")
-    # copies take the class of their first document, classes the smallest doc_id
+    # copies take the class of their first document
     of = copies.join(classes, copies["rep"] == classes["node"], "left").select("key", F.coalesce("root", "rep").alias("class"))
-    named = everyone.join(of, "key", "left")
+    return everyone.join(of, "key", "left")
+
+
+def jaccard_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    named = _classes(docs, work_dir(docs.sparkSession), block_bytes, group, False)
     smallest = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    """One document of each class: the one with the smallest doc_id (ids that are null come
+    last; of equal ids one row).  Columns stay, and texts are not shuffled: every block
+    finds the rows that it loses beside it."""
+    spark = docs.sparkSession
+    root = work_dir(spark)
+    named = _classes(docs, root, block_bytes, group, True).where("class is not null").select("key", "class", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("order"))
+    first = named.groupBy("class").agg(F.min("order").alias("first"))
+    lost = named.join(first, "class").where("order <> first").select(F.shiftright("key", ROW_BITS).alias("block"), F.col("key").bitwiseAND((1 << ROW_BITS) - 1).alias("row"))
+    write_answers(lost, f"{root}/lost")
+    blocks = spark.read.parquet(f"{root}/blocks")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {"doc_id": "doc_id", "text": "text"} | {c: f"x{i}" for i, c in enumerate(others)}
+    columns = ["block", "row", *[names[c] for c in docs.columns]]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, np.zeros(0, np.int64)
+        for block, piece in by_block(batches):
+            if block != now:
+                now, gone = block, np.array([r["row"] for r in read_answers(f"{root}/lost", block, ["row"])], np.int64)
+            mask = ~np.isin(piece.column(1).to_numpy(), gone)
+            kept = piece.filter(pa.array(mask))
+            yield pa.RecordBatch.from_arrays(kept.columns[2:], names=kept.schema.names[2:])
+
+    flat = blocks.select(*columns)
+    schema = StructType(flat.schema.fields[2:])
+    out = flat.mapInArrow(keep, schema)
+    return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def _across(dealt: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """Links between the parts of large components: sets outside a component's largest
     class meet all its parts, dealt into parts of their own."""

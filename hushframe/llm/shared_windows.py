@@ -31,8 +31,9 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .textbatch import U64, _grown_powers, buffers, mix, pick, pieces, shared_dir
+from .textbatch import U64, _grown_powers, buffers, mix, pieces, shared_dir
 
 #: Of a hash 45 bits and the bucket's are kept; the other three bits of a packed entry count.
 LOW45 = U64((1 << 45) - 1)
@@ -110,9 +111,15 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """(block, row, doc_id, text, n_bytes): a map-only copy of the scan, in which a block is
-    a run of rows of one partition and a row is numbered in its block."""
+    a run of rows of one partition and a row is numbered in its block.  With ``whole`` the
+    other columns follow as x0, x1, ... in their order."""
+    spark = docs.sparkSession
+    others = [i for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")] if whole else []
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index
+    source = flat.select(F.col(f"_c{at('doc_id')}").cast("long").alias("doc_id"), F.col(f"_c{at('text')}").cast("string").alias("text"), *[F.col(f"_c{i}").alias(f"x{n}") for n, i in enumerate(others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,24 +132,24 @@ def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) ->
                 if row and (held + int(offs[-1]) > block_bytes or row + n > ROWS):
                     block, row, held = block + 1, 0, 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), piece.column(0), piece.column(1), pa.array(np.diff(offs))],
-                    names=["block", "row", "doc_id", "text", "n_bytes"],
+                    [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), *piece.columns[:2], pa.array(np.diff(offs)), *piece.columns[2:]],
+                    names=["block", "row", "doc_id", "text", "n_bytes", *piece.schema.names[2:]],
                 )
                 row, held = row + n, held + int(offs[-1])
 
-    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    source.mapInArrow(run, "block long, row long, doc_id long, text string, n_bytes long").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    schema = StructType([StructField(n, LongType()) for n in ("block", "row", "doc_id")] + [StructField("text", StringType()), StructField("n_bytes", LongType())] + source.schema.fields[2:])
+    source.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def by_block(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
     """Pieces of one block each; a block's pieces follow one another."""
     for batch in batches:
         blocks = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                for piece in pieces(batch.slice(a, b - a)):
+                for piece in pieces(batch.slice(a, b - a), text):
                     yield int(blocks[a]), piece
 
 

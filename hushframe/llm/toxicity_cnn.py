@@ -278,3 +278,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits =
         F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(id_fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     )
     return map_pieces(source, run, "doc_id long, held_out boolean, score double, predicted int, toxic boolean")
+
+
+def reject_toxic(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:
+    """Documents below their language's threshold; columns stay, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        score = m.score(*word_buckets(batch.column(text), limits.buckets))
+        cut = np.array([m.thresholds.get(x or "", m.threshold) for x in batch.column(lang).to_pylist()])
+        return batch.filter(pa.array(score < cut))
+
+    return map_pieces(docs, run, docs.schema)
