@@ -1,0 +1,78 @@
+"""Percentiles from a tree of noisy counts over equal intervals of [min, max].
+
+The tree has ``HEIGHT`` levels of ``BRANCHING`` children.  Only leaf counts are kept; a
+release adds noise to the children of the nodes that it walks through (each node once),
+with an equal share of the budget for each level, and interpolates in the leaf.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..mechanisms import Sensitivities, additive_mechanism
+from ..params import AggregateParams
+
+HEIGHT = 4
+BRANCHING = 16
+LEAVES = BRANCHING**HEIGHT
+
+
+def leaf(value: Column, low: float, high: float) -> Column:
+    """Leaf of a value; values outside are clipped, null gives null."""
+    if low == high:
+        return F.when(value.isNotNull(), F.lit(0))
+    at = F.floor((F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))) - low) / (high - low) * LEAVES)
+    return F.least(at, F.lit(LEAVES - 1)).cast("int")
+
+
+def release(leaves: Mapping[int, int], ranks: Sequence[float], p: AggregateParams, eps: float, delta: float) -> list[float]:
+    """Noisy quantiles of one partition, ascending with their ranks."""
+    low, high = float(p.min_value), float(p.max_value)
+    at = np.fromiter(leaves.keys(), np.int64, len(leaves))
+    count = np.fromiter(leaves.values(), float, len(leaves))
+    order = np.argsort(at)
+    at, total = at[order], np.concatenate([[0.0], np.cumsum(count[order])])
+    if p.max_contributions is not None:
+        each = Sensitivities(l1=p.max_contributions, l2=p.max_contributions)
+    else:
+        each = Sensitivities(l0=p.max_partitions_contributed, linf=p.max_contributions_per_partition)
+    noise = additive_mechanism(p.noise_kind, eps / HEIGHT, delta / HEIGHT, each)
+    noisy: dict[tuple[int, int], np.ndarray] = {}
+
+    def children(level: int, node: int) -> np.ndarray:
+        if (level, node) not in noisy:
+            width = BRANCHING ** (HEIGHT - level - 1)
+            edges = (node * BRANCHING + np.arange(BRANCHING + 1)) * width
+            exact = np.diff(total[np.searchsorted(at, edges)])
+            noisy[level, node] = np.maximum(noise.add_noise(exact), 0.0)
+        return noisy[level, node]
+
+    found = []
+    for rank in ranks:
+        node, left, share = 0, 0.0, min(max(float(rank), 0.0), 1.0)
+        for level in range(HEIGHT):
+            c = children(level, node)
+            whole = c.sum()
+            if whole <= 0:
+                # nothing to see below: the middle of this node's interval
+                width = (high - low) / BRANCHING**level
+                left, share, level_width = low + node * width, 0.5, width
+                break
+            target = share * whole
+            upto = np.cumsum(c)
+            i = int(min(np.searchsorted(upto, target, "left"), BRANCHING - 1))
+            before = upto[i] - c[i]
+            share = (target - before) / c[i] if c[i] > 0 else 0.5
+            node = node * BRANCHING + i
+        else:
+            level_width = (high - low) / LEAVES
+            left = low + node * level_width
+        found.append(min(max(left + share * level_width, low), high))
+    order = np.argsort(ranks, kind="stable")
+    out = np.empty(len(found))
+    out[order] = np.maximum.accumulate(np.array(found)[order])
+    return out.tolist()
