@@ -266,6 +266,28 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tu
     return sets.select("key", "doc_id", "n"), sets.where("shingles is not null").drop("doc_id")
 
 
+def _placed(held: DataFrame, path: str) -> DataFrame:
+    """(key, n, shingles, kinds, root, parts, part) of the sets that have a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            blocks = keys >> ROW_BITS
+            for block in np.unique(blocks).tolist():
+                if block != now:
+                    now, known = block, {r["key"]: r for r in read_answers(path, block, ["key", "root", "parts", "part"])}
+                at = [i for i in np.flatnonzero(blocks == block).tolist() if int(keys[i]) in known]
+                if at:
+                    rows = [known[int(keys[i])] for i in at]
+                    own = batch.take(pa.array(at))
+                    more = [pa.array([r[c] for r in rows], pa.int64()) for c in ("root", "parts", "part")]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "root", "parts", "part"])
+
+    schema = "key long, n long, shingles binary, kinds binary, root long, parts long, part long"
+    return held.select("key", "n", "shingles", "kinds").mapInArrow(run, schema)
+
+
 def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bool) -> DataFrame:
     """(key, doc_id, n, class) of every document; class is null where it has no equal or link."""
     spark = docs.sparkSession
@@ -273,21 +295,25 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     same = held.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
     held.select("key", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).select("key", "rep").write.parquet(f"{root}/copies")
     copies = spark.read.parquet(f"{root}/copies")
-    reps = held.join(copies.where("key = rep").select("key"), "key", "left_semi")
+    reps = held.select("key", "prefix", F.length("kinds").alias("weight")).join(copies.where("key = rep").select("key"), "key", "left_semi")
     token = reps.select("key", F.explode("prefix").alias("t"))
     least = token.groupBy("t").agg(F.min("key").alias("m"), F.max("key").alias("x")).where("m < x").drop("x")
     near, _ = connected_components(token.join(least, "t").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v")), f"{root}/near")
     member = near.union(near.select(F.col("root").alias("node"), "root").distinct())
-    sized = reps.join(member, reps["key"] == member["node"]).select("key", "n", "shingles", "kinds", "root")
-    parts = sized.groupBy("root").agg(F.ceil(F.sum(F.length("kinds")) / group).alias("parts"))
-    dealt = sized.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
-    dealt.write.parquet(f"{root}/dealt")
-    dealt = spark.read.parquet(f"{root}/dealt")
+    sized = held.select("key", F.length("kinds").alias("weight")).join(member, F.col("key") == F.col("node")).select("key", "weight", "root")
+    parts = sized.groupBy("root").agg(F.ceil(F.sum("weight") / group).alias("parts"))
+    places = sized.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("key"), "parts").alias("part"))
+    # sets meet their places block by block, so they are shuffled once, to their part
+    write_answers(places.withColumn("block", F.shiftright("key", ROW_BITS)), f"{root}/places")
+    dealt = _placed(held, f"{root}/places")
+    large = parts.where("parts > 1").limit(1).count() > 0
+    if large:
+        dealt.where("parts > 1").write.parquet(f"{root}/dealt")
     links = dealt.select("root", "part", "key", "n", "shingles", "kinds").groupBy("root", "part").applyInArrow(_join_group, "u long, v long")
     links.write.parquet(f"{root}/links0")
     links = spark.read.parquet(f"{root}/links0")
-    if dealt.where("parts > 1").limit(1).count():
-        _across(dealt.where("parts > 1"), links, root).write.parquet(f"{root}/links1")
+    if large:
+        _across(spark.read.parquet(f"{root}/dealt"), links, root).write.parquet(f"{root}/links1")
         links = links.union(spark.read.parquet(f"{root}/links1"))
     classes, _ = connected_components(links, f"{root}/classes")
     # copies take the class of their first document
