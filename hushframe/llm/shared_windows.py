@@ -6,13 +6,13 @@ in it (ties: leftmost), so equal windows have equal anchors wherever they lie:
 
 1. each block sends its distinct anchor hashes, packed by hash range ("bucket");
 2. a bucket finds the anchors that occur twice or more and answers each block;
-3. a block cuts the runs of windows around shared anchors out as segments, keeps one
-   copy of equal segments (later copies are repeats at once) and sends them by anchor;
-4. a bucket solves its segments exactly, by the solver of the operator (a suffix array
-   or suffix trees), and answers with runs of repeated windows;
-5. blocks are read again with their runs.
+3. a block cuts runs of windows around shared anchors as segments and sends hashes of
+   their anchors and tokens; equal segments collapse to the first, later copies are repeats;
+4. the first segments of anchors with different surroundings send their tokens, and a
+   bucket solves them exactly by the operator's solver (a suffix array or suffix trees);
+5. blocks are read again with the runs of repeated windows that came back.
 
-A block's answers lie under its own folder, so steps 3 and 5 read them beside the
+A block's answers lie under its own folder, so steps 3 to 5 read them beside the
 text.  What meets in a bucket is at most one entry a block and anchor, or one copy of a
 segment a block.  An anchor of more than ``hot_blocks`` blocks may have as many
 different surroundings; its windows travel each by their own hash instead.
@@ -33,14 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .textbatch import U64, _grown_powers, buffers, mix, pieces, shared_dir
+from .textbatch import U64, _grown_powers, buffers, mix, pieces, shared_dir, small_batches
 
-#: Of a hash 45 bits and the bucket's are kept; the other three bits of a packed entry count.
-LOW45 = U64((1 << 45) - 1)
+#: Of a hash 37 bits and the bucket's are kept; the other three bits of a packed entry count.
+#: Two hashes that fall together only look shared; what follows compares exactly.
+KEPT = 37
+LOW = U64((1 << KEPT) - 1)
+PACKED = 5
 COUNT = U64(7)
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 ROWS = 1 << 21
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Tokens that are solved together, and bytes of text that are cut into windows together.
+TOGETHER = 1 << 20
+WINDOW_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -116,6 +122,7 @@ def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, who
     a run of rows of one partition and a row is numbered in its block.  With ``whole`` the
     other columns follow as x0, x1, ... in their order."""
     spark = docs.sparkSession
+    small_batches(spark)
     others = [i for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")] if whole else []
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at = docs.columns.index
@@ -149,7 +156,7 @@ def by_block(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
         cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                for piece in pieces(batch.slice(a, b - a), text):
+                for piece in pieces(batch.slice(a, b - a), text, WINDOW_BYTES):
                     yield int(blocks[a]), piece
 
 
@@ -165,14 +172,14 @@ def bits_for(total_bytes: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(1, total_bytes / BUCKET_BYTES))), 3, 16))
 
 
-def pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
 
 
-def unpack48(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
+    wide[:, :PACKED] = raw
     return wide.view("<u8").reshape(-1).astype(U64)
 
 
@@ -185,11 +192,11 @@ def hash_rows(block: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
     many = np.minimum(np.diff(np.append(head, len(hashes))), 7)
     hashes = hashes[head]
     bucket = (hashes >> U64(64 - bits)).astype(np.int64)
-    packed = ((hashes & LOW45) << U64(3)) | many.astype(U64)
+    packed = ((hashes & LOW) << U64(3)) | many.astype(U64)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(bucket))
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cuts]), pa.array(np.full(len(cuts), block)), pa.array([pack48(packed[a:b]) for a, b in zip(cuts, ends)], pa.binary())],
+        [pa.array(bucket[cuts]), pa.array(np.full(len(cuts), block)), pa.array([pack(packed[a:b]) for a, b in zip(cuts, ends)], pa.binary())],
         names=["bucket", "block", "payload"],
     )
 
@@ -207,8 +214,8 @@ def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], n
         bucket = table.column("bucket")[0].as_py()
         blocks = table.column("block").to_numpy()
         data = table.column("payload").to_pylist()
-        size = np.array([len(d) // 6 for d in data])
-        entry = unpack48(b"".join(data))
+        size = np.array([len(d) // PACKED for d in data])
+        entry = unpack(b"".join(data))
         owner = np.repeat(np.arange(len(data), dtype=np.int32), size)
         order = np.argsort(entry)  # by hash, then number
         entry, owner = entry[order], owner[order]
@@ -225,7 +232,7 @@ def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], n
         owner, out = owner[by], ((v << U64(3)) | kind)[by]
         cuts = np.searchsorted(owner, np.arange(len(data) + 1))
         full = np.flatnonzero(np.diff(cuts))
-        return pa.table({"block": blocks[full], "bucket": np.full(len(full), bucket), "payload": pa.array([pack48(out[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
+        return pa.table({"block": blocks[full], "bucket": np.full(len(full), bucket), "payload": pa.array([pack(out[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(solve, "block long, bucket long, payload binary")
 
@@ -252,8 +259,8 @@ class Shared:
     def __init__(self, path: str, block: int, bits: int):
         self.bits = bits
         rows = read_answers(path, block, ["bucket", "payload"])
-        entries = [unpack48(r["payload"]) for r in rows]
-        keys = [(U64(r["bucket"]) << U64(45)) | (e >> U64(3)) for r, e in zip(rows, entries)]
+        entries = [unpack(r["payload"]) for r in rows]
+        keys = [(U64(r["bucket"]) << U64(KEPT)) | (e >> U64(3)) for r, e in zip(rows, entries)]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, U64)
         kinds = np.concatenate([(e & COUNT).astype(np.int8) for e in entries]) if entries else np.zeros(0, np.int8)
         order = np.argsort(self.keys)
@@ -263,160 +270,183 @@ class Shared:
         """Class of each hash, -1 where it isn't shared."""
         if not len(self.keys):
             return np.full(len(hashes), -1, np.int8)
-        key = ((hashes >> U64(64 - self.bits)) << U64(45)) | (hashes & LOW45)
+        key = ((hashes >> U64(64 - self.bits)) << U64(KEPT)) | (hashes & LOW)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.kinds[at], -1)
 
 
-#: One segment: anchor hash, order of its windows, place of its tokens.
-ENTRY = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("count", "<i4")])
-RUN = np.dtype([("row", "<i8"), ("start", "<i8"), ("count", "<i8")])
+#: One segment: hashes of its anchor and of its tokens, and its place.
+ENTRY = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i4"), ("count", "<i4")])
+RUN = np.dtype([("row", "<i4"), ("start", "<i4"), ("count", "<i4")])
 Tokenise = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _segments(block: int, held: list[tuple[pa.RecordBatch, Runs, np.ndarray]], shared: Shared, spec: Windows, bits: int) -> pa.RecordBatch:
-    """Rows (bucket, block, kind, payload, tokens) of a block: segments by anchor, and runs of
-    windows that repeat an earlier segment of the block."""
-    all_entries, sources = [], []
-    for index, (piece, runs, tokens) in enumerate(held):
-        kind = shared.find(runs.hash)
-        hot = kind > 0
-        cold = np.flatnonzero(kind == 0)
-        start, count, h = runs.start[cold], runs.count[cold], runs.hash[cold]
-        doc = runs.doc[cold]
-        if hot.any():
-            each = np.flatnonzero(hot)
-            many = runs.count[each]
-            at = np.repeat(runs.start[each], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            own = runs.content(at, np.full(len(at), spec.window))
-            start, count = np.concatenate([start, at]), np.concatenate([count, np.ones(len(at), np.int64)])
-            h, doc = np.concatenate([h, own]), np.concatenate([doc, np.repeat(runs.doc[each], many)])
-        ids = piece.column(2)
-        known = ~np.asarray(ids.is_null())
-        keep = known[doc]
-        start, count, h, doc = start[keep], count[keep], h[keep], doc[keep]
-        e = np.zeros(len(start), ENTRY)
-        doc_ids = ids.fill_null(0).to_numpy()
-        e["hash"], e["doc"], e["row"], e["count"] = h, doc_ids[doc], piece.column(1).to_numpy()[doc], count
-        e["content"] = runs.content(start, count + spec.window - 1) ^ h
-        e["start"] = start
-        all_entries.append(e)
-        sources.append(np.full(len(e), index))
-    entries = np.concatenate(all_entries)
-    source = np.concatenate(sources)
-    place = entries["start"].copy()  # in the piece's tokens
-    for index, (piece, runs, _) in enumerate(held):
-        of = source == index
-        rows = piece.column(1).to_numpy()
-        entries["start"][of] -= runs.first[entries["row"][of] - rows[0]]
+def _piece_entries(piece: pa.RecordBatch, runs: Runs, first: np.ndarray, kind: np.ndarray, spec: Windows) -> np.ndarray:
+    """The segments of a piece around shared anchors."""
+    cold, hot = np.flatnonzero(kind == 0), np.flatnonzero(kind > 0)
+    start, count, h, doc = runs.start[cold], runs.count[cold], runs.hash[cold], runs.doc[cold]
+    if len(hot):  # every window by its own hash
+        many = runs.count[hot]
+        at = np.repeat(runs.start[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own = runs.content(at, np.full(len(at), spec.window))
+        start, count = np.concatenate([start, at]), np.concatenate([count, np.ones(len(at), np.int64)])
+        h, doc = np.concatenate([h, own]), np.concatenate([doc, np.repeat(runs.doc[hot], many)])
+    ids = piece.column(2)
+    known = ~np.asarray(ids.is_null())[doc]
+    start, count, h, doc = start[known], count[known], h[known], doc[known]
+    e = np.zeros(len(start), ENTRY)
+    e["hash"], e["doc"], e["row"], e["count"] = h, ids.fill_null(0).to_numpy()[doc], piece.column(1).to_numpy()[doc], count
+    e["content"] = mix(runs.content(start, count + spec.window - 1) + U64(1)) ^ h
+    e["start"] = start - first[doc]
+    return e
+
+
+def _ordered(entries: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order by (content, doc, row, start); in it, where a content begins, and which
+    entries come after the content's first by the operator's key."""
     order = np.lexsort((entries["start"], entries["row"], entries["doc"], entries["content"]))
-    entries, source, place = entries[order], source[order], place[order]
-    new = np.ones(len(entries), bool)
-    new[1:] = entries["content"][1:] != entries["content"][:-1]
-    head = np.flatnonzero(new)
+    e = entries[order]
+    new = np.ones(len(e), bool)
+    new[1:] = e["content"][1:] != e["content"][:-1]
     group = np.cumsum(new) - 1
-    least = entries[head][group] if len(head) else entries
-    later = entries["doc"] > least["doc"]
+    head = np.flatnonzero(new)
+    doc, start = e["doc"][head][group], e["start"][head][group]
+    later = e["doc"] > doc
     if not spec.key_by_doc:
-        later |= (entries["doc"] == least["doc"]) & (entries["start"] > least["start"])
-    rows_out: list[tuple[int, int, bytes, bytes]] = []
+        later |= (e["doc"] == doc) & (e["start"] > start)
+    return order, new, later
+
+
+def _runs(entries: np.ndarray) -> bytes:
+    out = np.zeros(len(entries), RUN)
+    for f in ("row", "start", "count"):
+        out[f] = entries[f]
+    return out.tobytes()
+
+
+def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if not len(values):
+        return []
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return list(zip(at, [*at[1:], len(values)]))
+
+
+def _segments(block: int, held: list[np.ndarray], spec: Windows, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, block, kind, payload) of a block: segments by anchor (kind 0), and runs
+    of windows that repeat an earlier segment of the block (kind 1)."""
+    entries = np.concatenate(held)
+    order, _, later = _ordered(entries, spec)
+    entries = entries[order]
+    rows: list[tuple[int, int, bytes]] = []
     if later.any():
-        runs_out = np.zeros(int(later.sum()), RUN)
-        for f in ("row", "start", "count"):
-            runs_out[f] = entries[f][later]
-        rows_out.append(((1 << bits) + block, 1, runs_out.tobytes(), b""))
-    # tokens once a content, in the order of the entries
+        rows.append(((1 << bits) + block, 1, _runs(entries[later])))
+    entries = entries[~later]
+    bucket = (entries["hash"] >> U64(64 - bits)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    entries, bucket = entries[by], bucket[by]
+    rows += [(int(bucket[a]), 0, entries[a:b].tobytes()) for a, b in _cuts(bucket)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+        names=["bucket", "block", "kind", "payload"],
+    )
+
+
+def _decide(table: pa.Table, spec: Windows) -> pa.Table:
+    """Of a bucket's segments: equal ones collapse to the first, later copies are repeats
+    (kind 1); where an anchor has several contents, their first entries are asked for (kind 2)."""
+    kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
+    if kinds[0] == 1:
+        return table.select(["block", "kind", "payload"])
+    parts = [np.frombuffer(p, ENTRY) for p in table.column("payload").to_pylist()]
+    owner = np.repeat(blocks, [len(p) for p in parts])
+    entries = np.concatenate(parts)
+    order, new, later = _ordered(entries, spec)
+    entries, owner = entries[order], owner[order]
+    head = np.flatnonzero(new)
+    _, inverse, times = np.unique(entries["hash"][head], return_inverse=True, return_counts=True)
+    several = (times[inverse] > 1)[np.cumsum(new) - 1] & ~later
+    out: list[tuple[int, int, bytes]] = []
+    for kind, chosen in ((1, later), (2, several)):
+        own, of = owner[chosen], entries[chosen]
+        by = np.argsort(own, kind="stable")
+        own, of = own[by], of[by]
+        out += [(int(own[a]), kind, _runs(of[a:b]) if kind == 1 else of[a:b].tobytes()) for a, b in _cuts(own)]
+    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _asked(path: str, block: int) -> np.ndarray:
+    """Segments whose tokens are asked of a block, by row."""
+    rows = [r["payload"] for r in read_answers(path, block, ["kind", "payload"]) if r["kind"] == 2]
+    entries = np.concatenate([np.frombuffer(p, ENTRY) for p in rows]) if rows else np.zeros(0, ENTRY)
+    return entries[np.argsort(entries["row"], kind="stable")]
+
+
+def _with_tokens(block: int, entries: np.ndarray, tokens: np.ndarray, place: np.ndarray, spec: Windows, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, block, payload, tokens) of asked segments."""
     bucket = (entries["hash"] >> U64(64 - bits)).astype(np.int64)
-    keep = np.flatnonzero(~later)
-    by = keep[np.argsort(bucket[keep], kind="stable")]
-    cuts = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else []
-    for a, b in zip(cuts, [*cuts[1:], len(by)]):
-        part = by[a:b]
-        lead = part[new[part]]
-        text = np.concatenate([held[source[i]][2][place[i] : place[i] + entries["count"][i] + spec.window - 1] for i in lead])
-        rows_out.append((int(bucket[part[0]]), 0, entries[part].tobytes(), text.tobytes()))
+    by = np.argsort(bucket, kind="stable")
+    entries, place, bucket = entries[by], place[by], bucket[by]
+    size = entries["count"].astype(np.int64) + spec.window - 1
+    rows = []
+    for a, b in _cuts(bucket):
+        n = size[a:b]
+        at = np.repeat(place[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((int(bucket[a]), entries[a:b].tobytes(), tokens[at].tobytes()))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows_out], pa.int64()), pa.array([block] * len(rows_out), pa.int64()), pa.array([r[1] for r in rows_out], pa.int32()), pa.array([r[2] for r in rows_out], pa.binary()), pa.array([r[3] for r in rows_out], pa.binary())],
-        names=["bucket", "block", "kind", "payload", "tokens"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+        names=["bucket", "block", "payload", "tokens"],
     )
 
 
-#: tokens of distinct segments, their bounds, number of windows of each, order key of each window -> repeated windows
+#: tokens of segments, their bounds, doc and start of each -> repeated windows
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _solve_bucket(table: pa.Table, spec: Windows, solver: Solver, dtype: str) -> pa.Table:
-    kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
-    if kinds[0] == 1:
-        return table.select(["block", "payload"])
+    """Runs of repeated windows of a bucket's segments, by block."""
+    blocks = table.column("block").to_numpy()
     parts = [np.frombuffer(p, ENTRY) for p in table.column("payload").to_pylist()]
-    texts = [np.frombuffer(t, dtype) for t in table.column("tokens").to_pylist()]
+    tokens = np.concatenate([np.frombuffer(t, dtype) for t in table.column("tokens").to_pylist()])
     entries = np.concatenate(parts)
     owner = np.repeat(blocks, [len(p) for p in parts])
-    tokens = np.concatenate(texts)
-    # the first entry of each content in a part has the tokens
-    lead = np.concatenate([np.append(True, p["content"][1:] != p["content"][:-1]) for p in parts])
-    length = np.where(lead, entries["count"].astype(np.int64) + spec.window - 1, 0)
-    place = np.cumsum(length) - length
-    place = place[np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))]
-    order = np.lexsort((entries["start"], entries["row"], entries["doc"], entries["content"]))
-    entries, owner, place = entries[order], owner[order], place[order]
-    new = np.ones(len(entries), bool)
-    new[1:] = entries["content"][1:] != entries["content"][:-1]
-    head = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least = entries[head][group]
-    later = entries["doc"] > least["doc"]
-    if not spec.key_by_doc:
-        later |= (entries["doc"] == least["doc"]) & (entries["start"] > least["start"])
-    found = [(owner[later], entries[["row", "start", "count"]][later])]
-    # contents whose anchor has another content go to the solver
-    h = entries["hash"][head]
-    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    solve = np.flatnonzero(times[inverse] > 1)
-    if len(solve):
-        of = head[solve]
-        count = entries["count"][of].astype(np.int64)
-        size = count + spec.window - 1
-        begin = np.cumsum(size) - size
-        joined = tokens[np.repeat(place[of] - begin, size) + np.arange(size.sum())]
-        repeated = solver(joined, np.append(begin, size.sum()), entries["doc"][of], entries["start"][of])
-        # repeated: a flag a window, over the segments' windows one after another
-        first = np.cumsum(count) - count
-        for_content = np.full(len(head), -1)
-        for_content[solve] = np.arange(len(solve))
-        same = np.flatnonzero(~later & (for_content[group] >= 0))
-        flags = np.concatenate([[False], repeated, [False]])
-        which = for_content[group[same]]
-        total = np.concatenate([[0], np.cumsum(repeated)])
-        some = total[first[which] + count[which]] > total[first[which]]
-        rows, starts, counts, owners = [], [], [], []
-        del flags
-        for i, w in zip(same[some], which[some]):
-            bits = np.concatenate([[0], repeated[first[w] : first[w] + count[w]].astype(np.int8), [0]])
-            edge = np.flatnonzero(np.diff(bits))
-            for a, b in zip(edge[::2], edge[1::2]):
-                rows.append(entries["row"][i])
-                starts.append(entries["start"][i] + a)
-                counts.append(b - a)
-                owners.append(owner[i])
-        if rows:
-            out = np.zeros(len(rows), RUN)
-            out["row"], out["start"], out["count"] = rows, starts, counts
-            found.append((np.array(owners), out))
-    blocks_out = np.concatenate([o for o, _ in found])
-    runs = np.zeros(len(blocks_out), RUN)
-    for f in ("row", "start", "count"):
-        runs[f] = np.concatenate([r[f] for _, r in found])
-    by = np.argsort(blocks_out, kind="stable")
-    blocks_out, runs = blocks_out[by], runs[by]
-    cuts = np.flatnonzero(np.append(True, np.diff(blocks_out) != 0)) if len(by) else []
-    ends = [*cuts[1:], len(by)] if len(by) else []
-    return pa.table({"block": pa.array([int(blocks_out[a]) for a in cuts], pa.int64()), "payload": pa.array([runs[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+    size = entries["count"].astype(np.int64) + spec.window - 1
+    place = np.cumsum(size) - size
+    order = np.argsort(entries["hash"], kind="stable")
+    entries, owner, place, size = entries[order], owner[order], place[order], size[order]
+    # segments of one anchor stay together; about ``TOGETHER`` tokens are solved at a time
+    weight, hashes, cuts = np.cumsum(size), entries["hash"], [0]
+    while cuts[-1] < len(entries):
+        to = int(np.searchsorted(weight, (weight[cuts[-1] - 1] if cuts[-1] else 0) + TOGETHER, "right"))
+        to = min(max(to, cuts[-1] + 1), len(entries))
+        cuts.append(int(np.searchsorted(hashes, hashes[to - 1], "right")))
+    found, owners = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        n, count = size[a:b], entries["count"][a:b].astype(np.int64)
+        begin = np.cumsum(n) - n
+        joined = tokens[np.repeat(place[a:b] - begin, n) + np.arange(n.sum())]
+        repeated = solver(joined, np.append(begin, n.sum()), entries["doc"][a:b], entries["start"][a:b].astype(np.int64))
+        segment = np.repeat(np.arange(b - a), count)
+        opens = repeated.copy()
+        opens[1:] &= ~(repeated[:-1] & (segment[1:] == segment[:-1]))
+        closes = repeated.copy()
+        closes[:-1] &= ~(repeated[1:] & (segment[1:] == segment[:-1]))
+        at, to = np.flatnonzero(opens), np.flatnonzero(closes)
+        out = np.zeros(len(at), RUN)
+        of = a + segment[at]
+        out["row"], out["count"] = entries["row"][of], to - at + 1
+        out["start"] = entries["start"][of] + (at - (np.cumsum(count) - count)[segment[at]])
+        found.append(out)
+        owners.append(owner[of])
+    runs, own = np.concatenate(found), np.concatenate(owners)
+    by = np.argsort(own, kind="stable")
+    runs, own = runs[by], own[by]
+    cut = _cuts(own)
+    return pa.table({"block": pa.array([int(own[a]) for a, _ in cut], pa.int64()), "payload": pa.array([runs[a:b].tobytes() for a, b in cut], pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver: Solver, dtype: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
-    """The blocks' table, and the folder of runs (row, start, count) of repeated windows."""
+    """The blocks' table, and the folder in which ``block_runs`` finds repeated windows."""
     spark = docs.sparkSession
     root = work_dir(spark)
     blocks = write_blocks(docs, f"{root}/blocks", block_bytes)
@@ -444,32 +474,48 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
         for block, piece in by_block(batches):
             if block != now:
                 if held:
-                    yield _segments(now, held, shared, spec, bits)
+                    yield _segments(now, held, spec, bits)
                 now, held, shared = block, [], Shared(answers, block, bits)
             if not len(shared.keys):
                 continue
-            values, tokens, first = tokenise(*buffers(piece.column(3)))
+            values, _, first = tokenise(*buffers(piece.column(3)))
             runs = Runs(values, first, spec)
-            runs.first = first
-            if (shared.find(runs.hash) >= 0).any():
-                held.append((piece, runs, tokens))
+            kind = shared.find(runs.hash)
+            if (kind >= 0).any():
+                held.append(_piece_entries(piece, runs, first, kind, spec))
         if held:
-            yield _segments(now, held, shared, spec, bits)
+            yield _segments(now, held, spec, bits)
 
     settle(spark)
-    cut = source.mapInArrow(segments, "bucket long, block long, kind int, payload binary, tokens binary")
-    solved = cut.groupBy("bucket").applyInArrow(lambda t: _solve_bucket(t, spec, solver, dtype), "block long, payload binary")
-    runs = f"{root}/runs"
-    write_answers(solved, runs)
+    cut = source.mapInArrow(segments, "bucket long, block long, kind int, payload binary")
+    decided = f"{root}/decided"
+    write_answers(cut.groupBy("bucket").applyInArrow(lambda t: _decide(t, spec), "block long, kind int, payload binary"), decided)
     remove(spark, answers)
     settle(spark)
-    return blocks, runs
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, wanted = None, None
+        for block, piece in by_block(batches):
+            if block != now:
+                now, wanted = block, _asked(decided, block)
+            rows = piece.column(1).to_numpy()
+            own = wanted[np.searchsorted(wanted["row"], rows[0]) : np.searchsorted(wanted["row"], rows[-1], "right")]
+            if len(own):
+                _, tokens, first = tokenise(*buffers(piece.column(3)))
+                yield _with_tokens(block, own, tokens, first[own["row"] - rows[0]] + own["start"], spec, bits)
+
+    sent = source.mapInArrow(asked, "bucket long, block long, payload binary, tokens binary")
+    solved = sent.groupBy("bucket").applyInArrow(lambda t: _solve_bucket(t, spec, solver, dtype), "block long, payload binary")
+    write_answers(solved, f"{root}/solved")
+    settle(spark)
+    return blocks, root
 
 
-def block_runs(path: str, block: int) -> np.ndarray:
+def block_runs(root: str, block: int) -> np.ndarray:
     """A block's runs of repeated windows, sorted by row and start."""
-    rows = read_answers(path, block, ["payload"])
-    runs = np.concatenate([np.frombuffer(r["payload"], RUN) for r in rows]) if rows else np.zeros(0, RUN)
+    rows = [r["payload"] for r in read_answers(f"{root}/decided", block, ["kind", "payload"]) if r["kind"] == 1]
+    rows += [r["payload"] for r in read_answers(f"{root}/solved", block, ["payload"])]
+    runs = np.concatenate([np.frombuffer(r, RUN) for r in rows]) if rows else np.zeros(0, RUN)
     return runs[np.lexsort((runs["start"], runs["row"]))]
 
 
@@ -479,7 +525,7 @@ def covered(runs: np.ndarray, rows: np.ndarray, first: np.ndarray, window: int)
     edges = np.zeros(n + 1, np.int64)
     if len(rows) and len(runs):
         of = runs[np.searchsorted(runs["row"], rows[0]) : np.searchsorted(runs["row"], rows[-1], "right")]
-        begin = first[of["row"] - rows[0]] + of["start"]
+        begin = first[of["row"] - rows[0]] + of["start"].astype(np.int64)
         np.add.at(edges, begin, 1)
         np.add.at(edges, begin + of["count"] + window - 1, -1)
     return np.cumsum(edges)[:n] > 0

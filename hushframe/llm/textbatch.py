@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MULT_INV = pow(_MULT, -1, 1 << 64)
@@ -52,7 +53,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _grown_powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES * 2)
+        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 3))
         for i, m in enumerate((_MULT, _MULT_INV)):
             p = np.full(size, m, U64)
             p[0] = 1
@@ -112,6 +113,15 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = PIECE_BYTES) -
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have some MB at most, so that a few thousand long texts don't
+    meet in one; a smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(key).rstrip("b")
+    if not limit.isdigit() or int(limit) <= 0 or int(limit) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = PIECE_BYTES) -> DataFrame:
     """``fn`` over every piece of every partition; a partition-local, shuffle-free step."""
 
@@ -122,6 +132,7 @@ def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared_windows import filesystem, remove, work_dir
-from .textbatch import pick
+from .textbatch import pick, small_batches
 
 LINES = 1000
 ARCHIVE_BYTES = 256 << 20
@@ -93,6 +93,7 @@ def base32(payload: bytes) -> str:
 def write_archives(pages: DataFrame, root: str, min_payload: int = 0, level: int = 1) -> DataFrame:
     """Write every page as a WARC record under ``root``; (mark, key, page, file, offset, length)."""
     spark = pages.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col("html"), F.lit(""))
     own = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size"))
     # without html: only digests travel to find what is equal
