@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
+from .oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +69,5 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op4_warc_index, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "table", "tokenizer_path"]
