@@ -204,7 +204,8 @@ class DPEngine:
 
         def make() -> Callable[[np.ndarray], np.ndarray]:
             selector = create_partition_selector(strategy, spec, l0, pre)
-            return lambda units: selector.keep(-(-units // divide))
+            # weights of weighted selection are no whole numbers
+            return lambda units: selector.keep(units if divide == 1 else -(-units // divide))
 
         return make
 

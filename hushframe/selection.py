@@ -131,9 +131,9 @@ class GaussianThresholding(Thresholding):
 
 
 def weighted_gaussian_thresholding(epsilon: float, delta: float, l0: int, pre_threshold: int | None = None) -> GaussianThresholding:
-    """For sums of weights 1 / sqrt(k), whose l2 sensitivity is 1 whatever l0."""
-    sigma = compute_sigma(epsilon, delta / 2, 1.0)
-    return GaussianThresholding(epsilon, delta, l0, pre_threshold, sigma, delta / 2)
+    """For sums of weights 1 / sqrt(k), whose l2 sensitivity is 1: the deviation for that
+    sensitivity, used as that of a Gaussian thresholding over l0 partitions."""
+    return GaussianThresholding.from_std(compute_sigma(epsilon, delta / 2, 1.0), delta / 2, l0, pre_threshold)
 
 
 _BY_STRATEGY = {

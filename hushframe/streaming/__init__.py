@@ -1 +1,5 @@
+"""Differentially private releases over event-time windows of a stream."""
 
+from .windows import stream_dp_counts
+
+__all__ = ["stream_dp_counts"]
