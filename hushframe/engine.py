@@ -22,7 +22,7 @@ from .params import (
     AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, Metrics, PartitionSelectionStrategy, PrivateContributionBounds, SelectPartitionsParams, check_positive_int, require,
 )
 from .plans.bounding import Sampling, bound, sample
-from .plans.metrics import plan_metrics
+from .plans.metrics import grouped_rows, plan_metrics, single_rows
 from .report import ExplainComputationReport, ReportGenerator, annotate
 from .selection import create_partition_selector
 
@@ -155,9 +155,10 @@ class DPEngine:
         rows, keys, names, listed = self._rows(col, e, p, public, report)
         if self._needs_value(p):  # a row without a value contributes nothing
             rows = rows.where(F.col("value").isNotNull() & (~F.isnan("value") if rows.schema["value"].dataType.typeName() == "double" else F.lit(True)))
-        partials = {k: c for plan in plans for k, c in plan.partials.items()}
-        if p.contribution_bounds_already_enforced:
-            unit = rows.withColumn("_row", F.monotonically_increasing_id()).groupBy(*keys, "_row").agg(*[c.alias(k) for k, c in partials.items()], F.lit(1).alias("_one"))
+        fold = single_rows() if p.contribution_bounds_already_enforced else grouped_rows()
+        partials = {k: c for plan in plans for k, c in plan.partials(fold).items()}
+        if p.contribution_bounds_already_enforced:  # every row is a contribution of its own
+            unit = rows.select(*keys, *[c.alias(k) for k, c in partials.items()])
             divide = p.max_contributions or p.max_contributions_per_partition
         else:
             unit, stages = bound(rows, keys, p, [c.alias(k) for k, c in partials.items()] or [F.lit(1).alias("_one")], any(x.sampled for x in plans), self._sampling)

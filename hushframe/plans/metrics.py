@@ -15,15 +15,33 @@ from pyspark.sql import functions as F
 from .. import mechanisms as m
 from ..budget import BudgetAccountant
 from ..operators import quantiles
-from ..params import AggregateParams, MechanismType, Metric, Metrics, NormKind, noise_to_thresholding
+from ..params import AggregateParams, Metric, Metrics, NormKind, noise_to_thresholding
 from ..selection import create_thresholding_mechanism
 
 
+@dataclass(frozen=True)
+class Rows:
+    """How the rows of one unit in one partition fold: aggregates of a group, or, where
+    every row stands for itself, plain expressions of that row."""
+
+    total: Callable[[Column], Column]
+    number: Column
+    listed: Callable[[Column], Column]
+
+
+def grouped_rows() -> Rows:
+    return Rows(F.sum, F.count("*").cast("double"), F.collect_list)
+
+
+def single_rows() -> Rows:
+    return Rows(lambda c: c, F.lit(1.0), F.array)
+
+
 @dataclass
 class MetricPlan:
     """``release`` maps merged columns (a pandas frame) to output columns, in order."""
 
-    partials: dict[str, Column]
+    partials: Callable[["Rows"], dict[str, Column]]
     merged: dict[str, Column]
     outputs: dict[str, str]
     release: Callable[[pd.DataFrame], dict[str, Any]]
@@ -44,15 +62,18 @@ def _additive(metric: Metric, p: AggregateParams, accountant: BudgetAccountant)
     name = metric.column
     sensitivities = m.compute_sensitivities(metric, p)
     spec = accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, name=metric.name)
-    if metric == Metrics.COUNT:
-        partial = F.count("*").cast("double")
-    elif metric == Metrics.PRIVACY_ID_COUNT:
-        partial = F.lit(1.0)
-    elif p.bounds_per_contribution_are_set:
-        partial = F.sum(clip(F.col("value"), p.min_value, p.max_value))
-    else:
-        partial = clip(F.sum("value"), p.min_sum_per_partition, p.max_sum_per_partition)
-    partial = F.coalesce(partial, F.lit(0.0)) if metric == Metrics.SUM else partial
+
+    def partials(rows: Rows) -> dict[str, Column]:
+        if metric == Metrics.COUNT:
+            return {f"_{name}": rows.number}
+        if metric == Metrics.PRIVACY_ID_COUNT:
+            return {f"_{name}": F.lit(1.0)}
+        if p.bounds_per_contribution_are_set:
+            total = rows.total(clip(F.col("value"), p.min_value, p.max_value))
+        else:
+            total = clip(rows.total(F.col("value")), p.min_sum_per_partition, p.max_sum_per_partition)
+        return {f"_{name}": F.coalesce(total, F.lit(0.0))}
+
     outputs = {name: "double"} | ({f"{name}_noise_stddev": "double"} if p.output_noise_stddev else {})
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
@@ -65,7 +86,7 @@ def _additive(metric: Metric, p: AggregateParams, accountant: BudgetAccountant)
 
     by_sum = metric == Metrics.SUM and not p.bounds_per_contribution_are_set
     sampled = metric != Metrics.PRIVACY_ID_COUNT and not by_sum
-    return MetricPlan({f"_{name}": partial}, {f"_{name}": _sum(f"_{name}")}, outputs, release, explain, sampled)
+    return MetricPlan(partials, {f"_{name}": _sum(f"_{name}")}, outputs, release, explain, sampled)
 
 
 def _thresholded_count(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
@@ -82,7 +103,7 @@ def _thresholded_count(p: AggregateParams, accountant: BudgetAccountant) -> Metr
         out = {name: np.array([np.nan if v is None else v for v in made.noised(df[f"_{name}"].to_numpy())], float)}
         return out | ({f"{name}_noise_stddev": np.full(len(df), made.mechanism.std)} if p.output_noise_stddev else {})
 
-    return MetricPlan({f"_{name}": F.lit(1.0)}, {f"_{name}": _sum(f"_{name}")}, outputs, release, lambda: f"Computed DP privacy_id_count with\n     {mechanism().mechanism.describe()}  threshold={mechanism().threshold}", False)
+    return MetricPlan(lambda rows: {f"_{name}": F.lit(1.0)}, {f"_{name}": _sum(f"_{name}")}, outputs, release, lambda: f"Computed DP privacy_id_count with\n     {mechanism().mechanism.describe()}  threshold={mechanism().threshold}", False)
 
 
 def _centred(p: AggregateParams) -> Column:
@@ -109,8 +130,10 @@ def _mean(p: AggregateParams, wanted: list[str], accountant: BudgetAccountant) -
         count, total = mechanisms()
         return f"DP mean computation:\n    a. Computed normalized_count with\n       {count.describe()}\n    b. Computed normalized_sum with\n       {total.describe() if total else 'no noise'}"
 
-    partials = {"_n": F.count("value").cast("double"), "_centred": F.coalesce(F.sum(_centred(p)), F.lit(0.0))}
-    return MetricPlan(partials, {k: _sum(k) for k in partials}, dict.fromkeys(wanted, "double"), release, explain)
+    def partials(rows: Rows) -> dict[str, Column]:
+        return {"_n": rows.number, "_centred": F.coalesce(rows.total(_centred(p)), F.lit(0.0))}
+
+    return MetricPlan(partials, {k: _sum(k) for k in ("_n", "_centred")}, dict.fromkeys(wanted, "double"), release, explain)
 
 
 def _variance(p: AggregateParams, wanted: list[str], accountant: BudgetAccountant) -> MetricPlan:
@@ -120,36 +143,38 @@ def _variance(p: AggregateParams, wanted: list[str], accountant: BudgetAccountan
         found = m.release_variance(df["_n"].to_numpy(), df["_centred"].to_numpy(), df["_squares"].to_numpy(), p, spec.eps, spec.delta)
         return {w: found[w] for w in wanted}
 
-    x = _centred(p)
-    partials = {"_n": F.count("value").cast("double"), "_centred": F.coalesce(F.sum(x), F.lit(0.0)), "_squares": F.coalesce(F.sum(x * x), F.lit(0.0))}
-    return MetricPlan(partials, {k: _sum(k) for k in partials}, dict.fromkeys(wanted, "double"), release, lambda: f"Computed variance with (eps={spec.eps} delta={spec.delta})")
+    def partials(rows: Rows) -> dict[str, Column]:
+        x = _centred(p)
+        return {"_n": rows.number, "_centred": F.coalesce(rows.total(x), F.lit(0.0)), "_squares": F.coalesce(rows.total(x * x), F.lit(0.0))}
+
+    return MetricPlan(partials, {k: _sum(k) for k in ("_n", "_centred", "_squares")}, dict.fromkeys(wanted, "double"), release, lambda: f"Computed variance with (eps={spec.eps} delta={spec.delta})")
 
 
 def _vector_sum(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
     spec = accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, name="VECTOR_SUM")
     size, norm = p.vector_size, p.vector_norm_kind or NormKind.Linf
-    sums = [F.coalesce(F.sum(F.get("value", i).cast("double")), F.lit(0.0)) for i in range(size)]
-    vector = F.array(*sums)
     bound = F.lit(float(p.vector_max_norm))
-    if norm is NormKind.Linf:
-        clipped = F.transform(vector, lambda v: F.least(F.greatest(v, -bound), bound))
-    else:
-        size_of = F.aggregate(vector, F.lit(0.0), (lambda a, v: a + F.abs(v)) if norm is NormKind.L1 else (lambda a, v: a + v * v))
-        size_of = size_of if norm is NormKind.L1 else F.sqrt(size_of)
-        factor = F.when(size_of > bound, bound / size_of).otherwise(F.lit(1.0))
-        clipped = F.transform(vector, lambda v: v * factor)
+
+    def partials(rows: Rows) -> dict[str, Column]:
+        vector = F.array(*[F.coalesce(rows.total(F.get("value", i).cast("double")), F.lit(0.0)) for i in range(size)])
+        if norm is NormKind.Linf:
+            return {"_vector": F.transform(vector, lambda v: F.least(F.greatest(v, -bound), bound))}
+        length = F.aggregate(vector, F.lit(0.0), (lambda a, v: a + F.abs(v)) if norm is NormKind.L1 else (lambda a, v: a + v * v))
+        length = length if norm is NormKind.L1 else F.sqrt(length)
+        factor = F.when(length > bound, bound / length).otherwise(F.lit(1.0))
+        return {"_vector": F.transform(vector, lambda v: v * factor)}
+
     merged = F.array(*[F.sum(F.get("_vector", i)) for i in range(size)]).alias("_vector")
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
         zero = [0.0] * size
         at = np.array([list(v) if v is not None else zero for v in df["_vector"]], float).reshape(-1, size)
         l0 = p.max_partitions_contributed or p.max_contributions
-        noise = m.AdditiveVectorNoiseParams(spec.eps / size, spec.delta / size, p.vector_max_norm, l0, 1, norm, p.noise_kind)
         # the sensitivity is that of the whole vector, so the whole budget stands against it
-        noise.eps_per_coordinate, noise.delta_per_coordinate = spec.eps, spec.delta
+        noise = m.AdditiveVectorNoiseParams(spec.eps, spec.delta, p.vector_max_norm, l0, 1, norm, p.noise_kind)
         return {"vector_sum": list(m.add_noise_vector(at, noise))}
 
-    return MetricPlan({"_vector": clipped}, {"_vector": merged}, {"vector_sum": "array<double>"}, release, lambda: f"Computed vector sum with (eps={spec.eps} delta={spec.delta})")
+    return MetricPlan(partials, {"_vector": merged}, {"vector_sum": "array<double>"}, release, lambda: f"Computed vector sum with (eps={spec.eps} delta={spec.delta})")
 
 
 def _percentiles(p: AggregateParams, metrics: list[Metric], accountant: BudgetAccountant) -> MetricPlan:
@@ -162,8 +187,10 @@ def _percentiles(p: AggregateParams, metrics: list[Metric], accountant: BudgetAc
         table = np.array(rows, float).reshape(-1, len(ranks))
         return {n: table[:, i] for i, n in enumerate(names)}
 
-    partial = F.collect_list(quantiles.leaf(F.col("value"), p.min_value, p.max_value))
-    return MetricPlan({"_leaves": partial}, {}, dict.fromkeys(names, "double"), release, lambda: f"Computed percentiles {[x.parameter for x in metrics]} with (eps={spec.eps} delta={spec.delta})")
+    def partials(rows: Rows) -> dict[str, Column]:
+        return {"_leaves": rows.listed(quantiles.leaf(F.col("value"), p.min_value, p.max_value))}
+
+    return MetricPlan(partials, {}, dict.fromkeys(names, "double"), release, lambda: f"Computed percentiles {[x.parameter for x in metrics]} with (eps={spec.eps} delta={spec.delta})")
 
 
 def plan_metrics(p: AggregateParams, accountant: BudgetAccountant) -> list[MetricPlan]:
@@ -188,6 +215,3 @@ def plan_metrics(p: AggregateParams, accountant: BudgetAccountant) -> list[Metri
     if percentiles:
         plans.append(_percentiles(p, percentiles, accountant))
     return plans
-
-
-__all__ = ["MechanismType", "MetricPlan", "plan_metrics"]
