@@ -27,9 +27,9 @@ from ..selection import create_partition_selection_strategy
 from .poisson import compute_pmf, compute_pmf_approximation
 from .preaggregate import from_preaggregated, preaggregated_rows
 
-#: Units of a partition up to which the distribution of kept units is exact.
+#: Fixed value: units of a partition up to which the distribution of kept units is exact.
 EXACT_UNITS = 100
-#: Lower bounds of the partition-size buckets: 0, 1, then 1, 2 and 5 times 10, 100, ...
+#: Lower bounds of the partition-size buckets: 0, 1, then 1, 2 and 5 times 10, 100, ...
 BUCKETS = [0, 1, *[d * 10**i for i in range(1, 13) for d in (1, 2, 5)]]
 
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: equal bins of a linear histogram.
 LINEAR_BINS = 10_000
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..mechanisms import Sensitivities, additive_mechanism
 from ..params import AggregateParams
 
+#: Levels of the tree and children of a node.
 HEIGHT = 4
 BRANCHING = 16
 LEAVES = BRANCHING**HEIGHT
