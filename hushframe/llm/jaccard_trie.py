@@ -35,6 +35,7 @@ from pyspark.sql.types import StructType
 from .components import connected_components
 from .shared_windows import BLOCK_BYTES, Shared, bits_for, by_block, hash_rows, read_answers, remove, settle, shared_hashes, work_dir, write_answers, write_blocks
 from .shingle_sets import SIZE, ShingleSets, prefix_length
+from .textbatch import frugal, frugal_group
 
 NUM, DEN = 3, 4
 #: Shingles that one part of a component may have.
@@ -224,7 +225,7 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tu
             yield hash_rows(now, np.concatenate(held), bits)
 
     answers = f"{root}/answers"
-    write_answers(shared_hashes(source.mapInArrow(send, "bucket long, block long, payload binary")), answers)
+    write_answers(shared_hashes(source.mapInArrow(frugal(send), "bucket long, block long, payload binary")), answers)
     settle(spark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tu
             )
 
     schema = "key long, doc_id long, n long, s1 long, s2 long, shingles binary, kinds binary, prefix array<long>"
-    source.mapInArrow(keep, schema).write.parquet(f"{root}/sets")
+    source.mapInArrow(frugal(keep), schema).write.parquet(f"{root}/sets")
     remove(spark, answers)
     if not whole:
         remove(spark, f"{root}/blocks")
@@ -285,7 +286,7 @@ def _placed(held: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "root", "parts", "part"])
 
     schema = "key long, n long, shingles binary, kinds binary, root long, parts long, part long"
-    return held.select("key", "n", "shingles", "kinds").mapInArrow(run, schema)
+    return held.select("key", "n", "shingles", "kinds").mapInArrow(frugal(run), schema)
 
 
 def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bool) -> DataFrame:
@@ -309,7 +310,7 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     large = parts.where("parts > 1").limit(1).count() > 0
     if large:
         dealt.where("parts > 1").write.parquet(f"{root}/dealt")
-    links = dealt.select("root", "part", "key", "n", "shingles", "kinds").groupBy("root", "part").applyInArrow(_join_group, "u long, v long")
+    links = dealt.select("root", "part", "key", "n", "shingles", "kinds").groupBy("root", "part").applyInArrow(frugal_group(_join_group), "u long, v long")
     links.write.parquet(f"{root}/links0")
     links = spark.read.parquet(f"{root}/links0")
     if large:
@@ -354,7 +355,7 @@ def deduplicate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GR
 
     flat = blocks.select(*columns)
     schema = StructType(flat.schema.fields[2:])
-    out = flat.mapInArrow(keep, schema)
+    out = flat.mapInArrow(frugal(keep), schema)
     return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
@@ -378,4 +379,4 @@ def _across(dealt: DataFrame, links: DataFrame, root: str) -> DataFrame:
     pair = minor.select(*columns, "minor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("other"))
     pair = pair.select(*columns, F.least("minor", "other").alias("a"), F.greatest("minor", "other").alias("b"), F.lit(1).alias("side"))
     both = left.union(right).union(pair)
-    return both.groupBy("root", "a", "b", "side").applyInArrow(_join_group, "u long, v long")
+    return both.groupBy("root", "a", "b", "side").applyInArrow(frugal_group(_join_group), "u long, v long")

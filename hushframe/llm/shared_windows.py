@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .textbatch import U64, _grown_powers, buffers, mix, pieces, shared_dir, small_batches
+from .textbatch import buffers, frugal, frugal_group, _grown_powers, mix, pieces, shared_dir, small_batches, U64
 
 #: Of a hash 37 bits and the bucket's are kept; the other three bits of a packed entry count.
 #: Two hashes that fall together only look shared; what follows compares exactly.
@@ -145,7 +145,7 @@ def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, who
                 row, held = row + n, held + int(offs[-1])
 
     schema = StructType([StructField(n, LongType()) for n in ("block", "row", "doc_id")] + [StructField("text", StringType()), StructField("n_bytes", LongType())] + source.schema.fields[2:])
-    source.mapInArrow(run, schema).write.parquet(path)
+    source.mapInArrow(frugal(run), schema).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -234,7 +234,7 @@ def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], n
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({"block": blocks[full], "bucket": np.full(len(full), bucket), "payload": pa.array([pack(out[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(solve, "block long, bucket long, payload binary")
+    return sent.groupBy("bucket").applyInArrow(frugal_group(solve), "block long, bucket long, payload binary")
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
@@ -465,7 +465,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
         if held:
             yield hash_rows(now, np.concatenate(held), bits)
 
-    sent = source.mapInArrow(anchors, "bucket long, block long, payload binary")
+    sent = source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary")
     answers = f"{root}/answers"
     write_answers(shared_hashes(sent, lambda _, among: among > spec.hot_blocks), answers)
 
@@ -487,9 +487,9 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
             yield _segments(now, held, spec, bits)
 
     settle(spark)
-    cut = source.mapInArrow(segments, "bucket long, block long, kind int, payload binary")
+    cut = source.mapInArrow(frugal(segments), "bucket long, block long, kind int, payload binary")
     decided = f"{root}/decided"
-    write_answers(cut.groupBy("bucket").applyInArrow(lambda t: _decide(t, spec), "block long, kind int, payload binary"), decided)
+    write_answers(cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _decide(t, spec)), "block long, kind int, payload binary"), decided)
     remove(spark, answers)
     settle(spark)
 
@@ -504,8 +504,8 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
                 _, tokens, first = tokenise(*buffers(piece.column(3)))
                 yield _with_tokens(block, own, tokens, first[own["row"] - rows[0]] + own["start"], spec, bits)
 
-    sent = source.mapInArrow(asked, "bucket long, block long, payload binary, tokens binary")
-    solved = sent.groupBy("bucket").applyInArrow(lambda t: _solve_bucket(t, spec, solver, dtype), "block long, payload binary")
+    sent = source.mapInArrow(frugal(asked), "bucket long, block long, payload binary, tokens binary")
+    solved = sent.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, spec, solver, dtype)), "block long, payload binary")
     write_answers(solved, f"{root}/solved")
     settle(spark)
     return blocks, root

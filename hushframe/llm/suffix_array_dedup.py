@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared_windows import Windows, block_runs, by_block, covered, repeated_windows
-from .textbatch import _BYTE_CODE, U64, buffers
+from .textbatch import buffers, _BYTE_CODE, frugal, U64
 
 WINDOW = 50
 SPEC = Windows(window=WINDOW, gram=20, key_by_doc=True, item=1)
@@ -191,4 +191,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, spec: Windows = SPE
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.select("block", "row", "doc_id", "text").mapInArrow(run, schema)
+    return blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)

@@ -7,6 +7,8 @@ temporary arrays stay small; one text is never cut, however long it is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _LIBC = None
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MULT_INV = pow(_MULT, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -122,6 +128,38 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory released when a task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def frugal_group(solve: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``solve`` for applyInArrow, with memory released after a large group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = solve(table)
+        if table.nbytes > 1 << 20:
+            release_memory()
+        return out
+
+    return wrapped
+
+
 def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = PIECE_BYTES) -> DataFrame:
     """``fn`` over every piece of every partition; a partition-local, shuffle-free step."""
 
@@ -133,7 +171,7 @@ def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                     yield out
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared_windows import filesystem, remove, work_dir
-from .textbatch import pick, small_batches
+from .textbatch import frugal, pick, small_batches
 
 LINES = 1000
 ARCHIVE_BYTES = 256 << 20
 TIME = "20240101000000"
 MOST_OPEN = 32
+#: Look-ups whose records are returned together.
+TOGETHER = 500
 
 
 def url_key(url: Column) -> Column:
@@ -129,7 +131,7 @@ def write_archives(pages: DataFrame, root: str, min_payload: int = 0, level: int
             if out is not None:
                 out.close()
 
-    places = typed.mapInArrow(run, "key string, page string, file string, offset long, length long")
+    places = typed.mapInArrow(frugal(run), "key string, page string, file string, offset long, length long")
     places.write.parquet(f"{root}/places")  # the writes happen once, with the rows that point at them
     return spark.read.parquet(f"{root}/places")
 
@@ -167,7 +169,7 @@ def write_index(places: DataFrame, root: str, lines: int = LINES) -> DataFrame:
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = places.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page", "file", "offset")
-    ordered.mapInArrow(run, "first string, file string, offset long, length long").sortWithinPartitions("first").write.parquet(f"{root}/directory")
+    ordered.mapInArrow(frugal(run), "first string, file string, offset long, length long").sortWithinPartitions("first").write.parquet(f"{root}/directory")
     return places.sparkSession.read.parquet(f"{root}/directory")
 
 
@@ -240,12 +242,13 @@ def read_back(pages: DataFrame, root: str, with_payload: bool = False) -> DataFr
                 continue
             keys = [f"{k} {TIME} {p}" for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             index = CaptureIndex(root, min(keys), max(keys) + " ~")
-            rows = [r for k in keys for r in index.records(k)]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types)], names=names)
+            for at in range(0, len(keys), TOGETHER):
+                rows = [{c: r[c] for c in names} for k in keys[at : at + TOGETHER] for r in index.records(k)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(frugal(run), schema)
 
 
 def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
