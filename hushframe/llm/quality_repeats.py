@@ -166,7 +166,9 @@ def measure(batch: pa.RecordBatch, limits: RepeatLimits) -> pa.RecordBatch:
     ends = np.flatnonzero(buf == 10)
     starts = np.unique(np.concatenate([offs[:-1], ends + 1]))
     starts = starts[starts < len(buf)]
-    stops = np.minimum(np.append(starts[1:], len(buf)), np.where(buf[np.maximum(np.append(starts[1:], len(buf)) - 1, 0)] == 10, np.append(starts[1:], len(buf)) - 1, np.append(starts[1:], len(buf)))) if len(starts) else starts
+    # a line ends before the next one's start, without the \n between them
+    following = np.append(starts[1:], len(buf))[: len(starts)]
+    stops = following - (buf[following - 1] == 10) if len(starts) else starts
     lines = np.zeros(docs, np.int64)
     if len(starts):
         has = np.searchsorted(words.start, starts) < np.searchsorted(words.start, stops)

@@ -48,7 +48,7 @@ class TrainLimits:
     decay: float = 1e-4
     min_count: int = 3
     floor: float = 0.3
-    precision: float = 0.9
+    precision: float = 0.8
     min_positives: int = 15
 
 
