@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared_windows import Windows, block_runs, by_block, covered, repeated_windows
-from .textbatch import Words, buffers
+from .textbatch import buffers, frugal, Words
 
 WINDOW = 20
 SPEC = Windows(window=WINDOW, gram=6, key_by_doc=False, item=8)
@@ -43,21 +43,19 @@ def prefix_groups(words: np.ndarray, at: np.ndarray, window: int, group: int) ->
             yield depth, own
             continue
         key = words[own + depth]
-        by = np.argsort(key, kind="stable")
-        own = own[by]
-        parts = np.split(own, np.flatnonzero(np.diff(key[by])) + 1)
-        small: list[np.ndarray] = []
-        for part in sorted(parts, key=len):
-            # prefixes that share no more words are packed together while they fit
-            if len(part) > group:
-                todo.append((depth + 1, part))
-            elif small and sum(map(len, small)) + len(part) > group:
-                yield depth, np.concatenate(small)
-                small = [part]
-            else:
-                small.append(part)
-        if small:
-            yield depth, np.concatenate(small)
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(own)))
+        for i in np.flatnonzero(size > group):
+            todo.append((depth + 1, own[head[i] : head[i] + size[i]]))
+        # prefixes that fit share no more words; they are packed together up to the limit
+        fits = np.repeat(size <= group, size)
+        own, size = own[fits], size[size <= group]
+        pack = (np.cumsum(size) - size) // group
+        for part in np.split(own, np.cumsum(size)[np.flatnonzero(np.diff(pack))]):
+            if len(part):
+                yield depth, part
 
 
 class SuffixTree:
@@ -75,12 +73,12 @@ class SuffixTree:
             if not len(slots):
                 break
             group = np.cumsum(new)[slots]
-            key = words[order[slots] + d]
-            by = np.lexsort((key, group))
+            key = (group << 32) | words[order[slots] + d]
+            by = np.argsort(key)
             order[slots] = order[slots][by]
-            key, group = key[by], group[by]
+            key = key[by]
             apart = np.zeros(len(slots), bool)
-            apart[1:] = (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+            apart[1:] = (key[1:] != key[:-1]) & (key[1:] >> 32 == key[:-1] >> 32)
             branch[slots[apart]] = d
             new[slots] |= apart
         branch[~new] = depth
@@ -95,6 +93,11 @@ class SuffixTree:
 
 def solve(words: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW, group: int = GROUP) -> np.ndarray:
     """Flag a window (of the segments' windows in order) that starts earlier elsewhere."""
+    by = np.argsort(words)
+    ordered = words[by]
+    rank = np.empty(len(words), np.int64)
+    rank[by] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
+    words = rank  # small numbers in place of hashes, so that a group and a word share a key
     size = np.diff(bounds)
     count = size - window + 1
     segment = np.repeat(np.arange(len(size)), count)
@@ -151,4 +154,4 @@ def remove_passages(docs: DataFrame, with_text: bool = False, spec: Windows = SP
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return blocks.select("block", "row", "doc_id", "text").mapInArrow(run, schema)
+    return blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)
