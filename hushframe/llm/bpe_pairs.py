@@ -22,6 +22,7 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import map_pieces, pick
+from .textbatch import frugal, pick, pieces, small_batches
 
 #: Fixed value: Unicode White_Space, which the normaliser makes a plain space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEYOND = re.compile("[^\x00-\u024f]")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 #: Words of so many bytes of text are encoded together.
 TOGETHER_BYTES = 8 << 20
 
@@ -204,6 +205,7 @@ class Encoder:
         self.words, self.latin = regex.compile(pattern, regex.V0), latin_pattern(vocab.pattern)
         self.marks = re.compile("|".join(re.escape(s) for s, _ in vocab.special)) if vocab.special else None
         self.special = dict(vocab.special)
+        self.partial = min(*vocab.inner, *vocab.last) < 0
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
         self.reset()
@@ -252,17 +254,20 @@ class Encoder:
             self.ids[w] = " ".join([str(x) for x in of])
             self.tokens[w] = " ".join([names[x] for x in of])
 
-    def encode(self, texts: list[str]) -> tuple[list[str], list[str], list[int]]:
-        """Per text: ids joined by a space, decoded text, number of ids."""
-        cut = [self.parts(t) for t in texts]
+    def prepare(self, texts: list[str]) -> None:
+        """Encode all words of the texts that are not known, together."""
         words: set[str] = set()
-        words.update(*cut)
+        for text in texts:
+            words.update(self.parts(text))
         self.learn(words)
-        if not all(map(self.ids.__getitem__, words)):  # words none of whose bytes has an id
-            cut = [[w for w in parts if self.ids[w]] for parts in cut]
-        ids = [" ".join(map(self.ids.__getitem__, parts)) for parts in cut]
-        decoded = [" ".join(map(self.tokens.__getitem__, parts)) for parts in cut]
-        return ids, decoded, [s.count(" ") + 1 if s else 0 for s in ids]
+
+    def encode(self, text: str) -> tuple[str, str, int]:
+        """Ids joined by a space, decoded text and number of ids of a prepared text."""
+        parts = self.parts(text)
+        if self.partial:  # words none of whose bytes has an id
+            parts = [w for w in parts if self.ids[w]]
+        ids = " ".join(map(self.ids.__getitem__, parts))
+        return ids, " ".join(map(self.tokens.__getitem__, parts)), ids.count(" ") + 1 if ids else 0
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does."""
@@ -281,17 +286,28 @@ def bpe_encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bo
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: some MB
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, decoded, count = _encoder(shared.value).encode([t or "" for t in batch.column(1).to_pylist()])
-        columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(map(sha, ids)), pa.array(map(sha, decoded))]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if with_ids:
-            columns.append(pa.array([[*map(int, s.split())] for s in ids], pa.list_(pa.int32())))
-            names.append("ids")
-        if with_text:
-            columns.append(pa.array(decoded))
-            names.append("decoded")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def one(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        encoder.prepare(texts)
+        rows = []
+        for text in texts:  # a text's ids and tokens are let go once they are hashed
+            ids, decoded, count = encoder.encode(text)
+            rows.append((count, sha(ids), sha(decoded), [*map(int, ids.split())] if with_ids else None, decoded if with_text else None))
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+        kept = [0, 1, 2, *[3] * with_ids, *[4] * with_text]
+        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], types[i]) for i in kept]], names=["doc_id", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, "text", TOGETHER_BYTES):
+                    yield one(piece, encoder)
+        finally:
+            encoder.reset()  # the word cache doesn't outlive its task
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return map_pieces(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, most=TOGETHER_BYTES)
+    small_batches(docs.sparkSession)
+    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(frugal(run), schema)
