@@ -7,10 +7,13 @@ follow, then a logistic layer.  At scoring time embeddings and filters are folde
 into one table per width and offset, so a filter is a few gathers and an addition.
 
 Training rows: a bounded sample (``TrainLimits.max_rows``, chosen by hash over all
-rows that may be learned from), fitted on the driver.  A fifth of them is kept out
-of the fit to stop it and to calibrate one threshold a language: the smallest score
-from ``floor`` up with at least ``precision`` on those rows.  A language without
-enough positives there uses the thresholds found over all languages together.
+rows that may be learned from), fitted on the driver.  Where it has fewer than
+``toxic_rows`` toxic rows, the next toxic ones by hash join it; they weigh less at
+calibration, so that precision is that of all labelled rows, but score as in the fit.
+A fifth of each class is kept out of the fit to stop it and to calibrate one threshold
+a language: the smallest score from ``floor`` up with at least ``precision`` on those
+rows.  A language without ``min_positives`` there or without such a score uses the
+threshold found over all languages together, and that is ``floor`` where these have none.
 
 Defined results: null and empty texts get the score of the bias alone.  Without any
 usable labelled row the score is 0 everywhere.  Rows with null ids are scored.
@@ -50,6 +53,7 @@ class TrainLimits:
     floor: float = 0.3
     precision: float = 0.8
     min_positives: int = 15
+    toxic_rows: int = 500
 
 
 @dataclass
@@ -125,8 +129,9 @@ class _Adam:
             x -= scale * m / (np.sqrt(v) + 1e-8)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: TrainLimits = TrainLimits()) -> ToxicityModel:
-    """Train on labelled whole texts."""
+def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: TrainLimits = TrainLimits(), toxic_weight: float = 1.0) -> ToxicityModel:
+    """Train on labelled whole texts.  ``toxic_weight``: how many toxic rows a sampled
+    one stands for, against the clean ones."""
     rng = np.random.default_rng(7)
     n_rows, n_filters = len(labels), limits.filters
     if not n_rows or labels.min() == labels.max():
@@ -147,8 +152,12 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
             count[k, np.unique(d[k])] += 1
     live = count >= limits.min_count
     fold = rng.permutation(n_rows)
-    held = fold[: n_rows // 5]
-    train = fold[n_rows // 5 :]
+    clean, toxic = fold[labels[fold] <= 0], fold[labels[fold] > 0]
+    # few toxic rows: as many as calibration needs, if that leaves as many to learn from
+    kept_out = len(toxic) // 5 if len(toxic) < 2 * limits.min_positives else max(len(toxic) // 5, limits.min_positives)
+    held = np.concatenate([clean[: len(clean) // 5], toxic[:kept_out]])
+    train = np.concatenate([clean[len(clean) // 5 :], toxic[kept_out:]])
+    weights = np.where(labels[held] > 0, toxic_weight * len(toxic) / max(1, kept_out), len(clean) / max(1, len(clean) // 5))
     embed = [(rng.normal(0, 0.1, (limits.buckets, limits.dims)) * live[k][:, None]).astype(np.float32) for k in range(HASHES)]
     conv = [[rng.normal(0, 0.3, (limits.dims, n_filters)).astype(np.float32) for _ in range(w)] for w in limits.widths]
     biases = [np.zeros(n_filters, np.float32) for _ in limits.widths]
@@ -216,23 +225,26 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
     best = best or model()
     scores = held_scores(best)
     names = np.array([x or "" for x in langs], object)[held]
-    best.threshold = threshold(scores, labels[held], limits)
+    best.threshold = threshold(scores, labels[held], limits, limits.floor, weights)
     for lang in map(str, np.unique(names.astype(str))):
         of = names == lang
-        if labels[held][of].sum() >= limits.min_positives:
-            best.thresholds[lang] = threshold(scores[of], labels[held][of], limits)
+        best.thresholds[lang] = threshold(scores[of], labels[held][of], limits, best.threshold, weights[of])
     return best
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits) -> float:
+def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits, otherwise: float, weights: np.ndarray | None = None) -> float:
     """Smallest score from ``floor`` up whose rows at or above it are positives by
-    ``precision`` at least; above 1 where there is none, so nothing is rejected."""
+    ``precision`` of their weight at least; ``otherwise`` where there is none or the rows
+    have fewer than ``min_positives``."""
+    if labels.sum() < limits.min_positives:
+        return otherwise
     order = np.argsort(-scores, kind="stable")
-    good = np.cumsum(labels[order]) >= limits.precision * np.arange(1, len(order) + 1)
-    fine = scores[order][good & (scores[order] >= limits.floor)]
-    if len(fine):
-        return float(max(limits.floor, fine.min()))
-    return limits.floor if not len(scores) else 1.01
+    ranked = scores[order]
+    weight = np.ones(len(order)) if weights is None else weights[order]
+    good = np.cumsum(labels[order] * weight) >= limits.precision * np.cumsum(weight)
+    last = np.append(ranked[1:] != ranked[:-1], True)  # equal scores fall on one side
+    fine = ranked[good & last & (ranked >= limits.floor)]
+    return float(fine.min()) if len(fine) else otherwise
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = TrainLimits()) -> ToxicityModel:
@@ -243,9 +255,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
     known = (
         pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(F.coalesce(id_fold(F.col("doc_id"), 4), F.lit(2)) != 2)
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.max_rows)
     )
-    rows = known.collect()
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = known.orderBy(*by_hash).limit(limits.max_rows).collect()
+    toxic_weight, n_toxic = 1.0, sum(r[1] == 1 for r in rows)
+    if len(rows) == limits.max_rows and n_toxic < limits.toxic_rows:
+        more = known.where("toxic = 1").orderBy(*by_hash).limit(limits.toxic_rows).collect()
+        of_all = known.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
+        # toxic and clean labelled rows that a sampled row of each stands for
+        stands = of_all[1] / max(1, len(more)), (of_all[0] - of_all[1]) / max(1, len(rows) - n_toxic)
+        toxic_weight = stands[0] / max(stands[1], 1e-9) if more else 1.0
+        sampled = {r[0] for r in rows}
+        rows += [r for r in more if r[0] not in sampled]
     if not rows:
         return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
     small = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows]})))
@@ -255,7 +276,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
     got = got.take(order)
     size = np.cumsum(pc.binary_length(got["text"]).to_numpy())
     got = got.slice(0, int(np.searchsorted(size, limits.max_bytes, "right")))
-    return fit(got["text"].combine_chunks(), got["toxic"].to_numpy().astype(np.float32), got["lang"].to_pylist(), limits)
+    return fit(got["text"].combine_chunks(), got["toxic"].to_numpy().astype(np.float32), got["lang"].to_pylist(), limits, toxic_weight)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:

@@ -241,6 +241,37 @@ def test_toxicity_without_labels(spark, rows):
     assert toxicity_cnn.score_toxicity(docs, model).where("predicted = 1").count() == 0
 
 
+def test_toxicity_threshold_falls_back():
+    """No cut of enough precision, or too few positives, must not reject nothing."""
+    limits = toxicity_cnn.TrainLimits()
+    scores, labels = np.linspace(0.999, 0.31, 60), np.arange(60) % 3 == 2
+    assert toxicity_cnn.threshold(scores, labels, limits, 0.5) == 0.5
+    assert toxicity_cnn.threshold(np.array([0.9, 0.8, 0.7]), np.array([0, 1, 1]), limits, limits.floor) == limits.floor
+    assert toxicity_cnn.threshold(np.repeat([0.9, 0.4, 0.1], 20), np.repeat([1, 0, 0], 20), limits, limits.floor) == 0.9
+
+
+def test_toxic_rows_leave_without_a_precise_cut(spark):
+    """A third of the rows with the toxic words are labelled clean: no cut has precision 0.8."""
+    rows = [(d, t, y if d % 18 else 0) for d, t, y in toxic_rows()]
+    docs = frame(spark, [(d, t) for d, t, _ in rows])
+    model = toxicity_cnn.train_toxicity(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    kept = {r["doc_id"] for r in toxicity_cnn.reject_toxic(docs, model).collect()}
+    assert sum(d in kept for d, _, y in rows if y) <= 0.3 * sum(y for _, _, y in rows)
+    assert sum(d in kept for d, _, _ in rows if d % 6) >= 0.97 * sum(d % 6 > 0 for d, _, _ in rows)
+
+
+def test_rare_toxic_rows_leave(spark):
+    """16 toxic rows of 16,000: the sample by hash has a few of them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 6)))
+    rows = [(i, " ".join([word() for _ in range(12)] + ["idiot"] * (i % 1000 == 0)), int(i % 1000 == 0)) for i in range(16000)]
+    docs = frame(spark, [(d, t) for d, t, _ in rows])
+    model = toxicity_cnn.train_toxicity(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    kept = {x["doc_id"] for x in toxicity_cnn.reject_toxic(docs, model).select("doc_id").collect()}
+    assert sum(d in kept for d, _, y in rows if y) <= 2
+    assert sum(d in kept for d, _, y in rows if not y) >= 0.99 * 15984
+
+
 @pytest.mark.parametrize("most", [100_000, 3])
 def test_decontaminate(spark, rows, most):
     w = brute.WORD.findall(rows[8][1])
