@@ -8,6 +8,8 @@ Statistics are frozen after training, so the code length of a byte after a conte
 a number; they are all written to one table (context x byte class x language) and a
 text's exact code length is a sum of gathers over all its bytes.  Bytes that no
 training text holds behave alike and share a class; this doesn't change any length.
+Every language of the table is learned.  Languages share a table in groups of bounded
+size, and executors read many groups one at a time, so memory doesn't grow with them.
 
 ``score`` is the posterior of the best language with equal priors on the mean code
 length (bits a byte, times ``sharpness``).
@@ -18,11 +20,13 @@ does every text if no language could be learned.  Ties go to the first language
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +38,16 @@ ORDER = 3
 @dataclass(frozen=True)
 class PpmLimits:
     """Training sample: ``docs_per_lang`` documents of each language, by hash, and
-    ``bytes_per_doc`` of each; at most ``max_langs`` languages (the most frequent)."""
+    ``bytes_per_lang`` of each; the driver reads samples of ``langs_per_read`` languages
+    at once.  A table has ``group_langs`` languages and about ``group_bytes`` at most (one
+    language may need more); a worker keeps ``kept_bytes`` of tables in memory."""
 
     docs_per_lang: int = 300
     bytes_per_lang: int = 1 << 20
-    max_langs: int = 64
+    langs_per_read: int = 64
+    group_langs: int = 8
+    group_bytes: int = 96 << 20
+    kept_bytes: int = 192 << 20
     sharpness: float = 24.0
 
 
@@ -73,6 +82,24 @@ class PpmModel:
         return total
 
 
+@dataclass
+class PpmModels:
+    """All languages by name; each group's columns among them and its broadcast PpmModel."""
+
+    langs: list[str]
+    groups: list[tuple[list[int], Broadcast]]
+    size: int = 0
+
+    def code_lengths(self, buf: np.ndarray, offs: np.ndarray, kept_bytes: int = PpmLimits.kept_bytes) -> np.ndarray:
+        """Bits of each document under each language."""
+        total = np.zeros((len(offs) - 1, len(self.langs)))
+        for columns, shared in self.groups:
+            total[:, columns] = shared.value.code_lengths(buf, offs)
+            if self.size > kept_bytes:
+                vars(shared).pop("_value", None)  # read from its local file again for the next piece
+        return total
+
+
 def _levels(s: np.ndarray, a: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per order: sorted (context, symbol) codes and their counts; class 0 marks text ends."""
     out = []
@@ -155,21 +182,52 @@ def fit(texts: dict[str, list[bytes]]) -> PpmModel:
     return PpmModel(langs, classes, row, bits)
 
 
-def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModel:
-    """Learn from documents with a language whose crc32(doc_id as text) mod 3 is not 1."""
+def _groups(texts: dict[str, list[bytes]], limits: PpmLimits) -> Iterator[list[str]]:
+    """Languages in order of name, in groups whose tables keep to the limits."""
+    group: list[str] = []
+    used, triples = np.zeros(256, bool), np.zeros(0, np.int32)
+    for lang in sorted(texts):
+        own_used, own = np.zeros(256, bool), []
+        for t in texts[lang]:
+            b = np.frombuffer(t, np.uint8).astype(np.int32)
+            own_used[b] = True
+            own.append(np.unique((b[:-2] << 16) + (b[1:-1] << 8) + b[2:]))
+        own = np.unique(np.concatenate(own))
+        a, rows = int((used | own_used).sum()) + 1, len(np.union1d(triples, own))
+        if group and (len(group) >= limits.group_langs or (a * a + rows) * a * (len(group) + 1) * 4 > limits.group_bytes):
+            yield group
+            group, used, triples = [], np.zeros(256, bool), np.zeros(0, np.int32)
+        group.append(lang)
+        used |= own_used
+        triples = np.union1d(triples, own)
+    if group:
+        yield group
+
+
+def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModels:
+    """Learn every language of documents whose crc32(doc_id as text) mod 3 is not 1."""
     spark = docs.sparkSession
     usable = (
         pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null and text <> ''")
         .where(id_fold(F.col("doc_id"), 3) != 1)
     )
-    ids = usable.select("doc_id", "lang")
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limits.max_langs).collect()]
-    if not langs:
-        return fit({})
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.where(F.col("lang").isin(langs)).withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id").collect()
-    small = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": sorted({r[0] for r in chosen})})))
-    got = usable.join(small, "doc_id").where(F.col("lang").isin(langs)).select("doc_id", "lang", "text").toArrow().to_pylist()
+    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id", "lang").toPandas().drop_duplicates()
+    models = PpmModels(sorted(chosen["lang"].unique()), [])
+    for at in range(0, len(models.langs), limits.langs_per_read):
+        some = chosen[chosen["lang"].isin(models.langs[at : at + limits.langs_per_read])]
+        texts = _read_texts(usable, some, limits)
+        for group in _groups(texts, limits):
+            model = fit({x: texts[x] for x in group})
+            models.size += model.bits.nbytes + model.row.nbytes
+            models.groups.append(([models.langs.index(x) for x in group], spark.sparkContext.broadcast(model)))
+    return models
+
+
+def _read_texts(usable: DataFrame, chosen: pd.DataFrame, limits: PpmLimits) -> dict[str, list[bytes]]:
+    """The sampled texts by language."""
+    small = F.broadcast(usable.sparkSession.createDataFrame(chosen))
+    got = usable.join(small, ["doc_id", "lang"]).select("doc_id", "lang", "text").toArrow().to_pylist()
     texts: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
@@ -177,32 +235,30 @@ def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModel:
         if not texts.get(r["lang"]) or size[r["lang"]] + len(raw) <= limits.bytes_per_lang:
             texts.setdefault(r["lang"], []).append(raw)
             size[r["lang"]] = size.get(r["lang"], 0) + len(raw)
-    return fit(texts)
+    return texts
 
 
-def identify_language(docs: DataFrame, model: PpmModel, limits: PpmLimits = PpmLimits()) -> DataFrame:
+def identify_language(docs: DataFrame, model: PpmModels, limits: PpmLimits = PpmLimits()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
         texts = batch.column(1)
         buf, offs = buffers(texts)
         n, size = len(offs) - 1, np.diff(offs)
         has = np.diff(np.concatenate([[0], np.cumsum(ascii_letter[buf])])[offs]) > 0
         for i in np.flatnonzero(~has & (size > 0)):
             has[i] = any(c.isalpha() for c in bytes(buf[offs[i] : offs[i + 1]]).decode("utf-8", "replace"))
-        if not m.langs:
+        if not model.langs:
             has[:] = False
             best, score, least = np.zeros(n, int), np.zeros(n), np.zeros(n)
         else:
-            per_byte = m.code_lengths(buf, offs) / np.maximum(size, 1)[:, None]
+            per_byte = model.code_lengths(buf, offs, limits.kept_bytes) / np.maximum(size, 1)[:, None]
             best = per_byte.argmin(1)
             least = per_byte.min(1)
             score = 1 / np.exp2(-limits.sharpness * (per_byte - least[:, None])).sum(1)
-        names = [m.langs[b] if h else "und" for b, h in zip(best, has)]
+        names = [model.langs[b] if h else "und" for b, h in zip(best, has)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, least, 0.0))],
             names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],

@@ -208,6 +208,35 @@ def test_language_edge_cases(spark, rows):
     assert {r["lang_pred"] for r in language_ppm.identify_language(docs, empty).collect()} == {"und"}
 
 
+def many_languages(spark, n=70):
+    """Rows of ``n`` languages, each with its own few words; the last is the rarest."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n * 5)]
+    rows = []
+    for i in range(n):
+        for _ in range(10 + n - i):
+            rows.append((len(rows), " ".join(r.choice(vocabulary[5 * i : 5 * i + 5]) for _ in range(20)), f"l{i:03d}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    docs = many_languages(spark)
+    model = language_ppm.train_ppm(docs)
+    assert len(model.langs) == 70 and len(model.groups) > 1
+    found = language_ppm.identify_language(docs, model, language_ppm.PpmLimits(kept_bytes=0)).join(docs, "doc_id")
+    assert {r[0] for r in found.where("lang_pred = lang").select("lang").distinct().collect()} == set(model.langs)
+    assert found.where("lang_pred <> lang").count() == 0
+
+
+def test_language_groups_give_the_same_lengths(spark):
+    docs = many_languages(spark, 9)
+    small = language_ppm.train_ppm(docs, language_ppm.PpmLimits(group_langs=2, langs_per_read=5))
+    joint = language_ppm.train_ppm(docs, language_ppm.PpmLimits(group_langs=9))
+    probe = np.frombuffer(b"some words that no one has learned", np.uint8), np.array([0, 10, 34])
+    assert len(small.groups) == 5 and len(joint.groups) == 1
+    assert np.allclose(small.code_lengths(*probe), joint.code_lengths(*probe), atol=1e-3)
+
+
 def toxic_rows(n=900):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 6)))
