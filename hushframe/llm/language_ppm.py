@@ -38,7 +38,7 @@ ORDER = 3
 @dataclass(frozen=True)
 class PpmLimits:
     """Training sample: ``docs_per_lang`` documents of each language, by hash, and
-    ``bytes_per_lang`` of each; the driver reads samples of ``langs_per_read`` languages
+    ``bytes_per_lang`` of each: longer texts give their first bytes, so that all take part; the driver reads samples of ``langs_per_read`` languages
     at once.  A table has ``group_langs`` languages and about ``group_bytes`` at most (one
     language may need more); a worker keeps ``kept_bytes`` of tables in memory."""
 
@@ -212,7 +212,7 @@ def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModels:
         .where(id_fold(F.col("doc_id"), 3) != 1)
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id", "lang").toPandas().drop_duplicates()
+    chosen = usable.select("doc_id", "lang", F.octet_length("text").alias("size")).withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id", "lang", "size").toPandas()
     models = PpmModels(sorted(chosen["lang"].unique()), [])
     for at in range(0, len(models.langs), limits.langs_per_read):
         some = chosen[chosen["lang"].isin(models.langs[at : at + limits.langs_per_read])]
@@ -225,19 +225,28 @@ def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModels:
 
 
 def _read_texts(usable: DataFrame, chosen: pd.DataFrame, limits: PpmLimits) -> dict[str, list[bytes]]:
-    """The sampled texts by language."""
-    small = F.broadcast(usable.sparkSession.createDataFrame(chosen))
-    got = usable.join(small, ["doc_id", "lang"]).select("doc_id", "lang", "text").toArrow().to_pylist()
+    """The first bytes of every sampled text by language, as many of each as fit together."""
+    most = chosen.groupby("lang")["size"].apply(lambda sizes: _share(np.sort(sizes.to_numpy()), limits.bytes_per_lang))
+    small = chosen[["doc_id", "lang"]].drop_duplicates().assign(most=lambda x: x["lang"].map(most))
+    found = usable.join(F.broadcast(usable.sparkSession.createDataFrame(small)), ["doc_id", "lang"])
+    got = found.select("doc_id", "lang", "most", F.expr("substring(cast(text as binary), 1, cast(most as int))").alias("text")).toArrow().to_pylist()
     texts: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        raw = r["text"].encode()
-        if not texts.get(r["lang"]) or size[r["lang"]] + len(raw) <= limits.bytes_per_lang:
-            texts.setdefault(r["lang"], []).append(raw)
-            size[r["lang"]] = size.get(r["lang"], 0) + len(raw)
+        texts.setdefault(r["lang"], []).append(r["text"])
     return texts
 
 
+def _share(sizes: np.ndarray, most: int) -> int:
+    """The largest number of bytes a text, so that texts of these sorted sizes cut there
+    have ``most`` bytes together at most; 1 at least."""
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    whole = before + sizes * np.arange(len(sizes), 0, -1) <= most
+    if whole.all():
+        return int(sizes[-1])
+    i = int(whole.argmin())
+    return max(1, int((most - before[i]) // (len(sizes) - i)))
+
+
 def identify_language(docs: DataFrame, model: PpmModels, limits: PpmLimits = PpmLimits()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte for every whole text."""
     ascii_letter = np.zeros(256, bool)

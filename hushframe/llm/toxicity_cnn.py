@@ -37,7 +37,9 @@ HASHES = 2
 
 @dataclass(frozen=True)
 class TrainLimits:
-    """``max_rows`` labelled rows and at most ``max_bytes`` of text are fitted."""
+    """``max_rows`` labelled rows (and toxic ones up to ``toxic_rows``) and at most
+    ``max_bytes`` of text are fitted: whole texts in order of hash, without those that
+    don't fit into what is left."""
 
     max_rows: int = 5000
     max_bytes: int = 32 << 20
@@ -258,7 +260,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
     )
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = known.orderBy(*by_hash).limit(limits.max_rows).collect()
-    toxic_weight, n_toxic = 1.0, sum(r[1] == 1 for r in rows)
+    toxic_weight, n_hash, n_toxic = 1.0, len(rows), sum(r[1] == 1 for r in rows)
     if len(rows) == limits.max_rows and n_toxic < limits.toxic_rows:
         more = known.where("toxic = 1").orderBy(*by_hash).limit(limits.toxic_rows).collect()
         of_all = known.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
@@ -269,16 +271,31 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
         rows += [r for r in more if r[0] not in sampled]
     if not rows:
         return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
-    small = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows]})))
-    found = pick(docs, "doc_id", "text", "lang").where("text is not null").join(small, "doc_id")
-    got = found.select("doc_id", "text", "lang", "toxic").toArrow().combine_chunks()
+    sample = pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows], "place": np.concatenate([np.arange(n) / max(1, n) for n in (n_hash, len(rows) - n_hash)])})
+    # where the bytes run out, rows by hash and added toxic ones end in proportion
+    texts = pick(docs, "doc_id", "text", "lang").where("text is not null").withColumn("size", F.octet_length("text"))
+    sizes = texts.select("doc_id", "size").join(F.broadcast(spark.createDataFrame(sample)), "doc_id").groupBy("place", "doc_id", "size").count().toPandas()
+    sizes["room"] = sizes["size"] * sizes["count"]
+    sizes = sizes.sort_values(["place", "size"])
+    fits = fitting(sizes["room"].to_numpy(), limits.max_bytes)
+    if not fits.any():
+        return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
+    small = F.broadcast(spark.createDataFrame(sizes.loc[fits, ["doc_id", "size"]].merge(sample[["doc_id", "toxic"]], "left", "doc_id")))
+    got = texts.join(small, ["doc_id", "size"]).select("doc_id", "text", "lang", "toxic").toArrow().combine_chunks()
     order = pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
     got = got.take(order)
-    size = np.cumsum(pc.binary_length(got["text"]).to_numpy())
-    got = got.slice(0, int(np.searchsorted(size, limits.max_bytes, "right")))
     return fit(got["text"].combine_chunks(), got["toxic"].to_numpy().astype(np.float32), got["lang"].to_pylist(), limits, toxic_weight)
 
 
+def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which of these, taken in order, fit into what is left of ``most``."""
+    fits, left = np.zeros(len(sizes), bool), most
+    for i, size in enumerate(sizes):
+        if size <= left:
+            fits[i], left = True, left - size
+    return fits
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3), toxic (score at or above the
     language's calibrated threshold).  The language only picks the threshold."""

@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from hushframe.llm import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, shared_windows, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
@@ -264,6 +265,30 @@ def test_toxicity_held_out_and_rejection(spark):
     assert len([d for d, _, y in rows if y and d in kept]) <= 0.1 * sum(y for _, _, y in rows)
 
 
+def test_toxicity_learns_beside_a_text_that_does_not_fit(spark):
+    """The smallest id's text is over the bound of bytes."""
+    rows = toxic_rows()
+    docs = frame(spark, [(-4, "long text " * 40000)] + [(d, t) for d, t, _ in rows])
+    labels = spark.createDataFrame([(-4, 0)] + [(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = toxicity_cnn.train_toxicity(docs, labels, toxicity_cnn.TrainLimits(max_bytes=300_000))
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity_cnn.score_toxicity(docs, model).collect()}
+    assert len(scored) == 901 and np.mean([scored[d] for d, _, y in rows if y]) >= 0.9
+
+
+def test_language_sample_with_a_long_text(spark):
+    """The smallest id's text is over the bound; the others are learned beside its start."""
+    texts = [(0, "x" * 5000)] + [(i, f"word{i} " * 10) for i in range(1, 40)]
+    docs = frame(spark, texts)
+    usable = docs.select("doc_id", "lang", "text")
+    chosen = pd.DataFrame({"doc_id": [d for d, _ in texts], "lang": "en", "size": [len(t) for _, t in texts]})
+    found = language_ppm._read_texts(usable, chosen, language_ppm.PpmLimits(bytes_per_lang=4000))["en"]
+    assert len(found) == 40 and sum(map(len, found)) <= 4000 and found[3] == texts[3][1].encode()
+    both = spark.createDataFrame([(0, "x" * (2 << 20), "a")] + [(i, f"word{i} " * 10, "a") for i in range(1, 40)] + [(100 + i, f"drow{i} rowd " * 10, "b") for i in range(40)], "doc_id long, text string, lang string")
+    predicted = language_ppm.identify_language(both, language_ppm.train_ppm(both)).join(both, "doc_id")
+    assert predicted.where("lang_pred <> lang").count() == 0
+    assert language_ppm._share(np.array([2, 3, 50]), 25) == 20 and language_ppm._share(np.array([2, 3]), 25) == 3
+
+
 def test_toxicity_without_labels(spark, rows):
     docs = frame(spark, rows)
     model = toxicity_cnn.train_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
