@@ -58,8 +58,18 @@ def public_types(df: DataFrame) -> DataFrame:
     return df.select("event_type").distinct()
 
 
+def all_rows(df: DataFrame, unit: str, *keys: str) -> tuple[int, int]:
+    """The most groups of a unit and the most rows of a (unit, group) in this table: bounds
+    that drop nothing, as the SQL counts every row.  They are read without noise, which is
+    for comparison with SQL only; a release needs bounds that don't depend on its data."""
+    pairs = df.groupBy(unit, *keys).agg(F.count("*").alias("n_rows"))
+    groups, rows = pairs.groupBy(unit).agg(F.count("*").alias("n_groups"), F.max("n_rows").alias("n_rows")).agg(F.max("n_groups"), F.max("n_rows")).first()
+    return groups or 1, rows or 1
+
+
 def builder(df: DataFrame, public: object = None) -> QueryBuilder:
-    return QueryBuilder(df, "user_id").groupby("event_type", max_groups_contributed=5, max_contributions_per_group=500, public_keys=public)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    return QueryBuilder(df, "user_id").groupby("event_type", max_groups_contributed=groups, max_contributions_per_group=rows, public_keys=public)
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -150,8 +160,9 @@ def dp_public_fill_empty(spark, sf_dir):
 @query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n, round(sum(least(o_totalprice, 1000.0)), 1) AS total FROM orders GROUP BY ALL")
 def dp_multi_key_groupby(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
+    groups, rows = all_rows(df, "o_custkey", "o_orderstatus", "o_orderpriority")
     built = (
-        QueryBuilder(df, "o_custkey").groupby(["o_orderstatus", "o_orderpriority"], max_groups_contributed=20, max_contributions_per_group=100, public_keys=df.select("o_orderstatus", "o_orderpriority").distinct())
+        QueryBuilder(df, "o_custkey").groupby(["o_orderstatus", "o_orderpriority"], max_groups_contributed=groups, max_contributions_per_group=rows, public_keys=df.select("o_orderstatus", "o_orderpriority").distinct())
         .count("n").sum("o_totalprice", min_value=0, max_value=1000, name="total").build_query()
     )
     return rounded(built.run_query(BUDGET), n=0, total=1)
@@ -194,9 +205,10 @@ def private_frame_count(spark, sf_dir):
     df = events(spark, sf_dir)
     from .params import CountParams
 
+    groups, rows = all_rows(df.where("value > 50"), "user_id", "event_type")
     accountant = NaiveBudgetAccountant(1e12, 1e-2)
     private = make_private(df, accountant, "user_id").filter("value > 50")
-    result = private.count(CountParams(max_partitions_contributed=5, max_contributions_per_partition=500, partition_extractor="event_type"), public_types(df))
+    result = private.count(CountParams(max_partitions_contributed=groups, max_contributions_per_partition=rows, partition_extractor="event_type"), public_types(df))
     accountant.compute_budgets()
     return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
 
