@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars on DataFrames.
 
 Every step is a partial aggregation and an equi-join; its edges are written to the
-shared folder, which cuts the lineage.  Nothing is collected but one checksum a round.
+shared folder, which cuts the lineage.  It ends when the edges themselves are stars:
+every node has one link, and to a node that has none of its own.
 """
 
 from __future__ import annotations
@@ -34,15 +35,17 @@ def connected_components(edges: DataFrame, path: str | None = None) -> tuple[Dat
     spark = edges.sparkSession
     path = path or work_dir(spark)
     edges.select("u", "v").where("u <> v").distinct().write.parquet(f"{path}/0")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-    now, step, seen = spark.read.parquet(f"{path}/0"), 0, None
+    now, step = spark.read.parquet(f"{path}/0"), 0
     while True:
         step += 1
         _small(_large(now)).write.parquet(f"{path}/{step}")
+        following = spark.read.parquet(f"{path}/{step}")
+        # stars only: no node is both an end of one link and the root of another
+        between = following.select("v").distinct().join(following.select(F.col("u").alias("v")), "v", "left_semi")
+        several = following.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u")
+        done = between.union(several).limit(1).count() == 0
         remove(spark, f"{path}/{step - 1}")
-        now = spark.read.parquet(f"{path}/{step}")
-        found = mark(now)
-        if found == seen or not found[0]:
+        now = following
+        if done:
             break
-        seen = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path

@@ -6,41 +6,46 @@ Documents link when their sets of five-word shingles have a Jaccard similarity o
 1. Every block sends its distinct shingle hashes, packed by hash range; a bucket answers
    with those of two documents or more and a frequency class.  Nothing else of a text moves.
 2. A set needs ``num / den`` of its shingles shared to have any link; the others are done.
-   Of the rest, equal sets collapse to their first document.
+   Of the rest, texts of the same words (a 128-bit keyed digest) collapse to their first.
 3. In the common order (rarest class first, then by hash) two linked sets share one of
    their first shingles ("prefix"); each prefix shingle links its documents to the
    smallest of them, and the components of these links hold all pairs that can match.
-4. The sets of a component meet in one task, which stores them in a trie by the common
-   order.  A set is matched by walking the trie once: overlaps of shared paths are counted
-   once, and subtrees are left when the shingles that remain can't reach the overlap that
-   the lengths ask for, or when all below is in the set's class already.
-5. A component of more than ``GROUP`` shingles is dealt into parts.  Each part is joined
+4. The texts of a component meet in one task, which numbers words and shingles by their
+   bytes and stores the sets in a trie, rarest shingle first.  A set is matched by walking
+   the trie once: overlaps of shared paths are counted once, and subtrees are left when
+   the shingles that remain can't reach the overlap that the lengths ask for, or when all
+   below is in the set's class already.  So every link counts real words.
+5. A component of more than ``group`` shingles is dealt into parts.  Each part is joined
    with itself; then the sets outside the largest class meet every other part, so no pair
    of different classes stays uncompared and no task holds more than two parts.
 
-Defined results: null or empty texts have no shingles and no links.  Repeated rows are
-documents of their own; null ids take part, and a class of only null ids has none.
+Defined results: null or empty texts have no shingles and no links; an empty table gives
+no rows.  Repeated rows are documents of their own; null ids take part, and a class of only
+null ids has none.  Texts are handled whole; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .components import connected_components
-from .shared_windows import BLOCK_BYTES, Shared, bits_for, by_block, hash_rows, read_answers, remove, settle, shared_hashes, work_dir, write_answers, write_blocks
-from .shingle_sets import SIZE, ShingleSets, prefix_length
+from .shared_windows import Shared, bits_for, block_size, by_block, counted, hash_rows, read_answers, remove, settle, settled_result, shared_hashes, work_dir, write_answers, write_blocks
+from .shingle_sets import ShingleSets, clear_texts, prefix_length
 from .textbatch import frugal, frugal_group
 
 NUM, DEN = 3, 4
 #: Shingles that one part of a component may have.
 GROUP = 1 << 20
 ROW_BITS = 22
+#: Keys over which the documents of one group are dealt when they meet its first.
+SALTS = 16
 
 
 class Trie:
@@ -61,8 +66,8 @@ class Trie:
 
 
 class TrieJoin:
-    """Sets joined within one task.  ``sets`` hold ranks of the common order, ascending;
-    ``sizes`` are the full set sizes (shingles of one document only are left out of a set)."""
+    """Sets joined within one task.  ``sets`` hold ranks of the task's order, ascending;
+    ``sizes`` are the full set sizes (shingles of one set only are left out of it)."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, num: int = NUM, den: int = DEN):
         self.sets, self.sizes, self.num, self.den = sets, sizes, num, den
@@ -182,32 +187,32 @@ class TrieJoin:
         return self.links
 
 
-def _ranked(shingles: list[np.ndarray], kinds: list[np.ndarray]) -> list[np.ndarray]:
-    """Each set as ascending ranks of the order by (class, hash)."""
-    value = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
-    kind = np.concatenate(kinds) if kinds else np.zeros(0, np.int8)
-    distinct, first, inverse = np.unique(value, return_index=True, return_inverse=True)
-    order = np.lexsort((distinct, kind[first]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    ranks = rank[inverse]
-    cuts = np.cumsum([len(s) for s in shingles])[:-1]
-    return [np.sort(r) for r in np.split(ranks, cuts)]
+def _ranked(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's shared shingles as ascending ranks, rarest in this task first, and the
+    number of all its shingles."""
+    own = ShingleSets(pa.array(texts, pa.binary()), exact=True)
+    number, owner = own.number, own.owner
+    among = np.bincount(number)
+    order = np.lexsort((np.arange(len(among)), among))
+    rank = np.empty(len(among), np.int64)
+    rank[order] = np.arange(len(among))
+    shared = among[number] > 1
+    number, owner = rank[number[shared]], owner[shared]
+    by = np.lexsort((number, owner))
+    return np.split(number[by], np.searchsorted(owner[by], np.arange(1, len(texts)))), own.n
 
 
 def _join_group(table: pa.Table) -> pa.Table:
-    keys, sizes = table.column("key").to_numpy(), table.column("n").to_numpy()
-    shingles = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    kinds = [np.frombuffer(s, np.int8) for s in table.column("kinds").to_pylist()]
-    join = TrieJoin(_ranked(shingles, kinds), sizes)
-    links = join.run(table.column("label").to_numpy() if "label" in table.column_names else None)
+    keys = table.column("key").to_numpy()
+    sets, sizes = _ranked([zlib.decompress(t) for t in table.column("words").to_pylist()])
+    links = TrieJoin(sets, sizes).run(table.column("label").to_numpy() if "label" in table.column_names else None)
     pairs = keys[np.array(links, np.int64).reshape(-1, 2)]
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """All documents (key, doc_id, n), and those that may have a link with their shared
-    shingles (key, n, s1, s2, shingles, kinds, prefix)."""
+def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> DataFrame:
+    """Every document: key, doc_id, n; those that may have a link also have the digest of
+    their words (d1, d2) and the prefix of their shared shingles."""
     spark = docs.sparkSession
     blocks = write_blocks(docs, f"{root}/blocks", block_bytes, whole)
     bits = bits_for(2 * (blocks.agg(F.sum("n_bytes")).first()[0] or 0))
@@ -217,12 +222,12 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tu
         now, held = None, []
         for block, piece in by_block(batches):
             if block != now and held:
-                yield hash_rows(now, np.concatenate(held), bits)
+                yield hash_rows(now, *counted(np.concatenate(held)), bits)
                 held = []
             now = block
             held.append(ShingleSets(piece.column(3)).value)
         if held:
-            yield hash_rows(now, np.concatenate(held), bits)
+            yield hash_rows(now, *counted(np.concatenate(held)), bits)
 
     answers = f"{root}/answers"
     write_answers(shared_hashes(source.mapInArrow(frugal(send), "bucket long, block long, payload binary")), answers)
@@ -237,108 +242,130 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> tu
             kind = shared.find(sets.value)
             own = np.bincount(sets.doc[kind >= 0], minlength=len(sets.n))
             may = (sets.n > 0) & (DEN * own >= NUM * sets.n)
-            s1, s2 = sets.set_hashes()
             key = (np.int64(block) << ROW_BITS) | piece.column(1).to_numpy()
-            shingles: list[bytes | None] = [None] * len(may)
-            kinds: list[bytes | None] = [None] * len(may)
+            digest = np.frombuffer(b"".join(sets.digests()), "<i8").reshape(-1, 2)
             prefix: list[np.ndarray | None] = [None] * len(may)
             length = prefix_length(sets.n, NUM, DEN)
             for i in np.flatnonzero(may):
                 part = slice(sets.first[i], sets.first[i + 1])
                 live = kind[part] >= 0
                 v, k = sets.value[part][live], kind[part][live]
-                shingles[i], kinds[i] = v.tobytes(), k.tobytes()
                 # shingles of one document come before all others in the common order
                 rest = int(length[i] - (sets.n[i] - own[i]))
-                if rest > 0:
-                    prefix[i] = v[np.lexsort((v, k))[:rest]].view(np.int64)
+                prefix[i] = v[np.lexsort((v, k))[: max(rest, 0)]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), piece.column(2), pa.array(sets.n), pa.array(s1), pa.array(s2), pa.array(shingles, pa.binary()), pa.array(kinds, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["key", "doc_id", "n", "s1", "s2", "shingles", "kinds", "prefix"],
+                [pa.array(key), piece.column(2), pa.array(sets.n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["key", "doc_id", "n", "d1", "d2", "prefix"],
             )
 
-    schema = "key long, doc_id long, n long, s1 long, s2 long, shingles binary, kinds binary, prefix array<long>"
-    source.mapInArrow(frugal(keep), schema).write.parquet(f"{root}/sets")
+    source.mapInArrow(frugal(keep), "key long, doc_id long, n long, d1 long, d2 long, prefix array<long>").write.parquet(f"{root}/sets")
     remove(spark, answers)
-    if not whole:
-        remove(spark, f"{root}/blocks")
     settle(spark)
-    sets = spark.read.parquet(f"{root}/sets")
-    return sets.select("key", "doc_id", "n"), sets.where("shingles is not null").drop("doc_id")
+    return spark.read.parquet(f"{root}/sets")
 
 
-def _placed(held: DataFrame, path: str) -> DataFrame:
-    """(key, n, shingles, kinds, root, parts, part) of the sets that have a place."""
+def _placed(blocks: DataFrame, path: str) -> DataFrame:
+    """(key, root, parts, part, words) of the texts that have a place, as compressed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            blocks = keys >> ROW_BITS
-            for block in np.unique(blocks).tolist():
-                if block != now:
-                    now, known = block, {r["key"]: r for r in read_answers(path, block, ["key", "root", "parts", "part"])}
-                at = [i for i in np.flatnonzero(blocks == block).tolist() if int(keys[i]) in known]
-                if at:
-                    rows = [known[int(keys[i])] for i in at]
-                    own = batch.take(pa.array(at))
-                    more = [pa.array([r[c] for r in rows], pa.int64()) for c in ("root", "parts", "part")]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "root", "parts", "part"])
-
-    schema = "key long, n long, shingles binary, kinds binary, root long, parts long, part long"
-    return held.select("key", "n", "shingles", "kinds").mapInArrow(frugal(run), schema)
+        for block, piece in by_block(batches):
+            if block != now:
+                now, known = block, {r["key"]: r for r in read_answers(path, block, ["key", "root", "parts", "part"])}
+            keys = ((np.int64(block) << ROW_BITS) | piece.column(1).to_numpy()).tolist()
+            at = [i for i, k in enumerate(keys) if k in known]
+            if at:
+                clear, begin = clear_texts(piece.column(3).take(pa.array(at)))
+                view = memoryview(clear)
+                rows = [known[keys[i]] for i in at]
+                columns = [pa.array([r[c] for r in rows], pa.int64()) for c in ("key", "root", "parts", "part")]
+                words = [zlib.compress(view[a:b], 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary())], names=["key", "root", "parts", "part", "words"])
+
+    return blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), "key long, root long, parts long, part long, words binary")
 
 
 def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bool) -> DataFrame:
     """(key, doc_id, n, class) of every document; class is null where it has no equal or link."""
     spark = docs.sparkSession
-    everyone, held = _candidates(docs, root, block_bytes, whole)
-    same = held.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
-    held.select("key", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).select("key", "rep").write.parquet(f"{root}/copies")
+    everyone = _candidates(docs, root, block_bytes, whole)
+    held = everyone.where("prefix is not null")
+    # the first of equal texts, found by partial minima; the others point at it
+    same = held.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.count("*").alias("m"))
+    several = same.where("m > 1").drop("m")
+    _dealt_join(held.select("key", "d1", "d2"), several, ["d1", "d2"]).select("key", "rep").write.parquet(f"{root}/copies")
     copies = spark.read.parquet(f"{root}/copies")
-    reps = held.select("key", "prefix", F.length("kinds").alias("weight")).join(copies.where("key = rep").select("key"), "key", "left_semi")
+    reps = held.select("key", "n", "prefix").join(copies.where("key <> rep").select("key"), "key", "left_anti")
     token = reps.select("key", F.explode("prefix").alias("t"))
     least = token.groupBy("t").agg(F.min("key").alias("m"), F.max("key").alias("x")).where("m < x").drop("x")
     near, _ = connected_components(token.join(least, "t").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v")), f"{root}/near")
     member = near.union(near.select(F.col("root").alias("node"), "root").distinct())
-    sized = held.select("key", F.length("kinds").alias("weight")).join(member, F.col("key") == F.col("node")).select("key", "weight", "root")
-    parts = sized.groupBy("root").agg(F.ceil(F.sum("weight") / group).alias("parts"))
+    sized = held.select("key", "n").join(member, F.col("key") == F.col("node")).select("key", "n", "root")
+    parts = sized.groupBy("root").agg(F.ceil(F.sum("n") / group).alias("parts"))
     places = sized.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("key"), "parts").alias("part"))
-    # sets meet their places block by block, so they are shuffled once, to their part
+    # texts meet their places block by block, so they are shuffled once, to their part
     write_answers(places.withColumn("block", F.shiftright("key", ROW_BITS)), f"{root}/places")
-    dealt = _placed(held, f"{root}/places")
+    dealt = _placed(spark.read.parquet(f"{root}/blocks"), f"{root}/places")
     large = parts.where("parts > 1").limit(1).count() > 0
     if large:
         dealt.where("parts > 1").write.parquet(f"{root}/dealt")
-    links = dealt.select("root", "part", "key", "n", "shingles", "kinds").groupBy("root", "part").applyInArrow(frugal_group(_join_group), "u long, v long")
+    links = dealt.select("root", "part", "key", "words").groupBy("root", "part").applyInArrow(frugal_group(_join_group), "u long, v long")
     links.write.parquet(f"{root}/links0")
     links = spark.read.parquet(f"{root}/links0")
     if large:
-        _across(spark.read.parquet(f"{root}/dealt"), links, root).write.parquet(f"{root}/links1")
+        _across(spark.read.parquet(f"{root}/dealt"), links, root, group).write.parquet(f"{root}/links1")
         links = links.union(spark.read.parquet(f"{root}/links1"))
     classes, _ = connected_components(links, f"{root}/classes")
-    # copies take the class of their first document
-    of = copies.join(classes, copies["rep"] == classes["node"], "left").select("key", F.coalesce("root", "rep").alias("class"))
-    return everyone.join(of, "key", "left")
-
-
-def jaccard_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
-    named = _classes(docs, work_dir(docs.sparkSession), block_bytes, group, False)
-    smallest = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
-
-
-def deduplicate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    # texts of equal words take the class of their first
+    more = copies.where("key <> rep").join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class"))
+    heads = classes.select("root").union(copies.select("rep")).distinct().select(F.col("root").alias("key"))
+    alone = heads.join(classes.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("class"))
+    of = more.union(classes.select(F.col("node").alias("key"), F.col("root").alias("class"))).union(alone)
+    return everyone.select("key", "doc_id", "n").join(of, "key", "left")
+
+
+def _leaders(named: DataFrame, order: Column) -> DataFrame:
+    """(class, first): the least ``order`` of each class, by partial minima."""
+    return named.where("class is not null").groupBy("class").agg(F.min(order).alias("first"))
+
+
+def jaccard_classes(docs: DataFrame, block_bytes: int | None = None, group: int = GROUP) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document.  The rows are written to the
+    shared folder (``release`` deletes them), all else that was written there is deleted."""
+    root = work_dir(docs.sparkSession)
+    named = _classes(docs, root, block_bytes or block_size(docs), group, False)
+    named.write.parquet(f"{root}/named")
+    named = docs.sparkSession.read.parquet(f"{root}/named")
+    # documents without a class need no partner: only the others meet
+    linked = _dealt_join(named.where("class is not null"), _leaders(named, F.col("doc_id")), ["class"])
+    out = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    alone = named.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    folders = ("blocks", "sets", "copies", "near", "places", "dealt", "links0", "links1", "within", "labelled", "classes", "named")
+    return settled_result(out.union(alone), root, *folders)
+
+
+def _dealt_join(rows: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """Rows (with a ``key``) beside the one row of their group; a group of very many rows is
+    dealt over ``SALTS`` keys, to each of which its row goes."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    each = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, [*on, "salt"]).drop("salt")
+
+
+def deduplicate(docs: DataFrame, block_bytes: int | None = None, group: int = GROUP) -> DataFrame:
     """One document of each class: the one with the smallest doc_id (ids that are null come
     last; of equal ids one row).  Columns stay, and texts are not shuffled: every block
-    finds the rows that it loses beside it."""
+    finds the rows that it loses beside it.  The result reads folders that ``release``
+    deletes once it was written."""
     spark = docs.sparkSession
     root = work_dir(spark)
-    named = _classes(docs, root, block_bytes, group, True).where("class is not null").select("key", "class", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("order"))
-    first = named.groupBy("class").agg(F.min("order").alias("first"))
-    lost = named.join(first, "class").where("order <> first").select(F.shiftright("key", ROW_BITS).alias("block"), F.col("key").bitwiseAND((1 << ROW_BITS) - 1).alias("row"))
+    named = _classes(docs, root, block_bytes or block_size(docs), group, True).where("class is not null").select("key", "class", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("order"))
+    named.write.parquet(f"{root}/named")
+    named = spark.read.parquet(f"{root}/named")
+    lost = _dealt_join(named, _leaders(named, F.col("order")), ["class"]).where("order <> first").select(F.shiftright("key", ROW_BITS).alias("block"), F.col("key").bitwiseAND((1 << ROW_BITS) - 1).alias("row"))
     write_answers(lost, f"{root}/lost")
+    for done in ("sets", "copies", "near", "places", "dealt", "links0", "links1", "within", "labelled", "classes", "named"):
+        remove(spark, f"{root}/{done}")
     blocks = spark.read.parquet(f"{root}/blocks")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {"doc_id": "doc_id", "text": "text"} | {c: f"x{i}" for i, c in enumerate(others)}
@@ -359,20 +386,21 @@ def deduplicate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GR
     return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
-def _across(dealt: DataFrame, links: DataFrame, root: str) -> DataFrame:
+def _across(dealt: DataFrame, links: DataFrame, root: str, group: int) -> DataFrame:
     """Links between the parts of large components: sets outside a component's largest
     class meet all its parts, dealt into parts of their own."""
     found, _ = connected_components(links, f"{root}/within")
-    labelled = dealt.join(found, dealt["key"] == found["node"], "left").select(dealt["root"], "part", "parts", "key", "n", "shingles", "kinds", F.coalesce(found["root"], dealt["key"]).alias("label"))
+    labelled = dealt.join(found, dealt["key"] == found["node"], "left").select(dealt["root"], "part", "parts", "key", "words", F.coalesce(found["root"], dealt["key"]).alias("label"))
     labelled.write.parquet(f"{root}/labelled")
     labelled = dealt.sparkSession.read.parquet(f"{root}/labelled")
-    sizes = labelled.groupBy("root", "label").agg(F.sum("n").alias("size"))
+    sizes = labelled.groupBy("root", "label").agg(F.sum(F.length("words")).alias("size"))
     major = sizes.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     live = labelled.join(major, "root")
     minor = live.where("label <> major")
-    weight = minor.groupBy("root").agg(F.ceil(F.sum(F.length("kinds")) / GROUP).alias("minors"))
+    # a part is as many bytes of compressed words as a part of ``group`` shingles has about
+    weight = minor.groupBy("root").agg(F.ceil(F.sum(F.length("words")) / (2 * group)).alias("minors"))
     minor = minor.join(weight, "root").withColumn("minor", F.pmod(F.xxhash64("key", F.lit(1)), "minors"))
-    columns = ["root", "key", "n", "shingles", "kinds", "label"]
+    columns = ["root", "key", "words", "label"]
     # every minor part meets every part, and every other minor part once
     left = minor.select(*columns, F.col("minor").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("b"), F.lit(0).alias("side"))
     right = live.where("label = major").join(weight, "root").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("a"), F.col("part").alias("b"), F.lit(0).alias("side"))

@@ -7,9 +7,12 @@ common prefixes give the lcp-intervals; those of ``min_repeat`` words or more
 that can't be extended to the left are the maximal repeated substrings.  The
 union of their occurrences gives the covered share.
 
+Words and lines are compared by their bytes; hashes only bring candidates together.
+
 Defined results: a null or empty text has no words, all counts 0, base_failed
-true, kept false.  Repeated rows and null ids give a row each.  Texts are
-handled whole; a very long text is one piece.  Other columns are ignored.
+true, kept false; an empty table gives no rows.  Repeated rows and null ids give a row
+each.  Texts are handled whole; a very long text is one piece, some 25 bytes of memory
+a byte of prose.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import U64, Words, buffers, map_pieces, mix, per_doc, pick, range_hashes
+from .textbatch import Words, buffers, exact_ids, map_pieces, per_doc, pick
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -43,7 +46,7 @@ class RepeatLimits:
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of 64-bit symbols, and the ranks by 1, 2, 4, ... symbols.
+    """Suffix array of numbered symbols, and the ranks by 1, 2, 4, ... symbols.
 
     Each round sorts only the suffixes that share their rank with another one.
     """
@@ -110,13 +113,30 @@ def maximal_intervals(order: np.ndarray, lcp: np.ndarray, symbols: np.ndarray) -
     first, last = left, right - 1
     key = np.unique(first * np.int64(len(lcp) + 1) + last, return_index=True)[1]
     first, last, length = first[key], last[key], lcp[at][key]
-    before = np.where(order > 0, symbols[order - 1], U64(0))
+    before = np.where(order > 0, symbols[order - 1], -1)
     changes = np.zeros(len(order) + 1, np.int64)
     np.cumsum(np.append(0, before[1:] != before[:-1]), out=changes[1:])
     diverse = changes[last + 1] > changes[first + 1]
     return first[diverse], last[diverse], length[diverse]
 
 
+def deepest(n: int, first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each place the largest length of an interval over it, 0 outside all: an interval
+    is two spans of a power of two, which pass their length on to their halves."""
+    power = np.log2(last - first + 1).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    for k in range(int(power.max(initial=0)), -1, -1):
+        of = power == k
+        np.maximum.at(out, first[of], length[of])
+        np.maximum.at(out, last[of] - (1 << k) + 1, length[of])
+        if k:
+            half = 1 << (k - 1)
+            lower = out.copy()
+            lower[half:] = np.maximum(lower[half:], out[:-half])
+            out = lower
+    return out
+
+
 def repeats(symbols: np.ndarray, doc: np.ndarray, first_word: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per document: longest repeat, words covered by repeats, number of maximal repeats."""
     docs, n = len(first_word) - 1, len(symbols)
@@ -135,11 +155,8 @@ def repeats(symbols: np.ndarray, doc: np.ndarray, first_word: np.ndarray, min_re
     owner = doc[order[first]]
     np.maximum.at(longest, owner, length)
     np.add.at(count, owner, 1)
-    # the deepest interval over a place is the larger of its two common prefixes; what
-    # is not left-maximal there lies inside an occurrence of a maximal repeat
-    deep = np.maximum(lcp, np.append(lcp[1:], 0))
     reach = np.zeros(n, np.int64)
-    reach[order] = deep
+    reach[order] = deepest(n, first, last, length)
     open_to = np.maximum.accumulate(np.where(reach > 0, np.arange(n) + reach, 0))
     covered[:] = per_doc(open_to > np.arange(n), first_word)
     return longest, covered, count
@@ -150,19 +167,22 @@ def measure(batch: pa.RecordBatch, limits: RepeatLimits) -> pa.RecordBatch:
     words = Words(buf, offs)
     docs, n_words = len(offs) - 1, np.diff(words.first)
     chars = per_doc(words.inside & ((buf & 0xC0) != 0x80), offs)
-    symbols = mix(words.hash + mix(words.doc.astype(U64) + U64(1)))
+    # a symbol is a word of a document, by its bytes; words of two documents differ
+    own = exact_ids(buf, words.start, words.end, words.hash)
+    symbols = np.unique((words.doc.astype(np.int64) << 32) | own, return_inverse=True)[1]
     three = np.zeros(len(symbols), bool)
     if len(symbols) > 2:
-        h = mix(mix(symbols[:-2]) + symbols[1:-1]) + symbols[2:]
+        pair = np.unique((symbols[:-1] << 32) | symbols[1:], return_inverse=True)[1]
+        triple = (pair[:-1] << 32) | symbols[2:]
         whole = words.doc[:-2] == words.doc[2:]
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
-        again = np.zeros(len(h), bool)
+        order = np.argsort(triple)
+        same = triple[order[1:]] == triple[order[:-1]]
+        again = np.zeros(len(triple), bool)
         again[order[1:]] |= same
         again[order[:-1]] |= same
         again &= whole
         for i in range(3):
-            three[i : len(h) + i] |= again
+            three[i : len(triple) + i] |= again
     ends = np.flatnonzero(buf == 10)
     starts = np.unique(np.concatenate([offs[:-1], ends + 1]))
     starts = starts[starts < len(buf)]
@@ -174,8 +194,8 @@ def measure(batch: pa.RecordBatch, limits: RepeatLimits) -> pa.RecordBatch:
         has = np.searchsorted(words.start, starts) < np.searchsorted(words.start, stops)
         starts, stops = starts[has], stops[has]
         owner = np.searchsorted(offs, starts, "right") - 1
-        h = mix(range_hashes(buf, starts, stops) + mix(owner.astype(U64) + U64(1)))
-        lines = np.bincount(owner, minlength=docs) - np.bincount(owner[np.unique(h, return_index=True)[1]], minlength=docs)
+        line = (owner.astype(np.int64) << 32) | exact_ids(buf, starts, stops)
+        lines = np.bincount(owner, minlength=docs) - np.bincount(owner[np.unique(line, return_index=True)[1]], minlength=docs)
     n_repeat = per_doc(three, words.first)
     longest, covered, maximal = repeats(symbols, words.doc, words.first, limits.min_repeat)
     failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)

@@ -1,26 +1,28 @@
 """Windows of tokens that occur more than once in a corpus, without moving its texts.
 
 Texts are cut into blocks (a written table in the shared folder) and stay there.
-Every window of ``window`` tokens has an anchor, the ``gram`` tokens of smallest hash
-in it (ties: leftmost), so equal windows have equal anchors wherever they lie:
+Every window of ``window`` tokens has an anchor hash, the smallest hash of ``gram``
+tokens in it, so equal windows have equal anchors wherever they lie:
 
 1. each block sends its distinct anchor hashes, packed by hash range ("bucket");
 2. a bucket finds the anchors that occur twice or more and answers each block;
-3. a block cuts runs of windows around shared anchors as segments and sends hashes of
-   their anchors and tokens; equal segments collapse to the first, later copies are repeats;
-4. the first segments of anchors with different surroundings send their tokens, and a
-   bucket solves them exactly by the operator's solver (a suffix array or suffix trees);
+3. a block cuts runs of windows around shared anchors as segments and sends them with
+   their bytes; segments of one block whose bytes are equal travel once;
+4. a bucket solves all segments of an anchor by the operator's solver (a suffix array or
+   suffix trees), which alone decides what is repeated across blocks;
 5. blocks are read again with the runs of repeated windows that came back.
 
-A block's answers lie under its own folder, so steps 3 to 5 read them beside the
-text.  What meets in a bucket is at most one entry a block and anchor, or one copy of a
-segment a block.  An anchor of more than ``hot_blocks`` blocks may have as many
-different surroundings; its windows travel each by their own hash instead.
+Hashes only choose what meets: equal bytes have equal hashes, and everything that is
+removed was compared byte by byte.  A block's answers lie together, so steps 3 to 5 read
+them beside the text.  An anchor with more than ``hot`` different surroundings sends no
+segments; of its windows, those whose own hash occurs twice travel by that hash instead
+(two more small exchanges, of hashes), so no task gathers an unbounded group.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .textbatch import buffers, frugal, frugal_group, _grown_powers, mix, pieces, shared_dir, small_batches, U64
+from .textbatch import buffers, frugal, frugal_group, mix, pieces, range_hashes, same_bytes, shared_dir, small_batches, U64
 
 #: Of a hash 37 bits and the bucket's are kept; the other three bits of a packed entry count.
 #: Two hashes that fall together only look shared; what follows compares exactly.
@@ -44,65 +46,123 @@ COUNT = U64(7)
 BLOCK_BYTES = 16 << 20
 ROWS = 1 << 21
 BUCKET_BYTES = 6 << 20
-#: Tokens that are solved together, and bytes of text that are cut into windows together.
+#: Blocks and buckets grow with the root of the corpus, so that a row from a block to a
+#: bucket carries some tens of bytes or more at any size.
+ROOT_SCALE = 256
+#: Bytes that are solved together, bytes of text that are cut into windows together, and
+#: windows of the longest segment.
 TOGETHER = 1 << 20
 WINDOW_BYTES = 1 << 20
+MOST_WINDOWS = 1024
+#: Folders of a table of answers.
+PARTS = 1024
+#: File systems that both Hadoop and Arrow open by the same address.
+SCHEMES = ("file", "hdfs", "viewfs", "gs", "abfs", "abfss", "s3")
+_MULT = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+_open_folders: list[str] = []
 
 
 @dataclass(frozen=True)
 class Windows:
     """``key_by_doc``: a window is a repeat if a smaller doc_id has it (op on bytes), else
-    if it starts earlier by (doc_id, start)."""
+    if it starts earlier by (doc_id, start).  ``hot``: different surroundings of an anchor
+    from which its windows travel by their own hash."""
 
     window: int
     gram: int
     key_by_doc: bool
-    item: int  # bytes of a token
-    hot_blocks: int = 2000
+    hot: int = 4096
 
 
-class Runs:
-    """Maximal runs of windows with one anchor: start (token), number of windows, anchor
-    hash, document index."""
+class Tokens:
+    """Tokens of a piece: token i lies in ``data`` from ``begin[i]`` to ``begin[i + 1]``
+    (byte i where ``begin`` is None); ``first``: each document's first token."""
+
+    def __init__(self, values: Callable[[int, int], np.ndarray], data: np.ndarray, begin: np.ndarray | None, first: np.ndarray):
+        self.values, self.data, self.begin, self.first = values, data, begin, first
+
+    def bytes_of(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bytes of ``count`` tokens from ``start`` on."""
+        return (start, start + count) if self.begin is None else (self.begin[start], self.begin[start + count])
+
 
-    def __init__(self, values: np.ndarray, first: np.ndarray, spec: Windows):
-        n, k, w = len(values), spec.gram, spec.window - spec.gram + 1
-        size = np.diff(first)
-        count = np.maximum(size - spec.window + 1, 0)
+def _power_tables(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for m in (_MULT, pow(_MULT, -1, 1 << 64)):
+            p = np.full(n, m, U64)
+            p[0] = 1
+            _powers.append(np.cumprod(p))
+    return _powers
+
+
+class Runs:
+    """Maximal runs of windows with one anchor hash, of at most ``MOST_WINDOWS``: start
+    (token), number of windows, anchor hash, document, a hash of the run's tokens, and
+    whether the run holds its anchor more than once.
+    Tokens are taken in chunks, so a very long text needs no more memory than a chunk."""
+
+    def __init__(self, tokens: Tokens, spec: Windows, chunk: int = WINDOW_BYTES):
+        n, found = int(tokens.first[-1]), []
+        for a in range(0, max(n - spec.window + 1, 0), chunk):
+            part = self._chunk(tokens, spec, a, min(a + chunk, n - spec.window + 1))
+            if part is not None:
+                found.append(part)
+        columns = zip(*found) if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)]
+        self.start, self.count, self.hash, self.doc, self.content, self.again = [np.concatenate(c) if found else c for c in columns]
+
+    @staticmethod
+    def _chunk(tokens: Tokens, spec: Windows, a: int, b: int):
+        """Runs of the windows that start in [a, b)."""
+        first, k, w = tokens.first, spec.gram, spec.window - spec.gram + 1
+        d0 = int(np.searchsorted(first, a, "right")) - 1
+        d1 = int(np.searchsorted(first, b, "left"))
+        low = np.maximum(first[d0:d1], a)
+        count = np.maximum(np.minimum(first[d0 + 1 : d1 + 1] - spec.window + 1, b) - low, 0)
         total = int(count.sum())
         if not total:
-            self.start = self.count = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, U64)
-            return
-        up, down = _grown_powers(n + 1)
+            return None
+        values = tokens.values(a, b + spec.window - 1)
+        n = len(values)
+        up, down = _power_tables(n + 1)
         prefix = np.zeros(n + 1, U64)
         np.cumsum(values * up[:n], out=prefix[1:])
-        self.prefix, self.down = prefix, down
         grams = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
-        key = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
+        key = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)  # leftmost of equal ones
         span = 1
         while span * 2 <= w:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if span < w:
             key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-        doc = np.repeat(np.arange(len(size)), count)
-        at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
+        doc = np.repeat(np.arange(d0, d1), count)
+        at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low - a, count)
         anchor = (key[at] & U64(0xFFFFFFFF)).astype(np.int64)
+        least = grams[anchor]
         new = np.ones(total, bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(new)
-        self.start, self.doc = at[head], doc[head]
-        self.count = np.diff(np.append(head, total))
-        self.hash = grams[anchor[head]]
-
-    def content(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hash of the tokens of [start, start + length)."""
-        return mix((self.prefix[start + length] - self.prefix[start]) * self.down[start] + length.astype(U64))
+        size = np.diff(np.append(head, total))
+        if int(size.max()) > MOST_WINDOWS:  # periodic text: one anchor hash over many windows
+            cuts = -(-size // MOST_WINDOWS)
+            head = np.repeat(head, cuts) + MOST_WINDOWS * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            size = np.diff(np.append(head, total))
+        start, length = at[head], size + spec.window - 1
+        content = mix((prefix[start + length] - prefix[start]) * down[start] + length.astype(U64))
+        # equal windows of one run have their anchors at different places
+        again = anchor[head] != anchor[head + size - 1]
+        return start + a, size, least[head], doc[head], content, again
 
 
 def work_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    """A new folder below the shared one; ``release`` deletes it, if its user doesn't."""
+    root = shared_dir(spark)
+    scheme = root.split(":", 1)[0]
+    if scheme not in SCHEMES:
+        raise ValueError(f"spark.checkpoint.dir has the scheme {scheme}, which Python on executors can't open")
+    _open_folders.append(f"{root}/windows-{uuid.uuid4().hex}")
+    return _open_folders[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -112,12 +172,40 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession, but: str | None = None) -> None:
+    """Delete every folder that operators of this driver still hold, ``but`` one: call it
+    when their results have been written or are no longer needed."""
+    for path in [p for p in _open_folders if p != but]:
+        remove(spark, path)
+        _open_folders.remove(path)
+
+
+def settled_result(result: DataFrame, root: str, *folders: str) -> DataFrame:
+    """Write a result below ``root`` and delete the folders that it was made from."""
+    spark = result.sparkSession
+    result.write.parquet(f"{root}/result")
+    for f in folders:
+        remove(spark, f"{root}/{f}")
+    return spark.read.parquet(f"{root}/result")
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared folder, as executors' Python reaches it."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The file system of a qualified folder, as executors' Python reaches it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} is not a qualified address")
+    return pafs.FileSystem.from_uri(path)
+
+
+def block_size(docs: DataFrame) -> int:
+    """Bytes of a block: ``BLOCK_BYTES`` to some TB, then the root of the corpus' size, as
+    far as the optimiser knows it (an unknown size is told by its absurd default)."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(BLOCK_BYTES, math.isqrt(ROOT_SCALE * 4 * known)) if known < 1 << 58 else BLOCK_BYTES
 
 
-def write_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+def write_blocks(docs: DataFrame, path: str, block_bytes: int, whole: bool = False) -> DataFrame:
     """(block, row, doc_id, text, n_bytes): a map-only copy of the scan, in which a block is
     a run of rows of one partition and a row is numbered in its block.  With ``whole`` the
     other columns follow as x0, x1, ... in their order."""
@@ -169,7 +257,8 @@ def settle(spark: SparkSession) -> None:
 
 def bits_for(total_bytes: int) -> int:
     """Bits of the bucket number, from the corpus' bytes."""
-    return int(np.clip(np.ceil(np.log2(max(1, total_bytes / BUCKET_BYTES))), 3, 16))
+    bucket = max(BUCKET_BYTES, math.isqrt(ROOT_SCALE * total_bytes))
+    return max(3, math.ceil(math.log2(max(1, total_bytes / bucket))))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -183,16 +272,10 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1).astype(U64)
 
 
-def hash_rows(block: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row a bucket: the distinct hashes, each with its number here (7: or more)."""
-    hashes = np.sort(hashes)
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    head = np.flatnonzero(new)
-    many = np.minimum(np.diff(np.append(head, len(hashes))), 7)
-    hashes = hashes[head]
+def hash_rows(block: int, hashes: np.ndarray, codes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row a bucket: distinct hashes, ascending, each with a code of three bits."""
     bucket = (hashes >> U64(64 - bits)).astype(np.int64)
-    packed = ((hashes & LOW) << U64(3)) | many.astype(U64)
+    packed = ((hashes & LOW) << U64(3)) | codes.astype(U64)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(bucket))
     return pa.RecordBatch.from_arrays(
@@ -201,14 +284,36 @@ def hash_rows(block: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
     )
 
 
-def frequency_class(count: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and the rounded-down logarithm of their number here (7: or more)."""
+    hashes, many = np.unique(hashes, return_counts=True)
+    return hashes, np.minimum(np.log2(many).astype(np.int64), 7)
+
+
+def surroundings(hashes: np.ndarray, contents: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors, and 0 for a single occurrence, else 1 and the rounded-down
+    logarithm of the number of different contents here (7: 64 or more)."""
+    order = np.lexsort((contents, hashes))
+    h, c = hashes[order], contents[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    differ = new.copy()
+    differ[1:] |= c[1:] != c[:-1]
+    head = np.flatnonzero(new)
+    many = np.add.reduceat(1 + again[order].astype(np.int64), head) if len(head) else head
+    kinds = np.add.reduceat(differ.astype(np.int64), head) if len(head) else head
+    return h[head], np.where(many > 1, 1 + np.minimum(np.log2(np.maximum(kinds, 1)).astype(np.int64), 6), 0)
+
+
+def frequency_class(codes: np.ndarray, head: np.ndarray) -> np.ndarray:
     """0 for 2 or 3 occurrences, then one more each time they double, up to 7."""
-    return np.minimum(np.log2(np.maximum(count, 2)).astype(np.int64) - 1, 7)
+    times = np.add.reduceat(np.int64(1) << codes, head)
+    return np.minimum(np.log2(np.maximum(times, 2)).astype(np.int64) - 1, 7)
 
 
 def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], np.ndarray] = frequency_class) -> DataFrame:
-    """(block, bucket, payload): for each block those of its hashes that occur twice or more,
-    each with ``classes`` (0 to 7) of its occurrences and of its blocks."""
+    """(block, bucket, top, payload): for each block those of its hashes that occur twice or
+    more, each with ``classes`` (0 to 7) of its codes in all blocks; ``top``: the bucket's largest."""
 
     def solve(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -217,39 +322,51 @@ def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], n
         size = np.array([len(d) // PACKED for d in data])
         entry = unpack(b"".join(data))
         owner = np.repeat(np.arange(len(data), dtype=np.int32), size)
-        order = np.argsort(entry)  # by hash, then number
+        order = np.argsort(entry)  # by hash, then code
         entry, owner = entry[order], owner[order]
-        v, here = entry >> U64(3), (entry & COUNT).astype(np.int64)
+        v, code = entry >> U64(3), (entry & COUNT).astype(np.int64)
         new = np.ones(len(v), bool)
         new[1:] = v[1:] != v[:-1]
         head = np.flatnonzero(new)
         among = np.diff(np.append(head, len(v)))
-        times = np.add.reduceat(here, head) if len(head) else among
-        good = np.repeat(times > 1, among)
-        kind = np.repeat(classes(times, among).astype(U64), among)[good]
+        good = np.repeat((among > 1) | (code[head + among - 1] > 0), among)
+        kind = np.repeat(classes(code, head).astype(U64), among)[good]
+        top = int(kind.max()) if len(kind) else 0
         owner, v = owner[good], v[good]
         by = np.argsort(owner, kind="stable")
         owner, out = owner[by], ((v << U64(3)) | kind)[by]
         cuts = np.searchsorted(owner, np.arange(len(data) + 1))
         full = np.flatnonzero(np.diff(cuts))
-        return pa.table({"block": blocks[full], "bucket": np.full(len(full), bucket), "payload": pa.array([pack(out[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
+        return pa.table({"block": blocks[full], "bucket": np.full(len(full), bucket), "top": np.full(len(full), top), "payload": pa.array([pack(out[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(frugal_group(solve), "block long, bucket long, payload binary")
+    return sent.groupBy("bucket").applyInArrow(frugal_group(solve), "block long, bucket long, top long, payload binary")
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
-    """A folder a block, so that a task finds its block's rows without a join of texts."""
-    answers.repartition("block").write.partitionBy("block").parquet(path)
+    """Rows by block, in at most ``PARTS`` folders and sorted, so that a task finds its
+    block's rows without a join of texts."""
+    placed = answers.withColumn("folder", F.pmod(F.shiftright("block", 12), F.lit(PARTS)).cast("int"))
+    placed.repartition("folder").sortWithinPartitions("folder", "block").write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(path)
 
 
 def read_answers(path: str, block: int, columns: list[str]) -> list[dict]:
+    """The rows of a block; an error where the table itself can't be seen from here."""
     fs, root = filesystem(path)
-    found = fs.get_file_info(pafs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    if fs.get_file_info(root).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"{path} was written, but this executor's Python doesn't see it")
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/folder={(block >> 12) % PARTS}", allow_not_found=True))
     rows: list[dict] = []
     for f in found:
         if f.is_file and f.path.endswith(".parquet"):
             with fs.open_input_file(f.path) as src:
-                rows += pq.ParquetFile(src).read(columns=columns).to_pylist()
+                file = pq.ParquetFile(src)
+                at = file.schema_arrow.names.index("block")
+                for g in range(file.num_row_groups):
+                    stats = file.metadata.row_group(g).column(at).statistics
+                    if stats is not None and stats.has_min_max and not stats.min <= block <= stats.max:
+                        continue
+                    table = file.read_row_group(g, columns=["block", *columns])
+                    rows += table.filter(pa.array(table.column("block").to_numpy() == block)).select(columns).to_pylist()
     return rows
 
 
@@ -275,53 +392,51 @@ class Shared:
         return np.where(self.keys[at] == key, self.kinds[at], -1)
 
 
-#: One segment: hashes of its anchor and of its tokens, and its place.
-ENTRY = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i4"), ("count", "<i4")])
+#: One segment: hash of its anchor, place, windows and bytes.
+ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i4"), ("count", "<i4"), ("size", "<i4")])
 RUN = np.dtype([("row", "<i4"), ("start", "<i4"), ("count", "<i4")])
-Tokenise = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: A segment (row, start, count) that has the fate of the one at (of_row, of_start).
+FOLLOWER = np.dtype([("row", "<i4"), ("start", "<i4"), ("count", "<i4"), ("of_row", "<i4"), ("of_start", "<i4")])
+Tokenise = Callable[[np.ndarray, np.ndarray], Tokens]
+
 
+def _hot_windows(tokens: Tokens, runs: Runs, hot: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, document and own hash of every window of the runs ``hot``."""
+    many = runs.count[hot]
+    at = np.repeat(runs.start[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return at, np.repeat(runs.doc[hot], many), range_hashes(tokens.data, *tokens.bytes_of(at, np.full(len(at), spec.window)))
 
-def _piece_entries(piece: pa.RecordBatch, runs: Runs, first: np.ndarray, kind: np.ndarray, spec: Windows) -> np.ndarray:
-    """The segments of a piece around shared anchors."""
+
+def _joined(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    view = memoryview(np.ascontiguousarray(data))
+    return b"".join([view[a:b] for a, b in zip(start.tolist(), stop.tolist())])
+
+
+def _piece_entries(piece: pa.RecordBatch, tokens: Tokens, runs: Runs, kind: np.ndarray, shared: Shared | None, spec: Windows) -> tuple[np.ndarray, bytes]:
+    """The segments of a piece around shared anchors, and their bytes one after another."""
     cold, hot = np.flatnonzero(kind == 0), np.flatnonzero(kind > 0)
     start, count, h, doc = runs.start[cold], runs.count[cold], runs.hash[cold], runs.doc[cold]
-    if len(hot):  # every window by its own hash
-        many = runs.count[hot]
-        at = np.repeat(runs.start[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        own = runs.content(at, np.full(len(at), spec.window))
-        start, count = np.concatenate([start, at]), np.concatenate([count, np.ones(len(at), np.int64)])
-        h, doc = np.concatenate([h, own]), np.concatenate([doc, np.repeat(runs.doc[hot], many)])
+    if len(hot) and shared is not None:  # every shared window by its own hash
+        at, of, own = _hot_windows(tokens, runs, hot, spec)
+        live = shared.find(own) >= 0
+        start, count = np.concatenate([start, at[live]]), np.concatenate([count, np.ones(int(live.sum()), np.int64)])
+        h, doc = np.concatenate([h, own[live]]), np.concatenate([doc, of[live]])
     ids = piece.column(2)
     known = ~np.asarray(ids.is_null())[doc]
     start, count, h, doc = start[known], count[known], h[known], doc[known]
+    begin, end = tokens.bytes_of(start, count + spec.window - 1)
     e = np.zeros(len(start), ENTRY)
     e["hash"], e["doc"], e["row"], e["count"] = h, ids.fill_null(0).to_numpy()[doc], piece.column(1).to_numpy()[doc], count
-    e["content"] = mix(runs.content(start, count + spec.window - 1) + U64(1)) ^ h
-    e["start"] = start - first[doc]
-    return e
-
-
-def _ordered(entries: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order by (content, doc, row, start); in it, where a content begins, and which
-    entries come after the content's first by the operator's key."""
-    order = np.lexsort((entries["start"], entries["row"], entries["doc"], entries["content"]))
-    e = entries[order]
-    new = np.ones(len(e), bool)
-    new[1:] = e["content"][1:] != e["content"][:-1]
-    group = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    doc, start = e["doc"][head][group], e["start"][head][group]
-    later = e["doc"] > doc
-    if not spec.key_by_doc:
-        later |= (e["doc"] == doc) & (e["start"] > start)
-    return order, new, later
+    e["size"] = end - begin
+    e["start"] = start - tokens.first[doc]
+    return e, _joined(tokens.data, begin, end)
 
 
-def _runs(entries: np.ndarray) -> bytes:
-    out = np.zeros(len(entries), RUN)
+def _runs(entries: np.ndarray, dtype: np.dtype = RUN) -> np.ndarray:
+    out = np.zeros(len(entries), dtype)
     for f in ("row", "start", "count"):
         out[f] = entries[f]
-    return out.tobytes()
+    return out
 
 
 def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
@@ -332,89 +447,68 @@ def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(values)]))
 
 
-def _segments(block: int, held: list[np.ndarray], spec: Windows, bits: int) -> pa.RecordBatch:
-    """Rows (bucket, block, kind, payload) of a block: segments by anchor (kind 0), and runs
-    of windows that repeat an earlier segment of the block (kind 1)."""
-    entries = np.concatenate(held)
-    order, _, later = _ordered(entries, spec)
-    entries = entries[order]
-    rows: list[tuple[int, int, bytes]] = []
+def _segments(block: int, held: list[tuple[np.ndarray, bytes]], spec: Windows, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, block, kind, payload, bytes) of a block: segments by anchor (kind 0).
+    Of segments whose bytes are equal the first by the operator's key travels; later ones
+    are repeats (kind 1), and those of the same key share its fate (kind 2)."""
+    entries = np.concatenate([e for e, _ in held])
+    data = np.frombuffer(b"".join([d for _, d in held]), np.uint8)
+    size = entries["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    content = range_hashes(data, begin, begin + size)
+    order = np.lexsort((entries["row"], entries["start"], entries["doc"], content, entries["hash"]))
+    entries, begin, size, content = entries[order], begin[order], size[order], content[order]
+    new = np.ones(len(entries), bool)
+    new[1:] = (content[1:] != content[:-1]) | (entries["hash"][1:] != entries["hash"][:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    tied = np.flatnonzero(~new)
+    equal = size[tied] == size[first[tied]]
+    equal[equal] = same_bytes(data, begin[tied[equal]], begin[first[tied[equal]]], size[tied[equal]])
+    tied = tied[equal]
+    of, own = entries[first[tied]], entries[tied]
+    later = own["doc"] > of["doc"]
+    follows = own["doc"] == of["doc"]
+    if not spec.key_by_doc:
+        later |= follows & (own["start"] > of["start"])
+        follows &= own["start"] == of["start"]
+    rows: list[tuple[int, int, bytes, bytes]] = []
+    beyond = (1 << bits) + block
     if later.any():
-        rows.append(((1 << bits) + block, 1, _runs(entries[later])))
-    entries = entries[~later]
-    bucket = (entries["hash"] >> U64(64 - bits)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[by], bucket[by]
-    rows += [(int(bucket[a]), 0, entries[a:b].tobytes()) for a, b in _cuts(bucket)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-        names=["bucket", "block", "kind", "payload"],
-    )
-
-
-def _decide(table: pa.Table, spec: Windows) -> pa.Table:
-    """Of a bucket's segments: equal ones collapse to the first, later copies are repeats
-    (kind 1); where an anchor has several contents, their first entries are asked for (kind 2)."""
-    kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
-    if kinds[0] == 1:
-        return table.select(["block", "kind", "payload"])
-    parts = [np.frombuffer(p, ENTRY) for p in table.column("payload").to_pylist()]
-    owner = np.repeat(blocks, [len(p) for p in parts])
-    entries = np.concatenate(parts)
-    order, new, later = _ordered(entries, spec)
-    entries, owner = entries[order], owner[order]
-    head = np.flatnonzero(new)
-    _, inverse, times = np.unique(entries["hash"][head], return_inverse=True, return_counts=True)
-    several = (times[inverse] > 1)[np.cumsum(new) - 1] & ~later
-    out: list[tuple[int, int, bytes]] = []
-    for kind, chosen in ((1, later), (2, several)):
-        own, of = owner[chosen], entries[chosen]
-        by = np.argsort(own, kind="stable")
-        own, of = own[by], of[by]
-        out += [(int(own[a]), kind, _runs(of[a:b]) if kind == 1 else of[a:b].tobytes()) for a, b in _cuts(own)]
-    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
-
-
-def _asked(path: str, block: int) -> np.ndarray:
-    """Segments whose tokens are asked of a block, by row."""
-    rows = [r["payload"] for r in read_answers(path, block, ["kind", "payload"]) if r["kind"] == 2]
-    entries = np.concatenate([np.frombuffer(p, ENTRY) for p in rows]) if rows else np.zeros(0, ENTRY)
-    return entries[np.argsort(entries["row"], kind="stable")]
-
-
-def _with_tokens(block: int, entries: np.ndarray, tokens: np.ndarray, place: np.ndarray, spec: Windows, bits: int) -> pa.RecordBatch:
-    """Rows (bucket, block, payload, tokens) of asked segments."""
+        rows.append((beyond, 1, _runs(own[later]).tobytes(), b""))
+    if follows.any():
+        group = _runs(own[follows], FOLLOWER)
+        group["of_row"], group["of_start"] = of["row"][follows], of["start"][follows]
+        rows.append((beyond, 2, group.tobytes(), b""))
+    travels = np.ones(len(entries), bool)
+    travels[tied[later | follows]] = False
+    entries, begin, size = entries[travels], begin[travels], size[travels]
     bucket = (entries["hash"] >> U64(64 - bits)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    entries, place, bucket = entries[by], place[by], bucket[by]
-    size = entries["count"].astype(np.int64) + spec.window - 1
-    rows = []
-    for a, b in _cuts(bucket):
-        n = size[a:b]
-        at = np.repeat(place[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        rows.append((int(bucket[a]), entries[a:b].tobytes(), tokens[at].tobytes()))
+    rows += [(int(bucket[a]), 0, entries[a:b].tobytes(), _joined(data, begin[a:b], begin[a:b] + size[a:b])) for a, b in _cuts(bucket)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        names=["bucket", "block", "payload", "tokens"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
+        names=["bucket", "block", "kind", "payload", "bytes"],
     )
 
 
-#: tokens of segments, their bounds, doc and start of each -> repeated windows
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: bytes of segments, size of each, its windows, doc and start -> repeated windows
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _solve_bucket(table: pa.Table, spec: Windows, solver: Solver, dtype: str) -> pa.Table:
-    """Runs of repeated windows of a bucket's segments, by block."""
-    blocks = table.column("block").to_numpy()
+def _solve_bucket(table: pa.Table, solver: Solver) -> pa.Table:
+    """Runs of repeated windows of a bucket's segments, by block (kind 1); what a block
+    says of itself passes."""
+    kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
+    if kinds[0] > 0:
+        return table.select(["block", "kind", "payload"])
     parts = [np.frombuffer(p, ENTRY) for p in table.column("payload").to_pylist()]
-    tokens = np.concatenate([np.frombuffer(t, dtype) for t in table.column("tokens").to_pylist()])
+    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
     entries = np.concatenate(parts)
     owner = np.repeat(blocks, [len(p) for p in parts])
-    size = entries["count"].astype(np.int64) + spec.window - 1
+    size = entries["size"].astype(np.int64)
     place = np.cumsum(size) - size
     order = np.argsort(entries["hash"], kind="stable")
     entries, owner, place, size = entries[order], owner[order], place[order], size[order]
-    # segments of one anchor stay together; about ``TOGETHER`` tokens are solved at a time
+    # segments of one anchor stay together; about ``TOGETHER`` bytes are solved at a time
     weight, hashes, cuts = np.cumsum(size), entries["hash"], [0]
     while cuts[-1] < len(entries):
         to = int(np.searchsorted(weight, (weight[cuts[-1] - 1] if cuts[-1] else 0) + TOGETHER, "right"))
@@ -422,10 +516,9 @@ def _solve_bucket(table: pa.Table, spec: Windows, solver: Solver, dtype: str) ->
         cuts.append(int(np.searchsorted(hashes, hashes[to - 1], "right")))
     found, owners = [], []
     for a, b in zip(cuts, cuts[1:]):
-        n, count = size[a:b], entries["count"][a:b].astype(np.int64)
-        begin = np.cumsum(n) - n
-        joined = tokens[np.repeat(place[a:b] - begin, n) + np.arange(n.sum())]
-        repeated = solver(joined, np.append(begin, n.sum()), entries["doc"][a:b], entries["start"][a:b].astype(np.int64))
+        count = entries["count"][a:b].astype(np.int64)
+        joined = np.frombuffer(_joined(data, place[a:b], place[a:b] + size[a:b]), np.uint8)
+        repeated = solver(joined, size[a:b], count, entries["doc"][a:b], entries["start"][a:b].astype(np.int64))
         segment = np.repeat(np.arange(b - a), count)
         opens = repeated.copy()
         opens[1:] &= ~(repeated[:-1] & (segment[1:] == segment[:-1]))
@@ -442,90 +535,117 @@ def _solve_bucket(table: pa.Table, spec: Windows, solver: Solver, dtype: str) ->
     by = np.argsort(own, kind="stable")
     runs, own = runs[by], own[by]
     cut = _cuts(own)
-    return pa.table({"block": pa.array([int(own[a]) for a, _ in cut], pa.int64()), "payload": pa.array([runs[a:b].tobytes() for a, b in cut], pa.binary())})
+    return pa.table({"block": pa.array([int(own[a]) for a, _ in cut], pa.int64()), "kind": pa.array([1] * len(cut), pa.int32()), "payload": pa.array([runs[a:b].tobytes() for a, b in cut], pa.binary())})
 
 
-def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver: Solver, dtype: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver: Solver, block_bytes: int | None = None) -> tuple[DataFrame, str]:
     """The blocks' table, and the folder in which ``block_runs`` finds repeated windows."""
     spark = docs.sparkSession
     root = work_dir(spark)
-    blocks = write_blocks(docs, f"{root}/blocks", block_bytes)
+    blocks = write_blocks(docs, f"{root}/blocks", block_bytes or block_size(docs))
     bits = bits_for(blocks.agg(F.sum("n_bytes")).first()[0] or 0)
     source = blocks.select("block", "row", "doc_id", "text")
+    cold, warm = f"{root}/answers", f"{root}/windows"
+    most = spec.hot
+
+    def kinds(codes: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """1 for an anchor of too many surroundings."""
+        return (np.maximum.reduceat(codes, head) == 7) | (np.add.reduceat(np.int64(1) << codes, head) > most)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for block, piece in by_block(batches):
             if block != now and held:
-                yield hash_rows(now, np.concatenate(held), bits)
+                yield hash_rows(now, *surroundings(*map(np.concatenate, zip(*held))), bits)
                 held = []
             now = block
-            values, _, first = tokenise(*buffers(piece.column(3)))
-            held.append(Runs(values, first, spec).hash)
+            runs = Runs(tokenise(*buffers(piece.column(3))), spec)
+            held.append((runs.hash, runs.content, runs.again))
         if held:
-            yield hash_rows(now, np.concatenate(held), bits)
+            yield hash_rows(now, *surroundings(*map(np.concatenate, zip(*held))), bits)
 
     sent = source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary")
-    answers = f"{root}/answers"
-    write_answers(shared_hashes(sent, lambda _, among: among > spec.hot_blocks), answers)
+    write_answers(shared_hashes(sent, kinds), cold)
+    settle(spark)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, shared = None, [], None
+        for block, piece in by_block(batches):
+            if block != now:
+                if held:
+                    yield hash_rows(now, *counted(np.concatenate(held)), bits)
+                now, held, shared = block, [], Shared(cold, block, bits)
+            if (shared.kinds > 0).any():
+                tokens = tokenise(*buffers(piece.column(3)))
+                runs = Runs(tokens, spec)
+                of = np.flatnonzero(shared.find(runs.hash) > 0)
+                if len(of):
+                    held.append(_hot_windows(tokens, runs, of, spec)[2])
+        if held:
+            yield hash_rows(now, *counted(np.concatenate(held)), bits)
+
+    any_hot = spark.read.schema("top long").parquet(cold).where("top > 0").limit(1).count() > 0
+    if any_hot:
+        write_answers(shared_hashes(source.mapInArrow(frugal(hot), "bucket long, block long, payload binary")), warm)
+        settle(spark)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shared, windows = None, [], None, None
         for block, piece in by_block(batches):
             if block != now:
                 if held:
                     yield _segments(now, held, spec, bits)
-                now, held, shared = block, [], Shared(answers, block, bits)
+                now, held, shared = block, [], Shared(cold, block, bits)
+                windows = Shared(warm, block, bits) if any_hot else None
             if not len(shared.keys):
                 continue
-            values, _, first = tokenise(*buffers(piece.column(3)))
-            runs = Runs(values, first, spec)
+            tokens = tokenise(*buffers(piece.column(3)))
+            runs = Runs(tokens, spec)
             kind = shared.find(runs.hash)
             if (kind >= 0).any():
-                held.append(_piece_entries(piece, runs, first, kind, spec))
+                held.append(_piece_entries(piece, tokens, runs, kind, windows, spec))
         if held:
             yield _segments(now, held, spec, bits)
 
-    settle(spark)
-    cut = source.mapInArrow(frugal(segments), "bucket long, block long, kind int, payload binary")
-    decided = f"{root}/decided"
-    write_answers(cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _decide(t, spec)), "block long, kind int, payload binary"), decided)
-    remove(spark, answers)
-    settle(spark)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, wanted = None, None
-        for block, piece in by_block(batches):
-            if block != now:
-                now, wanted = block, _asked(decided, block)
-            rows = piece.column(1).to_numpy()
-            own = wanted[np.searchsorted(wanted["row"], rows[0]) : np.searchsorted(wanted["row"], rows[-1], "right")]
-            if len(own):
-                _, tokens, first = tokenise(*buffers(piece.column(3)))
-                yield _with_tokens(block, own, tokens, first[own["row"] - rows[0]] + own["start"], spec, bits)
-
-    sent = source.mapInArrow(frugal(asked), "bucket long, block long, payload binary, tokens binary")
-    solved = sent.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, spec, solver, dtype)), "block long, payload binary")
+    cut = source.mapInArrow(frugal(segments), "bucket long, block long, kind int, payload binary, bytes binary")
+    solved = cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, solver)), "block long, kind int, payload binary")
     write_answers(solved, f"{root}/solved")
+    for done in (cold, warm):
+        remove(spark, done)
     settle(spark)
     return blocks, root
 
 
 def block_runs(root: str, block: int) -> np.ndarray:
     """A block's runs of repeated windows, sorted by row and start."""
-    rows = [r["payload"] for r in read_answers(f"{root}/decided", block, ["kind", "payload"]) if r["kind"] == 1]
-    rows += [r["payload"] for r in read_answers(f"{root}/solved", block, ["payload"])]
-    runs = np.concatenate([np.frombuffer(r, RUN) for r in rows]) if rows else np.zeros(0, RUN)
-    return runs[np.lexsort((runs["start"], runs["row"]))]
-
-
-def covered(runs: np.ndarray, rows: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Flag a token of a piece (rows numbered on from ``rows[0]``) that a repeated window covers."""
-    n = int(first[-1])
-    edges = np.zeros(n + 1, np.int64)
-    if len(rows) and len(runs):
-        of = runs[np.searchsorted(runs["row"], rows[0]) : np.searchsorted(runs["row"], rows[-1], "right")]
-        begin = first[of["row"] - rows[0]] + of["start"].astype(np.int64)
-        np.add.at(edges, begin, 1)
-        np.add.at(edges, begin + of["count"] + window - 1, -1)
-    return np.cumsum(edges)[:n] > 0
+    rows = read_answers(f"{root}/solved", block, ["kind", "payload"])
+    runs = np.concatenate([np.zeros(0, RUN), *[np.frombuffer(r["payload"], RUN) for r in rows if r["kind"] == 1]])
+    runs = runs[np.lexsort((runs["start"], runs["row"]))]
+    follow = np.concatenate([np.zeros(0, FOLLOWER), *[np.frombuffer(r["payload"], FOLLOWER) for r in rows if r["kind"] == 2]])
+    if len(follow) and len(runs):
+        key = (runs["row"].astype(np.int64) << 32) | runs["start"]
+        of = (follow["of_row"].astype(np.int64) << 32) | follow["of_start"]
+        low, high = np.searchsorted(key, of), np.searchsorted(key, of + follow["count"])
+        many = high - low
+        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        more = runs[at].copy()
+        more["row"] = np.repeat(follow["row"], many)
+        more["start"] += np.repeat(follow["start"] - follow["of_start"], many)
+        runs = np.concatenate([runs, more])
+        runs = runs[np.lexsort((runs["start"], runs["row"]))]
+    return runs
+
+
+def covered(runs: np.ndarray, rows: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a piece (rows numbered on from ``rows[0]``) that repeated windows cover, as
+    disjoint spans [begin, end) in order, and the piece's document of each."""
+    if not len(rows) or not len(runs):
+        return (np.zeros(0, np.int64),) * 3
+    of = runs[np.searchsorted(runs["row"], rows[0]) : np.searchsorted(runs["row"], rows[-1], "right")]
+    doc = (of["row"] - rows[0]).astype(np.int64)
+    begin = first[doc] + of["start"].astype(np.int64)
+    reach = np.maximum.accumulate(begin + of["count"] + window - 1)
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    return begin[head], reach[np.append(head[1:], len(reach)) - 1] if len(head) else reach, doc[head]

@@ -8,9 +8,10 @@ of the first byte.  Adjacent common prefixes then split the array into classes o
 suffixes that share ``window`` bytes; a member of a class is a repeat if the class
 has a smaller doc_id.
 
-Defined results: a null text is empty; documents with a null id lose nothing and are
-no source; repeated rows with one id are one document, so they don't remove each
-other; matches never cross documents.  Lines, scripts and very long texts are whole.
+Defined results: a null text is empty; an empty table gives no rows; documents with a
+null id lose nothing and are no source; repeated rows with one id are one document, so
+they don't remove each other; matches never cross documents; other columns are ignored.
+Very long texts are whole: windows are cut from them in chunks of bounded memory.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared_windows import Windows, block_runs, by_block, covered, repeated_windows
-from .textbatch import buffers, _BYTE_CODE, frugal, U64
+from .shared_windows import Tokens, Windows, block_runs, by_block, covered, repeated_windows, settled_result
+from .textbatch import buffers, flagged, frugal, U64
 
 WINDOW = 50
-SPEC = Windows(window=WINDOW, gram=20, key_by_doc=True, item=1)
+SPEC = Windows(window=WINDOW, gram=20, key_by_doc=True)
 _KEEP = np.array([(0xFFFFFFFFFFFFFFFF << (8 * (8 - i))) & 0xFFFFFFFFFFFFFFFF for i in range(9)], U64)
+#: An odd number for each byte, from which hashes of grams are made.
+_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def tokenise(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _BYTE_CODE[buf], buf, offs
+def tokenise(buf: np.ndarray, offs: np.ndarray) -> Tokens:
+    return Tokens(lambda a, b: _CODE[buf[a:b]], buf, None, offs)
 
 
 class SuffixArray:
@@ -145,10 +148,9 @@ class SuffixArray:
         return lcp
 
 
-def solve(tokens: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def solve(data: np.ndarray, size: np.ndarray, count: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Flag a window (of the segments' windows in order) that a smaller document has too."""
-    size = np.diff(bounds)
-    array = SuffixArray(tokens, bounds)
+    array = SuffixArray(data, np.append(0, np.cumsum(size)))
     lcp = array.common_prefixes()
     segment = np.repeat(np.arange(len(size)), size + 1)
     order = array.order
@@ -162,28 +164,26 @@ def solve(tokens: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.n
     return flag[array.left > window]
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, spec: Windows = SPEC) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also the bytes kept."""
-    blocks, runs = repeated_windows(docs, spec, tokenise, solve, "u1")
+def remove_repeats(docs: DataFrame, with_text: bool = False, spec: Windows = SPEC, block_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also the bytes
+    kept.  The rows are written to the shared folder (``release`` deletes them), all else
+    that was written there is deleted."""
+    blocks, root = repeated_windows(docs, spec, tokenise, solve, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for block, piece in by_block(batches):
             if block != now:
-                now, own = block, block_runs(runs, block)
+                now, own = block, block_runs(root, block)
             buf, offs = buffers(piece.column(3))
-            gone = covered(own, piece.column(1).to_numpy(), offs, spec.window)
-            before = np.zeros(len(gone) + 1, np.int64)
-            np.cumsum(gone, out=before[1:])
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            heads = offs[:-1][offs[:-1] < offs[1:]]
-            opens[heads] = gone[heads]
-            spans = np.zeros(len(gone) + 1, np.int64)
-            np.cumsum(opens, out=spans[1:])
-            kept, at = buf[~gone].tobytes(), (np.arange(len(gone) + 1) - before)[offs]
-            parts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            columns = [piece.column(2), pa.array(np.diff(offs)), pa.array(np.diff(before[offs])), pa.array(np.diff(spans[offs])), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
+            begin, end, doc = covered(own, piece.column(1).to_numpy(), offs, spec.window)
+            n = len(offs) - 1
+            removed = np.zeros(n, np.int64)
+            np.add.at(removed, doc, end - begin)
+            kept = buf[~flagged(begin, end, len(buf))].tobytes() if len(begin) else buf.tobytes()
+            at = (offs - np.append(0, np.cumsum(removed))).tolist()
+            parts = [kept[a:b] for a, b in zip(at, at[1:])]
+            columns = [piece.column(2), pa.array(np.diff(offs)), pa.array(removed), pa.array(np.bincount(doc, minlength=n)), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(parts, pa.binary()))
@@ -191,4 +191,5 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, spec: Windows = SPE
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)
+    out = blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)
+    return settled_result(out, root, "blocks", "solved")

@@ -1,15 +1,22 @@
 """Exact removal of repeated passages over words with prefix-partitioned suffix trees.
 
-Segments around word windows that occur more than once (``shared_windows``) meet in one
-task.  There the suffixes that hold a whole window are split by prefixes of variable
-length: a group with more than ``GROUP`` suffixes is split by one more word until it
-fits.  Each group gets its own suffix tree, as sorted suffixes with the branching depths
-between neighbours; the internal nodes at ``window`` words or deeper are the maximal
-repeats, and all leaves below one, but the first by (doc_id, start), are repeats.
-
-Defined results: a null text has no words; documents with a null id lose nothing and are
-no source; of repeated rows with one id and text neither removes the other, as neither
-starts earlier.  Texts are handled whole.
+Segments around word windows that occur more than once (``shared_windows``) are dealt by
+their anchor, six consecutive words, and meet in one task.  There the suffixes that hold
+a whole window are split by prefixes of variable length: a group with more than ``GROUP``
+suffixes is split by one more word until it fits.  Each group gets its own suffix tree
+below its common prefix, as sorted suffixes with the branching depths between
+neighbours.  Internal nodes of ``window`` words or more are the maximal repeats; every
+leaf below one, but the first by (doc_id, start), is a repeat.
+
+The corpus itself isn't dealt by prefixes of all its suffixes: each would have to carry
+its 20 words, some 140 bytes for each word of some 7.
+
+Words are numbered by their bytes, so trees compare words and no hashes.
+
+Defined results: a null text has no words; an empty table gives no rows; documents with a
+null id lose nothing and are no source; of repeated rows with one id and text neither
+removes the other, as neither starts earlier; other columns are ignored.  Texts are
+handled whole; windows of very long ones are cut in chunks of bounded memory.
 """
 
 from __future__ import annotations
@@ -21,17 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared_windows import Windows, block_runs, by_block, covered, repeated_windows
-from .textbatch import buffers, frugal, Words
+from .shared_windows import Tokens, Windows, block_runs, by_block, covered, repeated_windows, settled_result
+from .textbatch import Words, buffers, exact_ids, flagged, frugal, spaced
 
 WINDOW = 20
-SPEC = Windows(window=WINDOW, gram=6, key_by_doc=False, item=8)
+SPEC = Windows(window=WINDOW, gram=6, key_by_doc=False)
 GROUP = 1 << 17
 
 
-def tokenise(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokenise(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     words = Words(buf, offs)
-    return words.hash, words.hash, words.first
+    data, begin = spaced(buf, words)
+    return Tokens(lambda a, b: words.hash[a:b], data, begin, words.first)
 
 
 def prefix_groups(words: np.ndarray, at: np.ndarray, window: int, group: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,94 +67,107 @@ def prefix_groups(words: np.ndarray, at: np.ndarray, window: int, group: int) ->
 
 
 class SuffixTree:
-    """A tree over suffixes, down to ``depth`` words: leaves in order, and the depth at
-    which each leaf branches off from the one before."""
+    """A tree over suffixes, each to its own end, that share their first ``known`` words:
+    leaves in order, and the depth of the node at which each leaf branches off from the
+    one before.  ``left``: words of each suffix from its start to its end."""
 
-    def __init__(self, words: np.ndarray, at: np.ndarray, known: int, depth: int):
-        order = at
-        branch = np.zeros(len(at), np.int64)
+    def __init__(self, words: np.ndarray, at: np.ndarray, left: np.ndarray, known: int):
+        order, branch = at.copy(), np.zeros(len(at), np.int64)
         new = np.zeros(len(at), bool)
         new[:1] = True
-        for d in range(depth):
-            tied = ~(new & np.append(new[1:], True))
-            slots = np.flatnonzero(tied)
-            if not len(slots):
-                break
+        depth = known
+        slots = np.arange(len(at)) if len(at) > 1 else np.zeros(0, np.int64)
+        while len(slots):
             group = np.cumsum(new)[slots]
-            key = (group << 32) | words[order[slots] + d]
-            by = np.argsort(key)
-            order[slots] = order[slots][by]
+            here = order[slots]
+            ended = left[here] <= depth
+            key = (group << 32) | np.where(ended, 0, words[np.minimum(here + depth, len(words) - 1)] + 1)
+            by = np.argsort(key, kind="stable")
+            order[slots] = here[by]
             key = key[by]
             apart = np.zeros(len(slots), bool)
             apart[1:] = (key[1:] != key[:-1]) & (key[1:] >> 32 == key[:-1] >> 32)
-            branch[slots[apart]] = d
-            new[slots] |= apart
-        branch[~new] = depth
-        self.leaves, self.branch, self.depth = order, branch, depth
-
-    def deep_nodes(self) -> tuple[np.ndarray, np.ndarray]:
-        """First leaf and number of leaves of each topmost node of full depth."""
-        head = np.flatnonzero(self.branch < self.depth)
+            branch[slots[apart]] = depth
+            # leaves that end here are all the same string: they hang from one node
+            same = np.zeros(len(slots), bool)
+            same[1:] = (key[1:] == key[:-1]) & (key[1:] & 0xFFFFFFFF == 0)
+            branch[slots[same]] = depth
+            new[slots] |= apart | same
+            depth += 1
+            tied = ~(new & np.append(new[1:], True))
+            slots = np.flatnonzero(tied)
+        self.leaves, self.branch = order, branch
+
+    def deep_nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First leaf and number of leaves of each topmost node of ``depth`` words or more."""
+        head = np.flatnonzero(np.append(True, self.branch[1:] < depth)) if len(self.leaves) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(self.leaves)))
         return head[size > 1], size[size > 1]
 
-
-def solve(words: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW, group: int = GROUP) -> np.ndarray:
+    def maximal_repeats(self, depth: int) -> dict[tuple[int, ...], int]:
+        """(first leaf, last leaf) -> words, of every internal node of ``depth`` words or more."""
+        found: dict[tuple[int, int], int] = {}
+        stack: list[tuple[int, int]] = []  # first leaf, depth
+        for i, d in enumerate([*self.branch[1:].tolist(), 0], 1):
+            first = i - 1
+            while stack and stack[-1][1] > d:
+                first, own = stack.pop()
+                found[(first, i - 1)] = own
+            if d >= depth and (not stack or stack[-1][1] < d):
+                stack.append((first, d))
+        return found
+
+
+def solve(data: np.ndarray, size: np.ndarray, count: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW, group: int | None = None) -> np.ndarray:
     """Flag a window (of the segments' windows in order) that starts earlier elsewhere."""
-    by = np.argsort(words)
-    ordered = words[by]
-    rank = np.empty(len(words), np.int64)
-    rank[by] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
-    words = rank  # small numbers in place of hashes, so that a group and a word share a key
-    size = np.diff(bounds)
-    count = size - window + 1
+    own_words = Words(data, np.array([0, len(data)]))
+    words = exact_ids(data, own_words.start, own_words.end, own_words.hash)
+    length = count + window - 1
+    first = np.cumsum(length) - length
     segment = np.repeat(np.arange(len(size)), count)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
-    at = bounds[:-1][segment] + offset
+    at = first[segment] + offset
     window_of = np.full(len(words), -1)
     window_of[at] = np.arange(len(at))
+    left = np.zeros(len(words), np.int64)
+    left[at] = length[segment] - offset
     flag = np.zeros(len(at), bool)
-    for known, own in prefix_groups(words, at, window, group):
-        tree = SuffixTree(words, own.copy(), known, window)
-        head, leaves = tree.deep_nodes()
+    for known, own in prefix_groups(words, at, window, group or GROUP):
+        tree = SuffixTree(words, own, left, known)
+        head, leaves = tree.deep_nodes(window)
         if not len(head):
             continue
         node = np.repeat(np.arange(len(head)), leaves)
         of = window_of[tree.leaves[np.repeat(head, leaves) + np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)]]
         doc, start = docs[segment[of]], starts[segment[of]] + offset[of]
         by = np.lexsort((start, doc, node))
-        first = by[np.cumsum(leaves) - leaves][node]
-        flag[of] = (doc > doc[first]) | (start > start[first])
+        least = by[np.cumsum(leaves) - leaves][node]
+        flag[of] = (doc > doc[least]) | (start > start[least])
     return flag
 
 
-def remove_passages(docs: DataFrame, with_text: bool = False, spec: Windows = SPEC) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also the words kept."""
-    blocks, runs = repeated_windows(docs, spec, tokenise, solve, "<u8")
+def remove_passages(docs: DataFrame, with_text: bool = False, spec: Windows = SPEC, block_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also the words kept.  The
+    rows are written to the shared folder (``release`` deletes them), all else that was
+    written there is deleted."""
+    blocks, root = repeated_windows(docs, spec, tokenise, solve, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for block, piece in by_block(batches):
             if block != now:
-                now, own = block, block_runs(runs, block)
+                now, own = block, block_runs(root, block)
             buf, offs = buffers(piece.column(3))
             words = Words(buf, offs, hashed=False)
-            gone = covered(own, piece.column(1).to_numpy(), words.first, spec.window)
-            kept = ~gone
-            # bytes of the kept words with one space after each
-            size = (words.end - words.start)[kept]
-            stop = np.cumsum(size + 1)
-            out = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
-            gap = np.repeat(words.start[kept] - (stop - size - 1), size)
-            place = np.arange(len(gap)) + np.repeat(np.arange(len(size)), size)
-            out[place] = buf[place + gap]
-            data = out.tobytes()
-            left = np.zeros(len(kept) + 1, np.int64)
-            np.cumsum(kept, out=left[1:])
-            at = np.append(0, stop)[left[words.first]]
-            parts = [data[a : b - 1] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            begin, end, doc = covered(own, piece.column(1).to_numpy(), words.first, spec.window)
             n = np.diff(words.first)
-            columns = [piece.column(2), pa.array(n), pa.array(n - np.diff(left[words.first])), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
+            removed = np.zeros(len(n), np.int64)
+            np.add.at(removed, doc, end - begin)
+            out, place = spaced(buf, words, ~flagged(begin, end, len(words.start)) if len(begin) else None)
+            data = out.tobytes()
+            at = place[words.first - np.append(0, np.cumsum(removed))].tolist()
+            parts = [data[a : b - 1] if b > a else b"" for a, b in zip(at, at[1:])]
+            columns = [piece.column(2), pa.array(n), pa.array(removed), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 columns.append(pa.array([p.decode() for p in parts]))
@@ -154,4 +175,5 @@ def remove_passages(docs: DataFrame, with_text: bool = False, spec: Windows = SP
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)
+    out = blocks.select("block", "row", "doc_id", "text").mapInArrow(frugal(run), schema)
+    return settled_result(out, root, "blocks", "solved")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +26,8 @@ try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library: nothing to trim
     _LIBC = None
-_MULT = 0x9E3779B97F4A7C15 | 1
-_MULT_INV = pow(_MULT, -1, 1 << 64)
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Ranges up to this long are hashed in numpy, longer ones by a keyed digest each.
+LONG = 256
 
 #: Bytes of a word of ``[^\x20\x09-\x0D]+``.
 SPACE_WORD = np.ones(256, bool)
@@ -57,22 +56,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grown_powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 3))
-        for i, m in enumerate((_MULT, _MULT_INV)):
-            p = np.full(size, m, U64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers
+def wide_bytes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros past the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def _chunk(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    value = wide[at].astype(U64)
+    short = left < 8
+    value[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+    return value
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal bytes give equal hashes wherever they lie."""
-    up, down = _grown_powers(len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE_CODE[buf] * up[: len(buf)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hash of each byte range; equal bytes give equal hashes wherever they lie.
+
+    Eight bytes at a time go through a bijective mixer, so no sums of powers can cancel;
+    ranges over ``LONG`` bytes take a keyed BLAKE2b digest.  A hash only finds candidates:
+    what is counted, removed or linked compares the bytes (``exact_ids``)."""
+    left = (ends - starts).astype(np.int64)
+    h = mix(left.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D))
+    long = left > LONG
+    if long.any():
+        view = memoryview(np.ascontiguousarray(buf))
+        for i in np.flatnonzero(long).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(view[int(starts[i]) : int(ends[i])], digest_size=8, key=b"ranges").digest(), "little")
+    wide, live = wide_bytes(buf), np.flatnonzero((left > 0) & ~long)
+    at, rest = starts[live].astype(np.int64), left[live]
+    while len(live):
+        h[live] = mix((h[live] ^ _chunk(wide, at, rest)) + U64(0x632BE59BD9B4E019))
+        more = rest > 8
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    return h
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``size`` bytes from a and from b hold the same bytes."""
+    same = np.ones(len(a), bool)
+    long = size > LONG
+    if long.any():
+        view = memoryview(np.ascontiguousarray(buf))
+        for i in np.flatnonzero(long).tolist():
+            same[i] = view[int(a[i]) : int(a[i] + size[i])] == view[int(b[i]) : int(b[i] + size[i])]
+    wide, live = wide_bytes(buf), np.flatnonzero((size > 0) & ~long)
+    a, b, rest = a[live].astype(np.int64), b[live].astype(np.int64), size[live].astype(np.int64)
+    while len(live):
+        equal = _chunk(wide, a, rest) == _chunk(wide, b, rest)
+        same[live[~equal]] = False
+        more = equal & (rest > 8)
+        live, a, b, rest = live[more], a[more] + 8, b[more] + 8, rest[more] - 8
+    return same
+
+
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A number for each byte range, the same for two ranges exactly if their bytes are:
+    hashes bring equal ranges together, and their bytes are compared."""
+    h = range_hashes(buf, starts, ends) if hashes is None else hashes
+    order = np.argsort(h, kind="stable")
+    starts, size = starts[order], (ends - starts)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    tied = np.flatnonzero(~new)
+    equal = size[tied] == size[tied - 1]
+    equal[equal] = same_bytes(buf, starts[tied[equal]], starts[tied[equal] - 1], size[tied[equal]])
+    ids = np.cumsum(new) - 1
+    if not equal.all():  # different bytes under one hash: number these groups by their bytes
+        known: dict[tuple[int, bytes], int] = {}
+        following = int(ids[-1]) + 1
+        for i in np.flatnonzero(np.isin(ids, ids[tied[~equal]])).tolist():
+            key = (int(ids[i]), bytes(buf[starts[i] : starts[i] + size[i]]))
+            if key not in known:
+                known[key], following = following, following + 1
+            ids[i] = known[key]
+    out = np.empty(len(order), np.int64)
+    out[order] = ids
+    return out
 
 
 class Words:
@@ -96,6 +156,30 @@ class Words:
         self.hash = range_hashes(buf, self.start, self.end) if hashed else None
 
 
+def flagged(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Flags of ``n`` tokens, true inside the disjoint spans."""
+    edges = np.zeros(n + 1, np.int8)
+    edges[begin] += 1
+    edges[end] -= 1
+    return np.cumsum(edges[:n], dtype=np.int8).view(bool)
+
+
+def spaced(buf: np.ndarray, words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words (those of ``keep``) with one space after each, and where each begins there."""
+    start, end = (words.start, words.end) if keep is None else (words.start[keep], words.end[keep])
+    size = end - start
+    begin = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size + 1, out=begin[1:])
+    inside = words.inside
+    if keep is not None:
+        inside = inside & flagged(start, end, len(buf))
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    taken = np.ones(len(out), bool)
+    taken[begin[1:] - 1] = False
+    out[taken] = buf[inside]
+    return out, begin
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and int64 offsets of a string array; null counts as empty."""
     if texts.null_count:
@@ -187,12 +271,14 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``);
-    where it is unset, as in tests, a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (``spark.checkpoint.dir``), qualified by
+    Hadoop.  Where it is unset, a local session, as in tests, gets a folder of its own; on
+    a cluster that is an error, as no machine's own folder would do."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = known or "/tmp/checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")

@@ -8,9 +8,11 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from hushframe.llm import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, shared_windows, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
+from hushframe.llm import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, shared_windows, suffix_array_dedup, suffix_tree_dedup, textbatch, toxicity_cnn, warc_index
+from hushframe.llm.shingle_sets import ShingleSets
 from hushframe.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 from ..oracle import SF, compare, connect
@@ -60,23 +62,93 @@ def test_suffix_array_is_sorted():
             assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-@pytest.mark.parametrize("block_bytes,hot", [(16 << 20, 2000), (3000, 2000), (1000, 1)])
-def test_byte_repeats(spark, rows, monkeypatch, block_bytes, hot):
-    monkeypatch.setattr(shared_windows.repeated_windows, "__defaults__", (block_bytes,))
-    df = suffix_array_dedup.remove_repeats(frame(spark, rows).repartition(3), spec=replace(suffix_array_dedup.SPEC, hot_blocks=hot))
+@pytest.mark.parametrize("block_bytes,hot", [(16 << 20, 1 << 60), (3000, 4096), (1000, 1)])
+def test_byte_repeats(spark, rows, block_bytes, hot):
+    df = suffix_array_dedup.remove_repeats(frame(spark, rows).repartition(3), spec=replace(suffix_array_dedup.SPEC, hot=hot), block_bytes=block_bytes)
     assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.byte_repeats(rows))
 
 
-@pytest.mark.parametrize("block_bytes,hot,group", [(16 << 20, 2000, 1 << 17), (3000, 2000, 4), (1000, 1, 1)])
+@pytest.mark.parametrize("block_bytes,hot,group", [(16 << 20, 1 << 60, 1 << 17), (3000, 4096, 4), (1000, 1, 1)])
 def test_passages(spark, rows, monkeypatch, block_bytes, hot, group):
-    monkeypatch.setattr(shared_windows.repeated_windows, "__defaults__", (block_bytes,))
     monkeypatch.setattr(suffix_tree_dedup, "GROUP", group)
-    df = suffix_tree_dedup.remove_passages(frame(spark, rows).repartition(3), spec=replace(suffix_tree_dedup.SPEC, hot_blocks=hot))
+    df = suffix_tree_dedup.remove_passages(frame(spark, rows).repartition(3), spec=replace(suffix_tree_dedup.SPEC, hot=hot), block_bytes=block_bytes)
     expected = Counter(brute.passages(rows))
     # a row that is repeated whole has two equal starts; neither removes the other
     assert got(df, "doc_id", "n_words", "n_removed", "kept_sha256") == expected
 
 
+def thue_morse(n):
+    """A string over a and b of 2 ** n bytes, and the one with its letters swapped: sums of
+    powers modulo 2 ** 64 can't tell the two apart from 1,024 bytes on."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate({97: "b", 98: "a"})
+    return s, s.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_colliding_hashes(spark, monkeypatch, weak):
+    """Words, lines, passages and documents whose hashes fall together are told apart."""
+    if weak:  # most hashes of words and lines are equal, so every comparison is of bytes
+        original = textbatch.range_hashes
+        monkeypatch.setattr(textbatch, "range_hashes", lambda buf, a, b: original(buf, a, b) & np.uint64(1))
+    rows, filler = [], [f"w{i}" for i in range(30)]
+    for n, (a, b) in enumerate((thue_morse(10), thue_morse(11))):
+        for m, x in enumerate((a, b)):
+            rows += [(100 * n + 10 * m, " ".join(filler[:9] + [x] + filler[10 : 10 + 12])), (100 * n + 10 * m + 1, f"{x}\n{b}\n{x}"), (100 * n + 10 * m + 2, " ".join([x] * 6))]
+    assert [quality_repeats.measure(pa.record_batch({"doc_id": [1], "text": [t]}), quality_repeats.RepeatLimits()).to_pylist()[0]["n_dup_lines"] for _, t in rows] == [brute.repetition(t)[3] for _, t in rows]
+    docs = [pa.record_batch({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})]
+    found = quality_repeats.measure(docs[0], quality_repeats.RepeatLimits()).to_pylist()
+    assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["longest_repeat"], r["covered_words"]) for r in found] == [brute.repetition(t) for _, t in rows]
+    sets = ShingleSets(pa.array([t for _, t in rows]), exact=True)
+    assert sets.n.tolist() == [len(brute.shingles(t)) for _, t in rows] == np.bincount(sets.owner, minlength=len(rows)).tolist()
+    if not weak:
+        df = frame(spark, rows).repartition(3)
+        assert got(suffix_tree_dedup.remove_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.passages(rows))
+        assert got(suffix_array_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.byte_repeats(rows))
+        assert got(jaccard_trie.jaccard_classes(df), "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows))
+
+
+def test_periodic_and_long_texts(spark):
+    """Texts of one byte, of short periods, and some MB long, beside copies of their parts."""
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(3 << 20))
+    rows = [(1, "x" * 5000), (2, "x" * 70 + "y" * 70), (3, "ab" * 900), (3, "ab" * 900), (2, "ab" * 40), (7, long), (8, long[1000:400_000]), (9, long[-60:]), (6, long[1 << 20 : (1 << 20) + 120])]
+    df = suffix_array_dedup.remove_repeats(frame(spark, rows), spec=replace(suffix_array_dedup.SPEC, hot=1 << 20))
+    assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.byte_repeats(rows))
+    df = suffix_tree_dedup.remove_passages(frame(spark, rows))
+    assert got(df, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.passages(rows))
+
+
+def test_answers_that_cannot_be_seen(spark):
+    """A table of answers on a file system that Python doesn't see is an error, not empty."""
+    with pytest.raises(FileNotFoundError):
+        shared_windows.read_answers("file:/no/such/folder", 0, ["payload"])
+    with pytest.raises(ValueError):
+        shared_windows.filesystem("/no/scheme")
+
+
+def test_tree_nodes_are_the_maximal_repeats():
+    r = random.Random(4)
+    for _ in range(30):
+        segments = [[r.randrange(3) for _ in range(r.randrange(4, 14))] for _ in range(5)]
+        words = np.array([w for s in segments for w in s])
+        first = np.cumsum([0] + [len(s) for s in segments])
+        left = np.concatenate([np.arange(len(s), 0, -1) for s in segments])
+        at = np.flatnonzero(left >= 3)
+        tree = suffix_tree_dedup.SuffixTree(words, at, left, 0)
+        own = lambda p: tuple(words[p : p + left[p]].tolist())
+        assert [own(p) for p in tree.leaves.tolist()] == sorted(own(p) for p in at.tolist())
+        nodes = {own(tree.leaves[a])[:d] for (a, b), d in tree.maximal_repeats(3).items()}
+        expected = set()
+        for p in at.tolist():
+            for n in range(3, left[p] + 1):
+                following = Counter(own(q)[n : n + 1] for q in at.tolist() if own(q)[:n] == own(p)[:n])
+                if sum(following.values()) > 1 and (len(following) > 1 or () in following):
+                    expected.add(own(p)[:n])
+        assert nodes == expected and first[-1] == len(words)
+
+
 @pytest.mark.parametrize("block_bytes,group", [(16 << 20, 1 << 20), (2000, 300), (500, 1)])
 def test_jaccard_components(spark, rows, block_bytes, group):
     df = jaccard_trie.jaccard_classes(frame(spark, rows).repartition(3), block_bytes, group)
