@@ -7,13 +7,14 @@ tokens in it, so equal windows have equal anchors wherever they lie:
 1. each block sends its distinct anchor hashes, packed by hash range ("bucket");
 2. a bucket finds the anchors that occur twice or more and answers each block;
 3. a block cuts runs of windows around shared anchors as segments and sends them with
-   their bytes; segments of one block whose bytes are equal travel once;
-4. a bucket solves all segments of an anchor by the operator's solver (a suffix array or
-   suffix trees), which alone decides what is repeated across blocks;
+   their bytes;
+4. a bucket solves the segments of an anchor by the operator's solver (a suffix array or
+   suffix trees), which alone decides which of their windows are repeats;
 5. blocks are read again with the runs of repeated windows that came back.
 
-Hashes only choose what meets: equal bytes have equal hashes, and everything that is
-removed was compared byte by byte.  A block's answers lie together, so steps 3 to 5 read
+Of segments with the same bytes, compared byte by byte, the first two by the operator's
+key are sent and solved: the others' windows are theirs, so they share the second's fate.
+Hashes only choose what meets, as equal bytes have equal hashes.  A block's answers lie together, so steps 3 to 5 read
 them beside the text.  An anchor with more than ``hot`` different surroundings sends no
 segments; of its windows, those whose own hash occurs twice travel by that hash instead
 (two more small exchanges, of hashes), so no task gathers an unbounded group.
@@ -432,13 +433,6 @@ def _piece_entries(piece: pa.RecordBatch, tokens: Tokens, runs: Runs, kind: np.n
     return e, _joined(tokens.data, begin, end)
 
 
-def _runs(entries: np.ndarray, dtype: np.dtype = RUN) -> np.ndarray:
-    out = np.zeros(len(entries), dtype)
-    for f in ("row", "start", "count"):
-        out[f] = entries[f]
-    return out
-
-
 def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     if not len(values):
@@ -447,40 +441,55 @@ def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(values)]))
 
 
-def _segments(block: int, held: list[tuple[np.ndarray, bytes]], spec: Windows, bits: int) -> pa.RecordBatch:
-    """Rows (bucket, block, kind, payload, bytes) of a block: segments by anchor (kind 0).
-    Of segments whose bytes are equal the first by the operator's key travels; later ones
-    are repeats (kind 1), and those of the same key share its fate (kind 2)."""
-    entries = np.concatenate([e for e, _ in held])
-    data = np.frombuffer(b"".join([d for _, d in held]), np.uint8)
+def _alike(entries: np.ndarray, data: np.ndarray, begin: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """An order by anchor and bytes, and in it the place of the segment whose fate each
+    shares.  Segments of one anchor and the same bytes have the same windows, so those
+    with the first one's key share its fate, and all later ones that of the second."""
     size = entries["size"].astype(np.int64)
-    begin = np.cumsum(size) - size
     content = range_hashes(data, begin, begin + size)
     order = np.lexsort((entries["row"], entries["start"], entries["doc"], content, entries["hash"]))
     entries, begin, size, content = entries[order], begin[order], size[order], content[order]
     new = np.ones(len(entries), bool)
     new[1:] = (content[1:] != content[:-1]) | (entries["hash"][1:] != entries["hash"][:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)[group]
     tied = np.flatnonzero(~new)
     equal = size[tied] == size[first[tied]]
     equal[equal] = same_bytes(data, begin[tied[equal]], begin[first[tied[equal]]], size[tied[equal]])
     tied = tied[equal]
     of, own = entries[first[tied]], entries[tied]
     later = own["doc"] > of["doc"]
-    follows = own["doc"] == of["doc"]
+    same = own["doc"] == of["doc"]
     if not spec.key_by_doc:
-        later |= follows & (own["start"] > of["start"])
-        follows &= own["start"] == of["start"]
+        later |= same & (own["start"] > of["start"])
+        same &= own["start"] == of["start"]
+    fate = np.arange(len(entries))
+    fate[tied[same]] = first[tied[same]]
+    groups, at = np.unique(group[tied[later]], return_index=True)
+    second = np.zeros(int(group[-1]) + 1 if len(group) else 0, np.int64)
+    second[groups] = tied[later][at]
+    fate[tied[later]] = second[group[tied[later]]]
+    return order, fate
+
+
+def _segments(block: int, held: list[tuple[np.ndarray, bytes]], spec: Windows, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, block, kind, payload, bytes) of a block: segments by anchor (kind 0), at
+    most two of the same bytes; the others are noted as sharing a fate (kind 2)."""
+    entries = np.concatenate([e for e, _ in held])
+    data = np.frombuffer(b"".join([d for _, d in held]), np.uint8)
+    size = entries["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    order, fate = _alike(entries, data, begin, spec)
+    entries, begin, size = entries[order], begin[order], size[order]
+    travels = fate == np.arange(len(fate))
     rows: list[tuple[int, int, bytes, bytes]] = []
-    beyond = (1 << bits) + block
-    if later.any():
-        rows.append((beyond, 1, _runs(own[later]).tobytes(), b""))
-    if follows.any():
-        group = _runs(own[follows], FOLLOWER)
-        group["of_row"], group["of_start"] = of["row"][follows], of["start"][follows]
-        rows.append((beyond, 2, group.tobytes(), b""))
-    travels = np.ones(len(entries), bool)
-    travels[tied[later | follows]] = False
+    if not travels.all():
+        follower, of = entries[~travels], entries[fate[~travels]]
+        note = np.zeros(len(follower), FOLLOWER)
+        for f in ("row", "start", "count"):
+            note[f] = follower[f]
+        note["of_row"], note["of_start"] = of["row"], of["start"]
+        rows.append(((1 << bits) + block, 2, note.tobytes(), b""))
     entries, begin, size = entries[travels], begin[travels], size[travels]
     bucket = (entries["hash"] >> U64(64 - bits)).astype(np.int64)
     rows += [(int(bucket[a]), 0, entries[a:b].tobytes(), _joined(data, begin[a:b], begin[a:b] + size[a:b])) for a, b in _cuts(bucket)]
@@ -494,7 +503,7 @@ def _segments(block: int, held: list[tuple[np.ndarray, bytes]], spec: Windows, b
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _solve_bucket(table: pa.Table, solver: Solver) -> pa.Table:
+def _solve_bucket(table: pa.Table, spec: Windows, solver: Solver) -> pa.Table:
     """Runs of repeated windows of a bucket's segments, by block (kind 1); what a block
     says of itself passes."""
     kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
@@ -506,34 +515,39 @@ def _solve_bucket(table: pa.Table, solver: Solver) -> pa.Table:
     owner = np.repeat(blocks, [len(p) for p in parts])
     size = entries["size"].astype(np.int64)
     place = np.cumsum(size) - size
-    order = np.argsort(entries["hash"], kind="stable")
+    order, fate = _alike(entries, data, place, spec)
     entries, owner, place, size = entries[order], owner[order], place[order], size[order]
+    live = np.flatnonzero(fate == np.arange(len(fate)))
     # segments of one anchor stay together; about ``TOGETHER`` bytes are solved at a time
-    weight, hashes, cuts = np.cumsum(size), entries["hash"], [0]
-    while cuts[-1] < len(entries):
+    weight, hashes, cuts = np.cumsum(size[live]), entries["hash"][live], [0]
+    while cuts[-1] < len(live):
         to = int(np.searchsorted(weight, (weight[cuts[-1] - 1] if cuts[-1] else 0) + TOGETHER, "right"))
-        to = min(max(to, cuts[-1] + 1), len(entries))
+        to = min(max(to, cuts[-1] + 1), len(live))
         cuts.append(int(np.searchsorted(hashes, hashes[to - 1], "right")))
-    found, owners = [], []
+    of, offset, length = [], [], []
     for a, b in zip(cuts, cuts[1:]):
-        count = entries["count"][a:b].astype(np.int64)
-        joined = np.frombuffer(_joined(data, place[a:b], place[a:b] + size[a:b]), np.uint8)
-        repeated = solver(joined, size[a:b], count, entries["doc"][a:b], entries["start"][a:b].astype(np.int64))
+        own = live[a:b]
+        count = entries["count"][own].astype(np.int64)
+        joined = np.frombuffer(_joined(data, place[own], place[own] + size[own]), np.uint8)
+        repeated = solver(joined, size[own], count, entries["doc"][own], entries["start"][own].astype(np.int64))
         segment = np.repeat(np.arange(b - a), count)
         opens = repeated.copy()
         opens[1:] &= ~(repeated[:-1] & (segment[1:] == segment[:-1]))
         closes = repeated.copy()
         closes[:-1] &= ~(repeated[1:] & (segment[1:] == segment[:-1]))
         at, to = np.flatnonzero(opens), np.flatnonzero(closes)
-        out = np.zeros(len(at), RUN)
-        of = a + segment[at]
-        out["row"], out["count"] = entries["row"][of], to - at + 1
-        out["start"] = entries["start"][of] + (at - (np.cumsum(count) - count)[segment[at]])
-        found.append(out)
-        owners.append(owner[of])
-    runs, own = np.concatenate(found), np.concatenate(owners)
-    by = np.argsort(own, kind="stable")
-    runs, own = runs[by], own[by]
+        of.append(own[segment[at]])
+        offset.append(at - (np.cumsum(count) - count)[segment[at]])
+        length.append(to - at + 1)
+    of, offset, length = map(np.concatenate, (of, offset, length))  # by segment, ascending
+    low, high = np.searchsorted(of, fate), np.searchsorted(of, fate, "right")
+    many = high - low
+    to = np.repeat(np.arange(len(fate)), many)
+    at = np.repeat(low, many) + np.arange(len(to)) - np.repeat(np.cumsum(many) - many, many)
+    runs = np.zeros(len(to), RUN)
+    runs["row"], runs["start"], runs["count"] = entries["row"][to], entries["start"][to] + offset[at], length[at]
+    by = np.argsort(owner[to], kind="stable")
+    runs, own = runs[by], owner[to][by]
     cut = _cuts(own)
     return pa.table({"block": pa.array([int(own[a]) for a, _ in cut], pa.int64()), "kind": pa.array([1] * len(cut), pa.int32()), "payload": pa.array([runs[a:b].tobytes() for a, b in cut], pa.binary())})
 
@@ -608,7 +622,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
             yield _segments(now, held, spec, bits)
 
     cut = source.mapInArrow(frugal(segments), "bucket long, block long, kind int, payload binary, bytes binary")
-    solved = cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, solver)), "block long, kind int, payload binary")
+    solved = cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, spec, solver)), "block long, kind int, payload binary")
     write_answers(solved, f"{root}/solved")
     for done in (cold, warm):
         remove(spark, done)

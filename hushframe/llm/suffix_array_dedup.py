@@ -38,28 +38,45 @@ def tokenise(buf: np.ndarray, offs: np.ndarray) -> Tokens:
 
 
 class SuffixArray:
-    """Suffix array of segments, each ended by a mark smaller than every byte."""
+    """Suffix array of segments, each ended by a mark smaller than every byte.
 
-    def __init__(self, tokens: np.ndarray, bounds: np.ndarray):
+    With ``least`` only suffixes of that many bytes or more are asked for: shorter ones
+    are sorted where a longer one is induced from them, and left out else.  With ``depth``
+    suffixes that share so many bytes stay in order of place."""
+
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, least: int = 0, depth: int = 1 << 60):
         size = np.diff(bounds)
         n = len(tokens) + len(size)
         text = np.zeros(n + 16, np.uint8)
         shift = np.repeat(np.arange(len(size)), size)
         text[np.arange(len(tokens)) + shift] = tokens + 1  # UTF-8 has no byte 255
-        self.text, self.n = text, n
+        self.text, self.n, self.depth = text, n, depth
         marks = bounds[1:] + np.arange(len(size))
         wide = text.astype(U64)
         for step in (1, 2, 4):
             wide[: len(wide) - step] = (wide[: len(wide) - step] << U64(8 * step)) | wide[step:]
-        self.eight = wide
         # characters from a suffix' start to its mark, the mark included
         self.left = np.repeat(marks, size + 1) - np.arange(n) + 1
-        self.order = self._induced(self._direct(marks), marks)
+        # the next eight characters, zeros from the mark on
+        self.eight = wide[:n] & _KEEP[np.minimum(self.left, 8)]
+        small = self._smaller()
+        small[marks] = False  # marks are a bucket of their own, in order of place
+        self.small, self.wanted = small, np.ones(n, bool)
+        if least:
+            self.wanted = self.left > least
+            # after a segment's last asked suffix, those that it is induced from
+            last = marks[size >= least] - least
+            small[marks] = True
+            stops = np.flatnonzero(small)
+            small[marks] = False
+            many = stops[np.searchsorted(stops, last, "right")] - last
+            chain = np.repeat(last, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1
+            self.wanted[chain] = True
+        self.order = self._induced(self._direct(), marks[self.wanted[marks]])
 
     def chunk(self, at: np.ndarray, depth: int) -> np.ndarray:
-        """Eight bytes of each suffix from ``depth`` on, zeros from its mark on."""
-        rest = np.clip(self.left[at] - depth, 0, 8)
-        return self.eight[np.minimum(at + depth, self.n)] & _KEEP[rest]
+        """Eight characters of each suffix from ``depth`` on, which lies before its end."""
+        return self.eight[np.minimum(at + depth, self.n - 1)]
 
     def _smaller(self) -> np.ndarray:
         """Whether each suffix is smaller than its successor."""
@@ -69,38 +86,36 @@ class SuffixArray:
         following = np.minimum.accumulate(at[::-1])[::-1]  # of equal bytes the end of the run decides
         return step[following] > 0
 
-    def _direct(self, marks: np.ndarray) -> np.ndarray:
-        small = self._smaller()
-        small[marks] = False  # marks are a bucket of their own, in order of place
-        at = np.flatnonzero(small)
+    def _direct(self) -> np.ndarray:
+        at = np.flatnonzero(self.small & self.wanted)
         key = self.chunk(at, 0)
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         depth = 8
         new = np.ones(len(at), bool)
         new[1:] = key[1:] != key[:-1]
-        while True:
-            tied = ~(new & np.append(new[1:], True))
-            slots = np.flatnonzero(tied)
-            slots = slots[self.left[at[slots]] > depth] if len(slots) else slots
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))[slots]
+        while depth < self.depth:
+            # suffixes that ended are equal up to their marks and stay in order of place
+            going = self.left[at[slots]] > depth
+            slots, head = slots[going], head[going]
             if not len(slots):
                 break
-            # suffixes that ended are equal up to their marks and stay in order of place
-            group = np.cumsum(new)[slots]
             key = self.chunk(at[slots], depth)
-            by = np.lexsort((key, group))
+            by = np.lexsort((key, head))
             at[slots] = at[slots][by]
-            key, group = key[by], group[by]
-            apart = np.ones(len(slots), bool)
-            apart[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-            new[slots] |= apart
+            key = key[by]
+            new = np.ones(len(slots), bool)
+            new[1:] = (key[1:] != key[:-1]) | (head[1:] != head[:-1])
+            head = np.maximum.accumulate(np.where(new, slots, 0))
+            tied = ~(new & np.append(new[1:], True))
+            slots, head = slots[tied], head[tied]
             depth += 8
         return at
 
     def _induced(self, direct: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        text = self.text
-        small = np.zeros(self.n, bool)
-        small[direct] = True
+        text, induced = self.text, self.wanted & ~self.small
         own = np.split(direct, np.searchsorted(text[direct], np.arange(1, 256)))
         pending: list[list[np.ndarray]] = [[] for _ in range(256)]
         out = []
@@ -112,13 +127,13 @@ class SuffixArray:
             while len(wave):
                 bucket.append(wave)
                 before = wave[wave > 0] - 1
-                wave = before[(text[before] == c) & ~small[before]]  # a run of one byte induces its own bucket
+                wave = before[(text[before] == c) & induced[before]]  # a run of one byte induces its own bucket
             bucket.append(sorted_part)
             whole = np.concatenate(bucket)
             out.append(whole)
             before = whole[whole > 0] - 1
             first = text[before]
-            go = (first > c) & ~small[before]
+            go = (first > c) & induced[before]
             before, first = before[go], first[go]
             if len(before):
                 by = np.argsort(first, kind="stable")
@@ -131,10 +146,10 @@ class SuffixArray:
 
     def common_prefixes(self) -> np.ndarray:
         """Common prefix of each suffix with the one before it, marks apart."""
-        lcp = np.zeros(self.n, np.int64)
-        pairs = np.arange(1, self.n)
+        lcp = np.zeros(len(self.order), np.int64)
+        pairs = np.arange(1, len(self.order))
         depth = 0
-        while len(pairs):
+        while len(pairs) and depth < self.depth:
             a, b = self.order[pairs - 1], self.order[pairs]
             most = np.minimum(self.left[a], self.left[b]) - 1 - depth  # bytes before the nearer mark
             differ = self.chunk(a, depth) ^ self.chunk(b, depth)
@@ -150,7 +165,7 @@ class SuffixArray:
 
 def solve(data: np.ndarray, size: np.ndarray, count: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Flag a window (of the segments' windows in order) that a smaller document has too."""
-    array = SuffixArray(data, np.append(0, np.cumsum(size)))
+    array = SuffixArray(data, np.append(0, np.cumsum(size)), window, window)
     lcp = array.common_prefixes()
     segment = np.repeat(np.arange(len(size)), size + 1)
     order = array.order

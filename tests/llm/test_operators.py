@@ -60,6 +60,15 @@ def test_suffix_array_is_sorted():
         for i in range(1, len(ordered)):
             a, b = ordered[i - 1][0][:-1], ordered[i][0][:-1]
             assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        for least in (1, 3, 9):
+            part = suffix_array_dedup.SuffixArray(np.frombuffer(b"".join(segments), np.uint8), bounds, least, least)
+            asked, prefixes = [p for p in part.order.tolist() if part.left[p] > least], part.common_prefixes()
+            assert sorted(asked) == [p for p in range(part.n) if part.left[p] > least]
+            begins = {p: tuple(s[:least]) for s, p in suffixes}
+            assert [begins[p] for p in asked] == [begins[p] for _, p in ordered if part.left[p] > least]
+            for i in range(1, len(part.order)):
+                if min(part.left[part.order[i - 1]], part.left[part.order[i]]) > least:
+                    assert (prefixes[i] >= least) == (begins[part.order[i - 1]] == begins[part.order[i]])
 
 
 @pytest.mark.parametrize("block_bytes,hot", [(16 << 20, 1 << 60), (3000, 4096), (1000, 1)])
