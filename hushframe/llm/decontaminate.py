@@ -2,101 +2,117 @@
 
 Benchmark items are normalised (A-Z lower-cased, words of letters, digits and
 non-ASCII characters) and cut into windows of ``n`` words; a shorter item is one
-window.  Window hashes, and the words that may begin and end a window, are literals
-of the scan's expression when there are at most ``MAX_LITERALS`` windows (counted
-first), so one pass over the documents finds the hits without any exchange of text.
-Hits are verified by joining their words with the benchmark's; a larger benchmark
-goes through a shuffled join on the window hash instead.
+window.  The hashes of all windows are set in a bit array, sized by their counted number,
+that travels with the scan: every window of a document that can be a test window passes
+it, and only those leave the scan, with their words, which are compared with the test
+windows' words.  So no text travels at any size of the benchmark; where the bit array
+fills up (``MOST_BITS``), more windows travel to be compared, with the same rows.
 
 Defined results: null or empty texts have no words and are clean; items without
 words never hit; items with a null id mark words but are not counted; repeated
-documents give a row each; an empty benchmark leaves everything clean.
+documents give a row each; an empty benchmark leaves everything clean, an empty table
+has no rows.  Very long texts are whole.  Columns are found by place, so clashing names stay.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import pick
+from .shared_windows import work_dir
+from .textbatch import broadcast_rows, pick, positional, text_key
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Benchmark windows up to which the hash set travels with the tasks (some 60 bytes each).
-MAX_LITERALS = 100_000
+#: The bit array has some 32 bits for each window, at most 8 MB.
+BITS_EACH, MOST_BITS = 32, 1 << 26
+PLACES = "array<struct<pos:int,size:int,gram:array<string>>>"
 
 
 def normal_words(text: Column) -> Column:
     """Lower-cased words in order; null gives none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # split leaves an empty string where a text begins or ends with a separator
-    parts = F.split(low, NOT_WORD)
-    parts = F.when(F.element_at(parts, 1) == "", F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
-    return F.when((F.size(parts) > 0) & (F.try_element_at(parts, F.lit(-1)) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    text = F.coalesce(text, F.lit(""))
+    # lower() is the fast way where there are no letters but A-Z that it could change
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(item_id, size, gram, h): the distinct windows of each item."""
+    """(item_id, size, gram): the distinct windows of each item."""
     words = pick(benchmark, "item_id", "text").select("item_id", normal_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     sized = words.withColumn("size", F.least(F.size("w"), F.lit(n)))
     at = F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> slice(w, i, size))"))
-    return sized.select("item_id", "size", at.alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
+    return sized.select("item_id", "size", at.alias("gram")).distinct()
+
+
+class HashSet:
+    """Sizes of the windows, and a bit array of the hashes of windows and of their first two
+    words, as a literal of the scan's expression."""
+
+    def __init__(self, windows: DataFrame):
+        marks = windows.select("size", F.explode(F.array(self._whole(F.col("gram")), self._outer(F.col("gram"), F.lit(1), F.col("size")))).alias("h"))
+        counted = {r["size"]: r["m"] for r in windows.groupBy("size").agg(F.count("*").alias("m")).collect()}
+        self.sizes, total = sorted(counted), sum(counted.values())
+        self.bits = min(MOST_BITS, 1 << max(10, math.ceil(math.log2(max(1, BITS_EACH * total)))))
+        at = F.col("h").bitwiseAND(self.bits - 1)
+        words = marks.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        array = [0] * (self.bits >> 6)
+        for r in words.collect():  # at most MOST_BITS / 64 rows
+            array[r["word"]] = r["bit"]
+        self.array = F.split(F.lit(",".join(map(str, array))), ",").cast("array<bigint>")  # folded to one literal
+
+    @staticmethod
+    def _whole(gram: Column) -> Column:
+        return F.xxhash64(gram)
 
+    @staticmethod
+    def _outer(words: Column, i: Column, size: Column) -> Column:
+        """Hash of the first two words of a window at ``i``, of the one where it is one word."""
+        first = F.get(words, i - 1)
+        return F.when(size > 1, F.xxhash64(first, F.get(words, i))).otherwise(F.xxhash64(first))
 
-def _found(size: int, rows: list, w: Column | None = None) -> Column:
-    """Places of ``w`` with a window of the set: by its outer words, its hash, then its words."""
-    hashes = sorted({r["h"] for r in rows})
-    begin, end = sorted({r["gram"][0] for r in rows}), sorted({r["gram"][-1] for r in rows})
-    whole = sorted({" ".join(r["gram"]) for r in rows})
-    w = F.col("w") if w is None else w
+    def holds(self, h: Column) -> Column:
+        at = h.bitwiseAND(self.bits - 1)
+        return F.getbit(F.get(self.array, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
-    def may(i: Column) -> Column:
-        return F.get(w, i - 1).isin(begin) & F.get(w, i + (size - 2)).isin(end) & F.xxhash64(F.slice(w, i, F.lit(size))).isin(hashes) & F.array_join(F.slice(w, i, F.lit(size)), " ").isin(whole)
+    def places(self, w: Column) -> Column:
+        """Windows of the words ``w`` that may be test windows."""
+        none = F.array().cast(PLACES)
+        return F.concat(*[self._of_size(w, size, none) for size in self.sizes]) if self.sizes else none
 
-    places = F.when(F.size(w) >= size, F.filter(F.sequence(F.lit(1), F.size(w) - (size - 1)), may))
-    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
+    def _of_size(self, w: Column, size: int, none: Column) -> Column:
+        def may(i: Column) -> Column:
+            return self.holds(self._outer(w, i, F.lit(size))) & self.holds(self._whole(F.slice(w, i, F.lit(size))))
 
+        at = F.filter(F.sequence(F.lit(1), F.size(w) - (size - 1)), may)
+        listed = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
+        return F.when(F.size(w) >= size, listed).otherwise(none)
 
-def _every(size: int) -> Column:
-    """All windows of ``size`` words."""
-    w = F.col("w")
-    places = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
 
+def _scanned(text: Column, known: HashSet) -> Column:
+    """(n_words, places) of a text, whose words are cut once: they are bound as the
+    variable of a lambda."""
+    bound = F.transform(F.array(normal_words(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), known.places(w).alias("places")))
+    return F.element_at(bound, 1)
 
-def literal_windows(windows: DataFrame, most: int) -> tuple[dict[int, list] | None, list[int]]:
-    """The distinct windows by size, or none if there are more than ``most``; and the sizes."""
-    rows = windows.select("size", "h", "gram").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        return None, sorted(r[0] for r in windows.select("size").distinct().collect())
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(r["size"], []).append(r)
-    return by_size, sorted(by_size)
 
+def _grams(windows: DataFrame) -> DataFrame:
+    """The test windows with their items, broadcast if they are few enough."""
+    grams = windows.groupBy("size", "gram").agg(F.collect_set("item_id").alias("item_ids"))
+    return broadcast_rows(grams, 200)
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_literals: int = MAX_LITERALS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted strings), hits (pos, size), and the
-    columns of ``keep`` from the documents."""
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted strings), hits (pos, size)."""
     windows = benchmark_windows(benchmark, n)
-    grams = windows.groupBy("size", "h", "gram").agg(F.collect_set("item_id").alias("item_ids"))
-    by_size, sizes = literal_windows(windows, max_literals)
-    small = by_size is not None
-    extra = [c for c in keep if c not in ("doc_id", "text")]
-    base = pick(docs, *dict.fromkeys(("doc_id", "text", *keep)))
-    base = base.select("doc_id", *[F.col(c).alias(f"k_{c}") for c in keep], F.monotonically_increasing_id().alias("rid"), normal_words(F.col("text")).alias("w"))
-    carried = [f"k_{c}" for c in keep]
-    found = [_found(size, by_size[size]) if small else _every(size) for size in sizes]
-    none = F.array().cast("array<struct<pos:int,size:int,gram:array<string>>>")
-    scanned = base.select("rid", "doc_id", *carried, F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("places"))
-    hit = scanned.select("rid", "doc_id", *carried, "n_words", F.explode_outer("places").alias("p")).select(
-        "rid", "doc_id", *carried, "n_words", "p.pos", "p.size", "p.gram", F.xxhash64("p.gram").alias("h")
-    )
-    other = F.broadcast(grams) if small else grams
-    joined = hit.join(other, ["h", "size", "gram"], "left")
+    base = pick(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), _scanned(F.col("text"), HashSet(windows)).alias("s"))
+    hit = base.select("rid", "doc_id", "s.n_words", F.explode_outer("s.places").alias("p")).select("rid", "doc_id", "n_words", "p.pos", "p.size", "p.gram")
+    joined = hit.join(_grams(windows), ["size", "gram"], "left")
     real = F.col("item_ids").isNotNull()
     grouped = joined.groupBy("rid").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", *carried, "n_words")],
+        *[F.first(c).alias(c) for c in ("doc_id", "n_words")],
         F.sort_array(F.collect_set(F.when(real, F.struct("pos", "size")))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"),
     )
@@ -105,8 +121,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_l
         "'e', greatest(a.e, x.pos + x.size), 'c', a.c + greatest(0, x.pos + x.size - greatest(a.e, x.pos))), a -> a.c)"
     )
     items = F.sort_array(F.transform("ids", lambda x: x.cast("string")))
-    out = grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), items.alias("items"), "hits", *[F.col(f"k_{c}").alias(c) for c in extra], *([F.col("k_text").alias("text")] if "text" in keep else []))
-    return out
+    return grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), items.alias("items"), "hits")
 
 
 def clean_text(text: Column, hits: Column) -> Column:
@@ -118,23 +133,30 @@ def clean_text(text: Column, hits: Column) -> Column:
     return F.when(F.size(hits) > 0, joined).otherwise(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int = 10, max_literals: int = MAX_LITERALS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "documents", n: int = 10) -> DataFrame:
     """Documents without contamination: ``how`` removes hit ``documents`` or only the
-    hit ``spans`` of their texts.  Columns of ``docs`` stay."""
+    hit ``spans`` of their texts.  Columns of ``docs`` stay.
+
+    Hits are found by text (its digest), so repeated texts are verified together, and
+    come back to the scan as a small table, which is broadcast if it is small enough."""
     if how not in ("documents", "spans"):
         raise ValueError("how must be 'documents' or 'spans'")
-    columns = docs.columns
-    by_size, sizes = literal_windows(benchmark_windows(benchmark, n), max_literals)
-    if by_size is not None:  # a filter or projection of the scan, without an exchange
-        none = F.array().cast("array<struct<pos:int,size:int,gram:array<string>>>")
-        # the words are bound as a lambda's variable, so they are cut once a document
-        bound = F.transform(F.array(normal_words(F.col("text"))), lambda w: F.concat(*[_found(size, by_size[size], w) for size in sizes]) if sizes else none)
-        found = docs.withColumn("hits", F.element_at(bound, 1))
-    else:
-        found = find_contamination(docs, benchmark, n, max_literals, keep=tuple(columns))
+    spark, windows = docs.sparkSession, benchmark_windows(benchmark, n)
+    flat, place = positional(docs)
+    text = F.col(place["text"])
+    base = flat.where(text.isNotNull()).select(text_key(text).alias("key"), _scanned(text, HashSet(windows)).alias("s"))
+    hit = base.select("key", F.explode("s.places").alias("p")).select("key", "p.pos", "p.size", "p.gram")
+    real = hit.join(_grams(windows), ["size", "gram"])
+    path = f"{work_dir(spark)}/found"
+    hits = F.sort_array(F.collect_set(F.struct("pos", "size")))
+    (real.select("key").distinct() if how == "documents" else real.groupBy("key").agg(hits.alias("hits"))).write.parquet(path)
+    found = broadcast_rows(spark.read.parquet(path), 64 if how == "documents" else 1000)
+    keyed = flat.withColumn("key", text_key(text))
     if how == "documents":
-        return found.where(F.size("hits") == 0).select(*columns)
-    return found.withColumn("text", clean_text(F.col("text"), F.col("hits"))).select(*columns)
+        kept = keyed.join(found, "key", "left_anti")
+    else:
+        kept = keyed.join(found, "key", "left").withColumn(place["text"], F.when(F.col("hits").isNull(), text).otherwise(clean_text(text, F.col("hits"))))
+    return kept.select(*[F.col(place[i]).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

@@ -2,15 +2,17 @@
 
 From each rule's regular expression a Boolean query over lower-case trigrams is
 derived: an OR of ANDs that every matching text must satisfy.  The index holds the
-postings (trigram, document) of exactly the trigrams that some query uses.  Postings
-are intersected by joining them with the queries' terms and keeping, for each
-(clause, document), the groups in which all of the clause's trigrams occur.  Only
-candidate documents are verified with the rule's expression; rules without a
-mandatory trigram scan every text.
+postings (trigram, text digest) of exactly the trigrams that some query uses.  Postings
+of a text are intersected as bits of a mask: a clause holds where all of its trigrams
+do.  Only candidate texts are verified with the rule's expression, in the scan of the
+documents, to which the candidates' digests are broadcast if they are few enough; rules
+without a mandatory trigram scan every text.
 
 Spans are code-point offsets, end exclusive, from the pieces that lie between the
 matches.  Defined results: a null or empty text has no spans; repeated documents give
-a row each; documents with null ids are scanned too.
+a row each; documents with null ids are scanned too; an empty table gives no rows.  Very
+long texts are whole, and time grows in proportion to their spans.  Columns are found by
+place, so clashing names stay as they are.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import pick
+from .shared_windows import work_dir
+from .textbatch import broadcast_rows, positional, text_key
 
 
 @dataclass(frozen=True)
@@ -141,31 +145,53 @@ def _node(op, arg) -> tuple[frozenset[str] | None, Query]:
     return None, ALWAYS
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and a key that is the same in every scan: equal rows share it, and
-    equal texts have equal spans."""
-    source = pick(docs, *dict.fromkeys(("doc_id", "text", *more)))
-    return source.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64("text").alias("h"), F.length("text").alias("n")))
+def terms_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries use."""
+    return sorted({t for r in rules for c in trigram_query(r.pattern) for t in c})
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, key) of the trigrams that the rules' queries use."""
-    terms = sorted({t for r in rules for c in trigram_query(r.pattern) for t in c})
-    low = F.lower("text")
+    """Postings (trigram, key) of the trigrams that the rules' queries use; ``key`` is the
+    digest of a text, so repeated texts share their postings."""
+    terms = terms_of(rules)
+    flat, place = positional(docs)
+    text = F.col(place["text"])
+    low = flat.where(text.isNotNull()).select(text_key(text).alias("key"), F.lower(text).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
-    return keyed(docs).where("text is not null").select("key", low.alias("low")).select("key", F.explode(held).alias("trigram"))
+    return low.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, kinds): the rules whose query the postings satisfy, for each document.
-
-    The queries' clauses are a small table; a clause holds where as many postings of
-    a document meet it as it has trigrams."""
-    clauses = [(r.kind, i, t, len(c)) for r in rules if (q := trigram_query(r.pattern)) != ALWAYS for i, c in enumerate(sorted(q, key=sorted)) for t in sorted(c)]
-    spark = postings.sparkSession
-    table = spark.createDataFrame(clauses, "kind string, clause int, trigram string, need int")
-    met = postings.distinct().join(F.broadcast(table), "trigram").groupBy("key", "kind", "clause", "need").agg(F.count("*").alias("n")).where("n = need")
-    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    """(key, kinds): the rules whose query the postings satisfy, for each text.
+
+    A trigram is a bit, so postings of a text join to masks before they are shuffled, and
+    a clause holds where all its bits do."""
+    terms, wide = terms_of(rules), 62
+    bit = {t: (i // wide, 1 << (i % wide)) for i, t in enumerate(terms)}
+    words = range(-(-len(terms) // wide))
+    table = postings.sparkSession.createDataFrame([(t, *bit[t]) for t in terms], "trigram string, word int, bit long")
+    masks = postings.join(F.broadcast(table), "trigram").groupBy("key").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")).alias(f"m{w}") for w in words])
+    kinds = []
+    for r in rules:
+        query = trigram_query(r.pattern)
+        if query == ALWAYS:
+            continue
+        either = F.lit(False)
+        for clause in sorted(query, key=sorted):
+            need = [sum(bit[t][1] for t in clause if bit[t][0] == w) for w in words]
+            either = either | reduce(Column.__and__, [F.col(f"m{w}").bitwiseAND(m) == m for w, m in enumerate(need) if m])
+        kinds.append(F.when(either, F.lit(r.kind)))
+    found = F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
+    return masks.select("key", found.alias("kinds")).where(F.size("kinds") > 0)
+
+
+CHUNK = 512
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _chunks(array: Column) -> Column:
+    """An array cut into arrays of ``CHUNK``: aggregates that append copy one at most."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(array), F.lit(1)) - 1) / CHUNK).cast("int")), lambda c: F.slice(array, c * CHUNK + 1, F.lit(CHUNK)))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -176,50 +202,75 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         F.arrays_zip(F.regexp_extract_all(text, pattern, 0).alias("m"), F.regexp_extract_all(text, pattern, rule.group).alias("g")),
         lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m["m"]).alias("size"), (F.length(m["g"]) >= rule.least).alias("good")),
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast(SPANS)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def span(begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["good"], F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.coalesce(x["good"], F.lit(False)), F.concat(acc["out"], F.array(span(begin, end)))).otherwise(acc["out"]).alias("out"))
+
+    def placed(local: Column) -> Column:
+        """Spans that each chunk counts from its own start, counted from the text's."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        offsets = F.aggregate(local, start, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(local, offsets, lambda x, o: F.transform(x["out"], lambda s: span(s["start"] + o, s["end"] + o))))
 
-    found = F.aggregate(sized, start, step, lambda acc: acc["out"])
+    bound = F.transform(F.array(sized), lambda z: F.transform(_chunks(z), lambda c: F.aggregate(c, zero, step)))
+    found = F.element_at(F.transform(bound, placed), 1)
     return F.when(F.regexp_like(text, pattern), found).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, spans (start, rank, end, kind; in order) and the columns of ``keep``."""
-    found = candidates(build_index(docs, rules), rules)
-    source = keyed(docs, *keep).join(found, "key", "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+def _with_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict]:
+    """The documents, columns renamed by place, with their ``spans``.  Texts stay in the
+    scan: candidates come to it as a small table, broadcast if it is small enough."""
+    spark = docs.sparkSession
+    path = f"{work_dir(spark)}/candidates"
+    candidates(build_index(docs, rules), rules).write.parquet(path)
+    flat, place = positional(docs)
+    source = flat.withColumn("key", text_key(F.col(place["text"]))).join(broadcast_rows(spark.read.parquet(path), 100), "key", "left")
+    text = F.coalesce(F.col(place["text"]), F.lit(""))
     parts = []
     for i, rule in enumerate(rules):
         spans = spans_of(text, rule, i)
         full = trigram_query(rule.pattern) == ALWAYS
-        parts.append(spans if full else F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), spans).otherwise(none))
-    return source.select("doc_id", *[c for c in keep if c != "doc_id"], F.array_sort(F.concat(*parts)).alias("spans"))
+        parts.append(spans if full else F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), spans).otherwise(F.array().cast(SPANS)))
+    return source.withColumn("spans", F.array_sort(F.concat(*parts))), place
+
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, spans (start, rank, end, kind; in order)."""
+    found, place = _with_spans(docs, rules)
+    return found.select(F.col(place["doc_id"]).alias("doc_id"), "spans")
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span (overlapping ones together) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    gaps = "array<struct<a:int,z:int>>"
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("a"), s["start"].alias("z")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    def whole(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(chunks, start, lambda a, c: F.struct(F.greatest(a["at"], F.array_max(F.transform(c, lambda s: s["end"]))).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        kept = F.flatten(F.zip_with(chunks, before, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(gaps).alias("out")), step, lambda a: a["out"])))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.array_join(F.concat(F.transform(kept, lambda g: F.substr(text, g["a"] + 1, g["z"] - g["a"])), F.array(F.substr(text, last + 1))), mark)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(_chunks(spans)), whole), 1)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Documents with their secrets replaced; columns and all other documents stay."""
-    columns = docs.columns
-    found = scan_secrets(docs, rules, keep=tuple(columns))
-    return found.withColumn("text", redact(F.col("text"), F.col("spans"))).select(*columns)
+    """Documents with their secrets replaced; columns, whatever their names, and all other
+    documents stay."""
+    found, place = _with_spans(docs, rules)
+    out = found.withColumn(place["text"], redact(F.col(place["text"]), F.col("spans")))
+    return out.select(*[F.col(place[i]).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 U64 = np.uint64
+MOST_BROADCAST = 64 << 20
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library: nothing to trim
@@ -46,6 +47,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict]:
+    """The table with its columns renamed by place, and the new name of each old one, by
+    its place and by its exact spelling: nothing inside can clash with a user's column."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    place: dict = dict(enumerate(names))
+    for name, own in zip(df.columns, names):
+        place.setdefault(name, own)
+    return df.toDF(*names), place
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that texts share exactly if they are equal (MD5; a null text is empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def broadcast_rows(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows, of some ``row_bytes`` each, have at
+    most ``MOST_BROADCAST`` bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= MOST_BROADCAST else df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     h = h ^ (h >> U64(31))

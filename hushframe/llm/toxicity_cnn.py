@@ -1,10 +1,10 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
-Words (ASCII letters lower-cased) are hashed twice into embedding tables; a word's
-vector is the sum of its two rows, so one colliding row alone doesn't carry a
-verdict.  Filters of several widths slide over the whole text, ReLU and max pooling
-follow, then a logistic layer.  At scoring time embeddings and filters are folded
-into one table per width and offset, so a filter is a few gathers and an addition.
+Words (ASCII letters lower-cased) are hashed twice into embedding tables, and so are
+their beginnings of five and of seven bytes, so that inflected and compounded forms of a
+word that was never seen share what was learned; a word's vector is the sum of its rows,
+so one colliding row alone doesn't carry a verdict.  Filters of several widths slide over the whole text, ReLU and max pooling
+follow, then a logistic layer.
 
 Training rows: a bounded sample (``TrainLimits.max_rows``, chosen by hash over all
 rows that may be learned from), fitted on the driver.  Where it has fewer than
@@ -16,7 +16,9 @@ rows.  A language without ``min_positives`` there or without such a score uses t
 threshold found over all languages together, and that is ``floor`` where these have none.
 
 Defined results: null and empty texts get the score of the bias alone.  Without any
-usable labelled row the score is 0 everywhere.  Rows with null ids are scored.
+usable labelled row the score is 0 everywhere.  Rows with null ids are scored, repeated
+rows give a row each, an empty table none; a null language has the threshold of all.
+Very long texts are scored whole.  Other columns stay or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, U64, Words, buffers, id_fold, map_pieces, mix, pick, pieces
+from .textbatch import LOWER, U64, Words, buffers, id_fold, map_pieces, mix, pick, pieces, positional, range_hashes
 
-HASHES = 2
+#: Rows of a word: twice the word itself, then its beginnings of so many bytes.
+BEGINNINGS = (None, None, 5, 7)
+HASHES = len(BEGINNINGS)
 
 
 @dataclass(frozen=True)
@@ -46,12 +50,12 @@ class TrainLimits:
     buckets: int = 1 << 16
     dims: int = 12
     widths: tuple[int, ...] = (1, 2, 3)
-    filters: int = 4
-    epochs: int = 14
+    filters: int = 16
+    epochs: int = 30
     batch: int = 160
     rate: float = 0.02
     decay: float = 1e-4
-    min_count: int = 3
+    min_count: int = 2
     floor: float = 0.3
     precision: float = 0.8
     min_positives: int = 15
@@ -60,10 +64,10 @@ class TrainLimits:
 
 @dataclass
 class ToxicityModel:
-    """Folded tables: ``tables[w][j][k]`` is bucket x filter for width w, offset j, hash k."""
+    """``embed[k]``: bucket x dims; ``conv[w][j]``: dims x filters for width w and offset j."""
 
-    widths: tuple[int, ...]
-    tables: list[list[list[np.ndarray]]]
+    embed: list[np.ndarray]
+    conv: list[list[np.ndarray]]
     biases: list[np.ndarray]
     out: np.ndarray
     out_bias: float
@@ -71,27 +75,39 @@ class ToxicityModel:
     threshold: float = 0.3
 
     def score(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        pooled = [pool(self.tables[i], b, buckets, first)[0] for i, b in enumerate(self.biases)]
+        vectors = word_vectors(self.embed, buckets)
+        pooled = [pool(vectors, width, b, first)[0] for width, b in zip(self.conv, self.biases)]
         z = np.concatenate(pooled, axis=1) @ self.out + self.out_bias
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
+def word_vectors(embed: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
+    out = embed[0][buckets[0]]
+    for table, rows in zip(embed[1:], buckets[1:]):
+        out += table[rows]
+    return out
+
+
 def word_buckets(batch_texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed rows (hash x word) of a piece's words, and each document's first word."""
     buf, offs = buffers(batch_texts)
-    words = Words(LOWER[buf], offs)
-    h = words.hash
-    return np.stack([(mix(h + U64(977 * k + 1)) % U64(buckets)).astype(np.int32) for k in range(HASHES)]), words.first
+    buf = LOWER[buf]
+    words = Words(buf, offs)
+    rows = []
+    for k, most in enumerate(BEGINNINGS):
+        h = words.hash if most is None else range_hashes(buf, words.start, np.minimum(words.end, words.start + most))
+        rows.append((mix(h + U64(977 * k + 1)) % U64(buckets)).astype(np.int32))
+    return np.stack(rows), words.first
 
 
-def pool(tables: list[list[np.ndarray]], bias: np.ndarray, buckets: np.ndarray, first: np.ndarray, where: bool = False):
+def pool(vectors: np.ndarray, width: list[np.ndarray], bias: np.ndarray, first: np.ndarray, where: bool = False):
     """Max over a document's positions of each filter; positions past its end are padding."""
-    n, docs = buckets.shape[1], len(first) - 1
+    n, docs = len(vectors), len(first) - 1
     act = np.zeros((n, len(bias)), np.float32)
-    for j, by_hash in enumerate(tables):
-        for k, table in enumerate(by_hash):
-            if j < n:
-                act[: n - j] += table[buckets[k, j:]]
+    for j, filters in enumerate(width):
+        part = vectors @ filters
+        if j < n:
+            act[: n - j] += part[j:]
         if j and n:
             # the last j words of a document have no word at offset j
             size = np.diff(first)
@@ -99,8 +115,7 @@ def pool(tables: list[list[np.ndarray]], bias: np.ndarray, buckets: np.ndarray,
                 ends = (first[1:] - back)[size >= back]
                 over = ends + j
                 over = over[over < n]
-                for k, table in enumerate(by_hash):
-                    act[over - j] -= table[buckets[k, over]]
+                act[over - j] -= part[over]
     top = np.full((docs, len(bias)), -bias, np.float32)
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
@@ -137,10 +152,11 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
     rng = np.random.default_rng(7)
     n_rows, n_filters = len(labels), limits.filters
     if not n_rows or labels.min() == labels.max():
-        empty = [[[np.zeros((limits.buckets, n_filters), np.float32)] * HASHES] * w for w in limits.widths]
+        empty = [np.zeros((limits.buckets, limits.dims), np.float32)] * HASHES
+        conv = [[np.zeros((limits.dims, n_filters), np.float32)] * w for w in limits.widths]
         rate = float(labels.mean()) if n_rows else 0.0
         bias = -40.0 if rate == 0 else float(min(40, np.log(rate + 1e-9) - np.log(1 - rate + 1e-9)))
-        return ToxicityModel(limits.widths, empty, [np.zeros(n_filters, np.float32)] * len(limits.widths), np.zeros(n_filters * len(limits.widths), np.float32), bias)
+        return ToxicityModel(empty, conv, [np.zeros(n_filters, np.float32)] * len(limits.widths), np.zeros(n_filters * len(limits.widths), np.float32), bias)
     table = pa.table({"text": texts}).combine_chunks().to_batches()
     docs: list[np.ndarray] = []
     for batch in table:
@@ -168,15 +184,12 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
     flat = [x for w in conv for x in w]
     adam = _Adam([*embed, *flat, *biases, out, out_bias], limits.rate)
 
-    def folded():
-        return [[[e @ c for e in embed] for c in width] for width in conv]
-
     def gathered(rows):
         size = np.array([docs[r].shape[1] for r in rows])
         return np.concatenate([docs[r] for r in rows], axis=1), np.concatenate([[0], np.cumsum(size)])
 
     def model():
-        return ToxicityModel(limits.widths, folded(), [b.copy() for b in biases], out.copy(), float(out_bias[0]))
+        return ToxicityModel([e.copy() for e in embed], [[c.copy() for c in w] for w in conv], [b.copy() for b in biases], out.copy(), float(out_bias[0]))
 
     def held_scores(m):
         parts = [m.score(*gathered(held[i : i + 512])) for i in range(0, len(held), 512)]
@@ -188,8 +201,8 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
         for i in range(0, len(train), limits.batch):
             rows = train[i : i + limits.batch]
             buckets, first = gathered(rows)
-            tables = folded()
-            pooled, spots = zip(*[pool(tables[w], biases[w], buckets, first, True) for w in range(len(conv))])
+            vectors = word_vectors(embed, buckets)
+            pooled, spots = zip(*[pool(vectors, conv[w], biases[w], first, True) for w in range(len(conv))])
             joined = np.concatenate(pooled, axis=1)
             p = 1 / (1 + np.exp(-(joined @ out + out_bias[0])))
             gz = ((p - labels[rows]) / len(rows)).astype(np.float32)
@@ -300,7 +313,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits =
     """doc_id, held_out, score, predicted (score >= 0.3), toxic (score at or above the
     language's calibrated threshold).  The language only picks the threshold."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # some 12 MB whatever the input
+    shared = spark.sparkContext.broadcast(model)  # some 13 MB whatever the input
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
@@ -319,8 +332,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits =
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:
-    """Documents below their language's threshold; columns stay, nothing is shuffled."""
+    """Documents below their language's threshold; columns stay, whatever their names, and
+    nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    flat, place = positional(docs)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,4 +344,5 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = Tr
         cut = np.array([m.thresholds.get(x or "", m.threshold) for x in batch.column(lang).to_pylist()])
         return batch.filter(pa.array(score < cut))
 
-    return map_pieces(docs, run, docs.schema)
+    kept = map_pieces(flat, run, flat.schema, place["text"])
+    return kept.select(*[F.col(place[i]).alias(c) for i, c in enumerate(docs.columns)])
