@@ -11,7 +11,9 @@ The vocabulary file (the ``tokenizers`` JSON format, model BPE with an end-of-wo
 suffix, NFC / white space / lower-case normaliser, byte-level symbols, no decoder) is
 read from a path given as parameter; its content is broadcast and never stored here.
 
-Defined results: null is the empty text: no ids, hashes of the empty string.
+Defined results: null is the empty text: no ids, hashes of the empty string; an empty
+table gives no rows.  Repeated rows and null ids give a row each; very long texts are
+encoded whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ length (bits a byte, times ``sharpness``).
 
 Defined results: null text or text without a letter gives ``und`` and score 0, as
 does every text if no language could be learned.  Ties go to the first language by name.
+Repeated rows and null ids give a row each, an empty table none; very long texts are read
+whole (only the training sample is cut); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbatch import buffers, id_fold, map_pieces, pick
+from .textbatch import broadcast_rows, buffers, id_fold, map_pieces, pick
 
 ORDER = 3
 
@@ -211,8 +213,13 @@ def train_ppm(docs: DataFrame, limits: PpmLimits = PpmLimits()) -> PpmModels:
         pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null and text <> ''")
         .where(id_fold(F.col("doc_id"), 3) != 1)
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang", F.octet_length("text").alias("size")).withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id", "lang", "size").toPandas()
+    # of a language with many documents only those of small hash are ranked, about twice
+    # as many as are taken, so no task meets a whole language
+    share = usable.groupBy("lang").agg((F.lit(2.0 * limits.docs_per_lang + 100) / F.count("*")).alias("share"))
+    fraction = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = usable.select("doc_id", "lang", F.octet_length("text").alias("size")).join(broadcast_rows(share, 100), "lang").where(fraction < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(fraction, F.xxhash64("doc_id"), "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= limits.docs_per_lang).select("doc_id", "lang", "size").toPandas()
     models = PpmModels(sorted(chosen["lang"].unique()), [])
     for at in range(0, len(models.langs), limits.langs_per_read):
         some = chosen[chosen["lang"].isin(models.langs[at : at + limits.langs_per_read])]

@@ -174,9 +174,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession, but: str | None = None) -> None:
-    """Delete every folder that operators of this driver still hold, ``but`` one: call it
-    when their results have been written or are no longer needed."""
-    for path in [p for p in _open_folders if p != but]:
+    """Delete every folder that operators of this driver still hold, those made before
+    ``but`` and itself excepted: call it when results were written or are not needed."""
+    kept = _open_folders.index(but) + 1 if but in _open_folders else 0
+    for path in _open_folders[kept:]:
         remove(spark, path)
         _open_folders.remove(path)
 

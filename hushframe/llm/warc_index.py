@@ -13,6 +13,7 @@ range of one archive.
 Defined results: a null html is an empty payload, a null url has the key "-".  Of rows
 that share the smallest id of a payload all are responses; a payload whose rows all have
 null ids has responses only.  Rows repeated with one id and url are written and found each.
+An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from urllib.parse import unquote
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared_windows import filesystem, remove, work_dir
+from .shared_windows import filesystem, remove, settled_result, work_dir
 from .textbatch import frugal, pick, small_batches
 
 LINES = 1000
 ARCHIVE_BYTES = 256 << 20
 TIME = "20240101000000"
 MOST_OPEN = 32
+#: As in the index key: blanks and control characters of an address.
+_SPACE = re.compile(r"[\x00-\x20]")
 #: Look-ups whose records are returned together.
 TOGETHER = 500
 
@@ -65,7 +69,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     body = head + payload if kind == "response" else head
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {TIME[:4]}-{TIME[4:6]}-{TIME[6:8]}T00:00:00Z",
-        f"WARC-Target-URI: {''.join((url or '-').split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Target-URI: {_SPACE.sub('%20', url or '-')}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
@@ -173,22 +177,34 @@ def write_index(places: DataFrame, root: str, lines: int = LINES) -> DataFrame:
     return places.sparkSession.read.parquet(f"{root}/directory")
 
 
+def directory_files(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """(first key, last key, address) of each file of the sparse directory, in order: one row
+    a task that wrote the index, so it is small whatever the number of pages."""
+    rows = spark.read.parquet(f"{root}/directory").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("first").alias("a"), F.max("first").alias("z")).collect()
+    return sorted((r["a"], r["z"], r["path"]) for r in rows)
+
+
 class CaptureIndex:
-    """Look-ups in an index by binary search; used in tasks and on the driver."""
+    """Look-ups in an index by binary search; used in tasks and on the driver.  One is
+    opened a task; it reads a file of the directory when a key falls into it, and keeps
+    the last one, as keys come in order."""
 
-    def __init__(self, root: str, low: str | None = None, high: str | None = None):
-        """``low``, ``high``: bounds of the keys to be looked up; only the part of the
-        directory that can hold them is kept."""
+    def __init__(self, root: str, directory: list[tuple[str, str, str]]):
         self.fs, self.base = filesystem(root)
-        table = pq.read_table(f"{self.base}/directory", filesystem=self.fs, columns=["first", "file", "offset", "length"])
-        order = np.argsort(np.array(table["first"].to_pylist(), object), kind="stable")
-        first = table["first"].take(order).to_pylist()
-        a = max(0, bisect.bisect_left(first, low) - 1) if low is not None else 0
-        b = bisect.bisect_right(first, high) if high is not None else len(first)
-        self.first = first[a:b]
-        self.where = [table[c].take(order[a:b]).to_pylist() for c in ("file", "offset", "length")]
+        self.begins = [a for a, _, _ in directory]
+        self.parts = [path for _, _, path in directory]
+        self.part: tuple[int, list[str], list[list]] = (-1, [], [])
         self.files: OrderedDict[str, object] = OrderedDict()
-        self.block: tuple[int, list[str]] = (-1, [])
+        self.block: tuple[tuple[int, int], list[str]] = ((-1, -1), [])
+
+    def open_part(self, i: int) -> tuple[list[str], list[list]]:
+        if self.part[0] != i:
+            fs, path = filesystem(unquote(self.parts[i]))
+            table = pq.read_table(path, filesystem=fs, columns=["first", "file", "offset", "length"], partitioning=None)
+            first = table["first"].to_pylist()
+            order = sorted(range(len(first)), key=first.__getitem__)
+            self.part = (i, [first[j] for j in order], [table[c].take(pa.array(order)).to_pylist() for c in ("file", "offset", "length")])
+        return self.part[1], self.part[2]
 
     def read(self, file: str, offset: int, length: int) -> bytes:
         """One range of one file."""
@@ -201,25 +217,31 @@ class CaptureIndex:
         handle.seek(offset)
         return handle.read(length)
 
-    def lines(self, i: int) -> list[str]:
-        if self.block[0] != i:
-            raw = self.read(*(w[i] for w in self.where))
-            self.block = (i, gzip.decompress(raw).decode().split("\n")[:-1])
+    def lines(self, part: int, i: int) -> list[str]:
+        if self.block[0] != (part, i):
+            raw = self.read(*(w[i] for w in self.open_part(part)[1]))
+            self.block = ((part, i), gzip.decompress(raw).decode().split("\n")[:-1])
         return self.block[1]
 
     def find(self, key: str) -> Iterator[str]:
         """Lines that begin with ``key`` and a space, in order."""
         probe = key + " "
-        i = max(0, bisect.bisect_left(self.first, probe) - 1)
-        while i < len(self.first) and (self.first[i] < probe or self.first[i].startswith(key)):
-            lines = self.lines(i)
-            at = bisect.bisect_left(lines, probe)
-            while at < len(lines) and lines[at].startswith(probe):
-                yield lines[at]
-                at += 1
-            if at < len(lines):
-                return
-            i += 1
+        part = max(0, bisect.bisect_left(self.begins, probe) - 1)
+        while part < len(self.parts):
+            first, _ = self.open_part(part)
+            i = max(0, bisect.bisect_left(first, probe) - 1)
+            while i < len(first):
+                if first[i] >= probe and not first[i].startswith(key):
+                    return
+                lines = self.lines(part, i)
+                at = bisect.bisect_left(lines, probe)
+                while at < len(lines) and lines[at].startswith(probe):
+                    yield lines[at]
+                    at += 1
+                if at < len(lines):
+                    return
+                i += 1
+            part += 1
 
     def records(self, key: str) -> Iterator[dict]:
         """The records of a line key prefix ("url-key", "url-key time" or "url-key time page")."""
@@ -236,12 +258,12 @@ def read_back(pages: DataFrame, root: str, with_payload: bool = False) -> DataFr
     wanted = wanted.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
+    directory = directory_files(pages.sparkSession, root)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CaptureIndex(root, directory)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             keys = [f"{k} {TIME} {p}" for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            index = CaptureIndex(root, min(keys), max(keys) + " ~")
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             for at in range(0, len(keys), TOGETHER):
                 rows = [{c: r[c] for c in names} for k in keys[at : at + TOGETHER] for r in index.records(k)]
@@ -252,14 +274,15 @@ def read_back(pages: DataFrame, root: str, with_payload: bool = False) -> DataFr
 
 
 def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Write archives and index into the shared folder, then read every page back."""
+    """Write archives and index into the shared folder, read every page back, and delete
+    them; the rows that were read stay there (``release`` deletes them)."""
     root = work_dir(pages.sparkSession)
     write_index(write_archives(pages, root, min_payload), root)
     remove(pages.sparkSession, f"{root}/places")
-    return read_back(pages, root)
+    return settled_result(read_back(pages, root), root, "archives", "index", "directory")
 
 
 def lookup(spark: SparkSession, root: str, url: str) -> list[dict]:
     """All captures of one url, on the driver."""
     key = spark.range(1).select(url_key(F.lit(url)).alias("k")).first()["k"]
-    return list(CaptureIndex(root, key, key + " ~").records(key))
+    return list(CaptureIndex(root, directory_files(spark, root)).records(key))
