@@ -52,7 +52,7 @@ BUCKET_BYTES = 6 << 20
 ROOT_SCALE = 256
 #: Bytes that are solved together, bytes of text that are cut into windows together, and
 #: windows of the longest segment.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 17
 WINDOW_BYTES = 1 << 20
 MOST_WINDOWS = 1024
 #: Folders of a table of answers.
@@ -73,7 +73,7 @@ class Windows:
     window: int
     gram: int
     key_by_doc: bool
-    hot: int = 4096
+    hot: int = 1 << 15
 
 
 class Tokens:
@@ -153,7 +153,8 @@ class Runs:
         content = mix((prefix[start + length] - prefix[start]) * down[start] + length.astype(U64))
         # equal windows of one run have their anchors at different places
         again = anchor[head] != anchor[head + size - 1]
-        return start + a, size, least[head], doc[head], content, again
+        # the least of many hashes is small: mixed again, so that buckets fill evenly
+        return start + a, size, mix(least[head] + U64(1)), doc[head], content, again
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -565,7 +566,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
 
     def kinds(codes: np.ndarray, head: np.ndarray) -> np.ndarray:
         """1 for an anchor of too many surroundings."""
-        return (np.maximum.reduceat(codes, head) == 7) | (np.add.reduceat(np.int64(1) << codes, head) > most)
+        return np.add.reduceat(np.int64(1) << codes, head) > most
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
