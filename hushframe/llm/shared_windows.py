@@ -580,8 +580,8 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
         if held:
             yield hash_rows(now, *surroundings(*map(np.concatenate, zip(*held))), bits)
 
-    sent = source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary")
-    write_answers(shared_hashes(sent, kinds), cold)
+    # no name holds on to a finished step, whose shuffle files could then not be let go
+    write_answers(shared_hashes(source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary"), kinds), cold)
     settle(spark)
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
