@@ -20,18 +20,21 @@ class PMF:
 
 
 def compute_pmf(probabilities: Sequence[float]) -> PMF:
-    """Exact distribution of a sum of independent 0/1 variables."""
-    out = np.ones(1)
-    for p in probabilities:
-        out = np.convolve(out, (1 - p, p))
-    return PMF(0, out)
+    """Exact distribution of a sum of independent 0/1 variables: the product of their
+    generating polynomials, multiplied pairwise."""
+    factors = [np.array([1 - p, p]) for p in probabilities] or [np.ones(1)]
+    while len(factors) > 1:
+        odd = factors[len(factors) & ~1 :]
+        factors = [np.convolve(a, b) for a, b in zip(factors[::2], factors[1::2])] + odd
+    return PMF(0, factors[0])
 
 
 def compute_exp_std_skewness(probabilities: Sequence[float]) -> tuple[float, float, float]:
+    """From the first three cumulants, which add up over independent variables."""
     p = np.asarray(probabilities, float)
-    var = p * (1 - p)
-    std = math.sqrt(var.sum())
-    return float(p.sum()), std, float((var * (1 - 2 * p)).sum() / std**3)
+    q = 1 - p
+    first, second, third = np.stack([p, p * q, p * q * (q - p)]).sum(axis=1)
+    return float(first), math.sqrt(second), float(third / second**1.5)
 
 
 def compute_pmf_approximation(mean: float, sigma: float, skewness: float, n: int) -> PMF:

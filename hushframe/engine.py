@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -31,8 +32,14 @@ BROADCAST_KEYS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir (a local one is set where it is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir; where that is unset, a local session gets a
+    folder of its own, and on a cluster it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
 
 
@@ -46,7 +53,7 @@ class DPResult:
     def to_df(self) -> DataFrame:
         if self._df is None:
             if not self._ready():
-                raise AssertionError("The budget is not calculated yet. Was compute_budgets() called?")
+                raise AssertionError("a release needs its budget: call compute_budgets() first")
             planned = self._build()
             spark = planned.sparkSession
             path = shared_folder(spark)
@@ -259,7 +266,7 @@ class DPEngine:
         arrow = to_arrow_schema(held)
         salted = unit.select(*keys, "values").mapInArrow(start, held)
         # a hot key is folded in parts first, then the parts
-        parts = salted.withColumn("_salt", (F.rand() * 64).cast("int")).groupBy(*keys, "_salt").applyInArrow(fold, held)
+        parts = salted.withColumn("_salt", F.pmod(F.xxhash64("acc"), F.lit(64))).groupBy(*keys, "_salt").applyInArrow(fold, held)
         merged = parts.groupBy(*keys).applyInArrow(fold, held)
         if listed is not None:
             merged = listed.alias("a").join(merged.alias("b"), self._on(keys), "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], "b.acc", F.coalesce("b._units", F.lit(0)).alias("_units"))
@@ -297,7 +304,7 @@ class DPEngine:
             keys = [f"k{i}" for i in range(len(names))]
             units = rows.select("pid", *keys) if params.contribution_bounds_already_enforced else sample(rows.select("pid", *keys).distinct(), ["pid"], params.max_partitions_contributed, self._sampling.of_keys(keys))
             if not params.contribution_bounds_already_enforced:
-                report.add_stage(f"Cross-partition contribution bounding: for each privacy_id randomly select max(actual_partition_contributed, {params.max_partitions_contributed}) partitions")
+                report.add_stage(f"Cross-partition contribution bounding: a random sample of at most {params.max_partitions_contributed} partitions of each privacy id")
             if strategy is PartitionSelectionStrategy.WEIGHTED_GAUSSIAN_THRESHOLDING:
                 from pyspark.sql import Window
 
@@ -360,24 +367,24 @@ class DPEngine:
     def _check_aggregate(self, col: DataFrame, p: AggregateParams, e: DataExtractors) -> None:
         _check_frame(col)
         if p is None:
-            raise ValueError("params must be set to a valid AggregateParams")
+            raise ValueError("params: AggregateParams are needed")
         if not isinstance(p, AggregateParams):
-            raise TypeError("params must be set to a valid AggregateParams")
+            raise TypeError("params: AggregateParams are needed")
         if e is None:
-            raise ValueError("data_extractors must be set to a DataExtractors")
+            raise ValueError("data_extractors: DataExtractors are needed")
         if not isinstance(e, DataExtractors):
-            raise TypeError("data_extractors must be set to a DataExtractors")
+            raise TypeError("data_extractors: DataExtractors are needed")
         if p.contribution_bounds_already_enforced:
-            require(e.privacy_id_extractor is None, "privacy_id_extractor should be set iff contribution_bounds_already_enforced is False")
+            require(e.privacy_id_extractor is None, "a privacy id is needed exactly where bounds are to be enforced")
         else:
-            require(e.privacy_id_extractor is not None, "privacy_id_extractor should be set iff contribution_bounds_already_enforced is False")
+            require(e.privacy_id_extractor is not None, "a privacy id is needed exactly where bounds are to be enforced")
         plain = {Metrics.PRIVACY_ID_COUNT, Metrics.COUNT, Metrics.SUM, Metrics.MEAN}
         if p.max_contributions:
             extra = set(p.metrics or ()) - plain
             if extra:
                 raise NotImplementedError(f"max_contributions is not supported for {extra}")
         if p.post_aggregation_thresholding:
-            require(Metrics.PRIVACY_ID_COUNT in (p.metrics or ()), "When post_aggregation_thresholding = True, PRIVACY_ID_COUNT must be in metrics")
+            require(Metrics.PRIVACY_ID_COUNT in (p.metrics or ()), "post_aggregation_thresholding drops by PRIVACY_ID_COUNT, which isn't asked for")
         if not isinstance(self._accountant, NaiveBudgetAccountant):
             if p.custom_combiners:
                 raise NotImplementedError(f"PLD budget accounting is not compatible with custom combiners: {p.custom_combiners}")

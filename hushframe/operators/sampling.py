@@ -27,8 +27,10 @@ class ValueSampler:
 
 
 def filter_by_key_with_sharding(df: DataFrame, keys: DataFrame, key: str, shards: int) -> DataFrame:
-    """Semi-join on a key with hot values: rows get a random shard, keys all of them."""
-    salted = df.withColumn("_shard", (F.rand() * shards).cast("int"))
+    """Semi-join on a key with hot values: rows get a shard by the hash of all their columns,
+    which a repeated task finds again, and keys get all shards."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salted = df.withColumn("_shard", F.pmod(F.xxhash64(*hashed), F.lit(shards)).cast("int"))
     listed = keys.select(F.col(key)).distinct().withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     return salted.join(listed, [key, "_shard"], "left_semi").drop("_shard")
 

@@ -7,7 +7,7 @@ of a hot unit or key only the rows that can be kept travel.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,20 +17,34 @@ from ..params import AggregateParams
 
 @dataclass(frozen=True)
 class Sampling:
-    """How contributions are sampled.  By default uniformly, from a secret seed.  With a
-    ``salt``, in order of md5(salt | row id): repeatable, and so for tests only."""
+    """How contributions are sampled.  By default in order of a hash keyed by a ``secret`` of
+    the system's entropy: uniform to who doesn't know it, and the same when a task is
+    repeated in another order of rows, so a unit keeps what it kept before.  With a
+    ``salt``, in order of md5(salt | row id), which anyone can repeat: for tests only."""
 
     salt: str | None = None
     row_id: Column | None = None
+    secret: str = field(default_factory=lambda: os.urandom(32).hex(), repr=False)
 
-    def of_rows(self) -> list[Column]:
+    def numbered(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Equal rows numbered (``_copy``), so that each has a place of its own in the order.
+        They are counted before anything is shuffled, and spread by their value."""
+        if self.salt is not None:
+            return rows
+        counted = rows.groupBy("pid", *keys, "value").agg(F.count("*").alias("_n"))
+        return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+    def _keyed(self, *columns: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(half), *columns) for half in (self.secret[:32], self.secret[32:])]
+
+    def of_rows(self, keys: list[str]) -> list[Column]:
         if self.salt is None:
-            return [F.rand(int.from_bytes(os.urandom(8), "little", signed=True))]
+            return self._keyed(F.lit("rows"), *[F.col(c) for c in ("pid", *keys, "value", "_copy")])
         return [F.md5(F.concat(F.lit(f"{self.salt}1|"), F.col("row_id").cast("string"))), F.col("row_id")]
 
     def of_keys(self, keys: list[str]) -> list[Column]:
         if self.salt is None:
-            return [F.rand(int.from_bytes(os.urandom(8), "little", signed=True))]
+            return self._keyed(F.lit("keys"), F.col("pid"), *[F.col(k) for k in keys])
         parts = [c for k in ["pid", *keys] for c in (F.lit("|"), F.coalesce(F.col(k).cast("string"), F.lit("")))][1:]
         return [F.md5(F.concat(F.lit(f"{self.salt}2|"), *parts)), *[F.col(k) for k in keys]]
 
@@ -43,18 +57,21 @@ def sample(df: DataFrame, group: list[str], most: int, order: list[Column]) -> D
 
 def bound(rows: DataFrame, keys: list[str], p: AggregateParams, partials: list[Column], sampled: bool, sampling: Sampling) -> tuple[DataFrame, list[str]]:
     """One row of ``partials`` for each kept (pid, key), and report stages."""
-    by_rows, by_keys = sampling.of_rows(), sampling.of_keys(keys)
+    # the labels before each colon are fixed values of a report
+    by_rows, by_keys = sampling.of_rows(keys), sampling.of_keys(keys)
+    if p.max_contributions is not None or sampled:
+        rows = sampling.numbered(rows, keys)
     unit = ["pid", *keys]
     stages = []
     if p.max_contributions is not None:
         rows = sample(rows, ["pid"], p.max_contributions, by_rows)
-        stages.append(f"User contribution bounding: randomly selected not more than {p.max_contributions} contributions")
+        stages.append(f"User contribution bounding: a random sample of at most {p.max_contributions} rows of each privacy id")
         return rows.groupBy(*unit).agg(*partials), stages
     if sampled:
         rows = sample(rows, unit, p.max_contributions_per_partition, by_rows)
-        stages.append(f"Per-partition contribution bounding: for each privacy_id and each partition, randomly select max(actual_contributions_per_partition, {p.max_contributions_per_partition}) contributions.")
+        stages.append(f"Per-partition contribution bounding: a random sample of at most {p.max_contributions_per_partition} rows of each privacy id in each partition")
     out = rows.groupBy(*unit).agg(*partials)
     if p.perform_cross_partition_contribution_bounding:
         out = sample(out, ["pid"], p.max_partitions_contributed, by_keys)
-        stages.append(f"Cross-partition contribution bounding: for each privacy_id randomly select max(actual_partition_contributed, {p.max_partitions_contributed}) partitions")
+        stages.append(f"Cross-partition contribution bounding: a random sample of at most {p.max_partitions_contributed} partitions of each privacy id")
     return out, stages

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .budget import BudgetAccountant
 from .engine import CustomCombiner, DPEngine, DPResult
@@ -17,6 +21,50 @@ from .report import ExplainComputationReport
 PID = "__privacy_id"
 
 
+class PrivateCombineFn:
+    """An aggregate in four steps: accumulators are created, given one clipped value after
+    another, merged, and turned into a protected number by ``extract_private_output``."""
+
+    def create_accumulator(self) -> Any:
+        raise NotImplementedError
+
+    def add_private_input(self, accumulator: Any, value: Any) -> Any:
+        """The accumulator with a value, which is to be clipped here."""
+        raise NotImplementedError
+
+    def merge_accumulators(self, accumulators: Iterable[Any]) -> Any:
+        raise NotImplementedError
+
+    def request_budget(self, accountant: BudgetAccountant) -> Any:
+        """What is asked of the accountant; ``extract_private_output`` gets it back."""
+        raise NotImplementedError
+
+    def extract_private_output(self, accumulator: Any, budget: Any) -> float:
+        raise NotImplementedError
+
+
+class CombineFnAdapter(CustomCombiner):
+    """A ``PrivateCombineFn`` as a combiner of the engine, with the one output ``combined``."""
+
+    def __init__(self, function: PrivateCombineFn):
+        self.function, self.budget = function, None
+
+    def request_budget(self, accountant: BudgetAccountant) -> None:
+        self.budget = self.function.request_budget(accountant)
+
+    def create_accumulator(self, values: list[Any]) -> Any:
+        return functools.reduce(self.function.add_private_input, values, self.function.create_accumulator())
+
+    def merge_accumulators(self, a: Any, b: Any) -> Any:
+        return self.function.merge_accumulators([a, b])
+
+    def compute_metrics(self, accumulator: Any) -> dict[str, float]:
+        return {"combined": self.function.extract_private_output(accumulator, self.budget)}
+
+    def metrics_names(self) -> list[str]:
+        return ["combined"]
+
+
 class PrivateDataFrame:
     """Transformations keep each row's privacy id; DP methods give a ``DPResult``."""
 
@@ -34,15 +82,48 @@ class PrivateDataFrame:
         """A projection; generators (explode) keep the id of the row that they came from."""
         return self._with(self._df.select(F.col(PID), *columns))
 
-    map = select
-    flat_map = select
+    def map(self, *how: Any, schema: Any = None) -> "PrivateDataFrame":
+        """Columns, or a function of a row (a dict of its visible columns) that gives a dict of
+        the ``schema``; it runs over Arrow batches in Python."""
+        if len(how) == 1 and callable(how[0]) and not isinstance(how[0], Column):
+            return self._mapped(lambda row: [how[0](row)], schema)
+        return self.select(*how)
+
+    def flat_map(self, *how: Any, schema: Any = None) -> "PrivateDataFrame":
+        """Columns with a generator, or a function of a row that gives any number of dicts."""
+        if len(how) == 1 and callable(how[0]) and not isinstance(how[0], Column):
+            return self._mapped(how[0], schema)
+        return self.select(*how)
+
+    def _mapped(self, function: Callable[[dict], Iterable[dict]], schema: Any) -> "PrivateDataFrame":
+        """Every row that a function makes keeps the privacy id of the row it came from."""
+        if schema is None:
+            raise ValueError("a function of rows needs the schema of what it gives")
+        made = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if PID in made.names:
+            raise ValueError("The privacy id can't be rewritten.")
+        whole = T.StructType([self._df.schema[PID], *made.fields])
+        arrow = to_arrow_schema(whole)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    pid = row.pop(PID)
+                    out += [{**{name: found.get(name) for name in made.names}, PID: pid} for found in function(row)]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+        return self._with(self._df.mapInArrow(run, whole))
 
     def with_column(self, name: str, column: Column) -> "PrivateDataFrame":
         if name == PID:
             raise ValueError("The privacy id can't be rewritten.")
         return self._with(self._df.withColumn(name, column))
 
-    def filter(self, condition: str | Column) -> "PrivateDataFrame":
+    def filter(self, condition: str | Column | Callable[[dict], bool]) -> "PrivateDataFrame":
+        if callable(condition) and not isinstance(condition, Column):
+            own = T.StructType([f for f in self._df.schema.fields if f.name != PID])
+            return self._mapped(lambda row: [row] if condition(row) else [], own)
         return self._with(self._df.where(condition))
 
     def _metric(self, params: Any, public: Any, report: Any, value: Extractor | None) -> DPResult:
@@ -67,8 +148,10 @@ class PrivateDataFrame:
     def select_partitions(self, params: SelectPartitionsParams, partition_extractor: Extractor) -> DPResult:
         return DPEngine(self._accountant).select_partitions(self._df, params, DataExtractors(PID, partition_extractor))
 
-    def combine(self, combiner: CustomCombiner, params: AggregateParams, partition_extractor: Extractor, value_extractor: Extractor, public_partitions: Any = None) -> DPResult:
+    def combine(self, combiner: "CustomCombiner | PrivateCombineFn", params: AggregateParams, partition_extractor: Extractor, value_extractor: Extractor, public_partitions: Any = None) -> DPResult:
         """A user-defined aggregate; ``params`` has its bounds."""
+        if isinstance(combiner, PrivateCombineFn):
+            combiner = CombineFnAdapter(combiner)
         given = {k: getattr(params, k) for k in params.__dataclass_fields__} | {"metrics": None, "custom_combiners": [combiner]}
         return DPEngine(self._accountant).aggregate(self._df, AggregateParams(**given), DataExtractors(PID, partition_extractor, value_extractor), public_partitions)
 

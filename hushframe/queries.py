@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 
 from .analysis.preaggregate import preaggregate
 from .analysis.summary import public_partitions_counts
-from .analysis.tuning import constant_relative_step
+from .analysis.tuning import MinimizingFunction, ParametersToTune, TuneOptions, find_candidate_parameters, tune
 from .analysis.utility import MultiParameterConfiguration, UtilityAnalysis, UtilityAnalysisOptions
 from .budget import Budget, NaiveBudgetAccountant
 from .dataframes import QueryBuilder
-from .engine import DPEngine
+from .engine import CustomCombiner, DPEngine, shared_folder
 from .extractors import DataExtractors
+from .mechanisms import LaplaceMechanism
 from .operators import histograms as h
 from .operators.contribution_bounds import L0ScoringFunction
 from .operators.error_estimator import create_estimator_for_count_and_privacy_id_count
 from .operators.sampling import ValueSampler, filter_by_key_with_sharding
-from .params import AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, MechanismType, Metrics, NoiseKind, NormKind, PartitionSelectionStrategy, SelectPartitionsParams
+from .params import AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, CountParams, MeanParams, MechanismType, Metrics, NoiseKind, NormKind, PartitionSelectionStrategy, PrivacyIdCountParams, SelectPartitionsParams, SumParams, VarianceParams
 from .plans.bounding import Sampling, sample
-from .private_frame import make_private
+from .private_frame import PrivateCombineFn, make_private
 from .selection import TruncatedGeometric
+from .sources import text
 
 BUDGET = Budget(1e12, 1e-2)
 TYPES = ("click", "view", "purchase", "signup", "error")
@@ -181,14 +183,28 @@ def dp_vector_sum(spark, sf_dir):
     return rounded(result.to_df().select(F.col("label").cast("int").alias("label"), F.posexplode("vector_sum").alias("i", "total")), total=3)
 
 
-@query()
+#: Ranks whose place among the values is never a whole number of values of these tables.
+_RANKS = (10.0371, 50.0371, 99.5371)
+_LEAF = 500.0 / 65536
+
+
+@query(
+    f"WITH v AS (SELECT event_type, least(floor(least(greatest(value, 0.0), 500.0) / {_LEAF}), 65535)::BIGINT AS leaf FROM events WHERE value IS NOT NULL), "
+    "l AS (SELECT event_type, leaf, count(*) AS c FROM v GROUP BY ALL), u AS (SELECT *, sum(c) OVER (PARTITION BY event_type ORDER BY leaf) AS upto, sum(c) OVER (PARTITION BY event_type) AS n FROM l), "
+    f"r AS (SELECT * FROM (VALUES ({_RANKS[0]}), ({_RANKS[1]}), ({_RANKS[2]})) AS t(p)), "
+    f"q AS (SELECT event_type, p, (leaf + (n * p / 100 - (upto - c)) / c) * {_LEAF} AS x FROM u, r WHERE n * p / 100 > upto - c AND n * p / 100 <= upto) "
+    f"SELECT event_type, round(max(x) FILTER (p = {_RANKS[0]}), 3) AS low, round(max(x) FILTER (p = {_RANKS[1]}), 3) AS middle, round(max(x) FILTER (p = {_RANKS[2]}), 3) AS high FROM q GROUP BY event_type"
+)
 def dp_percentiles(spark, sf_dir):
-    """The tree's interpolation has no plain SQL; tests hold it against exact percentiles."""
+    """The walk down the tree of counts, without noise: the first leaf by which a rank's
+    share of the values is reached, and the share of that leaf's values before it."""
     df = events(spark, sf_dir)
     q = builder(df, public_types(df))
-    for p in (10, 50, 99.5):
+    for p in _RANKS:
         q = q.percentile("value", p, min_value=0, max_value=500)
-    return q.build_query().run_query(BUDGET)
+    found = q.build_query().run_query(BUDGET)
+    own = [c for c in found.columns if c != "event_type"]
+    return rounded(found.select("event_type", *[F.col(f"`{c}`").alias(n) for c, n in zip(own, ("low", "middle", "high"))]), low=3, middle=3, high=3)
 
 
 @query("SELECT o_orderpriority, count(*)::BIGINT AS value FROM orders GROUP BY o_orderpriority")
@@ -203,8 +219,6 @@ def dp_add_noise_preagg(spark, sf_dir):
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE value > 50 GROUP BY event_type")
 def private_frame_count(spark, sf_dir):
     df = events(spark, sf_dir)
-    from .params import CountParams
-
     groups, rows = all_rows(df.where("value > 50"), "user_id", "event_type")
     accountant = NaiveBudgetAccountant(1e12, 1e-2)
     private = make_private(df, accountant, "user_id").filter("value > 50")
@@ -213,6 +227,156 @@ def private_frame_count(spark, sf_dir):
     return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
 
 
+@query("SELECT event_type, round(sum(least(greatest(value * 2, 0.0), 100.0)), 2) AS total FROM events GROUP BY event_type")
+def private_frame_map_sum(spark, sf_dir):
+    """A function of rows, then the sum."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    private = make_private(df, accountant, "user_id").map(lambda row: {"event_type": row["event_type"], "value": row["value"] * 2}, schema="event_type string, value double")
+    result = private.sum(SumParams(groups, rows, 0, 100, "event_type", "value"), public_types(df))
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnRenamed("sum", "total"), total=2)
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
+def private_frame_flat_map_count(spark, sf_dir):
+    """A function that gives one row for each line of more than ten pieces, or none."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"))
+    groups, rows = all_rows(df, "l_orderkey", "l_returnflag")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    private = make_private(df, accountant, "l_orderkey").flat_map(lambda row: [{"l_returnflag": row["l_returnflag"]}] if row["l_quantity"] > 10 else [], schema="l_returnflag string")
+    result = private.count(CountParams(max_partitions_contributed=groups, max_contributions_per_partition=rows, partition_extractor="l_returnflag"), df.select("l_returnflag").distinct())
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
+
+
+@query(f"SELECT event_type, round(avg({_CLIP}), 4) AS mean, round(var_pop({_CLIP}), 3) AS variance, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type")
+def private_frame_moments(spark, sf_dir):
+    """Three releases of one private frame."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(3e12, 1e-2)
+    private, public = make_private(df, accountant, "user_id"), public_types(df)
+    mean = private.mean(MeanParams(groups, rows, 0, 100, "event_type", "value"), public)
+    variance = private.variance(VarianceParams(groups, rows, 0, 100, "event_type", "value"), public)
+    users = private.privacy_id_count(PrivacyIdCountParams(max_partitions_contributed=groups, partition_extractor="event_type"), public)
+    accountant.compute_budgets()
+    joined = mean.to_df().select("event_type", "mean").join(variance.to_df().select("event_type", "variance"), "event_type").join(users.to_df(), "event_type")
+    return rounded(joined.withColumnRenamed("privacy_id_count", "users").select("event_type", "mean", "variance", "users"), mean=4, variance=3, users=0)
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day FROM orders GROUP BY o_orderdate HAVING count(DISTINCT o_custkey) > 7")
+def select_partitions_pre_threshold(spark, sf_dir):
+    """Days of fewer than seven customers go, and those of seven but for a chance of 1e-12."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    accountant = NaiveBudgetAccountant(1e12, 1e-12)
+    groups, _ = all_rows(df, "o_custkey", "day")
+    params = SelectPartitionsParams(max_partitions_contributed=groups, pre_threshold=7)
+    result = DPEngine(accountant).select_partitions(df, params, DataExtractors("o_custkey", "day"))
+    accountant.compute_budgets()
+    return result.to_df()
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day, count(*)::BIGINT AS n FROM orders GROUP BY o_orderdate HAVING count(DISTINCT o_custkey) > 8")
+def dp_count_pre_threshold(spark, sf_dir):
+    """Counts of the days that selection keeps: of eight customers or fewer none is, but for
+    a chance of 1e-12."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    groups, rows = all_rows(df, "o_custkey", "day")
+    accountant = NaiveBudgetAccountant(1e12, 1e-12)
+    params = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=groups, max_contributions_per_partition=rows, pre_threshold=8)
+    result = DPEngine(accountant).aggregate(df, params, DataExtractors("o_custkey", "day"))
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
+
+
+class _Squares(CustomCombiner):
+    """The sum of squares, as the exact value of a custom aggregate."""
+
+    def request_budget(self, accountant):
+        self.spec = accountant.request_budget(MechanismType.LAPLACE)
+
+    def create_accumulator(self, values):
+        return float(sum(v * v for v in values))
+
+    def merge_accumulators(self, a, b):
+        return a + b
+
+    def compute_metrics(self, accumulator):
+        return {"squares": accumulator}
+
+    def metrics_names(self):
+        return ["squares"]
+
+
+@query("SELECT event_type, round(sum(value * value), 1) AS squares FROM events GROUP BY event_type")
+def custom_combiner_squares(spark, sf_dir):
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(custom_combiners=[_Squares()], max_partitions_contributed=groups, max_contributions_per_partition=rows)
+    result = DPEngine(accountant).aggregate(df, params, EVENT, public_types(df))
+    accountant.compute_budgets()
+    return rounded(result.to_df(), squares=1)
+
+
+class _ClippedSum(PrivateCombineFn):
+    def create_accumulator(self):
+        return 0.0
+
+    def add_private_input(self, accumulator, value):
+        return accumulator + min(max(value, 0.0), 100.0)
+
+    def merge_accumulators(self, accumulators):
+        return sum(accumulators)
+
+    def request_budget(self, accountant):
+        return accountant.request_budget(MechanismType.LAPLACE)
+
+    def extract_private_output(self, accumulator, budget):
+        return float(LaplaceMechanism(budget.eps, 100.0).add_noise(accumulator))
+
+
+@query(f"SELECT event_type, round(sum({_CLIP}), 2) AS combined FROM events GROUP BY event_type")
+def private_combine_fn(spark, sf_dir):
+    """A user's aggregate of four steps with its own noise."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=groups, max_contributions_per_partition=rows)
+    result = make_private(df, accountant, "user_id").combine(_ClippedSum(), params, "event_type", "value", public_types(df))
+    accountant.compute_budgets()
+    return rounded(result.to_df(), combined=2)
+
+
+@query("SELECT o_orderpriority, i::INTEGER AS i, round(sum(CASE WHEN i = 0 THEN 1 ELSE o_totalprice END), 2) AS value, true AS has_deviation FROM orders, range(2) AS r(i) GROUP BY o_orderpriority, i")
+def add_noise_to_arrays(spark, sf_dir):
+    """Noise on an array of two totals, with its deviation beside it."""
+    df = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array(F.count("*").cast("double"), F.sum("o_totalprice").cast("double")).alias("value"))
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    result = DPEngine(accountant).add_dp_noise(df, AddDPNoiseParams(NoiseKind.GAUSSIAN, l0_sensitivity=1, linf_sensitivity=1, output_noise_stddev=True))
+    accountant.compute_budgets()
+    return result.to_df().select("o_orderpriority", F.posexplode("value").alias("i", "value"), (F.col("noise_stddev") > 0).alias("has_deviation")).withColumn("value", F.round("value", 2) + F.lit(0.0))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV and read back."""
+    path = f"{shared_folder(spark)}/csv"
+    text.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    return text.read_csv(spark, path, "n_nationkey long, n_name string")
+
+
+@query("SELECT n_regionkey::VARCHAR AS section, n_name AS name FROM nation")
+def sectioned_text_round_trip(spark, sf_dir):
+    """A section for each region, its nations' names as lines, written as text and read back."""
+    path = f"{shared_folder(spark)}/sections"
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names"))
+    nations.select(F.concat(F.col("n_regionkey").cast("string"), F.lit(":\n"), F.array_join("names", "\n")).alias("value")).write.text(path)
+    return text.read_sectioned_text(spark, path, ["name"])
+
+
 # Contribution bounding in a repeatable order.
 
 _ROWS = "SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY {by} ORDER BY md5(concat('s1|', cast(event_id AS VARCHAR))), event_id) AS rn FROM events"
@@ -355,6 +519,40 @@ def hist_preaggregated_l0(spark, sf_dir):
     return h.PreaggregatedCounts(preaggregate(events(spark, sf_dir), EVENT), ["event_type"]).l0()
 
 
+def _preaggregated(spark: SparkSession, sf_dir: str) -> h.PreaggregatedCounts:
+    return h.PreaggregatedCounts(preaggregate(events(spark, sf_dir), EVENT), ["event_type"])
+
+
+@query(_bins_sql("SELECT count(*) AS v FROM events GROUP BY user_id"))
+def hist_preaggregated_l1(spark, sf_dir):
+    return _preaggregated(spark, sf_dir).l1()
+
+
+@query(_bins_sql("SELECT count(*) AS v FROM events GROUP BY user_id, event_type"))
+def hist_preaggregated_linf(spark, sf_dir):
+    return _preaggregated(spark, sf_dir).linf()
+
+
+@query(_bins_sql("SELECT count(*) AS v FROM events GROUP BY event_type"))
+def hist_preaggregated_count_per_partition(spark, sf_dir):
+    return _preaggregated(spark, sf_dir).count_per_partition()
+
+
+@query(_bins_sql("SELECT count(DISTINCT user_id) AS v FROM events GROUP BY event_type"))
+def hist_preaggregated_users_per_partition(spark, sf_dir):
+    return _preaggregated(spark, sf_dir).units_per_partition()
+
+
+@query(_LOG.format(source="SELECT sum(value) AS v FROM events GROUP BY user_id, event_type"))
+def hist_preaggregated_linf_sum_log(spark, sf_dir):
+    return _tidy(_preaggregated(spark, sf_dir).linf_sum(True), True)
+
+
+@query(_LOG.format(source="SELECT sum(value) AS v FROM events GROUP BY event_type"))
+def hist_preaggregated_sum_per_partition_log(spark, sf_dir):
+    return _tidy(_preaggregated(spark, sf_dir).sum_per_partition(True), True)
+
+
 @query(
     "WITH c AS (SELECT count(*) AS v FROM events GROUP BY user_id, event_type), b AS (SELECT DISTINCT v AS bound FROM c) "
     "SELECT bound::BIGINT AS bound, round((SELECT sum(greatest(v - bound, 0)) FROM c) / (SELECT sum(v) FROM c), 9) AS ratio FROM b UNION ALL SELECT 0, 1.0"
@@ -424,9 +622,35 @@ def utility_report(spark, sf_dir):
     return rows.select("config", "partitions", F.round(F.col("count_abs_mean") / F.col("kept"), 4).alias("mean_error"), F.round(F.col("count_abs_rmse") / F.col("kept"), 4).alias("rmse"), F.round(F.col("count_rel_rmse") / F.col("kept"), 6).alias("relative_rmse"))
 
 
-@query("SELECT * FROM (VALUES (1), (6), (32), (178), (1000)) AS t(candidate)")
+_TUNED = [(1, 1), (1, 4), (3, 2), (5, 20)]
+
+
+@query(
+    "WITH p AS (SELECT user_id, event_type, count(*) AS c, count(*) OVER (PARTITION BY user_id) AS parts FROM events GROUP BY user_id, event_type), g AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_TUNED))
+    + ") AS t(config, l0, linf)), x AS (SELECT *, least(1.0, l0 / parts) AS q, least(c, linf) AS kept FROM p, g), "
+    "e AS (SELECT event_type, config, any_value(l0) AS l0, any_value(linf) AS linf, sum(kept - c) + sum(-kept * (1 - q)) AS mean, sum(kept * kept * q * (1 - q)) + 2.0 * any_value(l0 * linf) ** 2 AS var FROM x GROUP BY event_type, config), "
+    "f AS (SELECT config, l0, linf, avg(sqrt(mean * mean + var)) AS rmse FROM e GROUP BY ALL) "
+    "SELECT config::INTEGER AS config, l0::INTEGER AS l0, linf::INTEGER AS linf, round(rmse, 4) AS rmse, rmse = (SELECT min(rmse) FROM f) AS best FROM f"
+)
+def tune_counts(spark, sf_dir):
+    """``tune`` over four candidates: the analysed error of each, and which is the least."""
+    df = events(spark, sf_dir)
+    params = AggregateParams(metrics=[Metrics.COUNT], noise_kind=NoiseKind.LAPLACE, max_partitions_contributed=1, max_contributions_per_partition=1)
+    options = TuneOptions(1.0, 1e-5, params, MinimizingFunction.ABSOLUTE_ERROR, ParametersToTune(max_partitions_contributed=True, max_contributions_per_partition=True))
+    settings = MultiParameterConfiguration([a for a, _ in _TUNED], [b for _, b in _TUNED])
+    found, _ = tune(df, h.compute_dataset_histograms(df, EVENT), options, EVENT, list(TYPES), settings)
+    rows = [(i, *_TUNED[i], float(r.metric_errors[0].absolute_error.rmse), i == found.index_best) for i, r in enumerate(found.utility_reports)]
+    return spark.createDataFrame(rows, "config int, l0 int, linf int, rmse double, best boolean").withColumn("rmse", F.round("rmse", 4))
+
+
+@query("WITH m AS (SELECT max(v) AS v FROM (SELECT count(*) AS v FROM events GROUP BY user_id, event_type)), i AS (SELECT unnest(range(4)) AS i) SELECT (CASE i WHEN 0 THEN 1 WHEN 3 THEN v ELSE greatest(i + 1, ceil(power(v, i / 3.0))) END)::INTEGER AS candidate FROM m, i")
 def tune_candidates(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in constant_relative_step(1000, 5)], "candidate int")
+    """Candidates of the bound inside a partition, from this table's histogram."""
+    found = h.compute_dataset_histograms(events(spark, sf_dir), EVENT)
+    params = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=1, max_contributions_per_partition=1)
+    settings = find_candidate_parameters(found, ParametersToTune(max_contributions_per_partition=True), params, 4)
+    return spark.createDataFrame([(int(c),) for c in settings.max_contributions_per_partition], "candidate int")
 
 
 @query(

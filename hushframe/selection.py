@@ -61,20 +61,20 @@ class TruncatedGeometric(PartitionSelector):
     def __init__(self, epsilon: float, delta: float, l0: int, pre_threshold: int | None = None):
         super().__init__(pre_threshold)
         self.epsilon, self.delta = epsilon, delta
-        e, d = epsilon / l0, adjusted_delta(delta, l0)
-        # p(n) rises to 1 within a few dozen units; beyond that it is 1
-        table = [0.0]
-        grow, fall = math.exp(min(e, 700.0)), math.exp(-e)
-        while table[-1] < 1 and len(table) < 1_000_000:
-            p = table[-1]
-            table.append(min(grow * p + d, 1 - fall * (1 - p - d), 1.0))
-            if table[-1] <= p:
-                break
-        self.table = np.array(table)
+        self.e, self.d = min(epsilon / l0, 700.0), adjusted_delta(delta, l0)
+        # up to here probabilities grow by e ** epsilon, from here on they approach 1
+        self.turn = 1 + math.floor(max(0.0, math.log((math.expm1(self.e) + 2 * self.d) / (self.d * (math.exp(self.e) + 1)))) / self.e)
+        self.at_turn = self._growing(np.array([float(self.turn)]))[0]
+
+    def _growing(self, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.minimum(self.d * np.expm1(n * self.e) / math.expm1(self.e), 1.0)
 
     def _probabilities(self, n: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.floor(n).astype(np.int64), len(self.table) - 1)
-        return np.where(n >= len(self.table), 1.0 if self.table[-1] >= 1 - 1e-12 else self.table[-1], self.table[at])
+        n = np.floor(n)
+        limit = 1 + self.d / math.expm1(self.e)
+        near = limit - np.exp(-np.maximum(n - self.turn, 0) * self.e) * (limit - self.at_turn)
+        return np.where(n <= self.turn, self._growing(n), np.minimum(near, 1.0))
 
 
 class Thresholding(PartitionSelector):

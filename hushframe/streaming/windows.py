@@ -30,7 +30,8 @@ def closed_windows(stream: DataFrame, time: str, unit: str, key: str, window: st
 def release_windows(counts: DataFrame, budget: Budget, max_keys: int, max_per_key: int, public_keys: DataFrame | Iterable[Any], noise: NoiseKind = NoiseKind.LAPLACE) -> DataFrame:
     """(begin, key, dp_count) of closed windows: every public key of every window."""
     public = public_keys.toDF("key") if isinstance(public_keys, DataFrame) else counts.sparkSession.createDataFrame([(k,) for k in public_keys], "key string")
-    all_keys = counts.select("begin").distinct().crossJoin(F.broadcast(public.distinct()) if not isinstance(public_keys, DataFrame) else public.distinct())
+    # the windows that one batch closes are few, whatever the number of keys
+    all_keys = public.distinct().crossJoin(F.broadcast(counts.select("begin").distinct())).select("begin", "key")
     accountant = NaiveBudgetAccountant(budget.epsilon, budget.delta)
     params = AggregateParams(metrics=[Metrics.SUM], noise_kind=noise, max_partitions_contributed=max_keys, max_contributions_per_partition=1, min_sum_per_partition=0, max_sum_per_partition=max_per_key)
     extractors = DataExtractors(F.struct("unit", "begin"), ["begin", "key"], "n")
@@ -45,11 +46,14 @@ def stream_dp_counts(
     """Start the query; released windows are appended to the Parquet table ``sink``."""
 
     def release(batch: DataFrame, number: int) -> None:
+        done = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{sink}/number={number}/_SUCCESS")
+        if done.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            return  # a repeated batch was released before: its noise is drawn once
         held = batch.persist()
         try:
             if not held.isEmpty():
                 out = release_windows(held, budget, max_keys, max_per_key, public_keys).withColumn("batch", F.lit(number))
-                # the batch's own folder is overwritten if the batch is repeated
+                # what a failed attempt left is overwritten, as no one was told it was whole
                 out.write.mode("overwrite").parquet(f"{sink}/number={number}")
         finally:
             held.unpersist()

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.plans.bounding import bound
 from hushframe import (
     AddDPNoiseParams, AggregateParams, Budget, CalculatePrivateContributionBoundsParams, CountParams, CustomCombiner, DataExtractors, DPEngine, ExplainComputationReport, MeanParams, MechanismType, Metrics, NaiveBudgetAccountant, NoiseKind, NormKind,
     PartitionSelectionStrategy, PLDBudgetAccountant, PrivacyIdCountParams, QueryBuilder, Sampling, SelectPartitionsParams, SumParams, VarianceParams, make_private, register_annotator,
@@ -70,7 +71,7 @@ def test_bounds(spark):
 
 
 def test_group_limits_run_before_the_exchange(spark):
-    from hushframe.plans.bounding import sample
+    from hushframe.plans.bounding import Sampling, bound, sample
 
     df = spark.createDataFrame([(i % 3, i) for i in range(50)], "pid long, v long")
     text = sample(df, ["pid"], 2, Sampling("s", F.lit(0)).of_keys(["v"]))._jdf.queryExecution().executedPlan().toString()
@@ -293,3 +294,40 @@ def test_weighted_gaussian_selection(spark):
         return result.to_df().count()
 
     assert published(300, 1) == 1 and published(20, 1) == 0 and published(50, 10) == 0
+
+
+def test_sampling_survives_another_order_of_rows(spark):
+    """What a unit keeps doesn't depend on how a repeated task reads its rows."""
+    rows = [(p, f"k{k}", float(v)) for p in range(6) for k in range(8) for v in (1, 1, 2, 3, None) if v is not None]
+    schema, sampling = "pid long, k0 string, value double", Sampling()
+    p = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=3, max_contributions_per_partition=2)
+    total = AggregateParams(metrics=[Metrics.COUNT], max_contributions=5)
+    for params in (p, total):
+        kept = []
+        for n, order in ((1, rows), (4, rows[::-1]), (7, rows[100:] + rows[:100])):
+            df = spark.createDataFrame(order, schema).repartition(n)
+            out, _ = bound(df, ["k0"], params, [F.count("*").alias("n"), F.sum("value").alias("s")], True, sampling)
+            kept.append(sorted(map(tuple, out.collect())))
+        assert kept[0] == kept[1] == kept[2]
+        other, _ = bound(spark.createDataFrame(rows, schema), ["k0"], params, [F.count("*").alias("n"), F.sum("value").alias("s")], True, Sampling())
+        assert sorted(map(tuple, other.collect())) != kept[0]
+
+
+def test_sampling_of_equal_rows_is_uniform(spark):
+    """Of a thousand units with the values a, a, b one row is kept: b by a third of them."""
+    rows = [(p, "k", v) for p in range(1000) for v in (1.0, 1.0, 2.0)]
+    p = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=1, max_contributions_per_partition=1)
+    out, _ = bound(spark.createDataFrame(rows, "pid long, k0 string, value double"), ["k0"], p, [F.sum("value").alias("s")], True, Sampling())
+    assert 260 <= out.where("s = 2").count() <= 410 and out.count() == 1000
+
+
+def test_functions_of_private_rows(rows):
+    private = make_private(rows, NaiveBudgetAccountant(1, 1e-6), "pid")
+    doubled = private.map(lambda row: {"pk": row["pk"], "value": 2.0}, schema="pk string, value double")
+    split = private.flat_map(lambda row: [{"pk": row["pk"]}] * 2, schema="pk string").filter(lambda row: row["pk"] == "pk1")
+    assert doubled.columns == ["pk", "value"] and split._df.count() == 2 * rows.where("pk = 'pk1' and pid is not null").count()
+    assert {r[0] for r in split._df.select("__privacy_id").collect()} == {r[0] for r in rows.where("pk = 'pk1' and pid is not null").select("pid").collect()}
+    with pytest.raises(ValueError):
+        private.map(lambda row: row)
+    with pytest.raises(ValueError):
+        private.map(lambda row: row, schema="__privacy_id long")
