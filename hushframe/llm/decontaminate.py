@@ -79,17 +79,25 @@ class HashSet:
         return F.getbit(F.get(self.array, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
     def places(self, w: Column) -> Column:
-        """Windows of the words ``w`` that may be test windows."""
-        none = F.array().cast(PLACES)
-        return F.concat(*[self._of_size(w, size, none) for size in self.sizes]) if self.sizes else none
-
-    def _of_size(self, w: Column, size: int, none: Column) -> Column:
-        def may(i: Column) -> Column:
-            return self.holds(self._outer(w, i, F.lit(size))) & self.holds(self._whole(F.slice(w, i, F.lit(size))))
-
-        at = F.filter(F.sequence(F.lit(1), F.size(w) - (size - 1)), may)
-        listed = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
-        return F.when(F.size(w) >= size, listed).otherwise(none)
+        """Windows of the words ``w`` that may be test windows: places whose first words may
+        begin one are found in one pass for all sizes, then each size is tested there."""
+        none, nowhere = F.array().cast(PLACES), F.array().cast("array<int>")
+        found = []
+        for few, sizes in ((1, [s for s in self.sizes if s == 1]), (2, [s for s in self.sizes if s > 1])):
+            if sizes:
+                begins = F.when(F.size(w) >= few, self._begins(w, few)).otherwise(nowhere)
+                found.append(self._tested(w, begins, sizes))
+        return F.concat(*found) if found else none
+
+    def _tested(self, w: Column, begins: Column, sizes: list[int]) -> Column:
+        return F.element_at(F.transform(F.array(begins), lambda at: F.concat(*[self._of_size(w, at, size) for size in sizes])), 1)
+
+    def _begins(self, w: Column, few: int) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(w) - (few - 1)), lambda i: self.holds(self._outer(w, i, F.lit(few))))
+
+    def _of_size(self, w: Column, begins: Column, size: int) -> Column:
+        at = F.filter(begins, lambda i: (i <= F.size(w) - (size - 1)) & self.holds(self._whole(F.slice(w, i, F.lit(size)))))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.slice(w, i, F.lit(size)).alias("gram")))
 
 
 def _scanned(text: Column, known: HashSet) -> Column:
