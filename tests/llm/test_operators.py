@@ -34,7 +34,13 @@ def test_repetition_quality(spark, rows):
     df = quality_repeats.repetition_quality(frame(spark, rows))
     expected = Counter((d, *brute.repetition(t)) for d, t in rows)
     assert got(df, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "covered_words") == expected
-    assert all(not r["kept"] for r in df.collect() if r["base_failed"])
+    verdicts = []
+    for d, t in rows:
+        n, _, _, _, three, longest, covered = brute.repetition(t)
+        failed = n < 50 or 100 * three > 50 * n
+        verdicts.append((d, failed, not failed and covered <= 0.5 * n and longest <= max(40, 0.35 * n)))
+    assert got(df, "doc_id", "base_failed", "kept") == Counter(verdicts)
+    assert {v[2] for v in verdicts} == {True, False}
 
 
 def test_repetition_over_registered_table(spark):
