@@ -41,7 +41,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEYOND = re.compile("[^\x00-\u024f]")
 _CACHE_WORDS = 200_000
 #: Words of so many bytes of text are encoded together.
-TOGETHER_BYTES = 8 << 20
+TOGETHER_BYTES = 2 << 20
 
 
 def byte_symbols() -> list[str]:
