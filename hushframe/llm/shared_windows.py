@@ -236,7 +236,8 @@ def write_blocks(docs: DataFrame, path: str, block_bytes: int, whole: bool = Fal
                 row, held = row + n, held + int(offs[-1])
 
     schema = StructType([StructField(n, LongType()) for n in ("block", "row", "doc_id")] + [StructField("text", StringType()), StructField("n_bytes", LongType())] + source.schema.fields[2:])
-    source.mapInArrow(frugal(run), schema).write.parquet(path)
+    # texts lie here until the last step: the denser codec, whatever the session's is
+    source.mapInArrow(frugal(run), schema).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
