@@ -14,7 +14,8 @@ Documents link when their sets of five-word shingles have a Jaccard similarity o
    bytes and stores the sets in a trie, rarest shingle first.  A set is matched by walking
    the trie once: overlaps of shared paths are counted once, and subtrees are left when
    the shingles that remain can't reach the overlap that the lengths ask for, or when all
-   below is in the set's class already.  So every link counts real words.
+   below is in the set's class already.  Sets of a larger component walk it together, the
+   likeliest to link first.  So every link counts real words.
 5. A component of more than ``group`` shingles is dealt into parts.  Each part is joined
    with itself; then the sets outside the largest class meet every other part, so no pair
    of different classes stays uncompared and no task holds more than two parts.
@@ -46,25 +47,69 @@ GROUP = 1 << 20
 ROW_BITS = 22
 #: Keys over which the documents of one group are dealt when they meet its first.
 SALTS = 16
+#: Sets that walk their trie one by one; more walk it together.
+FEW = 24
+#: Bytes of the table of shingles by sets that walk a trie together.
+MEET = 4 << 20
 
 
 class Trie:
-    """Path-compressed trie of ordered sets; each node knows the lengths and the class of
-    the sets below it."""
+    """Path-compressed trie of ordered sets; each node knows the lengths of the sets below it."""
 
-    __slots__ = ("tokens", "children", "least", "most", "label", "ends")
+    __slots__ = ("tokens", "children", "least", "most", "ends")
 
     def __init__(self, tokens: np.ndarray):
         self.tokens = tokens
         self.children: dict[int, Trie] = {}
         self.least, self.most = 1 << 60, 0
-        self.label = -1  # class of all sets below, -2: several
         self.ends: list[int] = []
 
     def note(self, size: int) -> None:
         self.least, self.most = min(self.least, size), max(self.most, size)
 
 
+class Levels:
+    """A finished trie as arrays, its nodes breadth first: a node's children lie together,
+    and ``level`` holds where each depth begins."""
+
+    def __init__(self, root: Trie, place: np.ndarray):
+        nodes, parent, level = [root], [0], [0, 1]
+        while level[-2] < level[-1]:
+            for at in range(level[-2], level[-1]):
+                below = nodes[at].children.values()
+                nodes += below
+                parent += [at] * len(below)
+            level.append(len(nodes))
+        self.level, self.parent = level[:-1], np.array(parent)
+        self.n_children = np.array([len(n.children) for n in nodes])
+        self.first_child = 1 + np.cumsum(self.n_children) - self.n_children
+        self.least, self.most = np.array([n.least for n in nodes]), np.array([n.most for n in nodes])
+        self.length = np.array([len(n.tokens) for n in nodes])
+        self.start = np.cumsum(self.length) - self.length
+        self.tokens = np.concatenate([n.tokens for n in nodes])
+        self.depth = self.length.copy()
+        for a, b in zip(self.level[1:], self.level[2:]):
+            self.depth[a:b] += self.depth[self.parent[a:b]]
+        self.n_ends = np.array([len(n.ends) for n in nodes])
+        self.first_end = np.cumsum(self.n_ends) - self.n_ends
+        self.ends = np.array([e for n in nodes for e in n.ends], np.int64)
+        self.holder = np.repeat(np.arange(len(nodes)), self.n_ends)
+        self.latest = self.gathered(np.maximum, place, -1)
+
+    def gathered(self, merge: np.ufunc, value: np.ndarray, start: int) -> np.ndarray:
+        """For each node ``merge`` over the values of all sets below it."""
+        out = np.full(len(self.parent), start)
+        merge.at(out, self.holder, value[self.ends])
+        for a, b in zip(self.level[-2:0:-1], self.level[:0:-1]):
+            merge.at(out, self.parent[a:b], out[a:b])
+        return out
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... ``count[0]`` of them, then those of first[1], ..."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
 class TrieJoin:
     """Sets joined within one task.  ``sets`` hold ranks of the task's order, ascending;
     ``sizes`` are the full set sizes (shingles of one set only are left out of it)."""
@@ -86,7 +131,7 @@ class TrieJoin:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
-    def needed(self, x: int, y: int) -> int:
+    def needed(self, x, y):
         """Smallest overlap of sets of x and y shingles that links them."""
         return -(-self.num * (x + y) // (self.num + self.den))
 
@@ -111,43 +156,17 @@ class TrieJoin:
             if same < len(child.tokens):  # split the path
                 low = Trie(child.tokens[same:])
                 low.children, low.ends = child.children, child.ends
-                low.least, low.most, low.label = child.least, child.most, child.label
+                low.least, low.most = child.least, child.most
                 child.tokens = child.tokens[:same]
                 child.children, child.ends = {int(low.tokens[0]): low}, []
             at, node = at + same, child
 
-    def one_class(self, node: Trie) -> int:
-        """The class of all sets below a node, -2 if there are several."""
-        if node.label == -2:
-            # classes only ever join, so look again where it is cheap
-            labels = {self.find(e) for e in node.ends} | {self.find(c.label) if c.label >= 0 else -2 for c in node.children.values()}
-            if -2 in labels or len(labels) > 1:
-                return -2
-            node.label = labels.pop()
-        return self.find(node.label) if node.label >= 0 else -2
-
-    def label(self, i: int) -> None:
-        """Note the class of set ``i`` along its path."""
-        tokens, at, node = self.sets[i], 0, self.root
-        own = self.find(i)
-        while True:
-            if node.label == -1:
-                node.label = own
-            elif node.label >= 0 and self.find(node.label) != own:
-                node.label = -2
-            if at == len(tokens):
-                return
-            node = node.children[int(tokens[at])]
-            at += len(node.tokens)
-
     def match(self, i: int) -> None:
-        """Link set ``i`` with a set of every class in the trie that has one similar to it."""
+        """Link set ``i`` with the sets of other classes in the trie that are similar to it."""
         x, size = self.sets[i], int(self.sizes[i])
         stack = [(self.root, 0, 0, 0)]  # node, shingles of x passed, of the path passed, overlap
         while stack:
             node, passed, depth, overlap = stack.pop()
-            if self.one_class(node) == self.find(i):
-                continue
             if len(node.tokens):
                 at = np.searchsorted(x, node.tokens)
                 hit = np.zeros(len(at), bool)
@@ -166,13 +185,69 @@ class TrieJoin:
                 continue
             if overlap + min(len(x) - passed, node.most - depth) < self.needed(size, low):
                 continue
-            # the child that goes on as x does comes first, as it likely links
-            following = int(x[passed]) if passed < len(x) else -1
-            for first, child in node.children.items():
-                if first != following:
-                    stack.append((child, passed, depth, overlap))
-            if following in node.children:
-                stack.append((node.children[following], passed, depth, overlap))
+            stack += [(child, passed, depth, overlap) for child in node.children.values()]
+
+    def match_together(self, some: np.ndarray, place: np.ndarray, trie: Levels) -> None:
+        """Link the sets ``some`` with a later one (by ``place``) of every class in the trie
+        that has one similar to it: one walk for all, in which a node is met by those that
+        its subtrees may still have a link for."""
+        label = np.array([self.find(i) for i in range(len(self.sets))])
+        low, high = trie.gathered(np.minimum, label, len(label)), trie.gathered(np.maximum, label, -1)
+        only = np.where(low == high, low, -1)  # class of all sets below, -1: several
+        own, size, at = label[some], self.sizes[some], place[some]
+        lengths = np.array([len(self.sets[i]) for i in some.tolist()])
+        tokens, row = np.unique(np.concatenate([self.sets[i] for i in some.tolist()]), return_inverse=True)
+        holds = np.zeros((len(tokens) + 1, len(some)), np.uint8)  # the last row: shingles that none has
+        holds[row, np.repeat(np.arange(len(some)), lengths)] = 1
+        passed = np.zeros((len(tokens) + 1, len(some)), np.int32)
+        np.cumsum(holds[:-1], axis=0, out=passed[1:])
+        shortest = -(-self.num * size // self.den)
+        found = []
+        nodes, overlap, live = np.zeros(1, np.int64), np.zeros((1, len(some)), np.int32), np.ones((1, len(some)), bool)
+        while len(nodes):
+            # what can be told without the path: class, lengths, and who was matched before
+            live &= (only[nodes, None] != own) & (trie.latest[nodes, None] > at)
+            live &= (np.maximum(trie.least[nodes, None], shortest) <= trie.most[nodes, None]) & (trie.least[nodes, None] * self.num <= size * self.den)
+            some_live = live.any(axis=1)
+            nodes, overlap, live = nodes[some_live], overlap[some_live], live[some_live]
+            last = np.zeros((len(nodes), len(some)), np.int32)
+            # so many paths at a time that their rows stay small
+            step = np.cumsum(trie.length[nodes]) * len(some) // MEET
+            for cut in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(step)) + 1):
+                span = trie.length[nodes[cut]]
+                cut, span = cut[span > 0], span[span > 0]
+                if not len(cut):
+                    continue
+                path = trie.tokens[_runs(trie.start[nodes[cut]], span)]
+                where = np.minimum(np.searchsorted(tokens, path), len(tokens) - 1)
+                there = tokens[where] == path
+                begin = np.cumsum(span) - span
+                hit = np.append(0, np.cumsum(there))
+                a, b = hit[begin], hit[begin + span]  # the shingles that any has, by node
+                if len(full := np.flatnonzero(b > a)):
+                    overlap[cut[full]] += np.add.reduceat(holds[where[there]], a[full], axis=0, dtype=np.int32)
+                last[cut] = passed[np.searchsorted(tokens, path[begin + span - 1], "right")]
+            ends = trie.n_ends[nodes]
+            if ends.any():
+                of = np.repeat(np.arange(len(nodes)), ends)
+                e = trie.ends[_runs(trie.first_end[nodes], ends)]
+                good = live[of] & (overlap[of] >= self.needed(size, self.sizes[e][:, None])) & (place[e][:, None] > at) & (label[e][:, None] != own)
+                k, x = np.nonzero(good)
+                found.append((x, e[k]))
+            # the best that any set below can still reach
+            best = overlap + np.minimum(lengths - last, (trie.most - trie.depth)[nodes, None])
+            live &= best >= self.needed(size, np.maximum(trie.least[nodes, None], shortest))
+            go = live.any(axis=1)
+            below = trie.n_children[nodes[go]]
+            up = np.repeat(np.flatnonzero(go), below)
+            nodes, overlap, live = _runs(trie.first_child[nodes[go]], below), overlap[up], live[up]
+        x, e = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        # one link to each class suffices
+        first = np.unique(x * len(label) + label[e], return_index=True)[1]
+        for i, j in zip(some[x[first]].tolist(), e[first].tolist()):
+            if self.find(i) != self.find(j):
+                self.links.append((i, j))
+                self.join(i, j)
 
     def run(self, among: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that join all classes; ``among``: known class of each set."""
@@ -180,10 +255,27 @@ class TrieJoin:
             first: dict[int, int] = {}
             for i, c in enumerate(among.tolist()):
                 self.join(first.setdefault(c, i), i)
-        for i in np.lexsort((np.arange(len(self.sets)), self.sizes)).tolist():
-            self.match(i)
+        if len(self.sets) <= FEW:
+            for i in np.lexsort((np.arange(len(self.sets)), self.sizes)).tolist():
+                self.match(i)
+                self.insert(i)
+            return self.links
+        for i in range(len(self.sets)):
             self.insert(i)
-            self.label(i)
+        lengths = np.array([len(s) for s in self.sets])
+        # sets with the fewest shingles of their own are the likeliest to be linked: what
+        # they link is one class, which the sets after them need not meet again
+        order = np.lexsort((np.arange(len(lengths)), -lengths / np.maximum(self.sizes, 1)))
+        order = order[lengths[order] > 0]  # an empty set has no overlap
+        place = np.full(len(lengths), -1)
+        place[order] = np.arange(len(order))
+        trie, done, width = Levels(self.root, place), 0, 4
+        while done < len(order) - 1:
+            # at most so many that their shingles' rows stay small
+            rows = np.cumsum(lengths[order[done : done + width]]) * np.arange(1, 1 + len(order[done : done + width]))
+            some = order[done : done + max(1, int(np.searchsorted(rows, MEET, "right")))]
+            self.match_together(some, place, trie)
+            done, width = done + len(some), min(2 * width, 128)
         return self.links
 
 
