@@ -23,6 +23,8 @@ Very long texts are scored whole.  Other columns stay or are ignored, whatever t
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, U64, Words, buffers, id_fold, map_pieces, mix, pick, pieces, positional, range_hashes
+from .textbatch import LOWER, U64, Words, buffers, frugal, id_fold, map_pieces, mix, pick, pieces, positional, range_hashes, small_batches
 
 #: Rows of a word: twice the word itself, then its beginnings of so many bytes.
 BEGINNINGS = (None, None, 5, 7)
@@ -264,8 +266,8 @@ def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits, other
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = TrainLimits()) -> ToxicityModel:
     """Fit on documents whose crc32(doc_id as text) mod 4 is not 2.  Ids are sampled
-    by hash (a bounded top-k, so partial limits run before any exchange); only the
-    sampled texts travel to the driver."""
+    by hash (a bounded top-k, so partial limits run before any exchange); the sampled
+    texts meet in one task, which trains, so the driver only holds the model."""
     spark = docs.sparkSession
     known = (
         pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(F.coalesce(id_fold(F.col("doc_id"), 4), F.lit(2)) != 2)
@@ -294,10 +296,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
     if not fits.any():
         return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
     small = F.broadcast(spark.createDataFrame(sizes.loc[fits, ["doc_id", "size"]].merge(sample[["doc_id", "toxic"]], "left", "doc_id")))
-    got = texts.join(small, ["doc_id", "size"]).select("doc_id", "text", "lang", "toxic").toArrow().combine_chunks()
-    order = pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-    got = got.take(order)
-    return fit(got["text"].combine_chunks(), got["toxic"].to_numpy().astype(np.float32), got["lang"].to_pylist(), limits, toxic_weight)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches).combine_chunks()
+        got = got.take(pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+        model = fit(got["text"].combine_chunks(), got["toxic"].to_numpy().astype(np.float32), got["lang"].to_pylist(), limits, toxic_weight)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    small_batches(spark)
+    got = texts.join(small, ["doc_id", "size"]).select("doc_id", "text", "lang", "toxic").repartition(1)
+    return pickle.loads(got.mapInArrow(frugal(learn), "model binary").first()[0])
 
 
 def fitting(sizes: np.ndarray, most: int) -> np.ndarray:

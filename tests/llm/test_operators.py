@@ -2,6 +2,7 @@
 columns, empty tables, many small blocks and hot anchors."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -540,6 +541,12 @@ def test_clashing_columns(spark, monkeypatch, broadcast):
     shared_windows.release(spark)
 
 
+def test_driver_does_not_train(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "fit", lambda *_: os.getpid())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    assert toxicity_cnn.train_toxicity(frame(spark, [(i, f"text {i}") for i in range(1, 9)]), labels) != os.getpid()
+
+
 def test_many_spans_in_one_text(spark):
     """Over several chunks of matches, in order and at the right places."""
     text = "".join(f"é token={'a' * (6 + i % 5)}{i} " for i in range(1500))
