@@ -16,9 +16,12 @@ Documents link when their sets of five-word shingles have a Jaccard similarity o
    the shingles that remain can't reach the overlap that the lengths ask for, or when all
    below is in the set's class already.  Sets of a larger component walk it together, the
    likeliest to link first.  So every link counts real words.
-5. A component of more than ``group`` shingles is dealt into parts.  Each part is joined
-   with itself; then the sets outside the largest class meet every other part, so no pair
-   of different classes stays uncompared and no task holds more than two parts.
+5. Of a component of more than ``group`` shingles, sets whose shingles outside of it are
+   too many for any link go, judged by sizes; the others are dealt into parts.  Each part is
+   joined with itself and with the component's hubs, which every part has, so that a class
+   that lies in several parts is one; then the sets outside the largest class meet every
+   other part, so no pair of different classes stays uncompared and no task holds more than
+   two parts.
 
 Defined results: null or empty texts have no shingles and no links; an empty table gives
 no rows.  Repeated rows are documents of their own; null ids take part, and a class of only
@@ -32,14 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .components import connected_components
 from .shared_windows import Shared, bits_for, block_size, by_block, counted, hash_rows, read_answers, remove, settle, settled_result, shared_hashes, work_dir, write_answers, write_blocks
 from .shingle_sets import ShingleSets, clear_texts, prefix_length
-from .textbatch import frugal, frugal_group
+from .textbatch import frugal, frugal_group, mix, U64
 
 NUM, DEN = 3, 4
 #: Shingles that one part of a component may have.
@@ -47,6 +50,12 @@ GROUP = 1 << 20
 ROW_BITS = 22
 #: Keys over which the documents of one group are dealt when they meet its first.
 SALTS = 16
+#: Sets of a large component that all its parts have, and the share of a part they may take.
+HUBS, HUB_SHARE = 32, 16
+#: Steps of a doubling in which the sizes of a component's sets are told apart.
+SIZE_STEPS = 32
+#: Bytes of words that are cut into shingles together.
+CUT_BYTES = 1 << 20
 #: Sets that walk their trie one by one; more walk it together.
 FEW = 24
 #: Bytes of the table of shingles by sets that walk a trie together.
@@ -398,14 +407,20 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     # texts meet their places block by block, so they are shuffled once, to their part
     write_answers(places.withColumn("block", F.shiftright("key", ROW_BITS)), f"{root}/places")
     dealt = _placed(spark.read.parquet(f"{root}/blocks"), f"{root}/places")
+    columns = ["root", "part", "key", "words"]
     large = parts.where("parts > 1").limit(1).count() > 0
     if large:
-        dealt.where("parts > 1").write.parquet(f"{root}/dealt")
-    links = dealt.select("root", "part", "key", "words").groupBy("root", "part").applyInArrow(frugal_group(_join_group), "u long, v long")
+        dealt.write.parquet(f"{root}/dealt")  # so that the texts are read once
+        dealt = spark.read.parquet(f"{root}/dealt")
+        _large(dealt.where("parts > 1"), everyone, group).write.parquet(f"{root}/large")
+        own = spark.read.parquet(f"{root}/large")
+        each = F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
+        dealt = _spread(dealt.where("parts = 1").select(*columns).union(own.withColumn("part", F.explode(each)).select(*columns)), "root", "part")
+    links = dealt.select(*columns).groupBy("root", "part").applyInArrow(frugal_group(_join_group), "u long, v long")
     links.write.parquet(f"{root}/links0")
     links = spark.read.parquet(f"{root}/links0")
     if large:
-        _across(spark.read.parquet(f"{root}/dealt"), links, root, group).write.parquet(f"{root}/links1")
+        _across(own.where("parts > 1").drop("hub"), links, root, group).write.parquet(f"{root}/links1")
         links = links.union(spark.read.parquet(f"{root}/links1"))
     classes, _ = connected_components(links, f"{root}/classes")
     # texts of equal words take the class of their first
@@ -432,7 +447,7 @@ def jaccard_classes(docs: DataFrame, block_bytes: int | None = None, group: int
     linked = _dealt_join(named.where("class is not null"), _leaders(named, F.col("doc_id")), ["class"])
     out = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     alone = named.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    folders = ("blocks", "sets", "copies", "near", "places", "dealt", "links0", "links1", "within", "labelled", "classes", "named")
+    folders = ("blocks", "sets", "copies", "near", "places", "dealt", "large", "links0", "links1", "within", "labelled", "classes", "named")
     return settled_result(out.union(alone), root, *folders)
 
 
@@ -456,7 +471,7 @@ def deduplicate(docs: DataFrame, block_bytes: int | None = None, group: int = GR
     named = spark.read.parquet(f"{root}/named")
     lost = _dealt_join(named, _leaders(named, F.col("order")), ["class"]).where("order <> first").select(F.shiftright("key", ROW_BITS).alias("block"), F.col("key").bitwiseAND((1 << ROW_BITS) - 1).alias("row"))
     write_answers(lost, f"{root}/lost")
-    for done in ("sets", "copies", "near", "places", "dealt", "links0", "links1", "within", "labelled", "classes", "named"):
+    for done in ("sets", "copies", "near", "places", "dealt", "large", "links0", "links1", "within", "labelled", "classes", "named"):
         remove(spark, f"{root}/{done}")
     blocks = spark.read.parquet(f"{root}/blocks")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -478,6 +493,50 @@ def deduplicate(docs: DataFrame, block_bytes: int | None = None, group: int = GR
     return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups over as many tasks as the session has for a shuffle: few bytes of words are
+    long work, so partitions that look small stay apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h) of texts (key, root, words): hashes of a set's shingles, others in every component."""
+    for batch in batches:
+        keys, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = [zlib.decompress(t) for t in batch.column(2).to_pylist()]
+        step = np.cumsum([len(t) for t in texts]) // CUT_BYTES
+        for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(step)) + 1):
+            if len(cut):
+                sets = ShingleSets(pa.array([texts[i] for i in cut.tolist()], pa.binary()))
+                h = mix(sets.value ^ mix(roots[cut][sets.doc].astype(U64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut][sets.doc]), pa.array(h.view(np.int64))], names=["key", "h"])
+
+
+def _large(dealt: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
+    """The sets of large components that may have a link, dealt into parts anew: (root, key,
+    parts, part, hub, words).
+
+    A set of x shingles, of which r occur in other sets of its component, overlaps in r at
+    most: it links with sets of y shingles only where ``needed(x, y) <= r``, so y is at most
+    ``reach``, and they must reach x.  Sizes are compared in steps, which keeps some more,
+    as does a hash that shingles share."""
+    each = dealt.select("key", "root", "words").mapInArrow(frugal(_shingles), "key long, h long")
+    once = each.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("x")).where("key = x").groupBy("key").agg(F.count("*").alias("alone"))
+    sets = dealt.select("root", "key").join(sizes.select("key", "n"), "key").join(once, "key", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    sets = sets.select("root", "key", "n", "shared", F.expr(f"{NUM + DEN} * shared div {NUM} - n").alias("reach"))
+    steps = sets.groupBy("root", F.floor(F.log2("n") * SIZE_STEPS).alias("step")).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    steps = steps.groupBy("root").agg(F.collect_list(F.struct("least", "most")).alias("steps"))
+    live = _dealt_join(sets, steps, ["root"]).where(F.exists("steps", lambda s: (s["least"] <= F.col("reach")) & (s["most"] >= F.col("n")))).drop("steps", "reach")
+    parts = live.groupBy("root").agg(F.ceil(F.sum("n") / group).alias("parts"))
+    # the sets with the fewest shingles of their own are the likeliest to be linked
+    first = Window.partitionBy("root").orderBy((F.col("n") / F.greatest("shared", F.lit(1))).asc(), "key")
+    hubs = live.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
+    hubs = hubs.withColumn("sum", F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= group // HUB_SHARE).select("key", F.lit(True).alias("hub"))
+    places = _dealt_join(live.select("root", "key"), parts, ["root"]).join(hubs, "key", "left")
+    places = places.select("root", "key", "parts", F.pmod(F.xxhash64("key"), "parts").alias("part"), F.coalesce("hub", F.lit(False)).alias("hub"))
+    return dealt.select("key", "words").join(places, "key")
+
+
 def _across(dealt: DataFrame, links: DataFrame, root: str, group: int) -> DataFrame:
     """Links between the parts of large components: sets outside a component's largest
     class meet all its parts, dealt into parts of their own."""
@@ -499,4 +558,4 @@ def _across(dealt: DataFrame, links: DataFrame, root: str, group: int) -> DataFr
     pair = minor.select(*columns, "minor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("other"))
     pair = pair.select(*columns, F.least("minor", "other").alias("a"), F.greatest("minor", "other").alias("b"), F.lit(1).alias("side"))
     both = left.union(right).union(pair)
-    return both.groupBy("root", "a", "b", "side").applyInArrow(frugal_group(_join_group), "u long, v long")
+    return _spread(both, "root", "a", "b", "side").groupBy("root", "a", "b", "side").applyInArrow(frugal_group(_join_group), "u long, v long")

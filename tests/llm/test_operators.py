@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import uuid
 from collections import Counter
 from dataclasses import replace
 
@@ -248,6 +249,28 @@ def test_large_cluster_of_noisy_copies_is_joined_soon():
     assert max(classes.values()) > 500 and len(classes) > 500
 
 
+def test_parts_of_a_large_component_send_few_sets_around(spark, tmp_path, monkeypatch):
+    """Sets too noisy for any link stay home, and a class that lies in several parts is one:
+    before, each such set met all parts, and the tasks got 2,260 sets in all."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        changed = set(r.sample(range(150), r.choice([0, 1, 1, 2, 2, 3, 9, 12])))
+        rows.append((i, " ".join(f"x{i}_{j}" if j in changed else w for j, w in enumerate(base))))
+    solve = jaccard_trie._join_group
+
+    def noted(table):
+        (tmp_path / uuid.uuid4().hex).write_text(str(table.num_rows))
+        return solve(table)
+
+    monkeypatch.setattr(jaccard_trie, "_join_group", noted)
+    df = jaccard_trie.jaccard_classes(frame(spark, rows).repartition(3), None, 1 << 13)
+    assert got(df, "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows))
+    met = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(met) > 4 and sum(met) < 3 * len(rows)
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://A.example.org/x y", "<p>é</p>"), (2, "https://b.example.org:443/", "<p>é</p>"), (3, None, None), (4, "http://b.example.org", ""), (None, "http://c.org/a", "only"), (5, "http://c.org/a", "other"), (5, "http://c.org/a", "other"), (6, "http://c.org/a", "<p>é</p>"), (7, "http://c.org/b", "z" * 300_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
