@@ -92,6 +92,28 @@ t AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (doc_id)
 """
 
+#: Crc32 bit by bit; planted words; for each distance the stretches in which words agree
+#: with those so far on, and of one stretch of words its smallest distance; words left.
+OP12 = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+  xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384), 4294967295::BIGINT), 4294967295) AS h FROM documents),
+g AS (SELECT doc_id, ws, h, len(ws) AS n, h // 10 AS g FROM t),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, CASE WHEN n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(ws[1 : a], list_transform(range(0, n - a), lambda i: ws[1 + a + i % p])) ELSE ws END AS ws FROM p),
+w AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(n)) AS i FROM d),
+e AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM w l JOIN w r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i WHERE 4 * (r.i - l.i) <= l.n),
+f AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS f FROM e),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM f GROUP BY doc_id, q, f HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+r AS (SELECT doc_id, s, m, min(q) AS q FROM s GROUP BY doc_id, s, m),
+c AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM w ANTI JOIN c USING (doc_id, i) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s, m, q), (-m, s, q)) AS top, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.m::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.m // top.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op2_suffix_array_dedup": OP2,
     "op4_warc_index": OP4,
@@ -99,4 +121,5 @@ ORACLE_SQL = {
     "op6_suffix_tree_dedup": OP6,
     "op9_decontaminate": OP9,
     "op10_secret_trigrams": OP10,
+    "op12_periodic_runs": OP12,
 }

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_pairs, decontaminate, jaccard_trie, language_ppm, quality_repeats, secret_scan, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
+from . import bpe_pairs, decontaminate, embedding_whitening, jaccard_trie, language_ppm, periodic_runs, quality_repeats, secret_scan, simhash_anchors, suffix_array_dedup, suffix_tree_dedup, toxicity_cnn, warc_index
 from .oracles import ORACLE_SQL
 
 
@@ -68,6 +68,18 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op4_warc_index, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_suffix_array_dedup, op4_warc_index, op5_jaccard_trie, op6_suffix_tree_dedup, op3_toxicity_cnn, op7_bpe_pair_index, op8_language_ppm, op9_decontaminate, op10_secret_trigrams, op11_embedding_whitening, op12_periodic_runs, op13_simhash_anchors)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "table", "tokenizer_path"]
