@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import replace
 from typing import Any
 
 import numpy as np
@@ -22,7 +22,10 @@ from .extractors import DataExtractors, extract
 from .params import (
     AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, Metrics, PartitionSelectionStrategy, PrivateContributionBounds, SelectPartitionsParams, check_positive_int, require,
 )
+from .operators.quantiles import leaf as quantile_leaf
+from .operators.quantiles import merge_trees, pack_trees
 from .plans.bounding import Sampling, bound, sample
+from .plans.columnar import as_columnar, fields, merged_states
 from .plans.metrics import grouped_rows, plan_metrics, single_rows
 from .report import ExplainComputationReport, ReportGenerator, annotate
 from .selection import create_partition_selector
@@ -43,30 +46,51 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class DPResult:
     """A planned release.  ``to_df()`` draws the noise, once: it writes the released rows
-    to the shared folder, and every later use reads those."""
+    to the shared folder, and every later use reads those.  ``close()``, or leaving a
+    ``with`` block, deletes them: afterwards nothing can be read, and nothing drawn again."""
 
     def __init__(self, build: Callable[[], DataFrame], ready: Callable[[], bool]):
-        self._build, self._ready, self._df = build, ready, None
+        self._build, self._ready, self._df, self._path, self._closed = build, ready, None, None, False
 
     def to_df(self) -> DataFrame:
+        if self._closed:
+            raise ValueError("this release was closed")
         if self._df is None:
             if not self._ready():
                 raise AssertionError("a release needs its budget: call compute_budgets() first")
             planned = self._build()
             spark = planned.sparkSession
-            path = shared_folder(spark)
-            planned.write.parquet(path)
-            self._df = spark.read.schema(planned.schema).parquet(path)
+            self._path = shared_folder(spark)
+            planned.write.parquet(self._path)
+            self._df = spark.read.schema(planned.schema).parquet(self._path)
         return self._df
 
+    def close(self) -> None:
+        self._closed = True
+        if self._df is not None:
+            delete_folder(self._df.sparkSession, self._path)
+            self._df = None
+
+    def __enter__(self) -> "DPResult":
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
+
     def collect(self) -> list[T.Row]:
         return self.to_df().collect()
 
 
 class CustomCombiner:
-    """A user-defined aggregate.  Accumulators are any picklable objects."""
+    """A user-defined aggregate, a unit's values at a time.  Accumulators are any picklable
+    objects.  ``plans.columnar.ColumnarCombiner`` is the protocol of whole columns."""
 
     def request_budget(self, accountant: BudgetAccountant) -> None:
         raise NotImplementedError
@@ -83,6 +107,10 @@ class CustomCombiner:
     def metrics_names(self) -> list[str]:
         raise NotImplementedError
 
+    def output_schema(self) -> str:
+        """The results' columns, as DDL: doubles, unless another one is stated here."""
+        return ", ".join(f"`{n}` double" for n in self.metrics_names())
+
     def explain_computation(self) -> str:
         return f"Computed custom metrics {self.metrics_names()}"
 
@@ -172,11 +200,17 @@ class DPEngine:
             for s in stages:
                 report.add_stage(s)
             divide = 1
-        merged = unit.groupBy(*keys).agg(F.count("*").alias("_units"), *[c.alias(k) for plan in plans for k, c in plan.merged.items()])
+        columnar = [plan.columnar for plan in plans if plan.columnar is not None]
+        merged = None
+        if columnar:  # vectors: summed as arrays, in one column whatever their size
+            states, _ = merged_states(unit, keys, columnar, "_vectors")
+            merged = states.withColumnRenamed("s0_vector", "_vector")
+        if merged is None or len(plans) > len(columnar):
+            sums = unit.groupBy(*keys).agg(F.count("*").alias("_units"), *[c.alias(k) for plan in plans for k, c in plan.merged.items()])
+            merged = sums if merged is None else self._beside(sums, merged.drop("_units"), keys)
         if "_leaves" in partials:
             leaves = unit.select(*keys, F.explode("_leaves").alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
-            tree = leaves.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "n"))).alias("_leaves"))
-            merged = merged.alias("a").join(tree.alias("b"), self._on(keys), "left").select("a.*", "b._leaves")
+            merged = self._beside(merged, pack_trees(leaves, keys, p.min_value, p.max_value).withColumnRenamed("tree", "_tree"), keys)
         if listed is not None:
             merged = self._with_public(merged, listed, keys, plans)
         private = public is None and not p.post_aggregation_thresholding and not p.public_partitions_already_filtered
@@ -186,6 +220,10 @@ class DPEngine:
         drop = Metrics.PRIVACY_ID_COUNT.column if p.post_aggregation_thresholding else None
         return lambda: release(merged, keys, names, plans, keep() if keep else None, drop)
 
+    def _beside(self, a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        """The columns of ``b`` beside those of ``a``, by key; both have a row for each key."""
+        return a.alias("a").join(b.alias("b"), self._on(keys), "left").select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys])
+
     @staticmethod
     def _on(keys: list[str]) -> Column:
         out = F.lit(True)
@@ -218,78 +256,109 @@ class DPEngine:
         return make
 
     def _custom(self, col: DataFrame, p: AggregateParams, e: DataExtractors, public: Any, report: ReportGenerator) -> Callable[[], DataFrame]:
-        combiners = list(p.custom_combiners)
+        combiners = [as_columnar(c) for c in p.custom_combiners]
         for c in combiners:
             c.set_aggregate_params(p)
             c.request_budget(self._accountant)
         rows, keys, names, listed = self._rows(col, e, p, public, report)
-        values = F.collect_list("value").alias("values")
         if p.contribution_bounds_already_enforced:
-            unit = rows.select(*keys, F.array("value").alias("values"))
+            unit = rows.select(*keys, F.filter(F.array("value"), lambda v: v.isNotNull()).alias("values"))
         else:
-            unit, stages = bound(rows, keys, p, [values], True, self._sampling)
+            unit, stages = bound(rows, keys, p, [F.collect_list("value").alias("values")], True, self._sampling)
             for s in stages:
                 report.add_stage(s)
         divide = (p.max_contributions or p.max_contributions_per_partition) if p.contribution_bounds_already_enforced else 1
         keep = self._selection(p, divide, report) if public is None and not p.public_partitions_already_filtered else None
         for c in combiners:
             report.add_stage(c.explain_computation())
-        outputs = [n for c in combiners for n in c.metrics_names()]
-        schema = T.StructType([unit.schema[k] for k in keys])
-
-        def merge(a: list[Any], b: list[Any]) -> list[Any]:
-            return [c.merge_accumulators(x, y) for c, x, y in zip(combiners, a, b)]
-
-        def rows_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Accumulators of a partition's rows, merged by key in it."""
-            for batch in batches:
-                held: dict[tuple, tuple[list[Any], int]] = {}
-                for *key, values in zip(*(c.to_pylist() for c in batch.columns)):
-                    own, n = [c.create_accumulator(values) for c in combiners], 1
-                    if tuple(key) in held:
-                        before, m_ = held[tuple(key)]
-                        own, n = merge(before, own), m_ + 1
-                    held[tuple(key)] = (own, n)
-                yield rows_of([(*k, pickle.dumps(acc), n) for k, (acc, n) in held.items()])
-
-        def fold(table: pa.Table) -> pa.Table:
-            total = None
-            for acc in table.column("acc").to_pylist():
-                total = pickle.loads(acc) if total is None else merge(total, pickle.loads(acc))
-            first = [table.column(k)[0].as_py() for k in keys]
-            return pa.Table.from_batches([rows_of([(*first, pickle.dumps(total), sum(table.column("_units").to_pylist()))])])
-
-        held = T.StructType(schema.fields + [T.StructField("acc", T.BinaryType()), T.StructField("_units", T.LongType())])
-        arrow = to_arrow_schema(held)
-        salted = unit.select(*keys, "values").mapInArrow(start, held)
-        # a hot key is folded in parts first, then the parts
-        parts = salted.withColumn("_salt", F.pmod(F.xxhash64("acc"), F.lit(64))).groupBy(*keys, "_salt").applyInArrow(fold, held)
-        merged = parts.groupBy(*keys).applyInArrow(fold, held)
+        outputs = [f for c in combiners for f in fields(c.output_schema())]
+        merged, table = merged_states(unit, keys, combiners, "values")
         if listed is not None:
-            merged = listed.alias("a").join(merged.alias("b"), self._on(keys), "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], "b.acc", F.coalesce("b._units", F.lit(0)).alias("_units"))
+            own = [c for c in merged.columns if c not in keys and c != "_units"]
+            merged = listed.alias("a").join(merged.alias("b"), self._on(keys), "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], F.coalesce("b._units", F.lit(0)).alias("_units"), *[F.col(f"b.{c}").alias(c) for c in own])
+        schema = T.StructType([*[merged.schema[k] for k in keys], *outputs])
+        arrow = to_arrow_schema(schema)
 
         def build() -> DataFrame:
             chosen = keep() if keep else None
 
             def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    if chosen is not None:
-                        batch = batch.filter(pa.array(chosen(batch.column("_units").to_numpy())))
-                    found: list[dict[str, float]] = []
-                    for raw in batch.column("acc").to_pylist():
-                        acc = pickle.loads(raw) if raw is not None else [c.create_accumulator([]) for c in combiners]
-                        found.append({k: v for c, a in zip(combiners, acc) for k, v in c.compute_metrics(a).items()})
-                    columns = [batch.column(k) for k in keys] + [pa.array([float(f[o]) for f in found], pa.float64()) for o in outputs]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, *outputs])
-
-            result = merged.mapInArrow(compute, T.StructType(schema.fields + [T.StructField(o, T.DoubleType(), False) for o in outputs]))
-            return result.toDF(*names, *outputs)
+                    units = batch.column("_units").to_numpy()
+                    if chosen is not None and batch.num_rows:
+                        batch = batch.filter(pa.array(chosen(units)))
+                        units = batch.column("_units").to_numpy()
+                    if not batch.num_rows:
+                        continue
+                    # public keys without data have empty states
+                    absent = units == 0
+                    place = np.empty(len(units), np.int64)
+                    place[np.append(np.flatnonzero(~absent), np.flatnonzero(absent))] = np.arange(len(units))
+                    held, empty = batch.filter(pa.array(~absent)), table.empty(int(absent.sum()))
+                    found: dict[str, Any] = {}
+                    for i, c in enumerate(combiners):
+                        states = table.states(held, i)
+                        found |= c.compute_metrics({k: pa.concat_arrays([v, empty[i][k].cast(v.type)]).take(pa.array(place)) for k, v in states.items()})
+                    columns = [found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], arrow.field(f.name).type, from_pandas=True) for f in outputs]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], schema=arrow)
+
+            return merged.mapInArrow(compute, schema).toDF(*names, *[f.name for f in outputs])
 
         return build
 
+    # percentiles from stored trees
+
+    def percentile_states(self, col: DataFrame, params: AggregateParams, data_extractors: DataExtractors) -> DataFrame:
+        """(key columns, units, tree): the quantile tree of each partition after contribution
+        bounding, with the number of its privacy units.  These rows are not protected: keep
+        them where the raw data lies.  They merge with those of other tables, and
+        ``release_percentiles`` protects what is published of them."""
+        self._check_percentiles(params)
+        _check_frame(col)
+        rows, keys, names, _ = self._rows(col, data_extractors, params, None, ReportGenerator(params, "percentile_states", False))
+        rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        leaves = quantile_leaf(F.col("value"), params.min_value, params.max_value)
+        unit, _ = bound(rows, keys, params, [F.collect_list(leaves).alias("_leaves")], True, self._sampling)
+        units = unit.groupBy(*keys).agg(F.count("*").alias("units"))
+        counted = unit.select(*keys, F.explode("_leaves").alias("leaf")).groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
+        return self._beside(units, pack_trees(counted, keys, params.min_value, params.max_value), keys).toDF(*names, "units", "tree")
+
+    def release_percentiles(self, states: DataFrame, params: AggregateParams, public_partitions: DataFrame | Iterable[Any] | None = None, tables_per_unit: int = 1) -> DPResult:
+        """DP percentiles of the merged ``states`` of any number of tables.  ``tables_per_unit``:
+        tables in which one privacy unit may have rows (1 where their units differ); each
+        has bounded it on its own, so noise and selection allow for that many times as much."""
+        self._check_percentiles(params)
+        check_positive_int(tables_per_unit, "tables_per_unit")
+        names = [c for c in states.columns if c not in ("units", "tree")]
+        keys = [f"k{i}" for i in range(len(names))]
+        with self._accountant.scope(weight=params.budget_weight):
+            report = self._report(params, "release_percentiles", public_partitions is not None, None)
+            p = params
+            if tables_per_unit > 1:
+                own = "max_contributions" if params.max_contributions else "max_contributions_per_partition"
+                p = replace(params, **{own: getattr(params, own) * tables_per_unit})
+            plans = plan_metrics(p, self._accountant)
+            flat = states.toDF(*keys, "units", "tree") if list(states.columns) == [*names, "units", "tree"] else states.select(*[states[n].alias(k) for n, k in zip(names, keys)], "units", "tree")
+            listed = None
+            if public_partitions is not None:
+                listed = public_frame(states.sparkSession, public_partitions, keys, flat.schema)
+                flat = flat.join(listed, same_keys(flat, listed, keys), "left_semi")
+            units = flat.groupBy(*keys).agg(F.sum("units").alias("_units"))
+            merged = self._beside(units, merge_trees(flat, keys, p.min_value, p.max_value).withColumnRenamed("tree", "_tree"), keys)
+            if listed is not None:
+                merged = self._with_public(merged, listed, keys, plans)
+            keep = self._selection(params, tables_per_unit, report) if listed is None else None
+            for plan in plans:
+                report.add_stage(plan.explain)
+            budget = self._accountant._compute_budget_for_aggregation(params.budget_weight)
+            return self._annotated(lambda: release(merged, keys, names, plans, keep() if keep else None, None), params, budget)
+
+    def _check_percentiles(self, p: AggregateParams) -> None:
+        require(isinstance(p, AggregateParams) and bool(p.metrics) and all(x.is_percentile for x in p.metrics), "trees hold percentiles only: every metric must be a PERCENTILE")
+        require(p.min_value is not None and p.max_value is not None, "percentiles need min_value and max_value")
+        if not isinstance(self._accountant, NaiveBudgetAccountant):
+            raise NotImplementedError("Percentiles do not support PLD budget accounting")
+
     # partition selection
 
     def select_partitions(self, col: DataFrame, params: SelectPartitionsParams, data_extractors: DataExtractors) -> DPResult:

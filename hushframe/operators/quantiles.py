@@ -1,42 +1,154 @@
-"""Percentiles from a tree of noisy counts over equal intervals of [min, max].
+"""Percentiles from a mergeable tree of counts over equal intervals of [min, max].
 
-The tree has ``HEIGHT`` levels of ``BRANCHING`` children.  Only leaf counts are kept; a
-release adds noise to the children of the nodes that it walks through (each node once),
+The tree has ``HEIGHT`` levels of ``BRANCHING`` children and keeps only the leaves that hold
+values, so it has ``LEAVES`` entries at most, however many values there are.  Trees over one
+interval merge by adding leaf counts: the tree of a union is the merge of the trees.  As a
+state in a table a tree is a binary column (``to_bytes``).  Tables of trees are built and
+merged as sums by (key, leaf), which combine before the shuffle and spread a hot key over its
+leaves; only then are a key's leaves, a bounded group, packed into its tree.
+
+A release adds noise to the children of the nodes that it walks through (each node once),
 with an equal share of the budget for each level, and interpolates in the leaf.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import struct
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..mechanisms import Sensitivities, additive_mechanism
-from ..params import AggregateParams
+from ..params import AggregateParams, require
 
 #: Levels of the tree and children of a node.
 HEIGHT = 4
 BRANCHING = 16
 LEAVES = BRANCHING**HEIGHT
+#: A tree's bytes begin with its interval, levels, children and number of leaves.
+_HEAD = struct.Struct("<ddHHi")
+
+
+class QuantileTree:
+    """Counts of the leaves ``at`` (ascending) of the interval [low, high]."""
+
+    def __init__(self, low: float, high: float, at: Any = (), count: Any = ()):
+        require(low <= high, f"an interval can't reach from {low} to {high}")
+        self.low, self.high = float(low), float(high)
+        self.at, self.count = np.asarray(at, np.int64), np.asarray(count, np.int64)
+
+    @classmethod
+    def of_counts(cls, low: float, high: float, leaves: Mapping[int, int]) -> "QuantileTree":
+        return cls(low, high).merge(cls(low, high, list(leaves.keys()), list(leaves.values())))
+
+    @classmethod
+    def of_values(cls, low: float, high: float, values: Any) -> "QuantileTree":
+        """Values outside the interval are clipped; null values (NaN) are left out."""
+        values = np.asarray(values, float)
+        values = np.clip(values[~np.isnan(values)], low, high)
+        at = np.minimum(np.floor((values - low) / (high - low) * LEAVES), LEAVES - 1) if high > low else np.zeros(len(values))
+        return cls(low, high, *np.unique(at.astype(np.int64), return_counts=True))
+
+    def merge(self, *others: "QuantileTree") -> "QuantileTree":
+        trees = (self, *others)
+        require(len({(t.low, t.high) for t in trees}) == 1, "trees over different intervals can't be merged")
+        at, where = np.unique(np.concatenate([t.at for t in trees]), return_inverse=True)
+        total = np.zeros(len(at), np.int64)
+        np.add.at(total, where, np.concatenate([t.count for t in trees]))
+        return QuantileTree(self.low, self.high, at, total)
+
+    def nodes(self, level: int) -> "QuantileTree":
+        """Counts of the nodes of a level (1: the root's children) instead of the leaves."""
+        place, where = np.unique(self.at // BRANCHING ** (HEIGHT - level), return_inverse=True)
+        total = np.zeros(len(place), np.int64)
+        np.add.at(total, where, self.count)
+        return QuantileTree(self.low, self.high, place, total)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, QuantileTree) and (self.low, self.high, self.at.tolist(), self.count.tolist()) == (other.low, other.high, other.at.tolist(), other.count.tolist())
+
+    def to_bytes(self) -> bytes:
+        """Steps from leaf to leaf and counts, compressed; equal trees have equal bytes."""
+        steps = np.diff(self.at, prepend=0).astype("<i4").tobytes()
+        return _HEAD.pack(self.low, self.high, HEIGHT, BRANCHING, len(self.at)) + zlib.compress(steps + self.count.astype("<i8").tobytes(), 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "QuantileTree":
+        low, high, height, branching, n = _HEAD.unpack_from(data)
+        require((height, branching) == (HEIGHT, BRANCHING), f"a tree of {height} levels of {branching} children is of another make")
+        body = zlib.decompress(data[_HEAD.size :])
+        return cls(low, high, np.cumsum(np.frombuffer(body, "<i4", n)), np.frombuffer(body, "<i8", n, 4 * n))
+
+
+def build_trees(df: DataFrame, keys: Sequence[str], value: Column | str, low: float, high: float) -> DataFrame:
+    """(keys, tree): the tree of each key's values; keys without a value have none."""
+    at = leaf(F.col(value) if isinstance(value, str) else value, low, high)
+    leaves = df.select(*keys, at.alias("leaf")).where("leaf is not null")
+    return pack_trees(leaves.groupBy(*keys, "leaf").agg(F.count("*").alias("n")), keys, low, high)
+
+
+def pack_trees(leaves: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    """(keys, tree) of (keys, leaf, n), one row for each leaf of a key."""
+    listed = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("leaf", "n"))).alias("leaves"))
+    own = [listed.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(own))
+            ends = np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+            flat = column.flatten()
+            at, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            trees = [QuantileTree(low, high, at[a:b], n[a:b]).to_bytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(trees, pa.binary())], names=[*keys, "tree"])
+
+    return listed.mapInArrow(run, T.StructType([*own, T.StructField("tree", T.BinaryType())]))
+
+
+def unpack_trees(trees: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    """(keys, leaf, n) of (keys, tree); a tree over another interval is an error."""
+    source = trees.select(*keys, "tree").where("tree is not null")
+    own = [source.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(len(own)).to_pylist()):
+                tree = QuantileTree.from_bytes(data)
+                require((tree.low, tree.high) == (float(low), float(high)), f"a tree over [{tree.low}, {tree.high}] is not one over [{low}, {high}]")
+                row = pa.array(np.full(len(tree.at), i))
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in batch.columns[: len(own)]], pa.array(tree.at.astype(np.int32)), pa.array(tree.count)], names=[*keys, "leaf", "n"])
+
+    return source.mapInArrow(run, T.StructType([*own, T.StructField("leaf", T.IntegerType()), T.StructField("n", T.LongType())]))
+
+
+def merge_trees(trees: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    """(keys, tree): the merge of all trees of a key, as of tables that were united."""
+    added = unpack_trees(trees, keys, low, high).groupBy(*keys, "leaf").agg(F.sum("n").alias("n"))
+    return pack_trees(added, keys, low, high)
 
 
 def leaf(value: Column, low: float, high: float) -> Column:
-    """Leaf of a value; values outside are clipped, null gives null."""
+    """Leaf of a value; values outside are clipped, null and NaN give null."""
+    value = value.cast("double")
     if low == high:
-        return F.when(value.isNotNull(), F.lit(0))
-    at = F.floor((F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))) - low) / (high - low) * LEAVES)
-    return F.least(at, F.lit(LEAVES - 1)).cast("int")
+        at: Column = F.lit(0)
+    else:
+        at = F.floor((F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))) - low) / (high - low) * LEAVES)
+    return F.when(value.isNotNull() & ~F.isnan(value), F.least(at, F.lit(LEAVES - 1)).cast("int"))
 
 
-def release(leaves: Mapping[int, int], ranks: Sequence[float], p: AggregateParams, eps: float, delta: float) -> list[float]:
+def release(tree: "QuantileTree | Mapping[int, int]", ranks: Sequence[float], p: AggregateParams, eps: float, delta: float) -> list[float]:
     """Noisy quantiles of one partition, ascending with their ranks."""
     low, high = float(p.min_value), float(p.max_value)
-    at = np.fromiter(leaves.keys(), np.int64, len(leaves))
-    count = np.fromiter(leaves.values(), float, len(leaves))
-    order = np.argsort(at)
-    at, total = at[order], np.concatenate([[0.0], np.cumsum(count[order])])
+    if not isinstance(tree, QuantileTree):
+        tree = QuantileTree.of_counts(low, high, tree)
+    require((tree.low, tree.high) == (low, high), f"the tree is over [{tree.low}, {tree.high}], not over [{low}, {high}]")
+    at, total = tree.at, np.concatenate([[0.0], np.cumsum(tree.count.astype(float))])
     if p.max_contributions is not None:
         each = Sensitivities(l1=p.max_contributions, l2=p.max_contributions)
     else:

@@ -2,6 +2,10 @@
 
 Ranks are limited to small numbers, so Spark plans a group limit before the exchange:
 of a hot unit or key only the rows that can be kept travel.
+
+The order of a sample is a keyed hash: SipHash-2-4 (Aumasson and Bernstein, 2012) of the
+SHA-256 of what a row is.  The key lies in the closure of an Arrow function, so neither plans
+nor logs show it.
 """
 
 from __future__ import annotations
@@ -9,12 +13,53 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import AggregateParams
 
 
+def _rotated(v: np.ndarray, by: int) -> np.ndarray:
+    return (v << np.uint64(by)) | (v >> np.uint64(64 - by))
+
+
+def siphash(words: np.ndarray, key: bytes) -> np.ndarray:
+    """SipHash-2-4 of each row of 64-bit words (whole words only) under a key of 16 bytes."""
+    k0, k1 = np.frombuffer(key, "<u8")
+    # fixed values of the published function
+    v0, v1, v2, v3 = (np.full(len(words), k ^ np.uint64(c)) for k, c in zip((k0, k1, k0, k1), (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)))
+    last = np.full(len(words), (8 * words.shape[1] & 0xFF) << 56, np.uint64)
+    for i, m in enumerate([*words.T, last, None]):
+        if m is None:
+            v2 ^= np.uint64(0xFF)
+        else:
+            v3 = v3 ^ m
+        for _ in range(4 if m is None else 2):
+            v0, v2 = v0 + v1, v2 + v3
+            v1, v3 = _rotated(v1, 13) ^ v0, _rotated(v3, 16) ^ v2
+            v0 = _rotated(v0, 32)
+            v2, v0 = v2 + v1, v0 + v3
+            v1, v3 = _rotated(v1, 17) ^ v2, _rotated(v3, 21) ^ v0
+            v2 = _rotated(v2, 32)
+        if m is not None:
+            v0 = v0 ^ m
+    return v0 ^ v1 ^ v2 ^ v3
+
+
+def keyed_hash(secret: str, *columns: Column) -> Column:
+    """A long that is random to who doesn't know the secret, and the same for equal columns."""
+    key = bytes.fromhex(secret)[:16]
+
+    def place(digests: pd.Series) -> pd.Series:
+        words = np.frombuffer(b"".join(digests), "<u8").reshape(len(digests), -1)
+        return pd.Series(siphash(words, key).view(np.int64))
+
+    whole = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
+    return F.pandas_udf(place, "long")(F.unhex(F.sha2(whole.cast("binary"), 256)))
+
+
 @dataclass(frozen=True)
 class Sampling:
     """How contributions are sampled.  By default in order of a hash keyed by a ``secret`` of
@@ -24,7 +69,7 @@ class Sampling:
 
     salt: str | None = None
     row_id: Column | None = None
-    secret: str = field(default_factory=lambda: os.urandom(32).hex(), repr=False)
+    secret: str = field(default_factory=lambda: os.urandom(16).hex(), repr=False)
 
     def numbered(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """Equal rows numbered (``_copy``), so that each has a place of its own in the order.
@@ -35,7 +80,7 @@ class Sampling:
         return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
     def _keyed(self, *columns: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(half), *columns) for half in (self.secret[:32], self.secret[32:])]
+        return [keyed_hash(self.secret, *columns)]
 
     def of_rows(self, keys: list[str]) -> list[Column]:
         if self.salt is None:

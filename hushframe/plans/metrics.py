@@ -17,6 +17,7 @@ from ..budget import BudgetAccountant
 from ..operators import quantiles
 from ..params import AggregateParams, Metric, Metrics, NormKind, noise_to_thresholding
 from ..selection import create_thresholding_mechanism
+from .columnar import ColumnarCombiner, VectorSum
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,8 @@ class MetricPlan:
     release: Callable[[pd.DataFrame], dict[str, Any]]
     explain: Callable[[], str]
     sampled: bool = True
+    #: Merges lists of ``_vectors`` where no sum of a column can.
+    columnar: ColumnarCombiner | None = None
 
 
 def clip(value: Column, low: float | None, high: float | None) -> Column:
@@ -152,19 +155,13 @@ def _variance(p: AggregateParams, wanted: list[str], accountant: BudgetAccountan
 
 def _vector_sum(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
     spec = accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, name="VECTOR_SUM")
-    size, norm = p.vector_size, p.vector_norm_kind or NormKind.Linf
-    bound = F.lit(float(p.vector_max_norm))
+    size, norm, most = p.vector_size, p.vector_norm_kind or NormKind.Linf, float(p.vector_max_norm)
 
-    def partials(rows: Rows) -> dict[str, Column]:
-        vector = F.array(*[F.coalesce(rows.total(F.get("value", i).cast("double")), F.lit(0.0)) for i in range(size)])
+    def bounded(table: np.ndarray) -> np.ndarray:
         if norm is NormKind.Linf:
-            return {"_vector": F.transform(vector, lambda v: F.least(F.greatest(v, -bound), bound))}
-        length = F.aggregate(vector, F.lit(0.0), (lambda a, v: a + F.abs(v)) if norm is NormKind.L1 else (lambda a, v: a + v * v))
-        length = length if norm is NormKind.L1 else F.sqrt(length)
-        factor = F.when(length > bound, bound / length).otherwise(F.lit(1.0))
-        return {"_vector": F.transform(vector, lambda v: v * factor)}
-
-    merged = F.array(*[F.sum(F.get("_vector", i)) for i in range(size)]).alias("_vector")
+            return np.clip(table, -most, most)
+        length = np.abs(table).sum(axis=1) if norm is NormKind.L1 else np.sqrt((table * table).sum(axis=1))
+        return table * np.where(length > most, most / np.maximum(length, most), 1.0)[:, None]
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
         zero = [0.0] * size
@@ -174,7 +171,10 @@ def _vector_sum(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
         noise = m.AdditiveVectorNoiseParams(spec.eps, spec.delta, p.vector_max_norm, l0, 1, norm, p.noise_kind)
         return {"vector_sum": list(m.add_noise_vector(at, noise))}
 
-    return MetricPlan(partials, {"_vector": merged}, {"vector_sum": "array<double>"}, release, lambda: f"Computed vector sum with (eps={spec.eps} delta={spec.delta})")
+    def explain() -> str:
+        return f"Computed vector sum with (eps={spec.eps} delta={spec.delta})"
+
+    return MetricPlan(lambda rows: {"_vectors": rows.listed(F.col("value"))}, {}, {"vector_sum": "array<double>"}, release, explain, columnar=VectorSum(size, bounded))
 
 
 def _percentiles(p: AggregateParams, metrics: list[Metric], accountant: BudgetAccountant) -> MetricPlan:
@@ -183,7 +183,8 @@ def _percentiles(p: AggregateParams, metrics: list[Metric], accountant: BudgetAc
     names = [x.column for x in metrics]
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
-        rows = [quantiles.release(leaves if leaves is not None else {}, ranks, p, spec.eps, spec.delta) for leaves in df["_leaves"]]
+        trees = [quantiles.QuantileTree(p.min_value, p.max_value) if raw is None else quantiles.QuantileTree.from_bytes(raw) for raw in df["_tree"]]
+        rows = [quantiles.release(tree, ranks, p, spec.eps, spec.delta) for tree in trees]
         table = np.array(rows, float).reshape(-1, len(ranks))
         return {n: table[:, i] for i, n in enumerate(names)}
 

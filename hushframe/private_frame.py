@@ -16,6 +16,7 @@ from .budget import BudgetAccountant
 from .engine import CustomCombiner, DPEngine, DPResult
 from .extractors import DataExtractors, Extractor
 from .params import AggregateParams, CountParams, MeanParams, PrivacyIdCountParams, SelectPartitionsParams, SumParams, VarianceParams
+from .plans.columnar import ColumnarCombiner, fields
 from .report import ExplainComputationReport
 
 PID = "__privacy_id"
@@ -39,12 +40,16 @@ class PrivateCombineFn:
         """What is asked of the accountant; ``extract_private_output`` gets it back."""
         raise NotImplementedError
 
-    def extract_private_output(self, accumulator: Any, budget: Any) -> float:
+    def extract_private_output(self, accumulator: Any, budget: Any) -> Any:
+        """The number ``combined``, or a dict of the columns of ``output_schema``."""
         raise NotImplementedError
 
+    def output_schema(self) -> str:
+        return "combined double"
+
 
 class CombineFnAdapter(CustomCombiner):
-    """A ``PrivateCombineFn`` as a combiner of the engine, with the one output ``combined``."""
+    """A ``PrivateCombineFn`` as a combiner of the engine."""
 
     def __init__(self, function: PrivateCombineFn):
         self.function, self.budget = function, None
@@ -58,11 +63,15 @@ class CombineFnAdapter(CustomCombiner):
     def merge_accumulators(self, a: Any, b: Any) -> Any:
         return self.function.merge_accumulators([a, b])
 
-    def compute_metrics(self, accumulator: Any) -> dict[str, float]:
-        return {"combined": self.function.extract_private_output(accumulator, self.budget)}
+    def compute_metrics(self, accumulator: Any) -> dict[str, Any]:
+        found = self.function.extract_private_output(accumulator, self.budget)
+        return found if isinstance(found, dict) else {"combined": float(found)}
 
     def metrics_names(self) -> list[str]:
-        return ["combined"]
+        return [f.name for f in fields(self.output_schema())]
+
+    def output_schema(self) -> str:
+        return self.function.output_schema()
 
 
 class PrivateDataFrame:
@@ -148,7 +157,7 @@ class PrivateDataFrame:
     def select_partitions(self, params: SelectPartitionsParams, partition_extractor: Extractor) -> DPResult:
         return DPEngine(self._accountant).select_partitions(self._df, params, DataExtractors(PID, partition_extractor))
 
-    def combine(self, combiner: "CustomCombiner | PrivateCombineFn", params: AggregateParams, partition_extractor: Extractor, value_extractor: Extractor, public_partitions: Any = None) -> DPResult:
+    def combine(self, combiner: "CustomCombiner | ColumnarCombiner | PrivateCombineFn", params: AggregateParams, partition_extractor: Extractor, value_extractor: Extractor, public_partitions: Any = None) -> DPResult:
         """A user-defined aggregate; ``params`` has its bounds."""
         if isinstance(combiner, PrivateCombineFn):
             combiner = CombineFnAdapter(combiner)

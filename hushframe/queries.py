@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ from .mechanisms import LaplaceMechanism
 from .operators import histograms as h
 from .operators.contribution_bounds import L0ScoringFunction
 from .operators.error_estimator import create_estimator_for_count_and_privacy_id_count
+from .operators.quantiles import merge_trees, unpack_trees
 from .operators.sampling import ValueSampler, filter_by_key_with_sharding
 from .params import AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, CountParams, MeanParams, MechanismType, Metrics, NoiseKind, NormKind, PartitionSelectionStrategy, PrivacyIdCountParams, SelectPartitionsParams, SumParams, VarianceParams
 from .plans.bounding import Sampling, sample
+from .plans.columnar import ColumnarCombiner
 from .private_frame import PrivateCombineFn, make_private
 from .selection import TruncatedGeometric
 from .sources import text
@@ -207,6 +211,43 @@ def dp_percentiles(spark, sf_dir):
     return rounded(found.select("event_type", *[F.col(f"`{c}`").alias(n) for c, n in zip(own, ("low", "middle", "high"))]), low=3, middle=3, high=3)
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of quantile trees by type: of users with even ids, and of the others."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    params = AggregateParams(metrics=[Metrics.PERCENTILE(r) for r in _RANKS], max_partitions_contributed=groups, max_contributions_per_partition=rows, min_value=0, max_value=500)
+    engine = DPEngine(NaiveBudgetAccountant(1, 1e-2))
+    return tuple(engine.percentile_states(df.where(F.pmod("user_id", F.lit(2)) == half), params, EVENT) for half in (0, 1))
+
+
+@query(ORACLES["dp_percentiles"])
+def dp_percentiles_merged(spark, sf_dir):
+    """Percentiles from the written trees of two halves of the users, merged: as of the whole."""
+    path = f"{shared_folder(spark)}/trees"
+    for half in _halves(spark, sf_dir):
+        half.write.mode("append").parquet(path)
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(metrics=[Metrics.PERCENTILE(r) for r in _RANKS], max_partitions_contributed=5, max_contributions_per_partition=100, min_value=0, max_value=500)
+    result = DPEngine(accountant).release_percentiles(spark.read.parquet(path), params, list(TYPES))
+    accountant.compute_budgets()
+    found = result.to_df()
+    own = [c for c in found.columns if c != "event_type"]
+    return rounded(found.select("event_type", *[F.col(f"`{c}`").alias(n) for c, n in zip(own, ("low", "middle", "high"))]), low=3, middle=3, high=3)
+
+
+@query(
+    "WITH v AS (SELECT event_type, floor(least(greatest(value, 0.0), 500.0) / 500.0 * 65536)::BIGINT AS leaf FROM events WHERE value IS NOT NULL), u AS (SELECT event_type, least(leaf, 65535) AS leaf FROM v) "
+    "SELECT event_type, level::INTEGER AS level, (leaf // width)::BIGINT AS node, count(*)::BIGINT AS n FROM u, (VALUES (1, 4096), (2, 256), (4, 1)) AS l(level, width) GROUP BY event_type, level, leaf // width"
+)
+def quantile_tree_nodes(spark, sf_dir):
+    """Counts at three levels of the trees that two halves of the users merge to."""
+    first, second = _halves(spark, sf_dir)
+    leaves = unpack_trees(merge_trees(first.union(second).select("event_type", "tree"), ["event_type"], 0, 500), ["event_type"], 0, 500)
+    levels = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(width).alias("width")) for level, width in ((1, 4096), (2, 256), (4, 1))])).alias("l")
+    nodes = leaves.select("event_type", "n", "leaf", levels).select("event_type", "l.level", F.floor(F.col("leaf") / F.col("l.width")).alias("node"), "n")
+    return nodes.groupBy("event_type", "level", "node").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT o_orderpriority, count(*)::BIGINT AS value FROM orders GROUP BY o_orderpriority")
 def dp_add_noise_preagg(spark, sf_dir):
     df = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("value"))
@@ -321,6 +362,53 @@ def custom_combiner_squares(spark, sf_dir):
     return rounded(result.to_df(), squares=1)
 
 
+class _Bins(ColumnarCombiner):
+    """Counts of values in four bins and their sum of squares, with exact results in columns of
+    two types; a unit has one value of each row."""
+
+    edges = np.array([10.0, 50.0, 100.0])
+
+    def request_budget(self, accountant):
+        self.spec = accountant.request_budget(MechanismType.LAPLACE)
+
+    def state_schema(self):
+        return "bins array<bigint>, squares double"
+
+    def output_schema(self):
+        return "bins array<bigint>, squares double"
+
+    def start(self, values, group, n):
+        value = values.cast("double").to_numpy(zero_copy_only=False)
+        bins = np.bincount(group * 4 + np.searchsorted(self.edges, value, "right"), minlength=4 * n)
+        return self._states(bins, np.bincount(group, value * value, n))
+
+    def merge(self, states, group, n):
+        bins = np.zeros((n, 4), np.int64)
+        np.add.at(bins, group, states["bins"].flatten().to_numpy().reshape(-1, 4))
+        return self._states(bins.ravel(), np.bincount(group, states["squares"].to_numpy(), n))
+
+    def _states(self, bins, squares):
+        return {"bins": pa.ListArray.from_arrays(pa.array(np.arange(len(squares) + 1) * 4, pa.int32()), pa.array(bins)), "squares": pa.array(squares, pa.float64())}
+
+    def compute_metrics(self, states):
+        return states
+
+
+@query(
+    "SELECT event_type, count(*) FILTER (value < 10)::BIGINT AS b0, count(*) FILTER (value >= 10 AND value < 50)::BIGINT AS b1, count(*) FILTER (value >= 50 AND value < 100)::BIGINT AS b2, "
+    "count(*) FILTER (value >= 100)::BIGINT AS b3, round(sum(value * value), 1) AS squares FROM events GROUP BY event_type"
+)
+def columnar_combiner_bins(spark, sf_dir):
+    """A user's aggregate over whole columns, with an array as state and result."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(custom_combiners=[_Bins()], max_partitions_contributed=groups, max_contributions_per_partition=rows)
+    result = DPEngine(accountant).aggregate(df, params, EVENT, public_types(df))
+    accountant.compute_budgets()
+    return rounded(result.to_df().select("event_type", *[F.get("bins", i).alias(f"b{i}") for i in range(4)], "squares"), squares=1)
+
+
 class _ClippedSum(PrivateCombineFn):
     def create_accumulator(self):
         return 0.0
@@ -350,6 +438,41 @@ def private_combine_fn(spark, sf_dir):
     return rounded(result.to_df(), combined=2)
 
 
+class _CountAndRange(PrivateCombineFn):
+    """Two results: the number of values and the largest clipped one."""
+
+    def create_accumulator(self):
+        return (0, 0.0)
+
+    def add_private_input(self, accumulator, value):
+        return accumulator[0] + 1, max(accumulator[1], min(value, 100.0))
+
+    def merge_accumulators(self, accumulators):
+        counts, tops = zip(*accumulators)
+        return sum(counts), max(tops)
+
+    def request_budget(self, accountant):
+        return accountant.request_budget(MechanismType.LAPLACE)
+
+    def output_schema(self):
+        return "n bigint, top double"
+
+    def extract_private_output(self, accumulator, budget):
+        return {"n": round(LaplaceMechanism(budget.eps, 1.0).add_noise(accumulator[0])), "top": accumulator[1]}
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(max(least(value, 100.0)), 6) AS top FROM events GROUP BY event_type")
+def private_combine_fn_columns(spark, sf_dir):
+    """A user's aggregate in four steps with results of several columns."""
+    df = events(spark, sf_dir)
+    groups, rows = all_rows(df, "user_id", "event_type")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=groups, max_contributions_per_partition=rows)
+    result = make_private(df, accountant, "user_id").combine(_CountAndRange(), params, "event_type", "value", public_types(df))
+    accountant.compute_budgets()
+    return rounded(result.to_df(), top=6)
+
+
 @query("SELECT o_orderpriority, i::INTEGER AS i, round(sum(CASE WHEN i = 0 THEN 1 ELSE o_totalprice END), 2) AS value, true AS has_deviation FROM orders, range(2) AS r(i) GROUP BY o_orderpriority, i")
 def add_noise_to_arrays(spark, sf_dir):
     """Noise on an array of two totals, with its deviation beside it."""

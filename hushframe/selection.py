@@ -46,7 +46,7 @@ class PartitionSelector:
 
     def keep(self, count) -> np.ndarray:
         """A secure random decision for each count."""
-        return secure_rng().random(np.shape(count)) < self.probabilities(count)
+        return secure_rng().happens(self.probabilities(count))
 
     def should_keep(self, count: float) -> bool:
         return bool(self.keep([count])[0])

@@ -1,7 +1,11 @@
 """The engine end to end."""
 
 import datetime
+import os
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,10 @@ from hushframe import (
     PartitionSelectionStrategy, PLDBudgetAccountant, PrivacyIdCountParams, QueryBuilder, Sampling, SelectPartitionsParams, SumParams, VarianceParams, make_private, register_annotator,
 )
 from hushframe import report
-from hushframe.operators.quantiles import LEAVES, release
+from hushframe.operators.quantiles import LEAVES, QuantileTree, build_trees, merge_trees, release, unpack_trees
+from hushframe.plans import columnar
+from hushframe.plans.bounding import siphash
+from hushframe.plans.columnar import ColumnarCombiner
 
 E = DataExtractors("pid", "pk", "value")
 
@@ -104,6 +111,158 @@ def test_vector_sum_norms(spark):
         assert got["a"]["vector_sum"][0] == pytest.approx(first, abs=1e-3) and got["empty"]["vector_sum"] == pytest.approx([0, 0], abs=1e-3)
 
 
+def test_quantile_trees_merge():
+    """The tree of a union is the merge of the trees, and equal trees have equal bytes."""
+    r = random.Random(1)
+    values = [r.choice((r.gauss(40, 30), 7.0, -5.0, 1e9)) for _ in range(3000)]
+    parts = [QuantileTree.of_values(0, 100, values[a:b]) for a, b in ((0, 900), (900, 900), (900, 3000))]
+    whole = QuantileTree.of_values(0, 100, values)
+    assert parts[0].merge(*parts[1:]) == whole == parts[2].merge(parts[1]).merge(parts[0])
+    assert QuantileTree.from_bytes(whole.to_bytes()) == whole and parts[0].merge(*parts[1:]).to_bytes() == whole.to_bytes()
+    assert whole.count.sum() == whole.nodes(1).count.sum() == 3000 and whole.nodes(0).at.tolist() == [0]
+    assert QuantileTree.of_values(3, 3, [1, float("nan"), 5]).count.tolist() == [2]
+    p = AggregateParams(metrics=[Metrics.PERCENTILE(50)], max_partitions_contributed=1, max_contributions_per_partition=1, min_value=0, max_value=100)
+    assert release(whole, [0.5], p, 1e9, 0)[0] == pytest.approx(sorted(values)[1500], abs=0.1)
+    for wrong in (lambda: whole.merge(QuantileTree(0, 50)), lambda: QuantileTree(2, 1), lambda: release(QuantileTree(0, 50), [0.5], p, 1, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_tables_of_trees(spark):
+    """Trees of tables merge to those of their union; a tree over another interval is an error."""
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([r.uniform(-1, 11), None, float(i % 3)])) for i in range(2000)]
+    schema = "k string, value double"
+    tree = lambda rows: build_trees(spark.createDataFrame(rows, schema).repartition(3), ["k"], "value", 0, 10)
+    merged = merge_trees(tree(rows[:500]).union(tree(rows[500:700])).union(tree(rows[700:])), ["k"], 0, 10)
+    known = {k: QuantileTree.of_values(0, 10, [float("nan") if v is None else v for x, v in rows if x == k]).to_bytes() for k in ("a", "b", None)}
+    assert {x["k"]: bytes(x["tree"]) for x in merged.collect()} == {x["k"]: bytes(x["tree"]) for x in tree(rows).collect()} == known
+    assert unpack_trees(merged, ["k"], 0, 10).groupBy().sum("n").first()[0] == sum(v is not None for _, v in rows)
+    assert tree([]).collect() == [] and merge_trees(tree([]), ["k"], 0, 10).collect() == []
+    with pytest.raises(Exception, match="is not one over"):
+        merge_trees(tree(rows), ["k"], 0, 11).collect()
+
+
+def test_percentiles_of_merged_states(spark):
+    df = spark.createDataFrame([(u, f"p{u % 2}", float(u + v)) for u in range(400) for v in range(3)], "pid long, pk string, value double")
+    p = AggregateParams(metrics=[Metrics.PERCENTILE(50), Metrics.PERCENTILE(90)], max_partitions_contributed=1, max_contributions_per_partition=3, min_value=0, max_value=1000)
+    a = NaiveBudgetAccountant(1e9, 1e-2)
+    engine = DPEngine(a)
+    states = engine.percentile_states(df.where("pid < 100"), p, E).union(engine.percentile_states(df.where("pid >= 100"), p, E))
+    assert states.columns == ["pk", "units", "tree"] and states.groupBy().sum("units").first()[0] == 400
+    merged, public = engine.release_percentiles(states, p), engine.release_percentiles(states, p, ["p0", "none"], tables_per_unit=2)
+    whole = DPEngine(a).aggregate(df, p, E)
+    a.compute_budgets()
+    got, expected = ({x["pk"]: tuple(x)[1:] for x in y.to_df().collect()} for y in (merged, whole))
+    assert set(got) == set(expected) == {"p0", "p1"} and all(got[k] == pytest.approx(expected[k], abs=0.05) for k in got)
+    assert {x["pk"] for x in public.to_df().collect()} == {"p0", "none"}
+    for wrong in (lambda: engine.release_percentiles(states, p, tables_per_unit=0), lambda: engine.percentile_states(df, AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=1, max_contributions_per_partition=1), E)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_vector_sum_of_many_coordinates(spark):
+    """Plans don't grow with the vector; copies of a unit's rows beyond its bound don't count."""
+    size = 4096
+    df = spark.range(600).select((F.col("id") % 300).alias("pid"), (F.col("id") % 3).alias("pk"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i + F.col("id")).cast("double") / 1e4).alias("value"))
+    p = AggregateParams(metrics=[Metrics.VECTOR_SUM, Metrics.PRIVACY_ID_COUNT], max_partitions_contributed=1, max_contributions_per_partition=2, vector_size=size, vector_max_norm=1e6, vector_norm_kind=NormKind.Linf)
+    a = NaiveBudgetAccountant(1e13, 1e-2)
+    result = DPEngine(a).aggregate(df, p, E, [0, 1, 2, 9])
+    a.compute_budgets()
+    got = {x["pk"]: x for x in result.to_df().collect()}
+    assert len(result._build()._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    for k in range(3):
+        ids = range(k, 600, 3)
+        assert got[k]["vector_sum"] == pytest.approx([sum(i + d for i in ids) / 1e4 for d in range(size)], abs=1e-2) and round(got[k]["privacy_id_count"]) == 100
+    assert got[9]["vector_sum"] == pytest.approx([0] * size, abs=1e-2)
+
+
+def test_vectors_of_other_lengths(spark):
+    df = spark.createDataFrame([(1, "a", [1.0]), (2, "a", [1.0, None, 5.0]), (3, "a", []), (4, "a", None)], "pid long, pk string, value array<double>")
+    p = AggregateParams(metrics=[Metrics.VECTOR_SUM], max_partitions_contributed=1, max_contributions_per_partition=1, vector_size=2, vector_max_norm=9.0, vector_norm_kind=NormKind.Linf)
+    assert run(df, p, ["a"])["a"]["vector_sum"] == pytest.approx([2, 0], abs=1e-3)
+
+
+class Words(ColumnarCombiner):
+    """Distinct rounded values: states are lists of any length."""
+
+    def request_budget(self, accountant):
+        accountant.request_budget(MechanismType.LAPLACE)
+
+    def state_schema(self):
+        return "seen array<double>"
+
+    def output_schema(self):
+        return "seen array<double>, n int, label string"
+
+    def _sets(self, values, group, n):
+        sets = [sorted({v for v, g in zip(values, group.tolist()) if g == i}) for i in range(n)]
+        return {"seen": pa.array(sets, pa.list_(pa.float64()))}
+
+    def start(self, values, group, n):
+        return self._sets(values.to_pylist(), group, n)
+
+    def merge(self, states, group, n):
+        lists = states["seen"].to_pylist()
+        return self._sets([v for x in lists for v in x], np.repeat(group, [len(x) for x in lists]).astype(int), n)
+
+    def compute_metrics(self, states):
+        lists = states["seen"].to_pylist()
+        return {"seen": states["seen"], "n": [len(x) for x in lists], "label": [str(len(x)) for x in lists]}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 14])
+def test_columnar_combiner(spark, monkeypatch, held):
+    """States of any length and results of any type, beside a combiner of the row protocol."""
+    monkeypatch.setattr(columnar, "HELD", held)
+    rows = [(u, f"p{u % 40}" if u % 41 else None, float(u % 7 + v)) for u in range(500) for v in range(2)]
+    df = spark.createDataFrame(rows, "pid long, pk string, value double").repartition(5)
+    p = AggregateParams(custom_combiners=[Words(), SumOfSquares()], max_partitions_contributed=1, max_contributions_per_partition=2)
+    got = run(df, p)
+    keys = {k for _, k, _ in rows}
+    assert set(got) == keys
+    for k in keys:
+        own = [v for _, x, v in rows if x == k]
+        assert (got[k]["seen"], got[k]["n"], got[k]["label"], got[k]["squares"]) == (sorted(set(own)), len(set(own)), str(len(set(own))), sum(v * v for v in own))
+    public = run(df, p, ["p1", "none"])
+    assert set(public) == {"p1", "none"} and public["none"]["seen"] == [] and public["none"]["squares"] == 0
+    assert p.custom_combiners[0].metrics_names() == ["seen", "n", "label"]
+
+
+def test_results_can_be_deleted(spark, rows):
+    p = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=3, max_contributions_per_partition=5)
+    a = NaiveBudgetAccountant(1, 1e-6)
+    result = DPEngine(a).aggregate(rows, p, E, ["pk0"])
+    a.compute_budgets()
+    with result:
+        assert result.to_df().count() == 1
+        assert os.path.isdir(result._path.removeprefix("file:"))
+    assert not os.path.exists(result._path.removeprefix("file:"))
+    with pytest.raises(ValueError):
+        result.to_df()
+
+
+def test_siphash():
+    """Two published values."""
+    key = bytes(range(16))
+    assert siphash(np.zeros((1, 0), np.uint64), key)[0] == 0x726FDB47DD0E0E31
+    assert siphash(np.frombuffer(bytes(range(8)), "<u8").reshape(1, 1), key)[0] == 0x93F5F5799A932462
+
+
+@pytest.mark.parametrize("total", [False, True])
+def test_secret_is_in_no_plan(rows, total):
+    sampling = Sampling()
+    p = AggregateParams(metrics=[Metrics.COUNT], **({"max_contributions": 2} if total else {"max_partitions_contributed": 1, "max_contributions_per_partition": 1}))
+    a = NaiveBudgetAccountant(1e9, 1e-2)
+    result = DPEngine(a, sampling).aggregate(rows, p, E, ["pk0"])
+    a.compute_budgets()
+    execution = result._build()._jdf.queryExecution()
+    texts = [execution.logical().toString(), execution.analyzed().toString(), execution.optimizedPlan().toString(), execution.executedPlan().toString(), execution.toString(), execution.analyzed().toJSON(), repr(sampling)]
+    numbers = np.frombuffer(bytes.fromhex(sampling.secret), "<i8").tolist()
+    for text in texts:
+        assert not any(part in text for part in (sampling.secret, sampling.secret[:8], *map(str, numbers)))
+
+
 class SumOfSquares(CustomCombiner):
     def request_budget(self, accountant):
         self.budget = accountant.request_budget(MechanismType.LAPLACE)
