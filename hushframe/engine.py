@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
@@ -43,7 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
+    if getattr(_folders, "paths", None) is not None:
+        _folders.paths.append(path)
+    return path
+
+
+_folders = threading.local()
+
+
+@contextmanager
+def released_folders(spark: SparkSession) -> Iterator[None]:
+    """At its end, deletes the folders that releases of this thread made since its begin:
+    what is read from them must be written elsewhere by then."""
+    before, _folders.paths = getattr(_folders, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _folders.paths:
+            delete_folder(spark, path)
+        _folders.paths = before
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

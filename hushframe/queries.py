@@ -33,6 +33,7 @@ from .plans.columnar import ColumnarCombiner
 from .private_frame import PrivateCombineFn, make_private
 from .selection import TruncatedGeometric
 from .sources import text
+from .streaming import release_sessions, release_windows, session_counts, stream_budgeted_counts, window_counts
 
 BUDGET = Budget(1e12, 1e-2)
 TYPES = ("click", "view", "purchase", "signup", "error")
@@ -500,6 +501,64 @@ def sectioned_text_round_trip(spark, sf_dir):
     return text.read_sectioned_text(spark, path, ["name"])
 
 
+# Event-time windows.
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    """Events whose time is the UTC instant of what is written, whatever the session's zone."""
+    zone = F.col("ts") if df.schema["ts"].dataType.typeName() == "timestamp" else F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return df.select(zone.alias("ts"), "user_id", "event_type")
+
+
+@query(
+    "WITH e AS (SELECT epoch(ts)::BIGINT // 43200 * 43200 AS slide, event_type FROM events), w AS (SELECT slide - k * 43200 AS begin, event_type FROM e, range(2) AS r(k)), "
+    "b AS (SELECT DISTINCT begin FROM w), t AS (SELECT * FROM (VALUES ('click'), ('view'), ('none')) AS t(event_type)) "
+    "SELECT b.begin::BIGINT AS begin, t.event_type, count(w.begin)::BIGINT AS n FROM b CROSS JOIN t LEFT JOIN w ON w.begin = b.begin AND w.event_type = t.event_type GROUP BY b.begin, t.event_type"
+)
+def window_sliding_counts(spark, sf_dir):
+    """Counts by type in windows of a day that begin every twelve hours."""
+    counts = window_counts(_timed(table(spark, sf_dir, "events")), "ts", "user_id", "event_type", "1 day", "12 hours")
+    out = release_windows(counts, Budget(1e12, 1e-2), 5, 1000, ["click", "view", "none"], windows_of_a_row=2)
+    return rounded(out.select(F.unix_seconds("begin").alias("begin"), F.col("key").alias("event_type"), F.col("dp_count").alias("n")), n=0)
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, ts, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS pause FROM events), s AS (SELECT *, sum(CASE WHEN pause <= INTERVAL 12 HOURS THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e), "
+    "x AS (SELECT event_type, epoch(min(ts))::BIGINT // 86400 * 86400 AS day, count(*) AS n FROM s GROUP BY user_id, event_type, s), d AS (SELECT DISTINCT day FROM x), t AS (SELECT * FROM (VALUES ('purchase'), ('signup')) AS t(event_type)) "
+    "SELECT d.day::BIGINT AS day, t.event_type, count(x.day)::BIGINT AS sessions, coalesce(sum(n), 0)::BIGINT AS n FROM d CROSS JOIN t LEFT JOIN x ON x.day = d.day AND x.event_type = t.event_type GROUP BY d.day, t.event_type"
+)
+def window_session_counts(spark, sf_dir):
+    """Sessions of a user with a type, which pauses of over twelve hours end, by type and the
+    day that they begin on, and their rows."""
+    sessions = session_counts(_timed(table(spark, sf_dir, "events")), "ts", "user_id", "event_type", "12 hours")
+    whole_days = lambda c: F.timestamp_seconds(F.floor(F.unix_seconds(c) / 86400) * 86400)
+    out = release_sessions(sessions, whole_days, Budget(1e12, 1e-2), 1000, ["purchase", "signup"], max_rows=1000)
+    return rounded(out.select(F.unix_seconds("period").alias("day"), F.col("key").alias("event_type"), F.col("dp_sessions").alias("sessions"), F.col("dp_rows").alias("n")), sessions=0, n=0)
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, epoch(ts)::BIGINT // 86400 * 86400 AS day FROM events), c AS (SELECT * FROM e WHERE day + 86400 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) / 1000.0), "
+    "k AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day) AS k FROM c), p AS (SELECT * FROM k WHERE k <= 3), d AS (SELECT DISTINCT day FROM p), t AS (SELECT * FROM (VALUES ('click'), ('view')) AS t(event_type)) "
+    "SELECT d.day::BIGINT AS day, t.event_type, count(p.day)::BIGINT AS n FROM d CROSS JOIN t LEFT JOIN p ON p.day = d.day AND p.event_type = t.event_type GROUP BY d.day, t.event_type"
+)
+def stream_budgeted_days(spark, sf_dir):
+    """The events as a stream whose users pay for three days each: counts by day and type of
+    the days that the watermark closes, out of the sink's table."""
+    path = shared_folder(spark)
+    stream = _timed(spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream_budgeted_counts(
+            stream, "ts", "user_id", "event_type", window="1 day", lateness="1 hour", total_budget=Budget(1e12, 1e-2), max_windows=3, max_keys=5, max_per_key=1000, public_keys=["click", "view"], sink=f"{path}/sink", checkpoint=f"{path}/checkpoint", available_now=True,
+        ).awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    out = spark.read.schema("begin timestamp, key string, dp_count double, batch int").parquet(f"{path}/sink")
+    return rounded(out.select(F.unix_seconds("begin").alias("day"), F.col("key").alias("event_type"), F.col("dp_count").alias("n")), n=0)
+
+
 # Contribution bounding in a repeatable order.
 
 _ROWS = "SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY {by} ORDER BY md5(concat('s1|', cast(event_id AS VARCHAR))), event_id) AS rn FROM events"
