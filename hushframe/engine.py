@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import mechanisms as m
 from .budget import BudgetAccountant, NaiveBudgetAccountant
-from .extractors import DataExtractors, extract
+from .extractors import DataExtractors, extract, key_names
 from .params import (
     AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, Metrics, PartitionSelectionStrategy, PrivateContributionBounds, SelectPartitionsParams, check_positive_int, require,
 )
@@ -327,6 +327,66 @@ class DPEngine:
 
         return build
 
+    # several levels of keys
+
+    def aggregate_levels(self, col: DataFrame, params: AggregateParams, data_extractors: DataExtractors, levels: Sequence[Sequence[str]], public_partitions: DataFrame | Iterable[Any] | None = None) -> DPResult:
+        """DP metrics by several sets of the partition key's columns, out of one bounded pass:
+        key columns (null where a level leaves them out), ``level`` (its place in ``levels``)
+        and a column for each metric.
+
+        Contributions are bounded once, by whole keys.  A unit's rows may all meet in one
+        partition of a coarser level, so noise there allows for ``max_partitions_contributed *
+        max_contributions_per_partition`` of them.  The levels share the budget evenly;
+        ``public_partitions`` are whole keys, and coarser levels publish what they contain."""
+        self._check_aggregate(col, params, data_extractors)
+        names = key_names(data_extractors.partition_extractor)
+        keys = [f"k{i}" for i in range(len(names))]
+        levels = [list(level) for level in levels]
+        require(bool(levels) and all(set(level) <= set(names) for level in levels), f"levels are sets of the key's columns {names}")
+        require(len({frozenset(level) for level in levels}) == len(levels), "a level is given twice")
+        allowed = {Metrics.COUNT, Metrics.SUM, Metrics.MEAN, Metrics.PRIVACY_ID_COUNT}
+        require(bool(params.metrics) and set(params.metrics) <= allowed, "levels have COUNT, SUM, MEAN and PRIVACY_ID_COUNT")
+        require(not (params.max_contributions or params.post_aggregation_thresholding or params.contribution_bounds_already_enforced or params.bounds_per_partition_are_set), "levels are bounded by max_partitions_contributed and max_contributions_per_partition, and by values")
+        with self._accountant.scope(weight=params.budget_weight):
+            report = self._report(params, "aggregate_levels", public_partitions is not None, None)
+            # no level's partials differ: all sum what bounding by whole keys left
+            plans = [self._level_plans(params, set(level) == set(names)) for level in levels]
+            keeps = [self._selection(params, 1, report) for _ in levels] if public_partitions is None else [None] * len(levels)
+            rows, keys, names, listed = self._rows(col, data_extractors, params, public_partitions, report)
+            if self._needs_value(params):
+                rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+            fold = grouped_rows()
+            partials = {k: c for plan in plans[0] for k, c in plan.partials(fold).items() if k != "_privacy_id_count"}
+            unit, stages = bound(rows, keys, params, [c.alias(k) for k, c in partials.items()] or [F.lit(1).alias("_one")], any(x.sampled for x in plans[0]), self._sampling)
+            for s in stages:
+                report.add_stage(s)
+            of = dict(zip(names, keys))
+            sets = [["pid", *[of[n] for n in level]] for level in levels]
+            # one row for each unit in each partition of each level
+            by_level = unit.groupingSets([[F.col(c) for c in s] for s in sets], "pid", *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_gid"), *[F.sum(k).alias(k) for k in partials])
+            number = F.create_map(*[F.lit(x) for i, s in enumerate(sets) for x in (sum(1 << j for j, k in enumerate(reversed(keys)) if k not in s), i)])
+            by_level = by_level.withColumn("_level", number[F.col("_gid").cast("int")])
+            merged = by_level.groupBy("_level", *keys).agg(F.count("*").alias("_units"), *[F.sum(k).alias(k) for k in partials], F.count("*").cast("double").alias("_privacy_id_count"))
+            if listed is not None:
+                wanted = listed.groupingSets([[F.col(c) for c in s[1:]] for s in sets], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_gid")).withColumn("_level", number[F.col("_gid").cast("int")]).select("_level", *keys)
+                merged = self._with_public(merged, wanted, ["_level", *keys], plans[0])
+            for own in plans:
+                for plan in own:
+                    report.add_stage(plan.explain)
+            budget = self._accountant._compute_budget_for_aggregation(params.budget_weight)
+            return self._annotated(lambda: release_levels(merged, keys, names, plans, [k() if k else None for k in keeps]), params, budget)
+
+    def _level_plans(self, p: AggregateParams, finest: bool) -> list[Any]:
+        if finest:
+            return plan_metrics(p, self._accountant)
+        total = p.max_partitions_contributed * p.max_contributions_per_partition
+        values = [x for x in p.metrics if x != Metrics.PRIVACY_ID_COUNT]
+        coarse = replace(p, metrics=values, max_partitions_contributed=None, max_contributions_per_partition=None, max_contributions=total)
+        plans = plan_metrics(coarse, self._accountant) if values else []
+        if Metrics.PRIVACY_ID_COUNT in p.metrics:
+            plans += plan_metrics(replace(p, metrics=[Metrics.PRIVACY_ID_COUNT]), self._accountant)
+        return plans
+
     # percentiles from stored trees
 
     def percentile_states(self, col: DataFrame, params: AggregateParams, data_extractors: DataExtractors) -> DataFrame:
@@ -488,26 +548,51 @@ def _check_frame(col: Any) -> None:
         raise TypeError("col must be a DataFrame")
 
 
+def _released(batch: pa.RecordBatch, keys: list[str], steps: list[Callable[[pd.DataFrame], dict[str, Any]]], arrow: dict[str, pa.DataType], keep: Callable[[np.ndarray], np.ndarray] | None) -> pa.RecordBatch | None:
+    """Keys and noisy results of a batch's partitions that ``keep`` selects."""
+    if keep is not None and batch.num_rows:
+        batch = batch.filter(pa.array(keep(batch.column("_units").to_numpy())))
+    if not batch.num_rows:
+        return None
+    # keys stay as they are; only the merged sums are unpacked
+    df = batch.select([c for c in batch.schema.names if c not in keys]).to_pandas(maps_as_pydicts="strict")
+    found = {name: column for step in steps for name, column in step(df).items()}
+    columns = [batch.column(k) for k in keys] + [pa.array(found[o], t, from_pandas=True) for o, t in arrow.items()]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, *arrow])
+
+
+_KINDS = {"double": (T.DoubleType(), pa.float64()), "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}
+
+
 def release(merged: DataFrame, keys: list[str], names: list[str], plans: list[Any], keep: Callable[[np.ndarray], np.ndarray] | None, drop: str | None) -> DataFrame:
     """Select partitions and add noise in one pass over the merged columns.  Closures are
     pickled now, so the budget has to be known."""
     outputs = {n: t for plan in plans for n, t in plan.outputs.items()}
-    kinds = {"double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType())}
-    fields = [merged.schema[k] for k in keys] + [T.StructField(n, kinds[t], True) for n, t in outputs.items()]
-    arrow = {n: pa.float64() if t == "double" else pa.list_(pa.float64()) for n, t in outputs.items()}
-    steps = [plan.release for plan in plans]
+    fields_ = [merged.schema[k] for k in keys] + [T.StructField(n, _KINDS[t][0], True) for n, t in outputs.items()]
+    arrow, steps = {n: _KINDS[t][1] for n, t in outputs.items()}, [plan.release for plan in plans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _released(batch, keys, steps, arrow, keep)
+            if out is not None:
+                yield out.filter(out.column(drop).is_valid()) if drop else out
+
+    return merged.mapInArrow(run, T.StructType(fields_)).toDF(*names, *outputs)
+
+
+def release_levels(merged: DataFrame, keys: list[str], names: list[str], plans: list[list[Any]], keeps: list[Callable[[np.ndarray], np.ndarray] | None]) -> DataFrame:
+    """``release`` of rows of several levels, each by its own plans and selection."""
+    outputs = {n: t for plan in plans[0] for n, t in plan.outputs.items()}
+    own = ["_level", *keys]
+    fields_ = [merged.schema[k] for k in own] + [T.StructField(n, _KINDS[t][0], True) for n, t in outputs.items()]
+    arrow, steps = {n: _KINDS[t][1] for n, t in outputs.items()}, [[plan.release for plan in level] for level in plans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if keep is not None and batch.num_rows:
-                batch = batch.filter(pa.array(keep(batch.column("_units").to_numpy())))
-            if not batch.num_rows:
-                continue
-            # keys stay as they are; only the merged sums are unpacked
-            df = batch.select([c for c in batch.schema.names if c not in keys]).to_pandas(maps_as_pydicts="strict")
-            found = {name: column for step in steps for name, column in step(df).items()}
-            columns = [batch.column(k) for k in keys] + [pa.array(found[o], arrow[o], from_pandas=True) for o in outputs]
-            out = pa.RecordBatch.from_arrays(columns, names=[*keys, *outputs])
-            yield out.filter(out.column(drop).is_valid()) if drop else out
-
-    return merged.mapInArrow(run, T.StructType(fields)).toDF(*names, *outputs)
+            level = batch.column("_level").to_numpy()
+            for i in np.unique(level).tolist():
+                out = _released(batch.filter(pa.array(level == i)), own, steps[i], arrow, keeps[i])
+                if out is not None:
+                    yield out
+
+    return merged.mapInArrow(run, T.StructType(fields_)).toDF("level", *names, *outputs).select(*names, "level", *outputs)

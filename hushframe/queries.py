@@ -333,6 +333,23 @@ def dp_count_pre_threshold(spark, sf_dir):
     return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
 
 
+@query(
+    f"WITH e AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, {_CLIP} AS v FROM events) "
+    "SELECT event_type, day, (CASE grouping(event_type, day) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END)::INTEGER AS level, count(*)::BIGINT AS n, round(sum(v), 2) AS total, count(DISTINCT user_id)::BIGINT AS users "
+    "FROM e GROUP BY GROUPING SETS ((), (event_type), (event_type, day))"
+)
+def dp_grouping_sets(spark, sf_dir):
+    """Totals, by type, and by type and day, out of one bounded pass and one release."""
+    df = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    groups, rows = all_rows(df, "user_id", "event_type", "day")
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(metrics=[Metrics.COUNT, Metrics.SUM, Metrics.PRIVACY_ID_COUNT], max_partitions_contributed=groups, max_contributions_per_partition=rows, min_value=0, max_value=100)
+    result = DPEngine(accountant).aggregate_levels(df, params, DataExtractors("user_id", ["event_type", "day"], "value"), [[], ["event_type"], ["event_type", "day"]], df.select("event_type", "day").distinct())
+    accountant.compute_budgets()
+    out = result.to_df().withColumnsRenamed({"count": "n", "sum": "total", "privacy_id_count": "users"})
+    return rounded(out, n=0, total=2, users=0)
+
+
 class _Squares(CustomCombiner):
     """The sum of squares, as the exact value of a custom aggregate."""
 

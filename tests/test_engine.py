@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,54 @@ def test_columnar_combiner(spark, monkeypatch, held):
     assert p.custom_combiners[0].metrics_names() == ["seen", "n", "label"]
 
 
+def levels_of(df, p, public=None, eps=1e9, delta=1e-2, levels=((), ("a",), ("b", "a")), accountant=None):
+    a = accountant or NaiveBudgetAccountant(eps, delta)
+    result = DPEngine(a).aggregate_levels(df, p, DataExtractors("pid", ["a", "b"], "value"), levels, public)
+    a.compute_budgets()
+    return result.to_df()
+
+
+def test_levels_of_keys(spark):
+    """One bounded pass, several levels; null keys are keys."""
+    r = random.Random(4)
+    rows = [(r.randrange(40), r.choice(["x", "y", None]), r.choice([1, 2, None]), r.choice([1.0, 5.0, 50.0, None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "pid long, a string, b long, value double")
+    p = AggregateParams(metrics=[Metrics.COUNT, Metrics.SUM, Metrics.PRIVACY_ID_COUNT], max_partitions_contributed=9, max_contributions_per_partition=600, min_value=0, max_value=10)
+    got = {(x["level"], x["a"], x["b"]): (round(x["count"]), round(x["sum"]), round(x["privacy_id_count"])) for x in levels_of(df, p).collect()}
+    expected = {}
+    for level, cut in enumerate((lambda a, b: (None, None), lambda a, b: (a, None), lambda a, b: (a, b))):
+        for u, a, b, v in rows:
+            if v is not None:
+                n, total, units = expected.get((level, *cut(a, b)), (0, 0, frozenset()))
+                expected[level, *cut(a, b)] = (n + 1, total + min(v, 10), units | {u})
+    assert got == {k: (n, total, len(units)) for k, (n, total, units) in expected.items()}
+    mean = AggregateParams(metrics=[Metrics.MEAN], max_partitions_contributed=9, max_contributions_per_partition=600, min_value=0, max_value=10)
+    for x in levels_of(df, mean).collect():
+        n, total, _ = expected[x["level"], x["a"], x["b"]]
+        assert x["mean"] == pytest.approx(total / n, abs=1e-3)
+    public = levels_of(df, p, [("x", 1), ("x", 7), ("z", 2)])
+    assert sorted((x["level"], x["a"] or "", x["b"] or 0) for x in public.collect()) == [(0, "", 0), (1, "x", 0), (1, "z", 0), (2, "x", 1), (2, "x", 7), (2, "z", 2)]
+    total = [round(x["count"]) for x in public.collect() if x["level"] == 0]
+    assert total == [expected[2, "x", 1][0]]
+
+
+def test_levels_are_bounded_once_and_share_the_budget(spark):
+    df = spark.createDataFrame([(u, f"a{i}", i, 1.0) for u in range(3) for i in range(50)], "pid long, a string, b long, value double")
+    p = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=4, max_contributions_per_partition=2, output_noise_stddev=True)
+    public = [(f"a{i}", i) for i in range(50)]
+    out = levels_of(df, p, public, levels=((), ("a", "b")), eps=1e7).collect()
+    assert {round(sum(x["count"] for x in out if x["level"] == level)) for level in (0, 1)} == {12}
+    # each level has half the budget, and both the sensitivity 4 * 2
+    assert {round(x["count_noise_stddev"] * 1e7, 3) for x in out} == {round(2 * 8 * 2**0.5, 3)}
+    gauss = replace(p, noise_kind=NoiseKind.GAUSSIAN)
+    spread = {x["level"]: x["count_noise_stddev"] for x in levels_of(df, gauss, public, levels=((), ("a", "b")), eps=1, delta=1e-6).collect()}
+    assert spread[0] / spread[1] == pytest.approx(2, rel=0.01)  # 8 against 2 * sqrt(4)
+    assert levels_of(df, p, eps=0.01, delta=1e-10).collect() == []
+    for levels, params in ((((), ()), p), ((("c",),), p), ((), p), (((),), AggregateParams(metrics=[Metrics.VARIANCE], max_partitions_contributed=1, max_contributions_per_partition=1, min_value=0, max_value=1))):
+        with pytest.raises(ValueError):
+            levels_of(df, params, levels=levels)
+
+
 def test_results_can_be_deleted(spark, rows):
     p = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=3, max_contributions_per_partition=5)
     a = NaiveBudgetAccountant(1, 1e-6)
