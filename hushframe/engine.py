@@ -437,8 +437,6 @@ class DPEngine:
     def _check_percentiles(self, p: AggregateParams) -> None:
         require(isinstance(p, AggregateParams) and bool(p.metrics) and all(x.is_percentile for x in p.metrics), "trees hold percentiles only: every metric must be a PERCENTILE")
         require(p.min_value is not None and p.max_value is not None, "percentiles need min_value and max_value")
-        if not isinstance(self._accountant, NaiveBudgetAccountant):
-            raise NotImplementedError("Percentiles do not support PLD budget accounting")
 
     # partition selection
 
@@ -538,9 +536,6 @@ class DPEngine:
         if not isinstance(self._accountant, NaiveBudgetAccountant):
             if p.custom_combiners:
                 raise NotImplementedError(f"PLD budget accounting is not compatible with custom combiners: {p.custom_combiners}")
-            extra = set(p.metrics or ()) - plain
-            if extra:
-                raise NotImplementedError(f"Metrics {extra} do not support PLD budget accounting")
 
 
 def _check_frame(col: Any) -> None:

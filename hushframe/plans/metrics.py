@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import mechanisms as m
-from ..budget import BudgetAccountant
+from ..budget import BudgetAccountant, MechanismSpec, NaiveBudgetAccountant
 from ..operators import quantiles
 from ..params import AggregateParams, Metric, Metrics, NormKind, noise_to_thresholding
 from ..selection import create_thresholding_mechanism
@@ -139,18 +139,31 @@ def _mean(p: AggregateParams, wanted: list[str], accountant: BudgetAccountant) -
     return MetricPlan(partials, {k: _sum(k) for k in ("_n", "_centred")}, dict.fromkeys(wanted, "double"), release, explain)
 
 
+def _several(p: AggregateParams, accountant: BudgetAccountant, parts: int, name: str) -> MechanismSpec:
+    """The budget of a release in ``parts``.  The naive accountant gives it one share, which
+    the parts split; one that composes privacy losses composes that of each part."""
+    composed = not isinstance(accountant, NaiveBudgetAccountant)
+    return accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, count=parts if composed else 1, name=name)
+
+
+def _told(spec: MechanismSpec) -> str:
+    return f"noise_stddev={spec.noise_standard_deviation} of a unit of sensitivity, for each part" if spec.standard_deviation_is_set else f"eps={spec.eps} delta={spec.delta}"
+
+
 def _variance(p: AggregateParams, wanted: list[str], accountant: BudgetAccountant) -> MetricPlan:
-    spec = accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, name="Variance")
+    needed = m.variance_sensitivities(p)
+    spec = _several(p, accountant, len(needed), "Variance")
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
-        found = m.release_variance(df["_n"].to_numpy(), df["_centred"].to_numpy(), df["_squares"].to_numpy(), p, spec.eps, spec.delta)
+        parts = [m.create_additive_mechanism(spec, s) for s in needed] if spec.standard_deviation_is_set else m.variance_mechanisms(p, spec.eps, spec.delta)
+        found = m.release_variance(df["_n"].to_numpy(), df["_centred"].to_numpy(), df["_squares"].to_numpy(), p, parts)
         return {w: found[w] for w in wanted}
 
     def partials(rows: Rows) -> dict[str, Column]:
         x = _centred(p)
         return {"_n": rows.number, "_centred": F.coalesce(rows.total(x), F.lit(0.0)), "_squares": F.coalesce(rows.total(x * x), F.lit(0.0))}
 
-    return MetricPlan(partials, {k: _sum(k) for k in ("_n", "_centred", "_squares")}, dict.fromkeys(wanted, "double"), release, lambda: f"Computed variance with (eps={spec.eps} delta={spec.delta})")
+    return MetricPlan(partials, {k: _sum(k) for k in ("_n", "_centred", "_squares")}, dict.fromkeys(wanted, "double"), release, lambda: f"Computed variance with ({_told(spec)})")
 
 
 def _vector_sum(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
@@ -168,30 +181,34 @@ def _vector_sum(p: AggregateParams, accountant: BudgetAccountant) -> MetricPlan:
         at = np.array([list(v) if v is not None else zero for v in df["_vector"]], float).reshape(-1, size)
         l0 = p.max_partitions_contributed or p.max_contributions
         # the sensitivity is that of the whole vector, so the whole budget stands against it
+        if spec.standard_deviation_is_set:
+            whole = m.vector_sensitivity(p.noise_kind, norm, most, size, l0)
+            return {"vector_sum": list(m.create_additive_mechanism(spec, m.Sensitivities(l1=whole, l2=whole)).add_noise(at))}
         noise = m.AdditiveVectorNoiseParams(spec.eps, spec.delta, p.vector_max_norm, l0, 1, norm, p.noise_kind)
         return {"vector_sum": list(m.add_noise_vector(at, noise))}
 
     def explain() -> str:
-        return f"Computed vector sum with (eps={spec.eps} delta={spec.delta})"
+        return f"Computed vector sum with ({_told(spec)})"
 
     return MetricPlan(lambda rows: {"_vectors": rows.listed(F.col("value"))}, {}, {"vector_sum": "array<double>"}, release, explain, columnar=VectorSum(size, bounded))
 
 
 def _percentiles(p: AggregateParams, metrics: list[Metric], accountant: BudgetAccountant) -> MetricPlan:
-    spec = accountant.request_budget(p.noise_kind.convert_to_mechanism_type(), weight=p.budget_weight, name="Quantiles")
+    spec = _several(p, accountant, quantiles.HEIGHT, "Quantiles")
     ranks = [x.parameter / 100 for x in metrics]
     names = [x.column for x in metrics]
 
     def release(df: pd.DataFrame) -> dict[str, Any]:
         trees = [quantiles.QuantileTree(p.min_value, p.max_value) if raw is None else quantiles.QuantileTree.from_bytes(raw) for raw in df["_tree"]]
-        rows = [quantiles.release(tree, ranks, p, spec.eps, spec.delta) for tree in trees]
+        noise = m.create_additive_mechanism(spec, quantiles.sensitivities(p)) if spec.standard_deviation_is_set else m.additive_mechanism(p.noise_kind, spec.eps / quantiles.HEIGHT, spec.delta / quantiles.HEIGHT, quantiles.sensitivities(p))
+        rows = [quantiles.release(tree, ranks, p, noise=noise) for tree in trees]
         table = np.array(rows, float).reshape(-1, len(ranks))
         return {n: table[:, i] for i, n in enumerate(names)}
 
     def partials(rows: Rows) -> dict[str, Column]:
         return {"_leaves": rows.listed(quantiles.leaf(F.col("value"), p.min_value, p.max_value))}
 
-    return MetricPlan(partials, {}, dict.fromkeys(names, "double"), release, lambda: f"Computed percentiles {[x.parameter for x in metrics]} with (eps={spec.eps} delta={spec.delta})")
+    return MetricPlan(partials, {}, dict.fromkeys(names, "double"), release, lambda: f"Computed percentiles {[x.parameter for x in metrics]} with ({_told(spec)})")
 
 
 def plan_metrics(p: AggregateParams, accountant: BudgetAccountant) -> list[MetricPlan]:

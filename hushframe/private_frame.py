@@ -124,6 +124,21 @@ class PrivateDataFrame:
 
         return self._with(self._df.mapInArrow(run, whole))
 
+    def table_function(self, function: Any, *arguments: str | Column) -> "PrivateDataFrame":
+        """The rows that a user-defined table function (``udtf(..., useArrow=True)`` goes by
+        Arrow batches) makes of each row's ``arguments``; each keeps the privacy id of the row
+        it came from.  Functions with a ``terminate`` step are refused: what it gives at the
+        end comes from the rows of many units."""
+        if hasattr(getattr(function, "func", function), "terminate"):
+            raise ValueError("a table function that ends with terminate() mixes the rows of privacy units")
+        given = [F.col(a) if isinstance(a, str) else a for a in arguments]
+        joined = self._df.lateralJoin(function(*[a.outer() for a in given]))
+        own, names = len(self._df.columns), joined.columns
+        if PID in names[own:]:
+            raise ValueError("The privacy id can't be rewritten.")
+        flat = joined.toDF(*[f"_c{i}" for i in range(len(names))])
+        return self._with(flat.select(F.col(f"_c{self._df.columns.index(PID)}").alias(PID), *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if i >= own]))
+
     def with_column(self, name: str, column: Column) -> "PrivateDataFrame":
         if name == PID:
             raise ValueError("The privacy id can't be rewritten.")

@@ -20,7 +20,7 @@ from .analysis.utility import MultiParameterConfiguration, UtilityAnalysis, Util
 from .budget import Budget, NaiveBudgetAccountant
 from .dataframes import QueryBuilder
 from .engine import CustomCombiner, DPEngine, shared_folder
-from .extractors import DataExtractors
+from .extractors import DataExtractors, of_row
 from .mechanisms import LaplaceMechanism
 from .operators import histograms as h
 from .operators.contribution_bounds import L0ScoringFunction
@@ -281,6 +281,40 @@ def private_frame_map_sum(spark, sf_dir):
     return rounded(result.to_df().withColumnRenamed("sum", "total"), total=2)
 
 
+@query("SELECT substr(o_orderpriority, 1, 1) AS priority, count(*)::BIGINT AS n, round(sum(least(o_totalprice, 1000.0)), 1) AS total FROM orders GROUP BY 1")
+def row_function_extractors(spark, sf_dir):
+    """Privacy id, key and value by Python functions of whole rows."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    groups, rows = all_rows(df, "o_custkey", "o_orderpriority")
+    extractors = DataExtractors(of_row(lambda row: row.o_custkey, "long"), of_row(lambda row: row["o_orderpriority"][0], "string"), of_row(lambda row: min(row.o_totalprice, 1000.0), "double"))
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    params = AggregateParams(metrics=[Metrics.COUNT, Metrics.SUM], max_partitions_contributed=groups, max_contributions_per_partition=rows, min_value=0, max_value=1000)
+    result = DPEngine(accountant).aggregate(df, params, extractors, ["1", "2", "3", "4", "5"])
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnsRenamed({"partition_key": "priority", "count": "n", "sum": "total"}), n=0, total=1)
+
+
+class _Labels:
+    """A table function: the type of every event, and once more, marked, where it is large."""
+
+    def eval(self, event_type: str, value: float):
+        yield (event_type,)
+        if value > 50:
+            yield (f"large {event_type}",)
+
+
+@query("SELECT event_type AS label, count(*)::BIGINT AS n FROM (SELECT event_type FROM events UNION ALL SELECT 'large ' || event_type FROM events WHERE value > 50) GROUP BY 1")
+def private_frame_table_function(spark, sf_dir):
+    df = events(spark, sf_dir)
+    _, rows = all_rows(df, "user_id", "event_type")
+    labels = [*TYPES, *[f"large {t}" for t in TYPES]]
+    accountant = NaiveBudgetAccountant(1e12, 1e-2)
+    private = make_private(df, accountant, "user_id").table_function(F.udtf(_Labels, returnType="label string", useArrow=True), "event_type", "value")
+    result = private.count(CountParams(max_partitions_contributed=len(labels), max_contributions_per_partition=rows, partition_extractor="label"), labels)
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
+
+
 @query("SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
 def private_frame_flat_map_count(spark, sf_dir):
     """A function that gives one row for each line of more than ten pieces, or none."""

@@ -68,6 +68,26 @@ def test_histograms_of_preaggregated_data(spark, estimated):
     assert again == estimated
 
 
+@pytest.mark.parametrize("b,sigma", [(1, 1), (0.01, 1), (1, 0.02), (3, 500), (2, 0), (0, 2), (7, 3)])
+def test_laplace_plus_gaussian(b, sigma):
+    """Against a direct convolution on a fine grid, and repeatable."""
+    ranks = [1e-6, 0.001, 0.1, 0.5, 0.77, 0.999]
+    got = poisson.compute_sum_laplace_gaussian_quantiles(b, sigma, ranks)
+    assert got == poisson.compute_sum_laplace_gaussian_quantiles(b, sigma, ranks, 10)
+    if b and sigma:
+        # P(X + Y <= x): the normal distribution function, averaged over Laplace quantiles
+        u = (np.arange(100_000) + 0.5) / 100_000
+        laplace = np.where(u < 0.5, b * np.log(2 * u), -b * np.log(2 * (1 - u)))
+        for q, x in zip(ranks[1:], got[1:]):
+            z = (x - laplace) / sigma
+            assert np.mean([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]) == pytest.approx(q, rel=2e-3)
+            assert poisson.laplace_gaussian_cdf(x, b, sigma) == pytest.approx(q, rel=1e-9)
+    for q, x in zip(ranks, got):
+        assert x == pytest.approx(-poisson.compute_sum_laplace_gaussian_quantiles(b, sigma, [1 - q])[0], rel=1e-9, abs=1e-9 * (b + sigma))
+    if not sigma:
+        assert got[0] == pytest.approx(b * math.log(2e-6), rel=1e-9)
+
+
 def test_quantiles():
     hist = h.Histogram(h.HistogramType.L0_CONTRIBUTIONS, [h.FrequencyBin(lower, lower + 1, n, n * lower, lower) for lower, n in ((1, 5), (2, 1), (6, 2), (10, 2))])
     assert hist.quantiles([0.001, 0.5, 0.55, 0.8, 0.9]) == [1, 2, 2, 10, 10]

@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.plans.bounding import bound
 from hushframe import (
     AddDPNoiseParams, AggregateParams, Budget, CalculatePrivateContributionBoundsParams, CountParams, CustomCombiner, DataExtractors, DPEngine, ExplainComputationReport, MeanParams, MechanismType, Metrics, NaiveBudgetAccountant, NoiseKind, NormKind,
-    PartitionSelectionStrategy, PLDBudgetAccountant, PrivacyIdCountParams, QueryBuilder, Sampling, SelectPartitionsParams, SumParams, VarianceParams, make_private, register_annotator,
+    PartitionSelectionStrategy, PLDBudgetAccountant, PrivacyIdCountParams, QueryBuilder, Sampling, SelectPartitionsParams, SumParams, VarianceParams, make_private, of_row, register_annotator,
 )
 from hushframe import report
+from hushframe.extractors import extract
 from hushframe.operators.quantiles import LEAVES, QuantileTree, build_trees, merge_trees, release, unpack_trees
 from hushframe.plans import columnar
 from hushframe.plans.bounding import siphash
@@ -230,6 +232,52 @@ def test_columnar_combiner(spark, monkeypatch, held):
     assert p.custom_combiners[0].metrics_names() == ["seen", "n", "label"]
 
 
+def test_functions_of_rows_extract(spark):
+    """Python functions of rows, alone and beside columns, over nulls and unused columns."""
+    rows = [(i % 5 if i % 7 else None, {"k": f"p{i % 2}"}, [i, i + 1], "x") for i in range(70)]
+    df = spark.createDataFrame(rows, "user long, nested map<string,string>, list array<int>, other string").repartition(3)
+    p = AggregateParams(metrics=[Metrics.COUNT, Metrics.SUM], max_partitions_contributed=2, max_contributions_per_partition=70, min_value=0, max_value=1000)
+    kept = [r for r in rows if r[0] is not None]
+    expected = {k: (sum(r[1]["k"] == k for r in kept), sum(r[2][1] for r in kept if r[1]["k"] == k)) for k in ("p0", "p1")}
+    functions = DataExtractors(of_row(lambda row: row.user, "long"), of_row(lambda row: row["nested"]["k"], "string"), of_row(lambda row: row[2][1], T.DoubleType()))
+    mixed = DataExtractors("user", of_row(lambda row: row.nested["k"], "string"), F.col("list")[1])
+    keys = DataExtractors(of_row(lambda row: row.user, "long"), ["other", of_row(lambda row: row.nested["k"], "string")], lambda frame: frame["list"][1])
+    for e in (functions, mixed, keys):
+        a = NaiveBudgetAccountant(1e9, 1e-2)
+        result = DPEngine(a).aggregate(df, p, e)
+        a.compute_budgets()
+        out = result.to_df()
+        assert {r[out.columns.index("count") - 1]: (round(r["count"]), round(r["sum"])) for r in out.collect()} == expected
+    twice = df.select("user", F.col("nested").alias("user"), "list")
+    made, names = extract(twice, DataExtractors(of_row(lambda row: row[0], "long"), of_row(lambda row: row[1]["k"], "string"), None))
+    assert names == ["partition_key"] and made.count() == len(kept)
+    with pytest.raises(ValueError):
+        extract(twice, DataExtractors(of_row(lambda row: row[0], "long"), F.lit("x"), None))
+
+
+class Twice:
+    def eval(self, text: str):
+        for word in (text or "").split():
+            yield word, len(word)
+
+
+class Ends(Twice):
+    def terminate(self):
+        yield "x", 1
+
+
+def test_table_functions_of_private_rows(spark):
+    df = spark.createDataFrame([(1, "a bb", 7), (2, "a", 7), (None, "z", 7), (3, None, 7)], "pid long, text string, w int")
+    private = make_private(df, NaiveBudgetAccountant(1, 1e-6), "pid")
+    out = private.table_function(F.udtf(Twice, returnType="w string, n int", useArrow=True), "text")
+    assert out.columns == ["w", "n"]
+    assert sorted(map(tuple, out._df.collect())) == [(1, "a", 1), (1, "bb", 2), (2, "a", 1)]
+    with pytest.raises(ValueError, match="terminate"):
+        private.table_function(F.udtf(Ends, returnType="w string, n int"), "text")
+    with pytest.raises(ValueError, match="rewritten"):
+        private.table_function(F.udtf(Twice, returnType="__privacy_id string, n int"), "text")
+
+
 def levels_of(df, p, public=None, eps=1e9, delta=1e-2, levels=((), ("a",), ("b", "a")), accountant=None):
     a = accountant or NaiveBudgetAccountant(eps, delta)
     result = DPEngine(a).aggregate_levels(df, p, DataExtractors("pid", ["a", "b"], "value"), levels, public)
@@ -373,7 +421,20 @@ def test_wrong_arguments(rows):
     with pytest.raises(NotImplementedError):
         engine.aggregate(rows, AggregateParams(metrics=[Metrics.VARIANCE], max_contributions=1, min_value=0, max_value=1), E)
     with pytest.raises(NotImplementedError):
-        DPEngine(PLDBudgetAccountant(1, 1e-6)).aggregate(rows, AggregateParams(metrics=[Metrics.VARIANCE], min_value=0, max_value=1, max_partitions_contributed=1, max_contributions_per_partition=1), E)
+        DPEngine(PLDBudgetAccountant(1, 1e-6)).aggregate(rows, AggregateParams(custom_combiners=[SumOfSquares()], max_partitions_contributed=1, max_contributions_per_partition=1), E)
+
+
+@pytest.mark.parametrize("kind", [NoiseKind.LAPLACE, NoiseKind.GAUSSIAN])
+def test_composed_losses_of_every_metric(spark, kind):
+    """Variance, percentiles and vectors under privacy-loss accounting."""
+    df = spark.createDataFrame([(i, "a", float(i % 10), [float(i % 3), 1.0]) for i in range(3000)], "pid long, pk string, value double, vector array<double>")
+    same = dict(max_partitions_contributed=1, max_contributions_per_partition=1, noise_kind=kind)
+    p = AggregateParams(metrics=[Metrics.VARIANCE, Metrics.MEAN, Metrics.PERCENTILE(50)], min_value=0, max_value=10, **same)
+    got = run(df, p, ["a"], accountant=PLDBudgetAccountant(20, 1e-6, 1e-2))["a"]
+    assert got["variance"] == pytest.approx(8.25, abs=0.3) and got["mean"] == pytest.approx(4.5, abs=0.1) and got["percentile_50"] == pytest.approx(4.5, abs=1)
+    v = AggregateParams(metrics=[Metrics.VECTOR_SUM], vector_size=2, vector_max_norm=2.0, vector_norm_kind=NormKind.Linf, **same)
+    got = run(df, v, ["a"], accountant=PLDBudgetAccountant(20, 1e-6, 1e-2), e=DataExtractors("pid", "pk", "vector"))["a"]
+    assert got["vector_sum"] == pytest.approx([3000, 3000], abs=15)
 
 
 def test_report_and_annotator(rows):
