@@ -7,8 +7,10 @@ under rounding; queries on bounds sample in a repeatable order (md5 of the row i
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +18,15 @@ from pyspark.sql import functions as F
 from .analysis.preaggregate import preaggregate
 from .analysis.summary import public_partitions_counts
 from .analysis.tuning import MinimizingFunction, ParametersToTune, TuneOptions, find_candidate_parameters, tune
-from .analysis.utility import MultiParameterConfiguration, UtilityAnalysis, UtilityAnalysisOptions
-from .budget import Budget, NaiveBudgetAccountant
+from .analysis.utility import BUCKETS, MultiParameterConfiguration, UtilityAnalysis, UtilityAnalysisOptions
+from .budget import Budget, NaiveBudgetAccountant, PLDBudgetAccountant
 from .dataframes import QueryBuilder
 from .engine import CustomCombiner, DPEngine, shared_folder
 from .extractors import DataExtractors, of_row
-from .mechanisms import LaplaceMechanism
+from .mechanisms import LaplaceMechanism, compute_sigma
 from .operators import histograms as h
 from .operators.contribution_bounds import L0ScoringFunction
-from .operators.error_estimator import create_estimator_for_count_and_privacy_id_count
+from .operators.error_estimator import create_estimator_for_count_and_privacy_id_count, create_estimator_for_sum
 from .operators.quantiles import merge_trees, unpack_trees
 from .operators.sampling import ValueSampler, filter_by_key_with_sharding
 from .params import AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, CountParams, MeanParams, MechanismType, Metrics, NoiseKind, NormKind, PartitionSelectionStrategy, PrivacyIdCountParams, SelectPartitionsParams, SumParams, VarianceParams
@@ -367,6 +369,88 @@ def dp_count_pre_threshold(spark, sf_dir):
     return rounded(result.to_df().withColumnRenamed("count", "n"), n=0)
 
 
+#: Budgets for rows in which a threshold decides: with so small a delta it lies 5.5 above
+#: one unit although the noise hardly shows.
+_TINY_DELTA, _EPS_OF_A_GROUP = 1e-300, 125.0
+
+
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Customers by day of their orders, and the most days of a customer."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    return df, all_rows(df, "o_custkey", "day")[0]
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day FROM orders GROUP BY o_orderdate HAVING count(DISTINCT o_custkey) >= 7")
+def dp_laplace_thresholding(spark, sf_dir):
+    """Days whose noisy number of customers reaches the threshold, which lies between 6 and 7."""
+    df, groups = _days(spark, sf_dir)
+    accountant = NaiveBudgetAccountant(_EPS_OF_A_GROUP * groups, _TINY_DELTA)
+    params = SelectPartitionsParams(max_partitions_contributed=groups, partition_selection_strategy=PartitionSelectionStrategy.LAPLACE_THRESHOLDING)
+    result = DPEngine(accountant).select_partitions(df, params, DataExtractors("o_custkey", "day"))
+    accountant.compute_budgets()
+    return result.to_df()
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day FROM orders GROUP BY o_orderdate HAVING count(DISTINCT o_custkey) >= 5")
+def dp_gaussian_thresholding(spark, sf_dir):
+    """The same by a Gaussian count, whose threshold lies near 4.5."""
+    df, groups = _days(spark, sf_dir)
+    # a deviation of 3.5 / 37.1, as the tail of 1e-300 begins some 37 deviations above the mean
+    accountant = NaiveBudgetAccountant(_gaussian_epsilon(3.5 / 37.1, groups), _TINY_DELTA)
+    params = SelectPartitionsParams(max_partitions_contributed=groups, partition_selection_strategy=PartitionSelectionStrategy.GAUSSIAN_THRESHOLDING)
+    result = DPEngine(accountant).select_partitions(df, params, DataExtractors("o_custkey", "day"))
+    accountant.compute_budgets()
+    return result.to_df()
+
+
+def _gaussian_epsilon(sigma: float, groups: int) -> float:
+    """Epsilon with which Gaussian selection over ``groups`` has the deviation ``sigma``."""
+    low, high = 1.0, 1e9
+    for _ in range(80):
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if compute_sigma(middle, _TINY_DELTA / 2, groups**0.5) > sigma else (low, middle)
+    return high
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day, count(DISTINCT o_custkey)::BIGINT AS users FROM orders GROUP BY o_orderdate HAVING count(DISTINCT o_custkey) >= 7")
+def dp_post_aggregation_drops(spark, sf_dir):
+    """Noisy numbers of customers, of which those below the threshold are dropped after all."""
+    df, groups = _days(spark, sf_dir)
+    accountant = NaiveBudgetAccountant(_EPS_OF_A_GROUP * groups, _TINY_DELTA)
+    params = AggregateParams(metrics=[Metrics.PRIVACY_ID_COUNT], max_partitions_contributed=groups, max_contributions_per_partition=1, post_aggregation_thresholding=True)
+    result = DPEngine(accountant).aggregate(df, params, DataExtractors("o_custkey", "day"))
+    accountant.compute_budgets()
+    return rounded(result.to_df().withColumnRenamed("privacy_id_count", "users"), users=0)
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, 4.0::DOUBLE AS count_noise, 200.0::DOUBLE AS sum_noise FROM events GROUP BY event_type")
+def dp_pld_noise(spark, sf_dir):
+    """Noise that composing privacy losses gives two Laplace releases without a delta, in
+    units of sqrt(2) / epsilon: l0 * linf * parts, and the sum's bound times as much."""
+    df = events(spark, sf_dir)
+    eps = 1e9
+    accountant = PLDBudgetAccountant(eps, 0.0)
+    params = AggregateParams(metrics=[Metrics.COUNT, Metrics.SUM], max_contributions=None, max_partitions_contributed=1, max_contributions_per_partition=2, min_value=0, max_value=50, output_noise_stddev=True)
+    counted = df.groupBy("user_id", "event_type").agg(F.count("*").alias("c")).select("event_type", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("value"))
+    result = DPEngine(accountant).aggregate(counted, replace(params, contribution_bounds_already_enforced=True), DataExtractors(None, "event_type", "value"), public_types(df))
+    accountant.compute_budgets()
+    out = result.to_df()
+    scale = F.lit(eps / 2**0.5)
+    return rounded(out.select("event_type", F.col("count").alias("n"), (F.col("count_noise_stddev") * scale).alias("count_noise"), (F.col("sum_noise_stddev") * scale).alias("sum_noise")), n=0, count_noise=6, sum_noise=6)
+
+
+@query(
+    "WITH u AS (SELECT count(DISTINCT event_type) AS v FROM events GROUP BY user_id), n AS (SELECT count(DISTINCT event_type) AS parts FROM events), k AS (SELECT unnest(range(1, 6)) AS k), "
+    "s AS (SELECT k, -0.5 * (SELECT parts FROM n) * k / 0.9 * sqrt(2) - 0.5 * (SELECT sum(greatest(least(v, (SELECT parts FROM n)) - k, 0)) FROM u) AS score FROM k WHERE k <= (SELECT parts FROM n)) SELECT arg_max(k, score)::INTEGER AS bound FROM s"
+)
+def private_l0_bound(spark, sf_dir):
+    """The bound that the exponential mechanism draws with a budget that leaves it the best."""
+    df = events(spark, sf_dir)
+    params = CalculatePrivateContributionBoundsParams(NoiseKind.LAPLACE, 0.9, 0, 1e9, 100)
+    found = DPEngine(NaiveBudgetAccountant(1, 1e-2)).calculate_private_contribution_bounds(df, params, EVENT, public_types(df))
+    return spark.createDataFrame([(int(found.max_partitions_contributed),)], "bound int")
+
+
 @query(
     f"WITH e AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, {_CLIP} AS v FROM events) "
     "SELECT event_type, day, (CASE grouping(event_type, day) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END)::INTEGER AS level, count(*)::BIGINT AS n, round(sum(v), 2) AS total, count(DISTINCT user_id)::BIGINT AS users "
@@ -786,6 +870,21 @@ def hist_preaggregated_sum_per_partition_log(spark, sf_dir):
     return _tidy(_preaggregated(spark, sf_dir).sum_per_partition(True), True)
 
 
+def _preaggregated_cents(spark: SparkSession, sf_dir: str) -> h.PreaggregatedCounts:
+    """Pre-aggregated rows whose sums are whole cents, so that bins' edges tell them apart."""
+    return h.PreaggregatedCounts(preaggregate(events(spark, sf_dir), EVENT).withColumn("sum", F.round("sum", 2)), ["event_type"])
+
+
+@query(_LINEAR.format(source="SELECT round(sum(value), 2) AS v FROM events GROUP BY user_id, event_type"))
+def hist_preaggregated_linf_sum(spark, sf_dir):
+    return _tidy(_preaggregated_cents(spark, sf_dir).linf_sum(), False)
+
+
+@query(_LINEAR.format(source="SELECT round(sum(v), 2) AS v FROM (SELECT event_type, round(sum(value), 2) AS v FROM events GROUP BY user_id, event_type) GROUP BY event_type"))
+def hist_preaggregated_sum_per_partition(spark, sf_dir):
+    return _tidy(_preaggregated_cents(spark, sf_dir).sum_per_partition(), False)
+
+
 @query(
     "WITH c AS (SELECT count(*) AS v FROM events GROUP BY user_id, event_type), b AS (SELECT DISTINCT v AS bound FROM c) "
     "SELECT bound::BIGINT AS bound, round((SELECT sum(greatest(v - bound, 0)) FROM c) / (SELECT sum(v) FROM c), 9) AS ratio FROM b UNION ALL SELECT 0, 1.0"
@@ -855,6 +954,60 @@ def utility_report(spark, sf_dir):
     return rows.select("config", "partitions", F.round(F.col("count_abs_mean") / F.col("kept"), 4).alias("mean_error"), F.round(F.col("count_abs_rmse") / F.col("kept"), 4).alias("rmse"), F.round(F.col("count_rel_rmse") / F.col("kept"), 6).alias("relative_rmse"))
 
 
+_BUCKET = "CASE " + " ".join(f"WHEN users >= {b} THEN {b}" for b in reversed(BUCKETS)) + " ELSE 0 END"
+
+
+@query(
+    f"WITH {_PRE}, x AS (SELECT *, least(1.0, l0 / parts) AS q, least(c, linf) AS kept FROM p, g), "
+    "e AS (SELECT event_type, config, count(*) AS users, sum(kept - c) + sum(-kept * (1 - q)) AS mean, sum(kept * kept * q * (1 - q)) + 2.0 * any_value(l0 * linf) ** 2 AS var FROM x GROUP BY event_type, config) "
+    f"SELECT config::INTEGER AS config, ({_BUCKET})::BIGINT AS bucket, count(*)::BIGINT AS partitions, round(avg(mean), 4) AS mean_error, round(avg(sqrt(mean * mean + var)), 4) AS rmse FROM e GROUP BY 1, 2"
+)
+def utility_report_buckets(spark, sf_dir):
+    """The report's bins by the size of partitions, from its own objects."""
+    reports = _analysis(spark, sf_dir).reports()
+    rows = [(r.configuration_index, b.partition_size_from, b.report.partitions_info.num_dataset_partitions, b.report.metric_errors[0].absolute_error.mean, b.report.metric_errors[0].absolute_error.rmse) for r in reports for b in r.utility_report_histogram]
+    return rounded(spark.createDataFrame(rows, "config int, bucket long, partitions long, mean_error double, rmse double"), mean_error=4, rmse=4)
+
+
+@query(
+    "WITH RECURSIVE u AS (SELECT event_type, count(DISTINCT user_id) AS units FROM events GROUP BY event_type), c AS (SELECT * FROM (VALUES (0, 5), (1, 8)) AS t(config, l0)), d AS (SELECT config, 0.25 / l0 AS e, 1 - power(1 - 1e-3, 1.0 / l0) AS d FROM c), "
+    "t(config, n, p) AS (SELECT config, 0, 0.0::DOUBLE FROM c UNION ALL SELECT t.config, n + 1, least(exp(e) * p + d, 1 - exp(-e) * (1 - p - d), 1.0) FROM t JOIN d ON t.config = d.config WHERE n < (SELECT max(units) FROM u)) "
+    "SELECT event_type, t.config::INTEGER AS config, units::BIGINT AS units, round(p, 6) AS keep FROM u JOIN t ON t.n = u.units"
+)
+def utility_private_selection(spark, sf_dir):
+    """Analysis of private keys: the chance that a partition is published, for bounds that
+    leave every user all types."""
+    df = events(spark, sf_dir)
+    params = AggregateParams(metrics=[Metrics.COUNT], max_partitions_contributed=1, max_contributions_per_partition=1)
+    settings = MultiParameterConfiguration([5, 8], [1, 1])
+    rows = UtilityAnalysis(df, UtilityAnalysisOptions(0.5, 1e-3, params, settings), EVENT).per_partition()
+    return rows.select(F.col("k0").alias("event_type"), "config", "units", F.round("keep", 6).alias("keep"))
+
+
+@query(
+    "WITH c AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL), l AS (SELECT count(*) AS v FROM c GROUP BY user_id), n AS (SELECT sum(v) AS s FROM c GROUP BY event_type), "
+    "d AS (SELECT l0, (SELECT sum(greatest(v - l0, 0)) FROM l) / (SELECT sum(v) FROM l) AS lost FROM (VALUES (1), (3)) AS a(l0)) "
+    "SELECT l0::INTEGER AS l0, round(avg(sqrt((lost * s) ** 2 + 2.0 * (l0 * (SELECT max(v) FROM c)) ** 2)), 3) AS rmse FROM d, n GROUP BY l0"
+)
+def estimate_rmse_sum(spark, sf_dir):
+    """The estimator of SUM, at a bound that no sum exceeds: from the linear histograms."""
+    found = h.compute_dataset_histograms(events(spark, sf_dir), EVENT)
+    estimator = create_estimator_for_sum(found, 1.0, None, NoiseKind.LAPLACE)
+    top = found.linf_sum_contributions_histogram.max_value()
+    return rounded(spark.createDataFrame([(k, float(estimator.estimate_rmse(k, top))) for k in (1, 3)], "l0 int, rmse double"), rmse=3)
+
+
+@query(
+    "SELECT i::INTEGER AS i, 1::BIGINT AS count, round(sum(CASE i WHEN 0 THEN l_quantity ELSE l_extendedprice END), 1)::DOUBLE AS sum FROM lineitem, range(2) AS r(i) GROUP BY l_returnflag, i"
+)
+def hist_multi_column_sums(spark, sf_dir):
+    """Sums by partition of two value columns, a histogram for each: every sum has its bin."""
+    extractors = DataExtractors("l_orderkey", "l_returnflag", ["l_quantity", "l_extendedprice"])
+    found = h.compute_dataset_histograms(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice"), extractors)
+    rows = [(i, int(b.count), float(b.sum)) for i, hist in enumerate(found.sum_per_partition_histogram) for b in hist.bins]
+    return rounded(spark.createDataFrame(rows, "i int, count long, sum double"), sum=1)
+
+
 _TUNED = [(1, 1), (1, 4), (3, 2), (5, 20)]
 
 
@@ -928,11 +1081,16 @@ def l0_scores(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE t(n, p) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT n + 1, least(exp(1.0) * p + 1e-5, 1 - exp(-1.0) * (1 - p - 1e-5), 1.0) FROM t WHERE n < 30) SELECT n::INTEGER AS n, round(p, 9) AS probability FROM t"
+    "WITH RECURSIVE d AS (SELECT o_orderdate::DATE::VARCHAR AS day, count(DISTINCT o_custkey) AS users FROM orders GROUP BY o_orderdate), "
+    "t(n, p) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT n + 1, least(exp(1.0) * p + 1e-5, 1 - exp(-1.0) * (1 - p - 1e-5), 1.0) FROM t WHERE n < (SELECT max(users) FROM d)) "
+    "SELECT day, users::BIGINT AS users, round(p, 9) AS probability FROM d JOIN t ON t.n = d.users"
 )
 def keep_probability_table(spark, sf_dir):
+    """The chance of each day's number of customers to be published."""
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(F.countDistinct("o_custkey").alias("users"))
     selector = TruncatedGeometric(1.0, 1e-5, 1)
-    return spark.createDataFrame([(n, float(selector.probability_of_keep(n))) for n in range(31)], "n int, probability double").select("n", F.round("probability", 9).alias("probability"))
+    chance = F.pandas_udf(lambda n: pd.Series(selector.probabilities(n.to_numpy())), "double")
+    return days.select("day", "users", F.round(chance("users"), 9).alias("probability"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
@@ -941,12 +1099,18 @@ def sharded_filter_by_key(spark, sf_dir):
     return filter_by_key_with_sharding(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), keys, "l_suppkey", 8).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT * FROM (VALUES ('laplace', 0.25, 0.0), ('gaussian', 0.75, 1e-6)) AS t(name, eps, delta)")
+@query(
+    "WITH n AS (SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey), w AS (SELECT *, n_regionkey % 2 = 1 AS gauss FROM n) "
+    "SELECT n_regionkey::BIGINT AS n_regionkey, round(nations / (SELECT sum(nations) FROM w), 12) AS eps, round(CASE WHEN gauss THEN 1e-6 * nations / (SELECT sum(nations) FROM w WHERE gauss) ELSE 0 END, 15) AS delta FROM w"
+)
 def budget_split(spark, sf_dir):
+    """A budget's shares for a mechanism of each region, weighted by its nations; every other
+    one is Gaussian and takes part of delta."""
+    weights = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("n_regionkey")).count().collect()  # a row a region
     accountant = NaiveBudgetAccountant(1.0, 1e-6)
-    specs = [("laplace", accountant.request_budget(MechanismType.LAPLACE, weight=1)), ("gaussian", accountant.request_budget(MechanismType.GAUSSIAN, weight=3))]
+    specs = [(r["n_regionkey"], accountant.request_budget(MechanismType.GAUSSIAN if r["n_regionkey"] % 2 else MechanismType.LAPLACE, weight=r["count"])) for r in weights]
     accountant.compute_budgets()
-    return spark.createDataFrame([(n, float(s.eps), float(s.delta)) for n, s in specs], "name string, eps double, delta double")
+    return rounded(spark.createDataFrame([(k, float(x.eps), float(x.delta)) for k, x in specs], "n_regionkey long, eps double, delta double"), eps=12, delta=15)
 
 
 @query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(sha1(o_orderkey::VARCHAR), 1, 16))::UBIGINT < 5534023222112865485")

@@ -119,7 +119,8 @@ class GaussianThresholding(Thresholding):
         self.epsilon, self.delta = epsilon, delta
         sigma = compute_sigma(epsilon, delta / 2, math.sqrt(l0)) if sigma is None else sigma
         self.mechanism = GaussianMechanism(sigma, math.sqrt(l0), epsilon, delta)
-        self.threshold = 1 + sigma * _NORMAL.inv_cdf(1 - adjusted_delta(delta / 2 if threshold_delta is None else threshold_delta, l0))
+        # as the upper tail is the lower one's mirror image, deltas far below 1e-16 count too
+        self.threshold = 1 - sigma * _NORMAL.inv_cdf(adjusted_delta(delta / 2 if threshold_delta is None else threshold_delta, l0))
 
     @classmethod
     def from_std(cls, normalized_stddev: float, thresholding_delta: float, l0: int, pre_threshold: int | None = None) -> "GaussianThresholding":
