@@ -16,12 +16,12 @@ Documents link when their sets of five-word shingles have a Jaccard similarity o
    the shingles that remain can't reach the overlap that the lengths ask for, or when all
    below is in the set's class already.  Sets of a larger component walk it together, the
    likeliest to link first.  So every link counts real words.
-5. Of a component of more than ``group`` shingles, sets whose shingles outside of it are
-   too many for any link go, judged by sizes; the others are dealt into parts.  Each part is
-   joined with itself and with the component's hubs, which every part has, so that a class
-   that lies in several parts is one; then the sets outside the largest class meet every
-   other part, so no pair of different classes stays uncompared and no task holds more than
-   two parts.
+5. Of a component of more than ``group`` shingles or ``SETS`` sets, sets whose shingles
+   outside of it are too many for any link go, judged by sizes; the others are dealt into
+   parts.  Each part is joined with itself and with the component's hubs, which every part
+   has, so that a class that lies in several parts is one; then the sets outside the largest
+   class meet all others, dealt into parts by shingles alone, so no pair of different classes
+   stays uncompared and no task holds more than two parts.
 
 Defined results: null or empty texts have no shingles and no links; an empty table gives
 no rows.  Repeated rows are documents of their own; null ids take part, and a class of only
@@ -40,13 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .components import connected_components
-from .shared_windows import Shared, bits_for, block_size, by_block, counted, hash_rows, read_answers, remove, settle, settled_result, shared_hashes, work_dir, write_answers, write_blocks
+from .shared_windows import Shared, bits_for, block_size, by_block, counted, hash_rows, partitions_of, read_answers, remove, settle, settled_result, shared_hashes, work_dir, write_answers, write_blocks
 from .shingle_sets import ShingleSets, clear_texts, prefix_length
 from .textbatch import frugal, frugal_group, mix, U64
 
 NUM, DEN = 3, 4
-#: Shingles that one part of a component may have.
+#: Shingles and sets that one part of a component may have: a part's work grows with the
+#: square of its sets.
 GROUP = 1 << 20
+SETS = 256
 ROW_BITS = 22
 #: Keys over which the documents of one group are dealt when they meet its first.
 SALTS = 16
@@ -331,7 +333,7 @@ def _candidates(docs: DataFrame, root: str, block_bytes: int, whole: bool) -> Da
             yield hash_rows(now, *counted(np.concatenate(held)), bits)
 
     answers = f"{root}/answers"
-    write_answers(shared_hashes(source.mapInArrow(frugal(send), "bucket long, block long, payload binary")), answers)
+    write_answers(shared_hashes(source.mapInArrow(frugal(send), "bucket long, block long, payload binary")), answers, partitions_of(blocks))
     settle(spark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,6 +392,7 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     """(key, doc_id, n, class) of every document; class is null where it has no equal or link."""
     spark = docs.sparkSession
     everyone = _candidates(docs, root, block_bytes, whole)
+    blocks = spark.read.parquet(f"{root}/blocks")
     held = everyone.where("prefix is not null")
     # the first of equal texts, found by partial minima; the others point at it
     same = held.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.count("*").alias("m"))
@@ -402,11 +405,11 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     near, _ = connected_components(token.join(least, "t").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v")), f"{root}/near")
     member = near.union(near.select(F.col("root").alias("node"), "root").distinct())
     sized = held.select("key", "n").join(member, F.col("key") == F.col("node")).select("key", "n", "root")
-    parts = sized.groupBy("root").agg(F.ceil(F.sum("n") / group).alias("parts"))
+    parts = sized.groupBy("root").agg(_parts(F.sum("n") / group))
     places = sized.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("key"), "parts").alias("part"))
     # texts meet their places block by block, so they are shuffled once, to their part
-    write_answers(places.withColumn("block", F.shiftright("key", ROW_BITS)), f"{root}/places")
-    dealt = _placed(spark.read.parquet(f"{root}/blocks"), f"{root}/places")
+    write_answers(places.withColumn("block", F.shiftright("key", ROW_BITS)), f"{root}/places", partitions_of(blocks))
+    dealt = _placed(blocks, f"{root}/places")
     columns = ["root", "part", "key", "words"]
     large = parts.where("parts > 1").limit(1).count() > 0
     if large:
@@ -431,6 +434,11 @@ def _classes(docs: DataFrame, root: str, block_bytes: int, group: int, whole: bo
     return everyone.select("key", "doc_id", "n").join(of, "key", "left")
 
 
+def _parts(by_size: Column) -> Column:
+    """Parts of a component, by its size in parts and by its sets."""
+    return F.ceil(F.greatest(by_size, F.count("*") / SETS)).alias("parts")
+
+
 def _leaders(named: DataFrame, order: Column) -> DataFrame:
     """(class, first): the least ``order`` of each class, by partial minima."""
     return named.where("class is not null").groupBy("class").agg(F.min(order).alias("first"))
@@ -470,10 +478,10 @@ def deduplicate(docs: DataFrame, block_bytes: int | None = None, group: int = GR
     named.write.parquet(f"{root}/named")
     named = spark.read.parquet(f"{root}/named")
     lost = _dealt_join(named, _leaders(named, F.col("order")), ["class"]).where("order <> first").select(F.shiftright("key", ROW_BITS).alias("block"), F.col("key").bitwiseAND((1 << ROW_BITS) - 1).alias("row"))
-    write_answers(lost, f"{root}/lost")
+    blocks = spark.read.parquet(f"{root}/blocks")
+    write_answers(lost, f"{root}/lost", partitions_of(blocks))
     for done in ("sets", "copies", "near", "places", "dealt", "large", "links0", "links1", "within", "labelled", "classes", "named"):
         remove(spark, f"{root}/{done}")
-    blocks = spark.read.parquet(f"{root}/blocks")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {"doc_id": "doc_id", "text": "text"} | {c: f"x{i}" for i, c in enumerate(others)}
     columns = ["block", "row", *[names[c] for c in docs.columns]]
@@ -527,7 +535,7 @@ def _large(dealt: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
     steps = sets.groupBy("root", F.floor(F.log2("n") * SIZE_STEPS).alias("step")).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     steps = steps.groupBy("root").agg(F.collect_list(F.struct("least", "most")).alias("steps"))
     live = _dealt_join(sets, steps, ["root"]).where(F.exists("steps", lambda s: (s["least"] <= F.col("reach")) & (s["most"] >= F.col("n")))).drop("steps", "reach")
-    parts = live.groupBy("root").agg(F.ceil(F.sum("n") / group).alias("parts"))
+    parts = live.groupBy("root").agg(_parts(F.sum("n") / group))
     # the sets with the fewest shingles of their own are the likeliest to be linked
     first = Window.partitionBy("root").orderBy((F.col("n") / F.greatest("shared", F.lit(1))).asc(), "key")
     hubs = live.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
@@ -538,17 +546,17 @@ def _large(dealt: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
 
 
 def _across(dealt: DataFrame, links: DataFrame, root: str, group: int) -> DataFrame:
-    """Links between the parts of large components: sets outside a component's largest
-    class meet all its parts, dealt into parts of their own."""
+    """Links between the classes of large components that their parts left: sets outside a
+    component's largest class meet all others, both dealt into parts by their size."""
     found, _ = connected_components(links, f"{root}/within")
-    labelled = dealt.join(found, dealt["key"] == found["node"], "left").select(dealt["root"], "part", "parts", "key", "words", F.coalesce(found["root"], dealt["key"]).alias("label"))
+    labelled = dealt.join(found, dealt["key"] == found["node"], "left").select(dealt["root"], "key", "words", F.coalesce(found["root"], dealt["key"]).alias("label"))
     labelled.write.parquet(f"{root}/labelled")
     labelled = dealt.sparkSession.read.parquet(f"{root}/labelled")
     sizes = labelled.groupBy("root", "label").agg(F.sum(F.length("words")).alias("size"))
-    major = sizes.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    live = labelled.join(major, "root")
-    minor = live.where("label <> major")
     # a part is as many bytes of compressed words as a part of ``group`` shingles has about
+    major = sizes.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.count("*").alias("classes"), F.ceil(F.sum("size") / (2 * group)).alias("parts")).where("classes > 1").drop("classes")
+    live = labelled.join(major, "root").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    minor = live.where("label <> major")
     weight = minor.groupBy("root").agg(F.ceil(F.sum(F.length("words")) / (2 * group)).alias("minors"))
     minor = minor.join(weight, "root").withColumn("minor", F.pmod(F.xxhash64("key", F.lit(1)), "minors"))
     columns = ["root", "key", "words", "label"]

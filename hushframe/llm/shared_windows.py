@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import math
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -55,13 +56,15 @@ ROOT_SCALE = 256
 TOGETHER = 1 << 17
 WINDOW_BYTES = 1 << 20
 MOST_WINDOWS = 1024
-#: Folders of a table of answers.
-PARTS = 1024
+#: Partitions whose answers lie in a folder of their own each; of more, so many share one.
+PARTS, SHARE = 1024, 16
+#: Blocks that a partition may have: its number's lower bits.
+BLOCK_BITS = 12
 #: File systems that both Hadoop and Arrow open by the same address.
 SCHEMES = ("file", "hdfs", "viewfs", "gs", "abfs", "abfss", "s3")
 _MULT = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
-_open_folders: list[str] = []
+_mine = threading.local()
 
 
 @dataclass(frozen=True)
@@ -157,14 +160,21 @@ class Runs:
         return start + a, size, mix(least[head] + U64(1)), doc[head], content, again
 
 
+def _open_folders() -> list[str]:
+    """Folders made in this thread: what runs beside it in the driver has its own."""
+    if not hasattr(_mine, "folders"):
+        _mine.folders = []
+    return _mine.folders
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared one; ``release`` deletes it, if its user doesn't."""
     root = shared_dir(spark)
     scheme = root.split(":", 1)[0]
     if scheme not in SCHEMES:
         raise ValueError(f"spark.checkpoint.dir has the scheme {scheme}, which Python on executors can't open")
-    _open_folders.append(f"{root}/windows-{uuid.uuid4().hex}")
-    return _open_folders[-1]
+    _open_folders().append(f"{root}/windows-{uuid.uuid4().hex}")
+    return _open_folders()[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -175,12 +185,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession, but: str | None = None) -> None:
-    """Delete every folder that operators of this driver still hold, those made before
-    ``but`` and itself excepted: call it when results were written or are not needed."""
-    kept = _open_folders.index(but) + 1 if but in _open_folders else 0
-    for path in _open_folders[kept:]:
+    """Delete every folder that operators called in this thread still hold, those made
+    before ``but`` and itself excepted: call it when results were written or are not needed."""
+    held = _open_folders()
+    kept = held.index(but) + 1 if but in held else 0
+    for path in held[kept:]:
         remove(spark, path)
-        _open_folders.remove(path)
+        held.remove(path)
 
 
 def settled_result(result: DataFrame, root: str, *folders: str) -> DataFrame:
@@ -222,13 +233,16 @@ def write_blocks(docs: DataFrame, path: str, block_bytes: int, whole: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, row, held = TaskContext.get().partitionId() << 12, 0, 0
+        first = TaskContext.get().partitionId() << BLOCK_BITS
+        block, row, held = first, 0, 0
         for batch in batches:
             for piece in pieces(batch):
                 _, offs = buffers(piece.column(1))
                 n = piece.num_rows
                 if row and (held + int(offs[-1]) > block_bytes or row + n > ROWS):
                     block, row, held = block + 1, 0, 0
+                    if block - first >> BLOCK_BITS:
+                        raise ValueError(f"a partition has more than {1 << BLOCK_BITS} blocks of {block_bytes} bytes: repartition the documents")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), *piece.columns[:2], pa.array(np.diff(offs)), *piece.columns[2:]],
                     names=["block", "row", "doc_id", "text", "n_bytes", *piece.schema.names[2:]],
@@ -346,19 +360,29 @@ def shared_hashes(sent: DataFrame, classes: Callable[[np.ndarray, np.ndarray], n
     return sent.groupBy("bucket").applyInArrow(frugal_group(solve), "block long, bucket long, top long, payload binary")
 
 
-def write_answers(answers: DataFrame, path: str) -> None:
-    """Rows by block, in at most ``PARTS`` folders and sorted, so that a task finds its
-    block's rows without a join of texts."""
-    placed = answers.withColumn("folder", F.pmod(F.shiftright("block", 12), F.lit(PARTS)).cast("int"))
-    placed.repartition("folder").sortWithinPartitions("folder", "block").write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(path)
+def partitions_of(blocks: DataFrame) -> int:
+    """Partitions of a table of blocks, by their numbers."""
+    last = blocks.agg(F.max("block")).first()[0]
+    return 1 if last is None else (last >> BLOCK_BITS) + 1
+
+
+def write_answers(answers: DataFrame, path: str, partitions: int) -> None:
+    """Rows by block, in folders and sorted, so that a task finds its block's rows without a
+    join of texts.  Every one of ``PARTS`` partitions has a folder; of more ``SHARE`` share
+    one, so that a folder stays small however large the corpus is."""
+    folders = max(min(partitions, PARTS), -(-partitions // SHARE))
+    placed = answers.withColumn("folder", F.pmod(F.shiftright("block", BLOCK_BITS), F.lit(folders)).cast("int"))
+    placed.repartition("folder").sortWithinPartitions("folder", "block").write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(f"{path}/of-{folders}")
 
 
 def read_answers(path: str, block: int, columns: list[str]) -> list[dict]:
     """The rows of a block; an error where the table itself can't be seen from here."""
     fs, root = filesystem(path)
-    if fs.get_file_info(root).type != pafs.FileType.Directory:
+    tables = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("of-")]
+    if len(tables) != 1:
         raise FileNotFoundError(f"{path} was written, but this executor's Python doesn't see it")
-    found = fs.get_file_info(pafs.FileSelector(f"{root}/folder={(block >> 12) % PARTS}", allow_not_found=True))
+    folder = (block >> BLOCK_BITS) % int(tables[0].base_name[3:])
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/{tables[0].base_name}/folder={folder}", allow_not_found=True))
     rows: list[dict] = []
     for f in found:
         if f.is_file and f.path.endswith(".parquet"):
@@ -560,7 +584,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
     spark = docs.sparkSession
     root = work_dir(spark)
     blocks = write_blocks(docs, f"{root}/blocks", block_bytes or block_size(docs))
-    bits = bits_for(blocks.agg(F.sum("n_bytes")).first()[0] or 0)
+    bits, partitions = bits_for(blocks.agg(F.sum("n_bytes")).first()[0] or 0), partitions_of(blocks)
     source = blocks.select("block", "row", "doc_id", "text")
     cold, warm = f"{root}/answers", f"{root}/windows"
     most = spec.hot
@@ -582,7 +606,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
             yield hash_rows(now, *surroundings(*map(np.concatenate, zip(*held))), bits)
 
     # no name holds on to a finished step, whose shuffle files could then not be let go
-    write_answers(shared_hashes(source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary"), kinds), cold)
+    write_answers(shared_hashes(source.mapInArrow(frugal(anchors), "bucket long, block long, payload binary"), kinds), cold, partitions)
     settle(spark)
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -601,9 +625,9 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
         if held:
             yield hash_rows(now, *counted(np.concatenate(held)), bits)
 
-    any_hot = spark.read.schema("top long").parquet(cold).where("top > 0").limit(1).count() > 0
+    any_hot = spark.read.schema("top long").parquet(f"{cold}/of-*").where("top > 0").limit(1).count() > 0
     if any_hot:
-        write_answers(shared_hashes(source.mapInArrow(frugal(hot), "bucket long, block long, payload binary")), warm)
+        write_answers(shared_hashes(source.mapInArrow(frugal(hot), "bucket long, block long, payload binary")), warm, partitions)
         settle(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -626,7 +650,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, tokenise: Tokenise, solver:
 
     cut = source.mapInArrow(frugal(segments), "bucket long, block long, kind int, payload binary, bytes binary")
     solved = cut.groupBy("bucket").applyInArrow(frugal_group(lambda t: _solve_bucket(t, spec, solver)), "block long, kind int, payload binary")
-    write_answers(solved, f"{root}/solved")
+    write_answers(solved, f"{root}/solved", partitions)
     for done in (cold, warm):
         remove(spark, done)
     settle(spark)

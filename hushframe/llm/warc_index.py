@@ -1,7 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Writing: pages whose payload equals that of a page with a smaller id become revisits of
-it (grouped by digest, partial aggregates first).  Every task writes one gzip member a
+it.  Pages lie in blocks, which are written once and not shuffled; digests and places alone
+find what is equal (partial aggregates first, a digest of very many pages is dealt over
+several keys), and each block reads its marks beside it.  Every task writes one gzip member a
 record to a file of its own attempt, so a repeated task never disturbs what an index
 line points at, and returns the records' places.
 
@@ -35,10 +37,12 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared_windows import filesystem, remove, settled_result, work_dir
-from .textbatch import frugal, pick, small_batches
+from .jaccard_trie import _dealt_join as dealt_join
+from .shared_windows import block_size, by_block, filesystem, partitions_of, read_answers, remove, settled_result, work_dir, write_answers, write_blocks
+from .textbatch import frugal, pick
 
 LINES = 1000
+RANGE_ROWS = 1 << 20
 ARCHIVE_BYTES = 256 << 20
 TIME = "20240101000000"
 MOST_OPEN = 32
@@ -99,14 +103,17 @@ def base32(payload: bytes) -> str:
 def write_archives(pages: DataFrame, root: str, min_payload: int = 0, level: int = 1) -> DataFrame:
     """Write every page as a WARC record under ``root``; (mark, key, page, file, offset, length)."""
     spark = pages.sparkSession
-    small_batches(spark)
-    body = F.coalesce(F.col("html"), F.lit(""))
-    own = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size"))
-    # without html: only digests travel to find what is equal
-    small = own.select("page_id", "digest", "size").where(F.col("size") >= min_payload)
-    first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
-    later = small.select("page_id", "digest").join(first, "digest").where("page_id <> first or (page_id is null and first is not null)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
-    typed = own.join(later, (own["page_id"].eqNullSafe(later["p"])) & (own["digest"] == later["d"]), "left").select("page_id", "url", "html", "digest", "first", url_key(F.col("url")).alias("key"), page_mark(F.col("page_id")).alias("page"), F.col("d").isNotNull().alias("again"))
+    # html stays in its block: only places and digests travel, and marks come back beside it
+    source = pick(pages, "page_id", "url", "html").select(F.col("page_id").alias("doc_id"), F.coalesce(F.col("html"), F.lit("")).alias("text"), "url")
+    blocks = write_blocks(source, f"{root}/blocks", block_size(source), whole=True).withColumnRenamed("x0", "url")
+    digests = blocks.where(F.col("n_bytes") >= min_payload).select("block", "row", F.col("doc_id").alias("page_id"), F.sha1(F.col("text").cast("binary")).alias("digest"))
+    digests.write.parquet(f"{root}/digests")
+    digests = spark.read.parquet(f"{root}/digests")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1 and first is not null").select("digest", "first")
+    keyed = digests.withColumn("key", F.struct("block", "row"))
+    marks = dealt_join(keyed, first, ["digest"]).where("page_id <> first or page_id is null").select("block", "row", "first")
+    write_answers(marks, f"{root}/marks", partitions_of(blocks))
+    typed = blocks.select("block", "row", F.col("doc_id").alias("page_id"), "text", "url", url_key(F.col("url")).alias("key"), page_mark(F.col("doc_id")).alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,17 +121,20 @@ def write_archives(pages: DataFrame, root: str, min_payload: int = 0, level: int
         fs, base = filesystem(root)
         fs.create_dir(f"{base}/archives", recursive=True)
         out, name, at = None, "", 0
+        now, known = None, {}
         try:
-            for batch in batches:
+            for block, batch in by_block(batches):
+                if block != now:
+                    now, known = block, {r["row"]: r["first"] for r in read_answers(f"{root}/marks", block, ["row", "first"])}
                 places = []
-                for page_id, url, html, digest, first, again in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7))):
+                for row, page_id, html, url in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"archives/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     payload = html.encode()
-                    raw = record("revisit" if again else "response", page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first)
+                    raw = record("revisit" if row in known else "response", page_id, url, payload, base32(payload), known.get(row))
                     packed = gzip.compress(raw, level, mtime=0)
                     out.write(packed)
                     places.append((name, at, len(packed)))
@@ -137,9 +147,17 @@ def write_archives(pages: DataFrame, root: str, min_payload: int = 0, level: int
 
     places = typed.mapInArrow(frugal(run), "key string, page string, file string, offset long, length long")
     places.write.parquet(f"{root}/places")  # the writes happen once, with the rows that point at them
+    for done in ("blocks", "digests", "marks"):
+        remove(spark, f"{root}/{done}")
     return spark.read.parquet(f"{root}/places")
 
 
+def ranges(rows: DataFrame) -> int:
+    """Range partitions: as many as the session has for a shuffle, or so many that each has
+    ``RANGE_ROWS`` rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+
+
 def write_index(places: DataFrame, root: str, lines: int = LINES) -> DataFrame:
     """Sorted, compressed blocks of index lines; returns the directory (first, file, offset, length)."""
 
@@ -171,7 +189,7 @@ def write_index(places: DataFrame, root: str, lines: int = LINES) -> DataFrame:
         columns = list(zip(*rows)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["first", "file", "offset", "length"])
 
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(places)
     ordered = places.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page", "file", "offset")
     ordered.mapInArrow(frugal(run), "first string, file string, offset long, length long").sortWithinPartitions("first").write.parquet(f"{root}/directory")
     return places.sparkSession.read.parquet(f"{root}/directory")
@@ -254,7 +272,7 @@ def read_back(pages: DataFrame, root: str, with_payload: bool = False) -> DataFr
     """Look every page up by its url and id and read its record: page_id, payload_bytes,
     payload_digest, record_type, refers_to."""
     wanted = pick(pages, "page_id", "url").select(url_key(F.col("url")).alias("key"), page_mark(F.col("page_id").cast("long")).alias("page")).distinct()
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(pages)
     wanted = wanted.repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
