@@ -33,7 +33,8 @@ from .textbatch import Words, buffers, exact_ids, flagged, frugal, spaced
 
 WINDOW = 20
 SPEC = Windows(window=WINDOW, gram=6, key_by_doc=False)
-GROUP = 1 << 17
+#: Suffixes of a group: its tree takes some hundred bytes for each.
+GROUP = 1 << 12
 
 
 def tokenise(buf: np.ndarray, offs: np.ndarray) -> Tokens:

@@ -13,6 +13,7 @@ from hushframe.llm.queries import QUERIES, tokenizer_path
 import corpus_pipeline
 
 from . import brute
+from .conftest import frame
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -270,3 +271,29 @@ def test_folders_of_answers_follow_the_blocks(spark, partitions):
         assert sorted(r["v"] for r in shared_windows.read_answers(f"{root}/answers", b, ["v"])) == [f"{b}-{i}" for i in range(3)]
     assert shared_windows.read_answers(f"{root}/answers", 77, ["v"]) == []
     shared_windows.release(spark)
+
+
+@pytest.mark.parametrize("sets,group", [(256, 1 << 20), (7, 1 << 20), (2, 300)])
+def test_clusters_of_noisy_copies_in_parts(spark, monkeypatch, sets, group):
+    """Components cut by their sets: noisy copies of a few texts, which a common beginning
+    glues together, in one class, in several and in none."""
+    import random
+
+    from hushframe.llm import jaccard_trie
+
+    monkeypatch.setattr(jaccard_trie, "SETS", sets)
+    r = random.Random(sets)
+    word = lambda: f"w{r.randrange(400)}"
+    shared, rows = [word() for _ in range(8)], []
+    for c in range(4):
+        base = [word() for _ in range(60)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 4))):
+                w[r.randrange(60)] = word()
+            rows.append((len(rows), " ".join(shared + w)))
+    r.shuffle(rows)
+    found = jaccard_trie.jaccard_classes(frame(spark, rows).repartition(3), None, group)
+    got = Counter(tuple(x) for x in found.select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter(brute.components(rows)) and len({c for _, _, c in got}) > 4
+    shared_windows.release(spark)
