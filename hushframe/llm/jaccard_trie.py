@@ -20,8 +20,8 @@ Documents link when their sets of five-word shingles have a Jaccard similarity o
    outside of it are too many for any link go, judged by sizes; the others are dealt into
    parts.  Each part is joined with itself and with the component's hubs, which every part
    has, so that a class that lies in several parts is one; then the sets outside the largest
-   class meet all others, dealt into parts by shingles alone, so no pair of different classes
-   stays uncompared and no task holds more than two parts.
+   class meet all others, so no pair of different classes stays uncompared and no task holds
+   more than two parts.
 
 Defined results: null or empty texts have no shingles and no links; an empty table gives
 no rows.  Repeated rows are documents of their own; null ids take part, and a class of only
@@ -56,6 +56,9 @@ SALTS = 16
 HUBS, HUB_SHARE = 32, 16
 #: Steps of a doubling in which the sizes of a component's sets are told apart.
 SIZE_STEPS = 32
+#: Rows for each set of a large component that meet across its parts, as far as parts are
+#: cut by sets.
+COPIES = 4
 #: Bytes of words that are cut into shingles together.
 CUT_BYTES = 1 << 20
 #: Sets that walk their trie one by one; more walk it together.
@@ -547,14 +550,18 @@ def _large(dealt: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
 
 def _across(dealt: DataFrame, links: DataFrame, root: str, group: int) -> DataFrame:
     """Links between the classes of large components that their parts left: sets outside a
-    component's largest class meet all others, both dealt into parts by their size."""
+    component's largest class meet all others, both dealt into parts."""
     found, _ = connected_components(links, f"{root}/within")
     labelled = dealt.join(found, dealt["key"] == found["node"], "left").select(dealt["root"], "key", "words", F.coalesce(found["root"], dealt["key"]).alias("label"))
     labelled.write.parquet(f"{root}/labelled")
     labelled = dealt.sparkSession.read.parquet(f"{root}/labelled")
-    sizes = labelled.groupBy("root", "label").agg(F.sum(F.length("words")).alias("size"))
-    # a part is as many bytes of compressed words as a part of ``group`` shingles has about
-    major = sizes.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.count("*").alias("classes"), F.ceil(F.sum("size") / (2 * group)).alias("parts")).where("classes > 1").drop("classes")
+    sizes = labelled.groupBy("root", "label").agg(F.sum(F.length("words")).alias("size"), F.count("*").alias("sets"))
+    order = F.struct("size", "label")
+    major = sizes.groupBy("root").agg(F.max_by("label", order).alias("major"), F.count("*").alias("classes"), F.sum("size").alias("size"), F.sum("sets").alias("sets"), (F.sum("sets") - F.max_by("sets", order)).alias("others")).where("classes > 1")
+    # a part is as many bytes of compressed words as a part of ``group`` shingles has about;
+    # more parts, for fewer sets in each, while the sets that meet all of them stay few
+    by_sets = F.least(F.ceil(F.col("sets") / SETS), F.ceil(COPIES * F.col("sets") / F.col("others")))
+    major = major.select("root", "major", F.greatest(F.ceil(F.col("size") / (2 * group)), by_sets).alias("parts"))
     live = labelled.join(major, "root").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
     minor = live.where("label <> major")
     weight = minor.groupBy("root").agg(F.ceil(F.sum(F.length("words")) / (2 * group)).alias("minors"))
