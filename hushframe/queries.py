@@ -22,13 +22,13 @@ from .analysis.utility import BUCKETS, MultiParameterConfiguration, UtilityAnaly
 from .budget import Budget, NaiveBudgetAccountant, PLDBudgetAccountant
 from .dataframes import QueryBuilder
 from .engine import CustomCombiner, DPEngine, shared_folder
-from .extractors import DataExtractors, of_row
+from .extractors import DataExtractors, PreAggregateExtractors, of_row
 from .mechanisms import LaplaceMechanism, compute_sigma
 from .operators import histograms as h
 from .operators.contribution_bounds import L0ScoringFunction
 from .operators.error_estimator import create_estimator_for_count_and_privacy_id_count, create_estimator_for_sum
 from .operators.quantiles import merge_trees, unpack_trees
-from .operators.sampling import ValueSampler, filter_by_key_with_sharding
+from .operators.sampling import ValueSampler, filter_by_key_with_sharding, size
 from .params import AddDPNoiseParams, AggregateParams, CalculatePrivateContributionBoundsParams, CountParams, MeanParams, MechanismType, Metrics, NoiseKind, NormKind, PartitionSelectionStrategy, PrivacyIdCountParams, SelectPartitionsParams, SumParams, VarianceParams
 from .plans.bounding import Sampling, sample
 from .plans.columnar import ColumnarCombiner
@@ -954,6 +954,58 @@ def utility_report(spark, sf_dir):
     return rows.select("config", "partitions", F.round(F.col("count_abs_mean") / F.col("kept"), 4).alias("mean_error"), F.round(F.col("count_abs_rmse") / F.col("kept"), 4).alias("rmse"), F.round(F.col("count_rel_rmse") / F.col("kept"), 6).alias("relative_rmse"))
 
 
+@query(
+    "WITH p AS (SELECT user_id, event_type, sum(value) AS s, count(*) OVER (PARTITION BY user_id) AS parts FROM events GROUP BY user_id, event_type), g AS (SELECT * FROM (VALUES (0, 1, 0.0, 50.0), (1, 3, 20.0, 400.0)) AS t(config, l0, low, high)), "
+    "x AS (SELECT *, least(1.0, l0 / parts) AS q, least(greatest(s, low), high) AS kept FROM p, g) "
+    "SELECT event_type, config::INTEGER AS config, round(sum(s), 2) AS value, round(sum(CASE WHEN s < low THEN kept - s ELSE 0 END), 3) AS raised, round(sum(CASE WHEN s > high THEN kept - s ELSE 0 END), 3) AS cut, "
+    "round(sum(-kept * (1 - q)), 3) AS lost, round(sum(kept * kept * q * (1 - q)), 1) AS variance FROM x GROUP BY event_type, config"
+)
+def utility_per_partition_sum(spark, sf_dir):
+    """Errors of sums that are clipped by partition, for two settings of all bounds."""
+    df = events(spark, sf_dir)
+    params = AggregateParams(metrics=[Metrics.SUM], max_partitions_contributed=1, max_contributions_per_partition=1, min_sum_per_partition=0, max_sum_per_partition=1)
+    settings = MultiParameterConfiguration([1, 3], None, [0.0, 20.0], [50.0, 400.0])
+    rows = UtilityAnalysis(df, UtilityAnalysisOptions(2.0, 1e-5, params, settings), EVENT).sums()
+    named = rows.select(F.col("k0").alias("event_type"), "config", F.col("sum0_value").alias("value"), F.col("sum0_to_min").alias("raised"), F.col("sum0_to_max").alias("cut"), F.col("sum0_l0").alias("lost"), F.col("sum0_l0_var").alias("variance"))
+    return rounded(named, value=2, raised=3, cut=3, lost=3, variance=1)
+
+
+@query(ORACLES["utility_per_partition"])
+def utility_preaggregated(spark, sf_dir):
+    """The same analysis from written rows that are pre-aggregated already."""
+    path = f"{shared_folder(spark)}/preaggregated"
+    df = events(spark, sf_dir)
+    preaggregate(df, EVENT).write.parquet(path)
+    params = AggregateParams(metrics=[Metrics.COUNT, Metrics.PRIVACY_ID_COUNT], max_partitions_contributed=1, max_contributions_per_partition=1)
+    settings = MultiParameterConfiguration([a for a, _ in _CONFIGS], [b for _, b in _CONFIGS])
+    extractors = PreAggregateExtractors("event_type", ["count", "sum", "n_partitions", "n_contributions"])
+    s = UtilityAnalysis(spark.read.parquet(path), UtilityAnalysisOptions(2.0, 1e-5, params, settings, pre_aggregated_data=True), extractors, public_types(df)).sums()
+    return s.select(
+        F.col("k0").alias("event_type"), "config", F.round("count_value").cast("long").alias("value"), F.round("count_to_max").cast("long").alias("clipped"), F.round("count_l0", 4).alias("lost"),
+        F.round("count_l0_var", 4).alias("variance"), F.round("privacy_id_count_value").cast("long").alias("users"), F.round("privacy_id_count_l0", 4).alias("users_lost"),
+    )
+
+
+@query(
+    f"WITH {_PRE}, x AS (SELECT *, least(1.0, l0 / parts) AS q, least(c, linf) AS kept FROM p, g) "
+    "SELECT config::INTEGER AS config, round(sum(kept * (1 - q)) / sum(c), 9) AS l0, round(sum(c - kept) / sum(c), 9) AS linf, 0.0::DOUBLE AS selection FROM x GROUP BY config"
+)
+def utility_data_drop(spark, sf_dir):
+    """Shares of the rows that each bound drops, from the report's own objects."""
+    found = [(r.configuration_index, r.metric_errors[0].ratio_data_dropped) for r in _analysis(spark, sf_dir).reports()]
+    return rounded(spark.createDataFrame([(i, float(d.l0), float(d.linf), float(d.partition_selection)) for i, d in found], "config int, l0 double, linf double, selection double"), l0=9, linf=9, selection=9)
+
+
+@query(
+    "WITH p AS (SELECT o_custkey, o_orderdate::DATE::VARCHAR AS day, count(*) AS c, sum(o_totalprice) AS s FROM orders GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS parts, sum(c) OVER (PARTITION BY o_custkey) AS contributions FROM p) "
+    "SELECT day, c::BIGINT AS count, round(s, 2) AS sum, parts::BIGINT AS n_partitions, contributions::BIGINT AS n_contributions FROM w WHERE ('0x' || substr(sha1(chr(39) || day || chr(39)), 1, 16))::UBIGINT < 4611686018427387904"
+)
+def preaggregated_sample(spark, sf_dir):
+    """Pre-aggregated rows of a quarter of the days, with totals of all days."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"), F.col("o_totalprice").cast("double").alias("price"))
+    return preaggregate(df, DataExtractors("o_custkey", "day", "price"), partitions_sampling_prob=0.25).withColumn("sum", F.round("sum", 2))
+
+
 _BUCKET = "CASE " + " ".join(f"WHEN users >= {b} THEN {b}" for b in reversed(BUCKETS)) + " ELSE 0 END"
 
 
@@ -1118,6 +1170,23 @@ def value_sampler_sha1(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(ValueSampler(0.3).condition(F.col("o_orderkey"))).select("o_orderkey")
 
 
+@query("SELECT count(*)::BIGINT AS size FROM lineitem")
+def number_of_rows(spark, sf_dir):
+    return size(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    "WITH c AS (SELECT count(*) AS v FROM events GROUP BY user_id, event_type), b AS (SELECT v, (10 ** greatest(length(v::BIGINT::VARCHAR) - 3, 0))::BIGINT AS base FROM c), h AS (SELECT v // base * base AS lower, count(*) AS n FROM b GROUP BY 1), "
+    "a AS (SELECT lower, coalesce(sum(n) OVER (ORDER BY lower ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(n) FROM h) AS below FROM h), q AS (SELECT * FROM (VALUES (0.101), (0.503), (0.907), (0.993)) AS t(q)) "
+    "SELECT q::DOUBLE AS q, (SELECT max(lower) FROM a WHERE below <= q)::BIGINT AS lower FROM q"
+)
+def histogram_quantiles(spark, sf_dir):
+    """Quantiles of the histogram of rows by user and type."""
+    found = h.Histogram(h.HistogramType.LINF_CONTRIBUTIONS, h.collected(_counts(spark, sf_dir).linf()))
+    ranks = [0.101, 0.503, 0.907, 0.993]
+    return spark.createDataFrame([(q, int(v)) for q, v in zip(ranks, found.quantiles(ranks))], "q double, lower long")
+
+
 @query("SELECT o_custkey, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY o_custkey")
 def min_max_per_key(spark, sf_dir):
     from .operators.sampling import min_max_per_key as per_key
