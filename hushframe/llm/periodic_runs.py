@@ -16,12 +16,14 @@ periods are tried than there are words.
 
 Defined results: a null, empty or blank text has no words and no runs; an empty table gives
 no rows.  Repeated rows and null ids give a row each; a run never leaves its text.  Texts
-are handled whole; a very long text is one piece, some 40 bytes of memory a byte of prose,
-and 4 bytes a word more for each doubling of its longest repeat.  Other columns are ignored.
+are handled whole; a very long text is one piece, some 25 to 30 bytes of memory a byte
+(measured: 2.0 GB for 81 MB of prose of 9 million words, 2.4 GB where 3,000 words repeat).
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -65,13 +67,13 @@ def nearest_earlier(order: np.ndarray, lcp: np.ndarray, before: bool) -> tuple[n
     if not len(live):
         return go, common
     # long chains, place by place: those nearer to the side looked at have ended before
-    start, to, least = order.tolist(), go.tolist(), common.tolist()
+    start, to, least = memoryview(order), memoryview(go), memoryview(common)
     for p in live.tolist() if before else live[::-1].tolist():
         a, c = to[p], least[p]
         while a >= 0 and start[a] > start[p]:
             c, a = min(c, least[a]), to[a]
         to[p], least[p] = (a, c) if a >= 0 and c else (-1, 0)
-    return np.array(to, np.int64), np.array(least, np.int64)
+    return go, common
 
 
 def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +90,13 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np
 
 def blocks_of(length: np.ndarray) -> np.ndarray:
     """Starts of the Lempel-Ziv blocks, and the end."""
-    following = (np.arange(len(length)) + np.maximum(length, 1)).tolist()
-    at, out = 0, []
+    following = memoryview(np.arange(len(length)) + np.maximum(length, 1))
+    at, out = 0, array("q")
     while at < len(following):
         out.append(at)
         at = following[at]
-    return np.array([*out, len(following)], np.int64)
+    out.append(at)
+    return np.array(out, np.int64)
 
 
 def _forward(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
