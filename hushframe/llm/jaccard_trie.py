@@ -48,7 +48,7 @@ NUM, DEN = 3, 4
 #: Shingles and sets that one part of a component may have: a part's work grows with the
 #: square of its sets.
 GROUP = 1 << 20
-SETS = 256
+SETS = 1 << 12
 ROW_BITS = 22
 #: Keys over which the documents of one group are dealt when they meet its first.
 SALTS = 16

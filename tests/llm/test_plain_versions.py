@@ -273,7 +273,7 @@ def test_folders_of_answers_follow_the_blocks(spark, partitions):
     shared_windows.release(spark)
 
 
-@pytest.mark.parametrize("sets,group", [(256, 1 << 20), (7, 1 << 20), (2, 300)])
+@pytest.mark.parametrize("sets,group", [(1 << 12, 1 << 20), (7, 1 << 20), (2, 300)])
 def test_clusters_of_noisy_copies_in_parts(spark, monkeypatch, sets, group):
     """Components cut by their sets: noisy copies of a few texts, which a common beginning
     glues together, in one class, in several and in none."""
