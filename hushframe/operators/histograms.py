@@ -89,6 +89,16 @@ class DatasetHistograms:
     sum_per_partition_histogram_log: Histogram | list[Histogram] | None
 
 
+def exact_sum(v: Column) -> Column:
+    """A double: the sum of doubles, rounded once, so that no order of rows moves a sum over a
+    bin's edge.  It adds them as decimals of 18 places; where those don't hold a value or the
+    sum (large, tiny, infinite or NaN) it is the sum of doubles."""
+    v = v.cast("double")
+    held = v.try_cast("decimal(38,18)")
+    lost = F.count(F.when(v.isNotNull() & ~F.coalesce(held.cast("double") == v, F.lit(False)), 1))
+    return F.coalesce(F.when(lost == 0, F.try_sum(held).cast("double")), F.sum(v))
+
+
 def integer_bin(v: Column) -> tuple[Column, Column]:
     """Lower and upper bound of three leading digits."""
     digits = F.length(v.cast("long").cast("string"))
@@ -151,7 +161,7 @@ class Counts:
 
     def __init__(self, rows: DataFrame, keys: list[str]):
         self.rows, self.keys = rows, keys
-        self.pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("v"), F.sum("value").alias("s") if rows.schema["value"].dataType.typeName() != "array" else F.lit(None).cast("double").alias("s"))
+        self.pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("v"), exact_sum(F.col("value")).alias("s") if rows.schema["value"].dataType.typeName() != "array" else F.lit(None).cast("double").alias("s"))
 
     def l0(self) -> DataFrame:
         return integer_histogram(self.pairs.groupBy("pid").agg(F.count("*").alias("n")), "n")
@@ -172,7 +182,7 @@ class Counts:
         return (log_histogram if log else linear_histogram)(self.pairs.select("s"), "s")
 
     def sum_per_partition(self, log: bool = False) -> DataFrame:
-        return (log_histogram if log else linear_histogram)(self.pairs.groupBy(*self.keys).agg(F.sum("s").alias("s")).select("s"), "s")
+        return (log_histogram if log else linear_histogram)(self.pairs.groupBy(*self.keys).agg(exact_sum(F.col("s")).alias("s")).select("s"), "s")
 
 
 class PreaggregatedCounts:
@@ -201,7 +211,7 @@ class PreaggregatedCounts:
         return (log_histogram if log else linear_histogram)(self.rows.select("s"), "s")
 
     def sum_per_partition(self, log: bool = False) -> DataFrame:
-        return (log_histogram if log else linear_histogram)(self.rows.groupBy(*self.keys).agg(F.sum("s").alias("s")).select("s"), "s")
+        return (log_histogram if log else linear_histogram)(self.rows.groupBy(*self.keys).agg(exact_sum(F.col("s")).alias("s")).select("s"), "s")
 
 
 def _all(counts: Counts | PreaggregatedCounts, has_sums: bool) -> DatasetHistograms:
