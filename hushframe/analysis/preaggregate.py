@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..extractors import DataExtractors, PreAggregateExtractors, columns, extract, key_names
+from ..operators.histograms import exact_sum
 from ..operators.sampling import ValueSampler
 
 
@@ -28,7 +29,7 @@ def preaggregated_rows(df: DataFrame, e: DataExtractors, public: DataFrame | Non
         rows = rows.join(public, same_keys(rows, public, keys), "left_semi")
     array = rows.schema["value"].dataType.typeName() == "array"
     width = len(e.value_extractor) if array else 0
-    total = F.array(*[F.sum(F.get("value", i)) for i in range(width)]) if array else F.sum("value")
+    total = F.array(*[exact_sum(F.get("value", i)) for i in range(width)]) if array else exact_sum(F.col("value"))
     pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("count"), total.alias("sum"))
     if l0:
         unit = Window.partitionBy("pid")
