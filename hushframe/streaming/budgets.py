@@ -15,11 +15,11 @@ spent twice.  Rows behind the watermark are late and never counted.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -88,25 +88,26 @@ class UnitBudget(StatefulProcessor):
         pass
 
 
-def budgeted_windows(stream: DataFrame, time: str, unit: str, key: str, window: str, lateness: str, max_windows: int) -> DataFrame:
+def budgeted_windows(stream: DataFrame, time: str, unit: str, key: str, window: str, lateness: str, max_windows: int, placed: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """(begin, unit, key, n) of closed tumbling windows that their units can pay for.  Needs
-    the RocksDB state store."""
+    the RocksDB state store.  ``placed`` rounds the times by which rows fall into windows; the
+    watermark goes by the times as they are."""
     check_positive_int(max_windows, "max_windows")
     length = seconds(window)
     # whole windows from the epoch on, as milliseconds
-    begin = (F.floor(F.unix_millis(F.col(time).cast("timestamp")) / (1000 * length)) * 1000 * length).cast("long")
+    begin = (F.floor(F.unix_millis(placed(F.col(time).cast("timestamp"))) / (1000 * length)) * 1000 * length).cast("long")
     rows = stream.withWatermark(time, lateness).where(F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(key).cast("string").alias("key"), begin.alias("begin"), F.lit(1).cast("long").alias("n"), time)
     schema = T.StructType([T.StructField("begin", T.LongType()), T.StructField("unit", stream.schema[unit].dataType), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
     return rows.groupBy("unit").transformWithStateInPandas(UnitBudget(length, max_windows), schema, "Append", "EventTime").select(F.timestamp_millis("begin").alias("begin"), "unit", "key", "n")
 
 
 def stream_budgeted_counts(
-    stream: DataFrame, time: str, unit: str, key: str, *, window: str, lateness: str, total_budget: Budget, max_windows: int, max_keys: int, max_per_key: int, public_keys: DataFrame | Iterable[Any], sink: str, checkpoint: str, available_now: bool = False,
+    stream: DataFrame, time: str, unit: str, key: str, *, window: str, lateness: str, total_budget: Budget, max_windows: int, max_keys: int, max_per_key: int, public_keys: DataFrame | Iterable[Any], sink: str, checkpoint: str, available_now: bool = False, placed: Callable[[Column], Column] = lambda c: c,
 ) -> StreamingQuery:
     """Start the query: every unit spends at most ``total_budget`` in the life of the stream,
     an equal share in each of ``max_windows`` windows.  Released windows are appended to the
     Parquet table ``sink``."""
     each = Budget(total_budget.epsilon / max_windows, total_budget.delta / max_windows)
     release = release_each_batch(lambda held: release_windows(held, each, max_keys, max_per_key, public_keys), sink)
-    writer = budgeted_windows(stream, time, unit, key, window, lateness, max_windows).writeStream.outputMode("append").foreachBatch(release).option("checkpointLocation", checkpoint)
+    writer = budgeted_windows(stream, time, unit, key, window, lateness, max_windows, placed).writeStream.outputMode("append").foreachBatch(release).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
