@@ -6,10 +6,11 @@ word that was never seen share what was learned; a word's vector is the sum of i
 so one colliding row alone doesn't carry a verdict.  Filters of several widths slide over the whole text, ReLU and max pooling
 follow, then a logistic layer.
 
-Training rows: a bounded sample (``TrainLimits.max_rows``, chosen by hash over all
-rows that may be learned from), fitted on the driver.  Where it has fewer than
-``toxic_rows`` toxic rows, the next toxic ones by hash join it; they weigh less at
-calibration, so that precision is that of all labelled rows, but score as in the fit.
+Training rows: all that may be learned from.  Up to ``TrainLimits.max_rows`` of them one
+task fits.  Of more, as many by hash give a start (where it has fewer than ``toxic_rows``
+toxic rows, the next toxic ones by hash join it), and one pass over every row, in shards
+whose changes are averaged, moves it; a fifth of all by hash is kept out of both, and
+calibrates.  For few rows:
 A fifth of each class is kept out of the fit to stop it and to calibrate one threshold
 a language: the smallest score from ``floor`` up with at least ``precision`` on those
 rows.  A language without ``min_positives`` there or without such a score uses the
@@ -39,13 +40,16 @@ from .textbatch import LOWER, U64, Words, buffers, frugal, id_fold, map_pieces,
 #: Rows of a word: twice the word itself, then its beginnings of so many bytes.
 BEGINNINGS = (None, None, 5, 7)
 HASHES = len(BEGINNINGS)
+#: Rows of a table that travel together; steps of the score in which rows are counted.
+_BLOCK, _STEPS = 1024, 4096
 
 
 @dataclass(frozen=True)
 class TrainLimits:
     """``max_rows`` labelled rows (and toxic ones up to ``toxic_rows``) and at most
-    ``max_bytes`` of text are fitted: whole texts in order of hash, without those that
-    don't fit into what is left."""
+    ``max_bytes`` of text are fitted in one task: whole texts in order of hash, without those
+    that don't fit into what is left.  Where that isn't all, it is the start of a pass over
+    every row, in shards of some ``shard_rows``."""
 
     max_rows: int = 5000
     max_bytes: int = 32 << 20
@@ -62,6 +66,7 @@ class TrainLimits:
     precision: float = 0.8
     min_positives: int = 15
     toxic_rows: int = 500
+    shard_rows: int = 4096
 
 
 @dataclass
@@ -148,6 +153,38 @@ class _Adam:
             x -= scale * m / (np.sqrt(v) + 1e-8)
 
 
+def gradients(embed: list[np.ndarray], conv: list[list[np.ndarray]], biases: list[np.ndarray], out: np.ndarray, out_bias: np.ndarray, buckets: np.ndarray, first: np.ndarray, labels: np.ndarray, limits: TrainLimits, live: np.ndarray | None = None) -> list[np.ndarray]:
+    """Gradients of a batch's mean loss, in the order of ``_Adam``'s values."""
+    n_filters = len(biases[0])
+    vectors = word_vectors(embed, buckets)
+    pooled, spots = zip(*[pool(vectors, conv[w], biases[w], first, True) for w in range(len(conv))])
+    joined = np.concatenate(pooled, axis=1)
+    p = 1 / (1 + np.exp(-(joined @ out + out_bias[0])))
+    gz = ((p - labels) / len(labels)).astype(np.float32)
+    g_embed, g_conv, g_bias = [np.zeros_like(e) for e in embed], [], []
+    for w, width in enumerate(conv):
+        gp = gz[:, None] * out[w * n_filters : (w + 1) * n_filters]
+        live_spot = spots[w] >= 0
+        gp = gp * live_spot
+        g_bias.append(gp.sum(0))
+        d, f = np.nonzero(live_spot)
+        at, g = spots[w][d, f], gp[d, f]
+        for j, c in enumerate(width):
+            inside = at + j < first[d + 1]
+            gc = np.zeros_like(c)
+            ff, gg = f[inside], g[inside]
+            for k in range(HASHES):
+                b = buckets[k, at[inside] + j]
+                np.add.at(gc.T, ff, gg[:, None] * embed[k][b])
+                np.add.at(g_embed[k], b, gg[:, None] * c.T[ff])
+            g_conv.append(gc + limits.decay * c)
+    for k in range(HASHES):
+        g_embed[k] += 1e-6 * embed[k]
+        if live is not None:
+            g_embed[k] *= live[k][:, None]
+    return [*g_embed, *g_conv, *g_bias, joined.T @ gz + limits.decay * out, np.array([gz.sum()], np.float32)]
+
+
 def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: TrainLimits = TrainLimits(), toxic_weight: float = 1.0) -> ToxicityModel:
     """Train on labelled whole texts.  ``toxic_weight``: how many toxic rows a sampled
     one stands for, against the clean ones."""
@@ -202,33 +239,7 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
         rng.shuffle(train)
         for i in range(0, len(train), limits.batch):
             rows = train[i : i + limits.batch]
-            buckets, first = gathered(rows)
-            vectors = word_vectors(embed, buckets)
-            pooled, spots = zip(*[pool(vectors, conv[w], biases[w], first, True) for w in range(len(conv))])
-            joined = np.concatenate(pooled, axis=1)
-            p = 1 / (1 + np.exp(-(joined @ out + out_bias[0])))
-            gz = ((p - labels[rows]) / len(rows)).astype(np.float32)
-            g_embed, g_conv, g_bias = [np.zeros_like(e) for e in embed], [], []
-            for w, width in enumerate(conv):
-                gp = gz[:, None] * out[w * n_filters : (w + 1) * n_filters]
-                live_spot = spots[w] >= 0
-                gp = gp * live_spot
-                g_bias.append(gp.sum(0))
-                d, f = np.nonzero(live_spot)
-                at, g = spots[w][d, f], gp[d, f]
-                for j, c in enumerate(width):
-                    inside = at + j < first[d + 1]
-                    gc = np.zeros_like(c)
-                    ff, gg = f[inside], g[inside]
-                    for k in range(HASHES):
-                        b = buckets[k, at[inside] + j]
-                        np.add.at(gc.T, ff, gg[:, None] * embed[k][b])
-                        np.add.at(g_embed[k], b, gg[:, None] * c.T[ff])
-                    g_conv.append(gc + limits.decay * c)
-            for k in range(HASHES):
-                g_embed[k] += 1e-6 * embed[k]
-                g_embed[k] *= live[k][:, None]
-            adam.step([*g_embed, *g_conv, *g_bias, joined.T @ gz + limits.decay * out, np.array([gz.sum()], np.float32)])
+            adam.step(gradients(embed, conv, biases, out, out_bias, *gathered(rows), labels[rows], limits, live))
         now = model()
         s = np.clip(held_scores(now), 1e-6, 1 - 1e-6)
         y = labels[held]
@@ -249,11 +260,11 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], limits: Tr
     return best
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits, otherwise: float, weights: np.ndarray | None = None) -> float:
+def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits, otherwise: float, weights: np.ndarray | None = None, times: np.ndarray | int = 1) -> float:
     """Smallest score from ``floor`` up whose rows at or above it are positives by
     ``precision`` of their weight at least; ``otherwise`` where there is none or the rows
-    have fewer than ``min_positives``."""
-    if labels.sum() < limits.min_positives:
+    have fewer than ``min_positives``.  ``times``: how many rows one stands for there."""
+    if (labels * times).sum() < limits.min_positives:
         return otherwise
     order = np.argsort(-scores, kind="stable")
     ranked = scores[order]
@@ -265,37 +276,60 @@ def threshold(scores: np.ndarray, labels: np.ndarray, limits: TrainLimits, other
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = TrainLimits()) -> ToxicityModel:
-    """Fit on documents whose crc32(doc_id as text) mod 4 is not 2.  Ids are sampled
-    by hash (a bounded top-k, so partial limits run before any exchange); the sampled
-    texts meet in one task, which trains, so the driver only holds the model."""
-    spark = docs.sparkSession
+    """Fit on all labelled texts of documents whose crc32(doc_id as text) mod 4 is not 2.
+
+    Where they are at most ``max_rows`` and ``max_bytes``, one task fits them.  Else one task
+    fits a start on as many by hash (a bounded top-k, so partial limits run before any
+    exchange), every labelled text then moves it (``refined``), but for a fifth by hash that
+    no fit sees, and all of these set the thresholds (``calibrated``)."""
     known = (
         pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(F.coalesce(id_fold(F.col("doc_id"), 4), F.lit(2)) != 2)
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
+    texts = pick(docs, "doc_id", "text", "lang").where("text is not null").withColumn("size", F.octet_length("text"))
+    model, whole = _start(texts, known, limits)
+    if whole:
+        return model
+    kept_out = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
+    model, _ = _start(texts, known.where(~kept_out), limits, True)
+    labelled = texts.join(known, "doc_id").select("doc_id", "text", "lang", "toxic")
+    return calibrated(refined(model, labelled.where(~kept_out), limits), labelled.where(kept_out), limits)
+
+
+def _start(texts: DataFrame, known: DataFrame, limits: TrainLimits, part: bool = False) -> tuple[ToxicityModel | None, bool]:
+    """The model of the first labelled texts by hash and whether these are all; without
+    ``part`` there is no model where they aren't.  The texts meet in one task, which trains,
+    so the driver only holds the model."""
+    spark = texts.sparkSession
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    rows = known.orderBy(*by_hash).limit(limits.max_rows).collect()
+    rows = known.orderBy(*by_hash).limit(limits.max_rows + 1).collect()
+    whole, rows = len(rows) <= limits.max_rows, rows[: limits.max_rows]
+    if not whole and not part:
+        return None, False
     toxic_weight, n_hash, n_toxic = 1.0, len(rows), sum(r[1] == 1 for r in rows)
-    if len(rows) == limits.max_rows and n_toxic < limits.toxic_rows:
+    if not whole and n_toxic < limits.toxic_rows:
         more = known.where("toxic = 1").orderBy(*by_hash).limit(limits.toxic_rows).collect()
         of_all = known.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
-        # toxic and clean labelled rows that a sampled row of each stands for
+        # toxic and clean labelled rows that a row of each stands for
         stands = of_all[1] / max(1, len(more)), (of_all[0] - of_all[1]) / max(1, len(rows) - n_toxic)
         toxic_weight = stands[0] / max(stands[1], 1e-9) if more else 1.0
-        sampled = {r[0] for r in rows}
-        rows += [r for r in more if r[0] not in sampled]
+        taken = {r[0] for r in rows}
+        rows += [r for r in more if r[0] not in taken]
     if not rows:
-        return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
-    sample = pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows], "place": np.concatenate([np.arange(n) / max(1, n) for n in (n_hash, len(rows) - n_hash)])})
+        return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits), whole
+    chosen = pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows], "place": np.concatenate([np.arange(n) / max(1, n) for n in (n_hash, len(rows) - n_hash)])})
     # where the bytes run out, rows by hash and added toxic ones end in proportion
-    texts = pick(docs, "doc_id", "text", "lang").where("text is not null").withColumn("size", F.octet_length("text"))
-    sizes = texts.select("doc_id", "size").join(F.broadcast(spark.createDataFrame(sample)), "doc_id").groupBy("place", "doc_id", "size").count().toPandas()
+    sizes = texts.select("doc_id", "size").join(F.broadcast(spark.createDataFrame(chosen)), "doc_id").groupBy("place", "doc_id", "size").count().toPandas()
     sizes["room"] = sizes["size"] * sizes["count"]
     sizes = sizes.sort_values(["place", "size"])
     fits = fitting(sizes["room"].to_numpy(), limits.max_bytes)
+    if not fits.all():
+        whole = False
+        if not part:
+            return None, False
     if not fits.any():
-        return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits)
-    small = F.broadcast(spark.createDataFrame(sizes.loc[fits, ["doc_id", "size"]].merge(sample[["doc_id", "toxic"]], "left", "doc_id")))
+        return fit(pa.array([], pa.string()), np.zeros(0, np.float32), [], limits), whole
+    small = F.broadcast(spark.createDataFrame(sizes.loc[fits, ["doc_id", "size"]].merge(chosen[["doc_id", "toxic"]], "left", "doc_id")))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(batches).combine_chunks()
@@ -305,7 +339,116 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
 
     small_batches(spark)
     got = texts.join(small, ["doc_id", "size"]).select("doc_id", "text", "lang", "toxic").repartition(1)
-    return pickle.loads(got.mapInArrow(frugal(learn), "model binary").first()[0])
+    return pickle.loads(got.mapInArrow(frugal(learn), "model binary").first()[0]), whole
+
+
+def _values(m: ToxicityModel) -> list[np.ndarray]:
+    """The model's numbers in the order of ``gradients``."""
+    return [*m.embed, *[x for w in m.conv for x in w], *m.biases, m.out, np.full(1, m.out_bias, np.float32)]
+
+
+def refined(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> ToxicityModel:
+    """The model after one pass of all labelled texts: shards by hash of some ``shard_rows``
+    rows start from it, take Adam's steps in order of hash, and their changes are averaged, a
+    row of a table over the shards whose texts use it.  Tables travel in blocks of rows, so
+    no task holds more than a shard's model or a block of every shard."""
+    if not any(x.any() for x in model.embed):  # one class only: nothing to learn from
+        return model
+    spark = labelled.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    shards = max(1, -(-labelled.count() // limits.shard_rows))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = [x.astype(np.float32) for x in _values(shared.value)]
+        values = [x.copy() for x in start]
+        widths = [len(w) for w in shared.value.conv]
+        embed, rest = values[:HASHES], values[HASHES:]
+        flat, biases, (out, out_bias) = rest[: sum(widths)], rest[sum(widths) : -2], rest[-2:]
+        conv = [flat[sum(widths[:i]) : sum(widths[: i + 1])] for i in range(len(widths))]
+        adam = _Adam(values, limits.rate)
+        few = max(1, limits.batch // 5)  # one pass needs more steps than the start's many
+        used = np.zeros((HASHES, limits.buckets), bool)
+        held: list[tuple[np.ndarray, float]] = []
+        seen = 0
+
+        def step() -> None:
+            size = [d.shape[1] for d, _ in held]
+            buckets = np.concatenate([d for d, _ in held], axis=1)
+            for k in range(HASHES):
+                used[k, buckets[k]] = True
+            labels = np.array([y for _, y in held], np.float32)
+            adam.step(gradients(embed, conv, biases, out, out_bias, buckets, np.concatenate([[0], np.cumsum(size)]), labels, limits, used))
+            held.clear()
+
+        for batch in batches:
+            for piece in pieces(batch):
+                b, first = word_buckets(piece.column(piece.schema.get_field_index("text")), limits.buckets)
+                held += [(b[:, first[i] : first[i + 1]], float(y)) for i, y in enumerate(piece.column(piece.schema.get_field_index("toxic")).to_pylist())]
+                seen += piece.num_rows
+                while len(held) >= few:
+                    later = held[few:]
+                    del held[few:]
+                    step()
+                    held += later
+                if sum(d.shape[1] for d, _ in held) > 1 << 20:  # very long texts
+                    step()
+        if held:
+            step()
+        if not seen:
+            return
+        for k in range(HASHES):
+            for at in range(0, limits.buckets, _BLOCK):
+                n = used[k, at : at + _BLOCK].astype(np.float32)
+                if n.any():
+                    change = (embed[k] - start[k])[at : at + _BLOCK] * n[:, None]
+                    yield pa.record_batch({"value": pa.array([k], pa.int32()), "at": pa.array([at], pa.int32()), "n": pa.array([n.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+        for i in range(HASHES, len(values)):
+            weight = np.full(1, seen, np.float32)  # shards' sizes differ a little
+            change = (values[i] - start[i]) * weight
+            yield pa.record_batch({"value": pa.array([i], pa.int32()), "at": pa.array([0], pa.int32()), "n": pa.array([weight.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+
+    def added(table: pa.Table) -> pa.Table:
+        n, change = 0.0, 0.0
+        for a, b in zip(table["n"], table["change"]):
+            n, change = n + np.frombuffer(a.as_py(), np.float32), change + np.frombuffer(b.as_py(), np.float32)
+        return pa.table({"value": table["value"][:1], "at": table["at"][:1], "n": pa.array([n.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+
+    small_batches(spark)
+    hashed = labelled.select("text", "toxic", F.xxhash64(F.lit("shard"), "doc_id").alias("h"))
+    schema = "value int, at int, n binary, change binary"
+    ordered = hashed.repartition(shards, "h").sortWithinPartitions("h", "text").select("text", "toxic")
+    changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).collect()  # the size of the model
+    values = [x.astype(np.float32) for x in _values(model)]
+    for value, at, n, change in changes:
+        n, change = np.frombuffer(n, np.float32), np.frombuffer(change, np.float32)
+        if value < HASHES:
+            values[value][at : at + len(n)] += change.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+        else:
+            values[value] += (change / n[0]).reshape(values[value].shape)
+    widths = [len(w) for w in model.conv]
+    conv = iter(values[HASHES : HASHES + sum(widths)])
+    return ToxicityModel(values[:HASHES], [[next(conv) for _ in range(w)] for w in widths], values[HASHES + sum(widths) : -2], values[-2], float(values[-1][0]), model.thresholds, model.threshold)
+
+
+def calibrated(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> ToxicityModel:
+    """The model with thresholds of all these rows, counted by language and score in steps of
+    ``1 / _STEPS``; a row counts once."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        score = shared.value.score(*word_buckets(batch.column(0), limits.buckets))
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.floor(score * _STEPS).astype(np.int32)), batch.column(2)], names=["lang", "step", "toxic"])
+
+    scored = map_pieces(labelled.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic")), run, "lang string, step int, toxic int")
+    # below the floor only positives' number matters
+    counted = scored.withColumn("step", F.greatest("step", F.lit(int(limits.floor * _STEPS) - 1))).groupBy("lang", "step", "toxic").count().toPandas()
+    steps, toxic, n = counted["step"].to_numpy() / _STEPS, (counted["toxic"].to_numpy() > 0).astype(float), counted["count"].to_numpy()
+    model.threshold = threshold(steps, toxic, limits, limits.floor, n, n)
+    model.thresholds = {}
+    for lang in sorted(set(counted["lang"])):
+        of = (counted["lang"] == lang).to_numpy()
+        model.thresholds[lang] = threshold(steps[of], toxic[of], limits, model.threshold, n[of], n[of])
+    return model
 
 
 def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
