@@ -203,6 +203,12 @@ class DPEngine:
                 report.add_stage("Public partition selection: dropped non public partitions")
         return rows, keys, names, listed
 
+    @staticmethod
+    def _few_keys(p: AggregateParams, public: Any) -> bool:
+        """Whether the listed public keys, to which rows were cut down, are no more than a unit
+        may have.  Keys in a frame aren't counted."""
+        return isinstance(public, list) and not p.public_partitions_already_filtered and p.max_partitions_contributed is not None and len(public) <= p.max_partitions_contributed
+
     def _needs_value(self, p: AggregateParams) -> bool:
         return any(x in (Metrics.SUM, Metrics.MEAN, Metrics.VARIANCE, Metrics.VECTOR_SUM) or x.is_percentile for x in p.metrics or ())
 
@@ -211,13 +217,14 @@ class DPEngine:
         rows, keys, names, listed = self._rows(col, e, p, public, report)
         if self._needs_value(p):  # a row without a value contributes nothing
             rows = rows.where(F.col("value").isNotNull() & (~F.isnan("value") if rows.schema["value"].dataType.typeName() == "double" else F.lit(True)))
-        fold = single_rows() if p.contribution_bounds_already_enforced else grouped_rows()
+        counted = not p.contribution_bounds_already_enforced and p.max_contributions is None and bool(p.metrics) and set(p.metrics) <= {Metrics.COUNT, Metrics.PRIVACY_ID_COUNT}
+        fold = single_rows() if p.contribution_bounds_already_enforced else grouped_rows(p.max_contributions_per_partition if counted else None)
         partials = {k: c for plan in plans for k, c in plan.partials(fold).items()}
         if p.contribution_bounds_already_enforced:  # every row is a contribution of its own
             unit = rows.select(*keys, *[c.alias(k) for k, c in partials.items()])
             divide = p.max_contributions or p.max_contributions_per_partition
         else:
-            unit, stages = bound(rows, keys, p, [c.alias(k) for k, c in partials.items()] or [F.lit(1).alias("_one")], any(x.sampled for x in plans), self._sampling)
+            unit, stages = bound(rows, keys, p, [c.alias(k) for k, c in partials.items()] or [F.lit(1).alias("_one")], any(x.sampled for x in plans), self._sampling, counted, self._few_keys(p, public))
             for s in stages:
                 report.add_stage(s)
             divide = 1

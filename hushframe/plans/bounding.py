@@ -100,11 +100,14 @@ def sample(df: DataFrame, group: list[str], most: int, order: list[Column]) -> D
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
-def bound(rows: DataFrame, keys: list[str], p: AggregateParams, partials: list[Column], sampled: bool, sampling: Sampling) -> tuple[DataFrame, list[str]]:
-    """One row of ``partials`` for each kept (pid, key), and report stages."""
+def bound(rows: DataFrame, keys: list[str], p: AggregateParams, partials: list[Column], sampled: bool, sampling: Sampling, counted: bool = False, few_keys: bool = False) -> tuple[DataFrame, list[str]]:
+    """One row of ``partials`` for each kept (pid, key), and report stages.  Where rows are only
+    ``counted``, those of a unit in a partition are told by their number, so none is drawn: the
+    caller's ``partials`` cut it off.  With ``few_keys`` there are at most as many keys as a unit
+    may have, and none has to go."""
     # the labels before each colon are fixed values of a report
     by_rows, by_keys = sampling.of_rows(keys), sampling.of_keys(keys)
-    if p.max_contributions is not None or sampled:
+    if p.max_contributions is not None or sampled and not counted:
         rows = sampling.numbered(rows, keys)
     unit = ["pid", *keys]
     stages = []
@@ -113,10 +116,12 @@ def bound(rows: DataFrame, keys: list[str], p: AggregateParams, partials: list[C
         stages.append(f"User contribution bounding: a random sample of at most {p.max_contributions} rows of each privacy id")
         return rows.groupBy(*unit).agg(*partials), stages
     if sampled:
-        rows = sample(rows, unit, p.max_contributions_per_partition, by_rows)
+        if not counted:
+            rows = sample(rows, unit, p.max_contributions_per_partition, by_rows)
         stages.append(f"Per-partition contribution bounding: a random sample of at most {p.max_contributions_per_partition} rows of each privacy id in each partition")
     out = rows.groupBy(*unit).agg(*partials)
     if p.perform_cross_partition_contribution_bounding:
-        out = sample(out, ["pid"], p.max_partitions_contributed, by_keys)
+        if not few_keys:
+            out = sample(out, ["pid"], p.max_partitions_contributed, by_keys)
         stages.append(f"Cross-partition contribution bounding: a random sample of at most {p.max_partitions_contributed} partitions of each privacy id")
     return out, stages

@@ -30,8 +30,10 @@ class Rows:
     listed: Callable[[Column], Column]
 
 
-def grouped_rows() -> Rows:
-    return Rows(F.sum, F.count("*").cast("double"), F.collect_list)
+def grouped_rows(most: int | None = None) -> Rows:
+    """``most``: the number of rows at which a group's count is cut off."""
+    number = F.count("*") if most is None else F.least(F.count("*"), F.lit(most))
+    return Rows(F.sum, number.cast("double"), F.collect_list)
 
 
 def single_rows() -> Rows:
