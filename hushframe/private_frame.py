@@ -116,11 +116,16 @@ class PrivateDataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    pid = row.pop(PID)
-                    out += [{**{name: found.get(name) for name in made.names}, PID: pid} for found in function(row)]
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                at = batch.schema.get_field_index(PID)
+                names = [n for i, n in enumerate(batch.schema.names) if i != at]
+                columns = [c.to_pylist() for i, c in enumerate(batch.columns) if i != at]
+                own, out = [], []
+                for i, values in enumerate(zip(*columns) if columns else [()] * batch.num_rows):
+                    for found in function(dict(zip(names, values))):
+                        own.append(i)
+                        out.append(found)
+                pids = batch.column(at).take(pa.array(own, pa.int64()))  # ids stay Arrow's
+                yield pa.RecordBatch.from_arrays([pids.cast(arrow.field(0).type), *[pa.array([found.get(f.name) for found in out], f.type) for f in list(arrow)[1:]]], schema=arrow)
 
         return self._with(self._df.mapInArrow(run, whole))
 
