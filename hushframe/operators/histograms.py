@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,19 @@ class Counts:
         return (log_histogram if log else linear_histogram)(self.pairs.groupBy(*self.keys).agg(exact_sum(F.col("s")).alias("s")).select("s"), "s")
 
 
+class PairCounts(Counts):
+    """The same from one row for each (pid, k0, ...), with its count ``v`` and a sum."""
+
+    def __init__(self, pairs: DataFrame, keys: list[str], total: str):
+        self.keys, self.pairs = keys, pairs.select("pid", *keys, "v", F.col(total).alias("s"))
+
+    def l1(self) -> DataFrame:
+        return integer_histogram(self.pairs.groupBy("pid").agg(F.sum("v").alias("n")), "n")
+
+    def count_per_partition(self) -> DataFrame:
+        return integer_histogram(self.pairs.groupBy(*self.keys).agg(F.sum("v").alias("n")), "n")
+
+
 class PreaggregatedCounts:
     """The same from pre-aggregated rows (k0, ..., count, sum, n_partitions, n_contributions);
     a unit shows up n_partitions times, so it weighs 1 / n_partitions."""
@@ -233,11 +247,20 @@ def compute_dataset_histograms(df: DataFrame, data_extractors) -> DatasetHistogr
     keys = [f"k{i}" for i in range(len(names))]
     if rows.schema["value"].dataType.typeName() != "array":
         return _all(Counts(rows, keys), True)
+    # one aggregation of the rows for all columns; its groups are held on disk meanwhile
     width = len(data_extractors.value_extractor)
-    each = [_all(Counts(rows.withColumn("value", F.get("value", i)), keys), True) for i in range(width)]
-    out = each[0]
-    for name in ("linf_sum_contributions_histogram", "linf_sum_contributions_histogram_log", "sum_per_partition_histogram", "sum_per_partition_histogram_log"):
-        setattr(out, name, [getattr(h, name) for h in each])
+    pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("v"), *[exact_sum(F.get("value", i)).alias(f"s{i}") for i in range(width)]).persist(StorageLevel.DISK_ONLY)
+    try:
+        out = _all(PairCounts(pairs, keys, "s0"), True)
+        each = [PairCounts(pairs, keys, f"s{i}") for i in range(width)]
+        t = HistogramType
+        for name, kind, bins in (
+            ("linf_sum_contributions_histogram", t.LINF_SUM_CONTRIBUTIONS, lambda c: c.linf_sum()), ("linf_sum_contributions_histogram_log", t.LINF_SUM_CONTRIBUTIONS_LOG, lambda c: c.linf_sum(True)),
+            ("sum_per_partition_histogram", t.SUM_PER_PARTITION, lambda c: c.sum_per_partition()), ("sum_per_partition_histogram_log", t.SUM_PER_PARTITION_LOG, lambda c: c.sum_per_partition(True)),
+        ):
+            setattr(out, name, [getattr(out, name), *[Histogram(kind, collected(bins(c))) for c in each[1:]]])
+    finally:
+        pairs.unpersist()
     return out
 
 
