@@ -25,15 +25,17 @@ Very long texts are scored whole.  Other columns stay or are ignored, whatever t
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbatch import LOWER, U64, Words, buffers, frugal, id_fold, map_pieces, mix, pick, pieces, positional, range_hashes, small_batches
 
@@ -42,6 +44,8 @@ BEGINNINGS = (None, None, 5, 7)
 HASHES = len(BEGINNINGS)
 #: Rows of a table that travel together; steps of the score in which rows are counted.
 _BLOCK, _STEPS = 1024, 4096
+#: Bits of a bitmap of ids (Spark's own size), bits for each id, and most bitmaps: 8 MB.
+_BITMAP, _BITS_EACH, _MOST_BITMAPS = 1 << 15, 8, 1 << 11
 
 
 @dataclass(frozen=True)
@@ -80,6 +84,22 @@ class ToxicityModel:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.3
+    sent: tuple[SparkContext, Broadcast] | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The model's broadcast, some 13 MB whatever the input, made once for all that score
+        with its numbers.  Thresholds may be set later, so they travel beside it."""
+        if self.sent is None or self.sent[0] is not spark.sparkContext:
+            self.sent = spark.sparkContext, spark.sparkContext.broadcast(self)
+        return self.sent[1]
+
+    def cuts(self) -> Callable[[pa.Array], np.ndarray]:
+        """The thresholds of languages, as a function that holds nothing else of the model."""
+        of, otherwise = dict(self.thresholds), self.threshold
+        return lambda langs: np.array([of.get(x or "", otherwise) for x in langs.to_pylist()])
 
     def score(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         vectors = word_vectors(self.embed, buckets)
@@ -292,8 +312,25 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limits: TrainLimits = Tra
         return model
     kept_out = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
     model, _ = _start(texts, known.where(~kept_out), limits, True)
-    labelled = texts.join(known, "doc_id").select("doc_id", "text", "lang", "toxic")
-    return calibrated(refined(model, labelled.where(~kept_out), limits), labelled.where(kept_out), limits)
+    likely = _likely(texts.select("doc_id", "text", "lang"), known)
+    model = refined(model, likely.where(~kept_out), limits, known)
+    return calibrated(model, likely.where(kept_out), limits, known)
+
+
+def _likely(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The texts whose ids may be among the known ones, by bitmaps of their hashes: few others
+    pass, and only what passes is shuffled or scored.  Above some 8 million ids the bitmaps
+    fill up and more others pass.  Ids that a join would have to cast all pass."""
+    kind = known.schema["doc_id"].dataType
+    if texts.schema["doc_id"].dataType != kind or not (isinstance(kind, T.IntegralType) or kind == T.StringType()):
+        return texts
+    maps = min(_MOST_BITMAPS, max(1, -(-known.count() * _BITS_EACH // _BITMAP)))
+    h = F.xxhash64(F.lit("known"), "doc_id")
+    at, of = F.shiftrightunsigned(h, 40).bitwiseAND(_BITMAP - 1), F.pmod(h, F.lit(maps))
+    bits = known.groupBy(of.alias("of")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hashed = texts.withColumn("of", of).join(F.broadcast(bits), "of")
+    return hashed.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).select(*texts.columns)
 
 
 def _start(texts: DataFrame, known: DataFrame, limits: TrainLimits, part: bool = False) -> tuple[ToxicityModel | None, bool]:
@@ -339,7 +376,7 @@ def _start(texts: DataFrame, known: DataFrame, limits: TrainLimits, part: bool =
 
     small_batches(spark)
     got = texts.join(small, ["doc_id", "size"]).select("doc_id", "text", "lang", "toxic").repartition(1)
-    return pickle.loads(got.mapInArrow(frugal(learn), "model binary").first()[0]), whole
+    return pickle.loads(got.mapInArrow(frugal(learn), "model binary").toArrow()["model"][0].as_py()), whole
 
 
 def _values(m: ToxicityModel) -> list[np.ndarray]:
@@ -347,16 +384,17 @@ def _values(m: ToxicityModel) -> list[np.ndarray]:
     return [*m.embed, *[x for w in m.conv for x in w], *m.biases, m.out, np.full(1, m.out_bias, np.float32)]
 
 
-def refined(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> ToxicityModel:
-    """The model after one pass of all labelled texts: shards by hash of some ``shard_rows``
-    rows start from it, take Adam's steps in order of hash, and their changes are averaged, a
-    row of a table over the shards whose texts use it.  Tables travel in blocks of rows, so
-    no task holds more than a shard's model or a block of every shard."""
+def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known: DataFrame) -> ToxicityModel:
+    """The model after one pass of all texts that ``known`` labels: shards by hash of some
+    ``shard_rows`` rows start from it, take Adam's steps in order of hash, and their changes
+    are averaged, a row of a table over the shards whose texts use it.  Texts are shuffled
+    once, into their shards, where labels join them.  Tables travel in blocks of rows, so no
+    task holds more than a shard's model or a block of every shard."""
     if not any(x.any() for x in model.embed):  # one class only: nothing to learn from
         return model
-    spark = labelled.sparkSession
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    shards = max(1, -(-labelled.count() // limits.shard_rows))
+    shards = max(1, -(-texts.select("doc_id").join(known, "doc_id").count() // limits.shard_rows))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = [x.astype(np.float32) for x in _values(shared.value)]
@@ -414,12 +452,13 @@ def refined(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> T
         return pa.table({"value": table["value"][:1], "at": table["at"][:1], "n": pa.array([n.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
 
     small_batches(spark)
-    hashed = labelled.select("text", "toxic", F.xxhash64(F.lit("shard"), "doc_id").alias("h"))
     schema = "value int, at int, n binary, change binary"
-    ordered = hashed.repartition(shards, "h").sortWithinPartitions("h", "text").select("text", "toxic")
-    changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).collect()  # the size of the model
+    labelled = texts.select("doc_id", "text").repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id")
+    ordered = labelled.sortWithinPartitions(F.xxhash64(F.lit("shard"), "doc_id"), "text").select("text", "toxic")
+    changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).toArrow()  # the size of the model
+    shared.destroy()
     values = [x.astype(np.float32) for x in _values(model)]
-    for value, at, n, change in changes:
+    for value, at, n, change in zip(*(changes[c].to_pylist() for c in changes.column_names)):
         n, change = np.frombuffer(n, np.float32), np.frombuffer(change, np.float32)
         if value < HASHES:
             values[value][at : at + len(n)] += change.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
@@ -430,18 +469,22 @@ def refined(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> T
     return ToxicityModel(values[:HASHES], [[next(conv) for _ in range(w)] for w in widths], values[HASHES + sum(widths) : -2], values[-2], float(values[-1][0]), model.thresholds, model.threshold)
 
 
-def calibrated(model: ToxicityModel, labelled: DataFrame, limits: TrainLimits) -> ToxicityModel:
+def calibrated(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known: DataFrame | None = None) -> ToxicityModel:
     """The model with thresholds of all these rows, counted by language and score in steps of
-    ``1 / _STEPS``; a row counts once."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    ``1 / _STEPS``; a row counts once.  Labels are the texts' own or come from ``known``,
+    which the scores join by id: no text is shuffled."""
+    shared = model.shared(texts.sparkSession)
+    key = "toxic" if known is None else "doc_id"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = shared.value.score(*word_buckets(batch.column(0), limits.buckets))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.floor(score * _STEPS).astype(np.int32)), batch.column(2)], names=["lang", "step", "toxic"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.floor(score * _STEPS).astype(np.int32)), batch.column(2)], names=["lang", "step", key])
 
-    scored = map_pieces(labelled.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic")), run, "lang string, step int, toxic int")
+    source = texts.select("text", F.coalesce("lang", F.lit("")).alias("lang"), key)
+    scored = map_pieces(source, run, f"lang string, step int, {key} {source.schema[key].dataType.simpleString()}")
+    scored = scored if known is None else scored.join(known, "doc_id")
     # below the floor only positives' number matters
-    counted = scored.withColumn("step", F.greatest("step", F.lit(int(limits.floor * _STEPS) - 1))).groupBy("lang", "step", "toxic").count().toPandas()
+    counted = scored.select("lang", F.greatest("step", F.lit(int(limits.floor * _STEPS) - 1)).alias("step"), F.col("toxic").cast("int").alias("toxic")).groupBy("lang", "step", "toxic").count().toPandas()
     steps, toxic, n = counted["step"].to_numpy() / _STEPS, (counted["toxic"].to_numpy() > 0).astype(float), counted["count"].to_numpy()
     model.threshold = threshold(steps, toxic, limits, limits.floor, n, n)
     model.thresholds = {}
@@ -463,14 +506,11 @@ def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3), toxic (score at or above the
     language's calibrated threshold).  The language only picks the threshold."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # some 13 MB whatever the input
+    shared, cuts = model.shared(docs.sparkSession), model.cuts()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        buckets, first = word_buckets(batch.column(1), limits.buckets)
-        score = m.score(buckets, first)
-        cut = np.array([m.thresholds.get(x or "", m.threshold) for x in batch.column(2).to_pylist()])
+        score = shared.value.score(*word_buckets(batch.column(1), limits.buckets))
+        cut = cuts(batch.column(2))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(3), pa.array(score), pa.array((score >= 0.3).astype(np.int32)), pa.array(score >= cut)],
             names=["doc_id", "held_out", "score", "predicted", "toxic"],
@@ -485,15 +525,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, limits: TrainLimits =
 def reject_toxic(docs: DataFrame, model: ToxicityModel, limits: TrainLimits = TrainLimits()) -> DataFrame:
     """Documents below their language's threshold; columns stay, whatever their names, and
     nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, cuts = model.shared(docs.sparkSession), model.cuts()
     flat, place = positional(docs)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        score = m.score(*word_buckets(batch.column(text), limits.buckets))
-        cut = np.array([m.thresholds.get(x or "", m.threshold) for x in batch.column(lang).to_pylist()])
-        return batch.filter(pa.array(score < cut))
+        score = shared.value.score(*word_buckets(batch.column(text), limits.buckets))
+        return batch.filter(pa.array(score < cuts(batch.column(lang))))
 
     kept = map_pieces(flat, run, flat.schema, place["text"])
     return kept.select(*[F.col(place[i]).alias(c) for i, c in enumerate(docs.columns)])

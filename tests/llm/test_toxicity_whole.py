@@ -1,6 +1,7 @@
 """Training where the labelled rows are more than one task fits: every row counts."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hushframe.llm import toxicity_cnn
 
@@ -46,3 +47,39 @@ def test_thresholds_count_every_row_kept_out(spark):
     for lang in ("en", "de"):
         of = np.array([r["lang"] == lang for r in rows])
         assert got.thresholds[lang] == toxicity_cnn.threshold(s[of], y[of], LIMITS, got.threshold)
+
+
+def test_few_texts_without_labels_travel(spark):
+    """Of 4,000 texts 500 are labelled: those are shuffled once, others hardly."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghij"), (150, 12)).view("U12").ravel()) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, t + (" wretched" if i % 3 == 0 else ""), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 4000, 8)], "doc_id long, toxic int")
+    written = lambda: sum(x.totalShuffleWrite() for x in map(spark.sparkContext._jsc.sc().statusStore().executorList(True).apply, range(1)))
+    before = written()
+    toxicity_cnn.train_toxicity(docs, labels, LIMITS)
+    whole = sum(map(len, texts))
+    assert 0 < written() - before < whole / 3
+
+
+def test_every_known_id_is_likely_and_few_others(spark):
+    docs = spark.range(-20_000, 20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    known = docs.where("doc_id % 5 = 0").select("doc_id", F.lit(1).alias("toxic"))
+    got = toxicity_cnn._likely(docs, known)
+    assert got.columns == docs.columns
+    assert got.join(known, "doc_id").count() == known.count() == 8000
+    assert got.count() < 8000 + 0.2 * 32_000
+    strings = [x.select(F.col("doc_id").cast("string").alias("doc_id"), *x.columns[1:]) for x in (docs, known)]
+    assert toxicity_cnn._likely(*strings).join(strings[1], "doc_id").count() == 8000
+    # ids of another type: the join casts them, so all pass
+    assert toxicity_cnn._likely(docs, strings[1]).count() == docs.count()
+
+
+def test_labels_that_come_beside_give_the_same_thresholds(spark):
+    docs, labels = _tables(spark, 100)
+    model = toxicity_cnn.train_toxicity(docs, labels, LIMITS)
+    twice = docs.union(docs.where("doc_id < 50"))
+    own = toxicity_cnn.calibrated(model, twice.join(labels, "doc_id"), LIMITS)
+    own = own.threshold, own.thresholds
+    beside = toxicity_cnn.calibrated(model, twice, LIMITS, labels)
+    assert (beside.threshold, beside.thresholds) == own
