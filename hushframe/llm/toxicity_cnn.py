@@ -453,7 +453,9 @@ def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known:
 
     small_batches(spark)
     schema = "value int, at int, n binary, change binary"
-    labelled = texts.select("doc_id", "text").repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id")
+    # a shuffle right below a join gets Spark's number of partitions, one below an aggregate keeps its own
+    labels = known.repartition(shards, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = texts.select("doc_id", "text").repartition(shards, "doc_id").join(labels, "doc_id")
     ordered = labelled.sortWithinPartitions(F.xxhash64(F.lit("shard"), "doc_id"), "text").select("text", "toxic")
     changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).toArrow()  # the size of the model
     shared.destroy()

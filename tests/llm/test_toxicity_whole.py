@@ -83,3 +83,21 @@ def test_labels_that_come_beside_give_the_same_thresholds(spark):
     own = own.threshold, own.thresholds
     beside = toxicity_cnn.calibrated(model, twice, LIMITS, labels)
     assert (beside.threshold, beside.thresholds) == own
+
+
+def test_shards_do_not_follow_the_session(spark):
+    """More shuffle partitions than shards, and a join that is shuffled: the same model."""
+    docs, labels = _tables(spark, 100)
+    start, _ = toxicity_cnn._start(docs.withColumn("size", F.octet_length("text")), labels, LIMITS, True)
+    found = []
+    for partitions in ("2", "7"):
+        kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found.append(toxicity_cnn.refined(start, docs, LIMITS, labels))
+        finally:
+            for k, v in kept.items():
+                spark.conf.set(k, v)
+    for a, b in zip(*map(toxicity_cnn._values, found)):
+        assert np.allclose(a, b, atol=1e-5)
