@@ -387,8 +387,7 @@ def _values(m: ToxicityModel) -> list[np.ndarray]:
 def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known: DataFrame) -> ToxicityModel:
     """The model after one pass of all texts that ``known`` labels: shards by hash of some
     ``shard_rows`` rows start from it, take Adam's steps in order of hash, and their changes
-    are averaged, a row of a table over the shards whose texts use it.  Texts are shuffled
-    once, into their shards, where labels join them.  Tables travel in blocks of rows, so no
+    are averaged, a row of a table over the shards whose texts use it.  Tables travel in blocks of rows, so no
     task holds more than a shard's model or a block of every shard."""
     if not any(x.any() for x in model.embed):  # one class only: nothing to learn from
         return model
@@ -453,10 +452,8 @@ def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known:
 
     small_batches(spark)
     schema = "value int, at int, n binary, change binary"
-    # a shuffle right below a join gets Spark's number of partitions, one below an aggregate keeps its own
-    labels = known.repartition(shards, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = texts.select("doc_id", "text").repartition(shards, "doc_id").join(labels, "doc_id")
-    ordered = labelled.sortWithinPartitions(F.xxhash64(F.lit("shard"), "doc_id"), "text").select("text", "toxic")
+    labelled = texts.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.xxhash64(F.lit("shard"), "doc_id").alias("h"))
+    ordered = labelled.repartition(shards, "h").sortWithinPartitions("h", "text").select("text", "toxic")
     changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).toArrow()  # the size of the model
     shared.destroy()
     values = [x.astype(np.float32) for x in _values(model)]
