@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -384,10 +384,24 @@ def _values(m: ToxicityModel) -> list[np.ndarray]:
     return [*m.embed, *[x for w in m.conv for x in w], *m.biases, m.out, np.full(1, m.out_bias, np.float32)]
 
 
+def _sharded(texts: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """Text and label of the texts that ``known`` labels, dealt and sorted by hash.  Labels are
+    dealt with the texts and spread over their id's rows, so that texts are shuffled once; a
+    join would shuffle them as well where the labels are too many for a broadcast."""
+    if texts.schema["doc_id"].dataType != known.schema["doc_id"].dataType:  # the join casts
+        known = texts.select("doc_id").distinct().join(known, "doc_id")
+    key = F.xxhash64(F.lit("shard"), "doc_id").alias("h"), "doc_id"
+    rows = texts.where("doc_id is not null").select(*key, "text", F.lit(None).cast(known.schema["toxic"].dataType).alias("toxic"))
+    both = rows.union(known.select(*key, F.lit(None).cast("string"), "toxic")).repartition(shards, "h")
+    labelled = both.select("h", "text", F.max("toxic").over(Window.partitionBy("h", "doc_id")).alias("toxic"))
+    return labelled.where("text is not null and toxic is not null").sortWithinPartitions("h", "text").select("text", "toxic")
+
+
 def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known: DataFrame) -> ToxicityModel:
     """The model after one pass of all texts that ``known`` labels: shards by hash of some
     ``shard_rows`` rows start from it, take Adam's steps in order of hash, and their changes
-    are averaged, a row of a table over the shards whose texts use it.  Tables travel in blocks of rows, so no
+    are averaged, a row of a table over the shards whose texts use it.  Texts are shuffled
+    once, into their shards, where labels meet them.  Tables travel in blocks of rows, so no
     task holds more than a shard's model or a block of every shard."""
     if not any(x.any() for x in model.embed):  # one class only: nothing to learn from
         return model
@@ -452,9 +466,7 @@ def refined(model: ToxicityModel, texts: DataFrame, limits: TrainLimits, known:
 
     small_batches(spark)
     schema = "value int, at int, n binary, change binary"
-    labelled = texts.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.xxhash64(F.lit("shard"), "doc_id").alias("h"))
-    ordered = labelled.repartition(shards, "h").sortWithinPartitions("h", "text").select("text", "toxic")
-    changes = ordered.mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).toArrow()  # the size of the model
+    changes = _sharded(texts, known, shards).mapInArrow(frugal(learn), schema).groupBy("value", "at").applyInArrow(added, schema).toArrow()  # the size of the model
     shared.destroy()
     values = [x.astype(np.float32) for x in _values(model)]
     for value, at, n, change in zip(*(changes[c].to_pylist() for c in changes.column_names)):

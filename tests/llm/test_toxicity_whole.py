@@ -101,3 +101,35 @@ def test_shards_do_not_follow_the_session(spark):
                 spark.conf.set(k, v)
     for a, b in zip(*map(toxicity_cnn._values, found)):
         assert np.allclose(a, b, atol=1e-5)
+
+
+def test_texts_are_shuffled_once_whatever_the_number_of_labels(spark):
+    """Labels too many for a broadcast: the texts still move once, into their shards."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefghij"), (150, 12)).view("U12").ravel()) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, t + (" wretched" if i % 3 == 0 else ""), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(2000)], "doc_id long, toxic int").localCheckpoint()
+    limits = toxicity_cnn.TrainLimits(max_rows=200, toxic_rows=40, shard_rows=1500, buckets=1 << 8)
+    start, _ = toxicity_cnn._start(docs.withColumn("size", F.octet_length("text")), labels, limits, True)
+    written = lambda: sum(x.totalShuffleWrite() for x in map(spark.sparkContext._jsc.sc().statusStore().executorList(True).apply, range(1)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        toxicity_cnn.refined(start, docs, limits, labels)
+        assert 0 < written() - before < 1.4 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shards_hold_the_rows_of_a_join(spark):
+    """Repeated and null ids, texts without labels, labels without texts, ids of another type."""
+    docs = spark.createDataFrame([(i % 40 if i % 7 else None, f"text {i}") for i in range(300)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, toxic int")
+    strings = known.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
+    want = sorted(map(tuple, docs.join(known, "doc_id").select("text", "toxic").collect()))
+    assert want
+    for labels in (known, strings):
+        got = toxicity_cnn._sharded(docs, labels, 3)
+        assert got.rdd.getNumPartitions() == 3
+        assert sorted(map(tuple, got.collect())) == want
