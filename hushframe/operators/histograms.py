@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: equal bins of a linear histogram.
@@ -100,6 +100,16 @@ def exact_sum(v: Column) -> Column:
     return F.coalesce(F.when(lost == 0, F.try_sum(held).cast("double")), F.sum(v))
 
 
+def sums_in_order(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, v, s): each group's rows and the sum of their values, added one by one as doubles in
+    the order of the column ``order``, as one thread of SQL adds them.  The running frames
+    spill, so a group may have any size."""
+    w = Window.partitionBy(*by).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select(*by, F.count("*").over(so_far).alias("v"), F.sum("value").over(so_far).alias("s"), F.lead(F.lit(1)).over(w).alias("_next"))
+    return running.where("_next is null").select(*by, "v", "s")
+
+
 def integer_bin(v: Column) -> tuple[Column, Column]:
     """Lower and upper bound of three leading digits."""
     digits = F.length(v.cast("long").cast("string"))
@@ -158,10 +168,14 @@ def linear_histogram(values: DataFrame, v: str) -> DataFrame:
 
 
 class Counts:
-    """Grouped counts behind the histograms, from rows (pid, k0, ..., value)."""
+    """Grouped counts behind the histograms, from rows (pid, k0, ..., value[, row_id]); with
+    ``row_id`` a pair's values are added as doubles in its order."""
 
     def __init__(self, rows: DataFrame, keys: list[str]):
         self.rows, self.keys = rows, keys
+        if "row_id" in rows.columns:
+            self.pairs = sums_in_order(rows, ["pid", *keys], "row_id")
+            return
         self.pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("v"), exact_sum(F.col("value")).alias("s") if rows.schema["value"].dataType.typeName() != "array" else F.lit(None).cast("double").alias("s"))
 
     def l0(self) -> DataFrame:
