@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..extractors import DataExtractors, PreAggregateExtractors, columns, extract, key_names
-from ..operators.histograms import exact_sum
+from ..operators.histograms import exact_sum, sums_in_order
 from ..operators.sampling import ValueSampler
 
 
@@ -18,10 +18,11 @@ def kept_partitions(keys: list[str], probability: float) -> Column:
     return ValueSampler(probability).condition(joined, text=True) if probability < 1 else F.lit(True)
 
 
-def preaggregated_rows(df: DataFrame, e: DataExtractors, public: DataFrame | None = None, sampling_prob: float = 1.0, l0: bool = True) -> tuple[DataFrame, list[str]]:
+def preaggregated_rows(df: DataFrame, e: DataExtractors, public: DataFrame | None = None, sampling_prob: float = 1.0, l0: bool = True, order: Column | None = None) -> tuple[DataFrame, list[str]]:
     """(k0, ..., count, sum, n_partitions, n_contributions).  Partitions are sampled after a
-    unit's totals are known, so that they stay right."""
-    rows, names = extract(df, e)
+    unit's totals are known, so that they stay right.  With ``order`` the values of a pair,
+    one column, are added as doubles in its order."""
+    rows, names = extract(df, e, order)
     keys = [f"k{i}" for i in range(len(names))]
     if public is not None:
         from ..engine import same_keys
@@ -29,8 +30,11 @@ def preaggregated_rows(df: DataFrame, e: DataExtractors, public: DataFrame | Non
         rows = rows.join(public, same_keys(rows, public, keys), "left_semi")
     array = rows.schema["value"].dataType.typeName() == "array"
     width = len(e.value_extractor) if array else 0
-    total = F.array(*[exact_sum(F.get("value", i)) for i in range(width)]) if array else exact_sum(F.col("value"))
-    pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("count"), total.alias("sum"))
+    if order is not None:
+        pairs = sums_in_order(rows, ["pid", *keys], "row_id").withColumnsRenamed({"v": "count", "s": "sum"})
+    else:
+        total = F.array(*[exact_sum(F.get("value", i)) for i in range(width)]) if array else exact_sum(F.col("value"))
+        pairs = rows.groupBy("pid", *keys).agg(F.count("*").alias("count"), total.alias("sum"))
     if l0:
         unit = Window.partitionBy("pid")
         pairs = pairs.withColumn("n_partitions", F.count("*").over(unit)).withColumn("n_contributions", F.sum("count").over(unit))
@@ -39,9 +43,9 @@ def preaggregated_rows(df: DataFrame, e: DataExtractors, public: DataFrame | Non
     return pairs.where(kept_partitions(keys, sampling_prob)).select(*keys, "count", "sum", "n_partitions", "n_contributions"), names
 
 
-def preaggregate(df: DataFrame, data_extractors: DataExtractors, public_partitions: DataFrame | None = None, partitions_sampling_prob: float = 1.0) -> DataFrame:
+def preaggregate(df: DataFrame, data_extractors: DataExtractors, public_partitions: DataFrame | None = None, partitions_sampling_prob: float = 1.0, order: Column | None = None) -> DataFrame:
     """The pre-aggregated rows under the key's own names."""
-    rows, names = preaggregated_rows(df, data_extractors, public_partitions, partitions_sampling_prob)
+    rows, names = preaggregated_rows(df, data_extractors, public_partitions, partitions_sampling_prob, order=order)
     return rows.toDF(*names, "count", "sum", "n_partitions", "n_contributions")
 
 
