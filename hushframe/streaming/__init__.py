@@ -1,6 +1,6 @@
 """Differentially private releases over event-time windows of a stream."""
 
-from .budgets import budgeted_windows, stream_budgeted_counts
+from .budgets import stream_budgeted_counts
 from .windows import release_sessions, release_windows, session_counts, stream_dp_counts, window_counts
 
-__all__ = ["budgeted_windows", "release_sessions", "release_windows", "session_counts", "stream_budgeted_counts", "stream_dp_counts", "window_counts"]
+__all__ = ["release_sessions", "release_windows", "session_counts", "stream_budgeted_counts", "stream_dp_counts", "window_counts"]

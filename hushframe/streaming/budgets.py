@@ -1,104 +1,84 @@
 """A privacy budget for each unit that lasts over all windows of a stream.
 
-``transformWithStateInPandas`` keeps, by privacy unit, the counts of its open windows and the
-number of windows that it has paid for.  When the watermark passes a window's end its timer
-fires: if the unit can still pay for one, the counts are sent on and the payment is noted;
-else the unit's rows of that window, and of every later one, are left out.  So a unit
-contributes to at most ``max_windows`` windows of a stream's life, and what all its releases
-tell together is bounded by that many budgets of one window.
-
-State and payments are versions of one checkpoint: a batch that is repeated starts from the
-state before it, and its release is written once (``release_each_batch``), so nothing is
-spent twice.  Rows behind the watermark are late and never counted.
+Spark's own streaming aggregation counts the rows of each (window, unit, key) and sends them
+on when the watermark passes the window's end; rows behind it are late and never counted.
+``foreachBatch`` ranks each unit's closed windows by their begin and adds those that it paid
+for before: up to ``max_windows`` are released, the unit's rows of later ones are left out.
+So a unit contributes to at most ``max_windows`` windows of a stream's life, and what all its
+releases tell together is bounded by that many budgets of one window.
+
+Payments are a table (unit, windows) beside the checkpoint's own folders, a version for each
+batch that released something.  A batch's payments are written before its release, out of the
+version before it: a batch that is repeated pays the same, and its release is written once
+(``release_each_batch``), so nothing is spent twice.  No step runs Python for a unit.
 """
 
 from __future__ import annotations
 
-import datetime
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..budget import Budget
+from ..engine import delete_folder
 from ..params import check_positive_int
 from .windows import release_each_batch, release_windows, seconds
 
 
-class UnitBudget(StatefulProcessor):
-    """State of one unit: ``open`` windows' counts by (begin, key), and windows ``paid``."""
-
-    def __init__(self, window: int, max_windows: int):
-        self.window, self.max_windows = window * 1000, max_windows
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "begin long, key string", "n long")
-        self.paid = handle.getValueState("paid", "windows int, until long")
-
-    def _paid(self) -> tuple[int, int]:
-        found = self.paid.get() if self.paid.exists() else None
-        return (int(found[0]), int(found[1])) if found is not None else (0, -(1 << 62))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        paid, until = self._paid()
-        if paid >= self.max_windows:
-            for _ in rows:  # nothing of this unit is counted any more
-                pass
-            return
-        known = set(self.handle.listTimers())
-        for df in rows:
-            for begin, name, n in df.groupby(["begin", "key"], dropna=False)["n"].sum().reset_index().itertuples(index=False):
-                end = int(begin) + self.window
-                if end <= max(until, timerValues.getCurrentWatermarkInMs()):
-                    continue  # late: this window was closed
-                place = (int(begin), None if name is None or name != name else str(name))
-                before = self.open.getValue(place)[0] if self.open.containsKey(place) else 0
-                self.open.updateValue(place, (int(before) + int(n),))
-                if end not in known:
-                    self.handle.registerTimer(end)
-                    known.add(end)
-        yield from ()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        """All windows up to the timer, in their order, whatever the order of timers."""
-        upto = int(expiredTimerInfo.getExpiryTimeInMs())
-        paid, until = self._paid()
-        counts: dict[int, list[tuple[str | None, int]]] = {}
-        for place, value in list(self.open.iterator()):
-            if int(place[0]) + self.window <= upto:
-                counts.setdefault(int(place[0]), []).append((place[1], int(value[0])))
-        out = []
-        for begin in sorted(counts):
-            if paid < self.max_windows:
-                paid += 1
-                out += [(begin, key[0], name, n) for name, n in counts[begin]]
-            for name, _ in counts[begin]:
-                self.open.removeKey((begin, name))
-        if counts:
-            self.paid.update((paid, max(until, upto)))
-        if out:
-            yield pd.DataFrame(out, columns=["begin", "unit", "key", "n"])
-
-    def close(self) -> None:
-        pass
-
-
-def budgeted_windows(stream: DataFrame, time: str, unit: str, key: str, window: str, lateness: str, max_windows: int, placed: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """(begin, unit, key, n) of closed tumbling windows that their units can pay for.  Needs
-    the RocksDB state store.  ``placed`` rounds the times by which rows fall into windows; the
-    watermark goes by the times as they are."""
-    check_positive_int(max_windows, "max_windows")
-    length = seconds(window)
+def placed_windows(stream: DataFrame, time: str, unit: str, key: str, window: str, lateness: str, placed: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(begin, unit, key, n) of tumbling windows that the watermark has closed.  ``placed``
+    rounds the times by which rows fall into windows; the watermark goes by the times as they
+    are, whose mark the windows' ends carry on."""
+    length = 1000 * seconds(window)
+    timed = stream.withWatermark(time, lateness)
     # whole windows from the epoch on, as milliseconds
-    begin = (F.floor(F.unix_millis(placed(F.col(time).cast("timestamp"))) / (1000 * length)) * 1000 * length).cast("long")
-    rows = stream.withWatermark(time, lateness).where(F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(key).cast("string").alias("key"), begin.alias("begin"), F.lit(1).cast("long").alias("n"), time)
-    schema = T.StructType([T.StructField("begin", T.LongType()), T.StructField("unit", stream.schema[unit].dataType), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
-    return rows.groupBy("unit").transformWithStateInPandas(UnitBudget(length, max_windows), schema, "Append", "EventTime").select(F.timestamp_millis("begin").alias("begin"), "unit", "key", "n")
+    end = (F.floor(F.unix_millis(placed(F.col(time).cast("timestamp"))) / length) * length).cast("long") + length
+    rows = timed.where(F.col(unit).isNotNull()).select(F.timestamp_millis(end).alias("end", metadata=timed.schema[time].metadata), F.col(unit).alias("unit"), F.col(key).cast("string").alias("key"))
+    counted = rows.groupBy("end", "unit", "key").agg(F.count("*").alias("n"))
+    return counted.select(F.timestamp_millis(F.unix_millis("end") - length).alias("begin"), "unit", "key", "n")
+
+
+def payable(closed: DataFrame, paid: DataFrame | None, max_windows: int) -> DataFrame:
+    """The rows of closed windows that their units can pay for after the windows that they
+    have ``paid`` for, with ``rank``, the window's place among the unit's of this batch."""
+    ranked = closed.withColumn("rank", F.dense_rank().over(Window.partitionBy("unit").orderBy("begin"))).where(F.col("rank") <= max_windows)
+    if paid is None:
+        return ranked
+    return ranked.join(paid, "unit", "left").where(F.col("rank") + F.coalesce("windows", F.lit(0)) <= max_windows).drop("windows")
+
+
+def _versions(spark: SparkSession, payments: str) -> list[int]:
+    """The batches whose payments are whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(payments)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    whole = [name for name in found if name.startswith("number=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{payments}/{name}/_SUCCESS"))]
+    return sorted(int(name.removeprefix("number=")) for name in whole)
+
+
+def release_paid(release: Callable[[DataFrame], DataFrame], sink: str, payments: str, max_windows: int) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``: of a batch's closed windows, those that their units can
+    pay for are noted in ``payments`` and released to ``sink``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        earlier = [n for n in _versions(spark, payments) if n < number]
+        paid = spark.read.parquet(f"{payments}/number={earlier[-1]}") if earlier else None
+
+        def spend(kept: DataFrame) -> DataFrame:
+            now = kept.groupBy("unit").agg(F.max("rank").cast("long").alias("windows"))
+            total = now if paid is None else now.unionByName(paid).groupBy("unit").agg(F.sum("windows").alias("windows"))
+            total.write.mode("overwrite").parquet(f"{payments}/number={number}")
+            for n in earlier[:-1]:  # only the version before this batch may be read again
+                delete_folder(spark, f"{payments}/number={n}")
+            return release(kept.drop("rank"))
+
+        release_each_batch(spend, sink, lambda closed: payable(closed, paid, max_windows))(batch, number)
+
+    return run
 
 
 def stream_budgeted_counts(
@@ -106,8 +86,10 @@ def stream_budgeted_counts(
 ) -> StreamingQuery:
     """Start the query: every unit spends at most ``total_budget`` in the life of the stream,
     an equal share in each of ``max_windows`` windows.  Released windows are appended to the
-    Parquet table ``sink``."""
+    Parquet table ``sink``; payments lie in the checkpoint's folder.  The RocksDB state store
+    keeps open windows out of the heap."""
+    check_positive_int(max_windows, "max_windows")
     each = Budget(total_budget.epsilon / max_windows, total_budget.delta / max_windows)
-    release = release_each_batch(lambda held: release_windows(held, each, max_keys, max_per_key, public_keys), sink)
-    writer = budgeted_windows(stream, time, unit, key, window, lateness, max_windows, placed).writeStream.outputMode("append").foreachBatch(release).option("checkpointLocation", checkpoint)
+    release = release_paid(lambda kept: release_windows(kept, each, max_keys, max_per_key, public_keys), sink, f"{checkpoint}/payments", max_windows)
+    writer = placed_windows(stream, time, unit, key, window, lateness, placed).writeStream.outputMode("append").foreachBatch(release).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

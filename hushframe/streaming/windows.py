@@ -102,9 +102,9 @@ def release_sessions(sessions: DataFrame, period: Callable[[Column], Column], bu
     return result.to_df().withColumnsRenamed({"begin": "period", "count": "dp_sessions", "sum": "dp_rows"})
 
 
-def release_each_batch(release: Callable[[DataFrame], DataFrame], sink: str) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch`` that appends a batch's release to the table ``sink``
-    once: a batch that is repeated after its release was whole draws nothing again, and the
+def release_each_batch(release: Callable[[DataFrame], DataFrame], sink: str, of: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that appends the release of a batch, or of its rows
+    ``of``, to the table ``sink`` once: a batch that is repeated after its release was whole draws nothing again, and the
     folders that a release reads from go when it is written."""
 
     def run(batch: DataFrame, number: int) -> None:
@@ -113,7 +113,7 @@ def release_each_batch(release: Callable[[DataFrame], DataFrame], sink: str) ->
         if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             batch.write.format("noop").mode("append").save()  # the stream's state still has to move on
             return
-        held = batch.persist()
+        held = of(batch).persist()
         try:
             if not held.isEmpty():
                 with released_folders(spark):
